@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import decontaminate, fertility, mixing, simhash, tokenbin
+from slatework.llm import decontaminate, fertility, mixing, quotes, simhash, tokenbin, toxicity, warc
 from slatework.llm.text import count_words, read
 
 #: Vocabulary files of public tokenisers; the path is a parameter of every operator that uses one.
@@ -14,6 +14,13 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with the message it answers, its thread and its text without quotes."""
+    rows = quotes.conversations(read(spark, sf_dir, "conversations"))
+    links = ["n_quoted", "n_linked", "to_conv", "to_turn", "root_conv", "root_turn", "depth"]
+    return rows.select("row.conv_id", "row.turn", "row.role", *links, F.length("body").cast("long").alias("body_chars"), F.sha2("body", 256).alias("body_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes by SimHash."""
     rows = simhash.classes(read(spark, sf_dir, "documents"))
@@ -21,6 +28,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), text.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back."""
+    rows = warc.resolve(warc.write(read(spark, sf_dir, "pages")))
+    number = lambda c: F.when(~F.col(c).startswith("null"), F.col(c)).cast("long").alias(c)
+    rows = rows.select(number("page"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to"))
+    return rows.withColumnRenamed("page", "page_id")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -37,6 +52,18 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*base, F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("entropy", 6).alias("entropy"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a fifth of the ids is held out of training."""
+    docs = read(spark, sf_dir, "documents")
+    held = lambda c: F.crc32(c.cast("string")) % 5 == 0
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~held(F.col("doc_id"))))
+    rows = toxicity.score(docs, model)
+    score = F.round("score", 6)
+    return rows.select(
+        F.col("key").alias("doc_id"), F.coalesce(held(F.col("key")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies that the mix takes of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("words"))
@@ -51,10 +78,76 @@ def op9_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quotes": op1_quotes,
     "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_fertility": op5_fertility,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op9_tokenbin": op9_tokenbin,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quotes": r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id AS conv, turn, unnest(string_split(text, chr(10))) AS raw FROM conversations WHERE text IS NOT NULL
+), parsed AS (
+  SELECT conv, turn, raw,
+    length(regexp_replace(regexp_extract(raw, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level,
+    trim(regexp_replace(lower(regexp_replace(raw, '^((?:[ \t]*>)+)[ \t]?', '')), '[\x09-\x0D ]+', ' ', 'g')) AS content
+  FROM lines
+), own AS (SELECT conv, turn, content FROM parsed WHERE level = 0 AND content <> ''),
+near_by AS (SELECT conv, content, min(turn) AS to_turn FROM own GROUP BY ALL),
+far_off AS (SELECT content, min({'c': conv, 't': turn}) AS dest FROM own GROUP BY ALL),
+links AS (
+  SELECT q.conv, q.turn, q.level, CASE WHEN n.to_turn IS NOT NULL THEN q.conv ELSE f.dest.c END AS to_conv, coalesce(n.to_turn, f.dest.t) AS to_turn
+  FROM parsed q
+  LEFT JOIN near_by n ON q.conv = n.conv AND q.content = n.content AND n.to_turn < q.turn
+  LEFT JOIN far_off f ON q.content = f.content AND f.dest.c IS DISTINCT FROM q.conv AND n.to_turn IS NULL
+  WHERE q.level > 0 AND q.content <> ''
+), votes AS (
+  SELECT conv, turn, to_conv, to_turn, count(*) AS n, count(*) FILTER (level = 1) AS outer_n FROM links GROUP BY ALL
+), best AS (
+  SELECT conv, turn, to_conv, to_turn,
+    row_number() OVER (PARTITION BY conv, turn ORDER BY outer_n DESC, to_turn DESC, to_conv) AS r
+  FROM votes WHERE to_turn IS NOT NULL AND outer_n > 0
+), sums AS (
+  SELECT conv, turn, sum(n) AS n_quoted, sum(CASE WHEN to_turn IS NOT NULL THEN n ELSE 0 END) AS n_linked FROM votes GROUP BY ALL
+), ids AS (SELECT DISTINCT conv_id AS conv, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+parents AS (
+  SELECT i.conv, i.turn, coalesce(s.n_quoted, 0) AS n_quoted, coalesce(s.n_linked, 0) AS n_linked,
+    CASE WHEN b.to_turn IS NOT NULL THEN b.to_conv WHEN p.turn IS NOT NULL THEN i.conv END AS to_conv,
+    CASE WHEN b.to_turn IS NOT NULL THEN b.to_turn WHEN p.turn IS NOT NULL THEN i.turn - 1 END AS to_turn
+  FROM ids i LEFT JOIN sums s USING (conv, turn) LEFT JOIN best b ON i.conv = b.conv AND i.turn = b.turn AND b.r = 1
+  LEFT JOIN ids p ON p.conv = i.conv AND p.turn = i.turn - 1
+), tree AS (
+  SELECT conv, turn, conv AS root_conv, turn AS root_turn, 0 AS depth FROM parents WHERE to_turn IS NULL
+  UNION ALL
+  SELECT p.conv, p.turn, t.root_conv, t.root_turn, t.depth + 1 FROM parents p JOIN tree t ON p.to_conv = t.conv AND p.to_turn = t.turn
+)
+SELECT m.conv_id, m.turn, m.role, CAST(coalesce(p.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(p.n_linked, 0) AS BIGINT) AS n_linked,
+  p.to_conv, p.to_turn, coalesce(t.root_conv, p.conv) AS root_conv, coalesce(t.root_turn, p.turn) AS root_turn,
+  CAST(CASE WHEN p.conv IS NOT NULL THEN coalesce(t.depth, 0) END AS BIGINT) AS depth,
+  length(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) AS body_chars,
+  sha256(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) AS body_sha256
+FROM conversations m LEFT JOIN parents p ON m.conv_id = p.conv AND m.turn = p.turn LEFT JOIN tree t ON m.conv_id = t.conv AND m.turn = t.turn
+""",
+    "op4_decontaminate": r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), grams AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS gram
+  FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), doc_grams AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words CROSS JOIN (SELECT DISTINCT k FROM grams))
+), hits AS (SELECT DISTINCT doc_id, k, i, item_id FROM doc_grams JOIN grams USING (k, gram)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+  coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN places p USING (doc_id) LEFT JOIN items i USING (doc_id)
+""",
+}
