@@ -14,9 +14,11 @@ counts of the parts before it; nothing is renumbered when a part is written agai
 
 from __future__ import annotations
 
-import re
+import json
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +32,62 @@ from pyspark.sql import functions as F
 from slatework.llm.text import bound_arrow_batches
 from slatework.scratch import materialize, scratch_path
 
-#: Words kept with their ids in a worker; about 100 MB when full.
-CACHE = 400_000
-#: Python splits at these too, the tokeniser does not take them as space.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words kept with their ids in a worker; about 120 MB when full.
+CACHE = 500_000
 _TOKENIZERS: dict[str, "Encoder"] = {}
 
 
+def _byte_table() -> dict[int, int]:
+    """How byte-level vocabularies write bytes that have no visible character."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
+
+
+_BYTES = _byte_table()
+
+
+class _Words(dict):
+    """Ids of a white-space chunk as bytes. Plain words go to the model at once, others through the whole tokeniser."""
+
+    def __init__(self, tokenizer, kind: np.dtype):
+        super().__init__()
+        self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, "H" if kind.itemsize == 2 else "I"
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word) and word.lower().isalpha())):
+            low = word.lower()
+            if low != word:
+                ids = self[low]
+            else:
+                mapped = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
+                ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        elif word[-1] in ",.!?" and word[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) < CACHE:
+            self[word] = ids
+        return ids
+
+
+def _by_word(path: str) -> bool:
+    """Whether white space ends every word and is dropped, and words are lower-cased letters, in this tokenizers file."""
+    with open(path) as f:
+        spec = json.load(f)
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = splits[0].get("pattern", {}).get("Regex", "") if splits else ""
+    model = spec["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    letters = pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+    byte = len(splits) == 2 and splits[1]["type"] == "ByteLevel" and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
+    return steps == ["NFC", "Replace", "Lowercase"] and bool(letters) and byte and plain and spec["post_processor"] is None
+
+
 class Encoder:
-    """A tokenizers file with a word cache. Valid where white space ends every word and is dropped (``by_word``)."""
+    """A tokenizers file; where its rules allow it, distinct words are encoded once a worker."""
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,39 +95,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.by_word, self.known = by_word, {}
-
-    def whole(self, text: str) -> np.ndarray:
-        """The ids as the tokeniser gives them for the whole text."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+        self.words = _Words(self.tokenizer, self.type) if _by_word(path) else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        """The same ids, as bytes; every distinct word is encoded once a worker."""
-        if not self.by_word or _ODD_SPACE.search(text):
-            return self.whole(text).tobytes()
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        extra = {}
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                extra[w] = np.array(e.ids, self.type).tobytes()
-        if len(known) + len(extra) <= CACHE:
-            known.update(extra)
-            return b"".join(map(known.__getitem__, words))
-        if len(extra) <= CACHE // 8:  # start again with the words of today
-            known.clear()
-        return b"".join([extra.get(w) or known.get(w) or self.whole(w).tobytes() for w in words])
-
-
-def encoder(path: str, by_word: bool = True) -> Encoder:
+        """The ids of the whole text, as the tokeniser gives them."""
+        # Python splits at \x1c-\x1f too, the tokeniser does not take them as space; special tokens cut words anywhere.
+        odd = self.words is None or any(c in text for c in "\x1c\x1d\x1e\x1f") or any(c in text for c in self.special)
+        if odd:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Encoder(path, by_word)
+        _TOKENIZERS[path] = Encoder(path)
     return _TOKENIZERS[path]
 
 
@@ -104,7 +134,6 @@ def write(
     path: str | None = None,
     key: str = "doc_id",
     text: str = "text",
-    by_word: bool = True,
 ) -> TokenSet:
     """Encode every whole text, append ``end_id``, write the parts in ascending key order.
 
@@ -119,7 +148,7 @@ def write(
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder = TaskContext.get().partitionId(), encoder(vocabulary, by_word)
+        part, coder = TaskContext.get().partitionId(), encoder(vocabulary)
         end = np.array([end_id], coder.type).tobytes()
         fs, base = _open(path)
         stem, sinks, offsets = f"{part:06d}-{uuid.uuid4().hex}", None, [0]
