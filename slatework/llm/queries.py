@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import decontaminate, fertility, mixing, quotes, simhash, tokenbin, toxicity, warc
+from slatework.llm import decontaminate, fertility, linededup, mixing, quotes, simhash, tokenbin, toxicity, warc
 from slatework.llm.text import count_words, read
 
 #: Vocabulary files of public tokenisers; the path is a parameter of every operator that uses one.
@@ -71,6 +71,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses to earlier similar lines."""
+    docs = read(spark, sf_dir, "documents")
+    gone = linededup.removals(docs)
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    rows = sizes.join(gone, sizes["doc_id"].eqNullSafe(gone["key"]) & (sizes["h"] == gone["th"]), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.sha2(F.array_join(removed.cast("array<string>"), ","), 256).alias("removed_sha256"))
+
+
 def op9_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     tokens = tokenbin.write(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -85,6 +95,7 @@ QUERIES = {
     "op5_fertility": op5_fertility,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_linededup": op8_linededup,
     "op9_tokenbin": op9_tokenbin,
 }
 ORACLES: dict[str, str] = {

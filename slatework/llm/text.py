@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,18 @@ def bound_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def wide_arrow_batches(spark: SparkSession, rows: int = 1 << 16) -> Iterator[None]:
+    """Larger Arrow batches for actions on rows of a few numbers each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
