@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import decontaminate, fertility, linededup, mixing, quotes, simhash, tokenbin, toxicity, warc
+from slatework.llm import decontaminate, fertility, licences, linededup, mixing, quotes, simhash, tokenbin, toxicity, warc
 from slatework.llm.text import count_words, read
 
 #: Vocabulary files of public tokenisers; the path is a parameter of every operator that uses one.
@@ -87,6 +87,18 @@ def op9_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digest(tokens).withColumnRenamed("key", "doc_id")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that every document declares."""
+    rows = licences.scan(read(spark, sf_dir, "documents"))
+    known = F.filter("licences", lambda x: x["family"] != "unknown")
+    families = F.array_sort(F.array_distinct(F.transform(known, lambda x: x["family"])))
+    lines = F.array_sort(F.array_distinct(F.transform(known, lambda x: x["line"]))).cast("array<string>")
+    return rows.select(
+        F.col("key").alias("doc_id"), F.array_join(families, ",").alias("families"), F.array_join(lines, ",").alias("lines"),
+        F.size(known).cast("long").alias("n_found"), (F.size("licences") - F.size(known)).cast("long").alias("n_unknown"),
+    )
+
+
 QUERIES = {
     "op1_quotes": op1_quotes,
     "op2_simhash": op2_simhash,
@@ -97,6 +109,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_linededup": op8_linededup,
     "op9_tokenbin": op9_tokenbin,
+    "op10_licences": op10_licences,
 }
 ORACLES: dict[str, str] = {
     "op1_quotes": r"""
