@@ -108,21 +108,23 @@ def threads(found: DataFrame) -> DataFrame:
         F.when(root, F.col("conv")).alias("root_conv"), F.when(root, F.col("turn")).alias("root_turn"),
     )
     now = materialize(now, "pointers")
-    open_ = now.where("c IS NOT NULL").count()
-    while open_:
-        # A row without a pointer knows its root; what points at it learns root and depth from it.
-        up = now.select(*[F.col(x).alias(y) for x, y in (("conv", "c"), ("turn", "t"), ("c", "uc"), ("t", "ut"), ("depth", "more"), ("root_conv", "rc"), ("root_turn", "rt"))])
-        now = now.join(up, ["c", "t"], "left").select(
+    settled, open_ = now.where("c IS NULL"), now.where("c IS NOT NULL")
+    left = open_.count()
+    while left:
+        # A settled row knows its root; what points at it learns root and depth from it. Only open rows move.
+        names = (("conv", "c"), ("turn", "t"), ("c", "uc"), ("t", "ut"), ("depth", "more"), ("root_conv", "rc"), ("root_turn", "rt"))
+        up = settled.unionByName(open_).select(*[F.col(x).alias(y) for x, y in names])
+        moved = open_.join(up, ["c", "t"], "left").select(
             "conv", "turn", F.col("uc").alias("c"), F.col("ut").alias("t"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             F.coalesce("root_conv", "rc").alias("root_conv"), F.coalesce("root_turn", "rt").alias("root_turn"),
         )
-        now = materialize(now, "pointers")
-        left = now.where("c IS NOT NULL").count()
-        if left == open_:  # every round settles some rows, but for circles
+        moved = materialize(moved, "pointers")
+        settled, open_ = settled.unionByName(moved.where("c IS NULL")), moved.where("c IS NOT NULL")
+        before, left = left, open_.count()
+        if left == before:  # every round settles some rows, but for circles
             break
-        open_ = left
     circle = F.col("root_conv").isNull()
-    return now.select(
+    return settled.unionByName(open_).select(
         "conv", "turn", F.coalesce("root_conv", "conv").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.when(circle, 0).otherwise(F.col("depth")).alias("depth")
     )
 
