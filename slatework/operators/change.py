@@ -23,8 +23,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], preserve: list[str]
     Of several new rows with a key the one with the largest ``version`` (else the largest row) counts. Columns that
     ``new`` lacks keep the old value.
     """
-    last = F.max(F.struct(*([version] if version else []), *[c for c in new.columns if c not in keys])).alias("n")
-    latest = new.groupBy(*keys).agg(last)
+    first = [F.col(version).alias("__version")] if version else []
+    latest = new.groupBy(*keys).agg(F.max(F.struct(*first, *[c for c in new.columns if c not in keys])).alias("n"))
     o = old.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("o"))
     joined = o.join(latest, keys, "full_outer")
 

@@ -16,7 +16,7 @@ from slatework.scratch import materialize
 def last_write_wins(rows: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """One row per key, the one with the largest version (else the largest row): a node merge."""
     rest = [c for c in rows.columns if c not in keys]
-    best = F.max(F.struct(*([version] if version else []), *rest)).alias("b")
+    best = F.max(F.struct(*([F.col(version).alias("__version")] if version else []), *rest)).alias("b")
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
