@@ -139,5 +139,5 @@ def calls(content: Column, language: Column, own_name: Column | None = None, lit
 
 def human_count(n: Column) -> Column:
     """12.3K, 4.5M, or the number."""
-    million, thousand = F.format_string("%.1fM", n / 1e6), F.format_string("%.1fK", n / 1e3)
+    million, thousand = F.format_string("%.1fM", F.round(n / 1e6, 1)), F.format_string("%.1fK", F.round(n / 1e3, 1))
     return F.when(n >= 1_000_000, million).when(n >= 1_000, thousand).otherwise(n.cast("long").cast("string"))

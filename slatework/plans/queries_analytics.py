@@ -85,7 +85,7 @@ def sensitivity_grid(spark, sf_dir):
     return analytics.sensitivity_grid(spark, [50, 100, 200], [5, 10, 20], 250, 41_000)
 
 
-@add("SELECT p_partkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE CAST(n AS VARCHAR) END AS label FROM (SELECT p_partkey, p_partkey * p_partkey + p_size AS n FROM part)")
+@add("SELECT p_partkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', round(n / 1e6, 1)) WHEN n >= 1000 THEN printf('%.1fK', round(n / 1e3, 1)) ELSE CAST(n AS VARCHAR) END AS label FROM (SELECT p_partkey, p_partkey * p_partkey + p_size AS n FROM part)")
 def token_labels(spark, sf_dir):
     n = (F.col("p_partkey") * F.col("p_partkey") + F.col("p_size")).cast("long")
     return table(spark, sf_dir, "part").select("p_partkey", T.human_count(n).alias("label"))
