@@ -6,8 +6,8 @@ pass the length filter, the positional filter and a bit-parity bound before thei
 whole sets. A line is removed if an earlier line (by document key, then line number) is similar to it;
 lines without words stay.
 
-1. Words are counted in 2**RARITY hash buckets over all lines: a table of fixed size that is broadcast. Any
-   order of words is right; rarity only keeps the prefixes selective.
+1. Words are counted in 2**RARITY hash buckets over all texts: a table of fixed size that is broadcast. Any
+   order of words is right; rarity only keeps the prefixes selective, and a word counted once has no partner.
 2. Equal sets collapse; a distinct set keeps its first place, size, parity bits and prefix.
 3. Prefix words are dealt by word. Within a word's lines, in order of first place, each line is paired with
    the earlier lines that pass the filters: all of them in groups of up to SMALL lines; in larger groups the
@@ -29,7 +29,11 @@ from pyspark.sql import functions as F
 from slatework.llm.text import bound_arrow_batches, wide_arrow_batches
 from slatework.scratch import materialize
 
-RARITY, SMALL, FIRST = 17, 32, 2
+RARITY, SMALL, FIRST = 24, 8, 2
+#: Buckets are summed in pieces of this many.
+PIECE = 1 << 16
+#: Words (of sets that look again) that are broadcast; beyond it they are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Prefix rows that a task holds at once beyond the group at hand.
 HELD = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -54,21 +58,46 @@ def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]
 
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Words per hash bucket over all lines; 2**RARITY numbers whatever the corpus."""
+    """Rarity level (0 for words counted once at most, to 127) per hash bucket, over all texts; 2**RARITY bytes whatever the corpus.
+
+    Tasks send their non-zero buckets in sorted pieces; pieces are summed where they meet.
+    """
     bound_arrow_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        total = np.zeros(1 << RARITY, np.int32)
+        for b in batches:
+            words: list[bytes] = []
+            for t in b.column(0):
+                if t.is_valid:
+                    words += t.as_py().encode("utf-8", "replace").translate(_LOWER).split()
+            hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+            found, n = np.unique((hashes >> np.uint64(64 - RARITY)).astype(np.int32), return_counts=True)
+            total[found] += n.astype(np.int32)
+        at = np.flatnonzero(total).astype(np.int32)
+        bounds = np.searchsorted(at, np.arange(0, (1 << RARITY) + 1, PIECE))
+        for piece, (x, y) in enumerate(zip(bounds, bounds[1:])):
+            if y > x:
+                where, n = (at[x:y] % PIECE).astype("<u2").tobytes(), np.minimum(total[at[x:y]], 65535).astype("<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([where]), pa.array([n])], ["piece", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            hashes, _, _ = _hashed(b.column(0).to_pylist())
-            total += np.bincount((hashes >> np.uint64(64 - RARITY)).astype(np.int64), minlength=1 << RARITY)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+            for piece, where, n in zip(*(c.to_pylist() for c in b.columns)):
+                held = sums.setdefault(piece, np.zeros(PIECE, np.int64))
+                held[np.frombuffer(where, "<u2")] += np.frombuffer(n, "<u2")
+        for piece, held in sums.items():
+            level = np.minimum(127, np.ceil(4 * np.log2(np.maximum(held, 1)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([level.tobytes()])], ["piece", "level"])
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << RARITY, np.int64)
-    counts[counted.bucket] = counted.n
-    return counts
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece int, at binary, n binary")
+    levels = np.zeros(1 << RARITY, np.uint8)
+    for r in parts.repartition("piece").mapInArrow(add, "piece int, level binary").toLocalIterator():  # 2**RARITY bytes in all
+        levels[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.level, np.uint8)
+    return levels
 
 
 def _sets(hashes: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +121,10 @@ def _least_overlap(total, num: int, den: int):
     return -((-num * total) // (num + den))
 
 
-def occurrences(docs: DataFrame, counts: np.ndarray, t: Fraction, key: str, text: str) -> DataFrame:
+def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text: str) -> DataFrame:
     """key, th, line, a, b (128-bit digest of the set), size, parity, prefix of every line with words."""
     num, den = t.numerator, t.denominator
-    level = np.minimum(127, np.ceil(4 * np.log2(counts + 1))).astype(np.int64)
+    spread = docs.sparkSession.sparkContext.broadcast(level)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
@@ -106,6 +135,7 @@ def occurrences(docs: DataFrame, counts: np.ndarray, t: Fraction, key: str, text
             hashes, line, lines = _hashed(b.column(2).to_pylist())
             if not len(hashes):
                 continue
+            level = spread.value
             h, at = _sets(hashes, line, level)
             starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             sizes = np.diff(np.append(starts, len(h)))
@@ -115,8 +145,12 @@ def occurrences(docs: DataFrame, counts: np.ndarray, t: Fraction, key: str, text
             parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
             length = sizes - (-(-num * sizes // den)) + 1
             within = np.arange(len(h)) - np.repeat(starts, sizes)
-            prefix = h[within < np.repeat(length, sizes)].astype(np.uint32).view(np.int32)  # equal halves of other words only add candidates
-            offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+            head = within < np.repeat(length, sizes)
+            # A word counted once has no partner; equal halves of other words only add candidates.
+            shared = head & (level[(h >> np.uint64(64 - RARITY)).astype(np.int64)] > 0)
+            prefix, place = h[shared].astype(np.uint32).view(np.int32), within[shared].astype(np.int32)
+            kept = np.add.reduceat(shared.astype(np.int32), starts)
+            offsets = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
             number = at[starts]  # of the line in the batch
             doc_of = np.repeat(np.arange(len(lines)), lines)
             first_of = np.concatenate(([0], np.cumsum(lines)))[:-1]
@@ -125,12 +159,12 @@ def occurrences(docs: DataFrame, counts: np.ndarray, t: Fraction, key: str, text
                 [
                     b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((number - first_of[doc]).astype(np.int32)),
                     pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(sizes.astype(np.int32)), pa.array(parity),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(prefix), pa.array(place)], ["word", "pos"])),
                 ],
                 ["key", "th", "line", "a", "b", "size", "parity", "prefix"],
             )
 
-    return rows.mapInArrow(run, f"key {kind}, th long, line int, a long, b long, size int, parity long, prefix array<int>")
+    return rows.mapInArrow(run, f"key {kind}, th long, line int, a long, b long, size int, parity long, prefix array<struct<word:int,pos:int>>")
 
 
 def _place(key: Column | str, line: Column | str, th: Column | str) -> Column:
@@ -172,8 +206,10 @@ def _pairs_in_groups(word, ids, meta, parity, seek, num: int, den: int, every: b
             if not seek[x]:
                 continue
             some = 0
-            for at in range(g, x, 4096):  # the first pass rarely goes beyond the first block
-                y = np.arange(at, min(at + 4096, x))
+            at, width = g, 8
+            while at < x:  # variants of one line rarely need more than the first block
+                y = np.arange(at, min(at + width, x))
+                at, width = at + width, min(4096, 8 * width)
                 ok = y[_passing(size[x], size[y], pos[x], pos[y], parity[x], parity[y], num, den)]
                 if not every and some + len(ok) > FIRST:
                     ok = ok[: FIRST - some]
@@ -193,11 +229,14 @@ def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -
     With ``seekers`` (column id), only those look, and get all.
     """
     num, den, every = t.numerator, t.denominator, seekers is not None
-    rows = sets.select("id", "size", "parity", F.posexplode("prefix").alias("pos", "word"))
-    rows = rows.select("word", "id", (F.col("size").cast("long") * (1 << 20) + F.col("pos")).alias("meta"), "parity")
+    rows = sets.select("id", "size", "parity", F.explode("prefix").alias("p"))
+    rows = rows.select("p.word", "id", (F.col("size").cast("long") * (1 << 20) + F.col("p.pos")).alias("meta"), "parity")
     if every:
-        rows = rows.join(seekers.select("id", F.lit(True).alias("seek")), "id", "left").select("word", "id", "meta", "parity", F.coalesce("seek", F.lit(False)).alias("seek"))
-        rows = rows.join(rows.where("seek").select("word").distinct(), "word", "left_semi")
+        asked = materialize(sets.join(seekers, "id", "left_semi").select("id", F.explode("prefix.word").alias("word")), "line-asked")
+        few = asked.count() <= MOST_BROADCAST
+        words, looks = asked.select("word").distinct(), asked.select("id", F.lit(True).alias("seek")).distinct()
+        rows = rows.join(F.broadcast(words) if few else words, "word", "left_semi")
+        rows = rows.join(F.broadcast(looks) if few else looks, "id", "left").select("word", "id", "meta", "parity", F.coalesce("seek", F.lit(False)).alias("seek"))
     else:
         rows = rows.withColumn("seek", F.lit(True))
     rows = rows.repartition("word").sortWithinPartitions("word", "id").select("word", "id", "meta", "parity", "seek")
@@ -239,17 +278,27 @@ def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -
 
 
 def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: Fraction, key: str, text: str) -> DataFrame:
-    """The pairs (x, y) whose sets have the wanted Jaccard similarity, on whole sets read from the text again."""
+    """The pairs (x, y) whose sets have the wanted Jaccard similarity, on whole sets (of 64-bit word hashes) read from the text again."""
     num, den = t.numerator, t.denominator
     wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
     places = sets.join(wanted, "id").select("id", "place.key", "place.th", "place.line")
     per_doc = places.groupBy("key", "th").agg(F.collect_list(F.struct("line", "id")).alias("want"))  # lines of one text
     held = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    rows = held.join(per_doc, per_doc["key"].eqNullSafe(held["k"]) & (per_doc["th"] == held["h"]))
-    rows = rows.select(F.explode("want").alias("w"), F.split("text", "\n").alias("lines"))
-    lower = F.translate(F.get("lines", F.col("w.line")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_distinct(F.array_remove(F.split(lower, r"[\x20\x09-\x0D]+"), ""))
-    content = materialize(rows.select("w.id", words.alias("words")).dropDuplicates(["id"]), "line-words")
+    rows = held.join(per_doc, per_doc["key"].eqNullSafe(held["k"]) & (per_doc["th"] == held["h"])).select("want", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            ids, words = [], []
+            for want, t in zip(b.column(0), b.column(1)):
+                lines = t.as_py().encode("utf-8", "replace").translate(_LOWER).split(b"\n")
+                for w in want.as_py():
+                    ids.append(w["id"])
+                    words.append(np.fromiter(map(xxh64_intdigest, set(lines[w["line"]].split())), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["id", "words"])
+
+    content = materialize(rows.mapInArrow(run, "id long, words array<bigint>").dropDuplicates(["id"]), "line-words")
     x = content.select(F.col("id").alias("x"), F.col("words").alias("wx"))
     y = content.select(F.col("id").alias("y"), F.col("words").alias("wy"))
     both = pairs.join(x, "x").join(y, "y")
