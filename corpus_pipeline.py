@@ -17,8 +17,7 @@ from slatework.scratch import materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the tokeniser's bands reject go."""
-    columns = docs.columns
-    return fertility.score(docs, PIECE_VOCABULARY).where("kept").select(*[F.col(f"`{c}`") for c in columns])
+    return fertility.score(docs, PIECE_VOCABULARY).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,8 +92,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any hit, all their columns as they were; null and empty texts stay."""
-    found = hits(docs, benchmark, width, key, text).where("n_hit > 0").select(F.col("key"), F.col("th")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["key"]) & (F.xxhash64(docs[text]) == found["th"]), "left_anti")
+    found = hits(docs, benchmark, width, key, text).where("n_hit > 0").select(F.col("key").alias("__hit_key"), F.col("th").alias("__hit_th")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = held["row"][key].eqNullSafe(found["__hit_key"]) & (F.xxhash64(held["row"][text]) == found["__hit_th"])
+    return held.join(found, same, "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:

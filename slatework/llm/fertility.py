@@ -150,23 +150,22 @@ def score(
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
-    """``keep`` (default: all) columns of the input and the columns of OUT, one row per input row, nothing shuffled.
+    """row (``keep`` columns of the input, default all, as a struct) and the columns of OUT, one row per input row, nothing shuffled.
 
     Null and empty texts have no words and fail the base rules. A null or unknown language is judged by
-    script. Repeated rows are judged alike. Input columns with the names of OUT are replaced.
+    script. Repeated rows are judged alike. Any extra columns may travel in ``row``.
     ``model`` is the path of the vocabulary on the executors.
     """
     bound_arrow_batches(docs.sparkSession)
     names = [f.split()[0] for f in OUT.split(", ")]
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    held = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("__text"), F.col(lang).alias("__lang"))
-    fields = held.select(*[F.col(f"`{c}`") for c in columns]).schema
+    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
+    held = docs.select(row, F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, is_byte = _model(model)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in names}
-            for t, tongue in zip(batch.column(len(columns)), batch.column(len(columns) + 1)):
+            for t, tongue in zip(batch.column(1), batch.column(2)):
                 t, tongue = t.as_py(), tongue.as_py()
                 m = measure(t, sp, is_byte)
                 band = rules.bands.get(tongue) or rules.scripts[script_of(t)]
@@ -174,7 +173,6 @@ def score(
                 for k in names:
                     out[k].append(m[k])
             new = [pa.array(out[k], pa.bool_() if k in ("base_failed", "kept") else pa.float64() if k in ("chars_per_token", "byte_share", "entropy", "upper_share") else pa.int64()) for k in names]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["row", *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), OUT])
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, {OUT}")

@@ -117,9 +117,10 @@ def train(
     are used each. Without any row the model is a coin toss.
     """
     bound_arrow_batches(docs.sparkSession)
-    y = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("key"), "key").limit(most_rows)
-    chosen = docs.join(F.broadcast(y), docs[key] == y["key"]).select("key", "y", F.col(text).alias("text"))  # most_rows small rows
+    y = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").groupBy("k").agg(F.max("y").alias("y"))
+    y = y.orderBy(F.xxhash64("k"), "k").limit(most_rows)
+    held = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    chosen = held.join(F.broadcast(y), held["key"] == y["k"]).select("key", "y", "text")  # most_rows small rows
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(r.key, features(r.text), int(r.y)) for b in batches for r in b.itertuples()]
