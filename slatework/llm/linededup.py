@@ -10,8 +10,7 @@ lines without words stay.
    order of words is right; rarity only keeps the prefixes selective, and a word counted once has no partner.
 2. Equal sets collapse; a distinct set keeps its first place, size, parity bits and prefix.
 3. Prefix words are dealt by word. Within a word's lines, in order of first place, each line is paired with
-   the earlier lines that pass the filters: all of them in groups of up to SMALL lines; in larger groups the
-   first FIRST of them, and the line is marked as having more.
+   the nearest FIRST earlier lines that pass the filters, and is marked if there are more.
 4. Pairs are verified. Marked lines that found no similar earlier line get all their other pairs, verified
    alike, so the caps lose nothing: they only keep a group of a thousand variants from making all its pairs.
 """
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from slatework.llm.text import bound_arrow_batches, wide_arrow_batches
 from slatework.scratch import materialize
 
-RARITY, SMALL, FIRST = 24, 8, 2
+RARITY, FIRST = 24, 4
 #: Buckets are summed in pieces of this many.
 PIECE = 1 << 16
 #: Words (of sets that look again) that are broadcast; beyond it they are joined by a shuffle.
@@ -185,41 +184,33 @@ def _passing(size_x, size_y, pos_x, pos_y, parity_x, parity_y, num: int, den: in
 def _pairs_in_groups(word, ids, meta, parity, seek, num: int, den: int, every: bool) -> tuple[list, list, list]:
     """Pairs (later, earlier) and marked lines among rows sorted by word and place; groups are whole.
 
-    ``seek``: rows that look for earlier ones. ``every``: no caps.
+    All rows step back through their groups together, one place at a time; a row that has FIRST pairs and finds
+    another is marked and stops. ``seek``: rows that look for earlier ones. ``every``: no caps.
     """
-    size, pos = meta >> 20, meta & ((1 << 20) - 1)
+    size, pos = (meta >> 20).astype(np.int32), (meta & ((1 << 20) - 1)).astype(np.int32)
     later, earlier, more = [], [], []
     begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    counts = np.diff(np.append(begins, len(word)))
-    small = np.repeat(counts <= SMALL, counts)
-    for d in range(1, min(SMALL, int(counts.max(initial=1)))):
-        hit = np.flatnonzero((word[d:] == word[:-d]) & small[d:])
-        if not len(hit):
-            break
-        hit = hit[seek[hit + d]]
-        x, y = hit + d, hit
-        ok = _passing(size[x], size[y], pos[x], pos[y], parity[x], parity[y], num, den)
-        later.append(ids[x[ok]])
-        earlier.append(ids[y[ok]])
-    for g, n in zip(begins[counts > SMALL], counts[counts > SMALL]):
-        for x in range(g + 1, g + n):
-            if not seek[x]:
-                continue
-            some = 0
-            at, width = g, 8
-            while at < x:  # variants of one line rarely need more than the first block
-                y = np.arange(at, min(at + width, x))
-                at, width = at + width, min(4096, 8 * width)
-                ok = y[_passing(size[x], size[y], pos[x], pos[y], parity[x], parity[y], num, den)]
-                if not every and some + len(ok) > FIRST:
-                    ok = ok[: FIRST - some]
-                    more.append(ids[x : x + 1])
-                    some = FIRST + 1
-                later.append(np.full(len(ok), ids[x]))
-                earlier.append(ids[ok])
-                if some > FIRST:
-                    break
-                some += len(ok)
+    within = np.arange(len(word)) - np.repeat(begins, np.diff(np.append(begins, len(word))))
+    active = np.flatnonzero((within > 0) & seek)
+    given = np.zeros(len(word), np.int8)
+    d = 1
+    while len(active):
+        back = active - d
+        x = active[_passing(size[active], size[back], pos[active], pos[back], parity[active], parity[back], num, den)]
+        full = np.zeros(0, np.int64)
+        if len(x):
+            if not every:
+                full = x[given[x] == FIRST]
+                x = x[given[x] < FIRST]
+                given[x] += 1
+                more.append(ids[full])
+            later.append(ids[x])
+            earlier.append(ids[x - d])
+        d += 1
+        stay = within[active] >= d
+        if len(full):
+            stay &= ~np.isin(active, full, assume_unique=True)
+        active = active[stay]
     return later, earlier, more
 
 
