@@ -31,8 +31,8 @@ from slatework.scratch import materialize
 RARITY, FIRST = 24, 4
 #: Buckets are summed in pieces of this many.
 PIECE = 1 << 16
-#: Words (of sets that look again) that are broadcast; beyond it they are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Words of sets that look again that are broadcast, and half as many lines to read again; beyond it they are joined by a shuffle.
+MOST_BROADCAST = 400_000
 #: Prefix rows that a task holds at once beyond the group at hand.
 HELD = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -141,7 +141,9 @@ def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text:
             raw = h.astype("<u8").tobytes()
             ends = (starts + sizes) * 8
             digests = np.frombuffer(b"".join([xxh3_128_digest(raw[s:e]) for s, e in zip((starts * 8).tolist(), ends.tolist())]), "<i8").reshape(-1, 2)
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts).view(np.int64)
+            # 128 parity bits in two words: which one a word counts in is another bit of its hash.
+            bit, side = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) > 0
+            parity, parity2 = (np.bitwise_xor.reduceat(np.where(side == s, bit, np.uint64(0)), starts).view(np.int64) for s in (False, True))
             length = sizes - (-(-num * sizes // den)) + 1
             within = np.arange(len(h)) - np.repeat(starts, sizes)
             head = within < np.repeat(length, sizes)
@@ -157,13 +159,13 @@ def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((number - first_of[doc]).astype(np.int32)),
-                    pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(sizes.astype(np.int32)), pa.array(parity),
+                    pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(sizes.astype(np.int32)), pa.array(parity), pa.array(parity2),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(prefix), pa.array(place)], ["word", "pos"])),
                 ],
-                ["key", "th", "line", "a", "b", "size", "parity", "prefix"],
+                ["key", "th", "line", "a", "b", "size", "parity", "parity2", "prefix"],
             )
 
-    return rows.mapInArrow(run, f"key {kind}, th long, line int, a long, b long, size int, parity long, prefix array<struct<word:int,pos:int>>")
+    return rows.mapInArrow(run, f"key {kind}, th long, line int, a long, b long, size int, parity long, parity2 long, prefix array<struct<word:int,pos:int>>")
 
 
 def _place(key: Column | str, line: Column | str, th: Column | str) -> Column:
@@ -171,17 +173,17 @@ def _place(key: Column | str, line: Column | str, th: Column | str) -> Column:
     return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(th).alias("th"), F.col(line).alias("line"))
 
 
-def _passing(size_x, size_y, pos_x, pos_y, parity_x, parity_y, num: int, den: int) -> np.ndarray:
-    """Length, positional and parity filter; all keep every pair of the wanted similarity."""
+def _passing(size_x, size_y, pos_x, pos_y, odd, odd2, num: int, den: int) -> np.ndarray:
+    """Length, positional and parity filter (``odd``: parity bits that differ); all keep every pair of the wanted similarity."""
     total = size_x + size_y
     least = _least_overlap(total, num, den)
     ok = den * np.minimum(size_x, size_y) >= num * np.maximum(size_x, size_y)
     ok &= 1 + np.minimum(size_x - pos_x, size_y - pos_y) - 1 >= least
-    ok &= np.bitwise_count((parity_x ^ parity_y).view(np.uint64)).astype(np.int64) <= total - 2 * least
+    ok &= np.bitwise_count(odd.view(np.uint64)).astype(np.int32) + np.bitwise_count(odd2.view(np.uint64)) <= total - 2 * least
     return ok
 
 
-def _pairs_in_groups(word, ids, meta, parity, seek, num: int, den: int, every: bool) -> tuple[list, list, list]:
+def _pairs_in_groups(word, ids, meta, parity, parity2, seek, num: int, den: int, every: bool) -> tuple[list, list, list]:
     """Pairs (later, earlier) and marked lines among rows sorted by word and place; groups are whole.
 
     All rows step back through their groups together, one place at a time; a row that has FIRST pairs and finds
@@ -196,7 +198,7 @@ def _pairs_in_groups(word, ids, meta, parity, seek, num: int, den: int, every: b
     d = 1
     while len(active):
         back = active - d
-        x = active[_passing(size[active], size[back], pos[active], pos[back], parity[active], parity[back], num, den)]
+        x = active[_passing(size[active], size[back], pos[active], pos[back], parity[active] ^ parity[back], parity2[active] ^ parity2[back], num, den)]
         full = np.zeros(0, np.int64)
         if len(x):
             if not every:
@@ -220,25 +222,25 @@ def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -
     With ``seekers`` (column id), only those look, and get all.
     """
     num, den, every = t.numerator, t.denominator, seekers is not None
-    rows = sets.select("id", "size", "parity", F.explode("prefix").alias("p"))
-    rows = rows.select("p.word", "id", (F.col("size").cast("long") * (1 << 20) + F.col("p.pos")).alias("meta"), "parity")
+    rows = sets.select("id", "size", "parity", "parity2", F.explode("prefix").alias("p"))
+    rows = rows.select("p.word", "id", (F.col("size").cast("long") * (1 << 20) + F.col("p.pos")).alias("meta"), "parity", "parity2")
     if every:
         asked = materialize(sets.join(seekers, "id", "left_semi").select("id", F.explode("prefix.word").alias("word")), "line-asked")
         few = asked.count() <= MOST_BROADCAST
         words, looks = asked.select("word").distinct(), asked.select("id", F.lit(True).alias("seek")).distinct()
         rows = rows.join(F.broadcast(words) if few else words, "word", "left_semi")
-        rows = rows.join(F.broadcast(looks) if few else looks, "id", "left").select("word", "id", "meta", "parity", F.coalesce("seek", F.lit(False)).alias("seek"))
+        rows = rows.join(F.broadcast(looks) if few else looks, "id", "left").select("word", "id", "meta", "parity", "parity2", F.coalesce("seek", F.lit(False)).alias("seek"))
     else:
         rows = rows.withColumn("seek", F.lit(True))
-    rows = rows.repartition("word").sortWithinPartitions("word", "id").select("word", "id", "meta", "parity", "seek")
+    rows = rows.repartition("word").sortWithinPartitions("word", "id").select("word", "id", "meta", "parity", "parity2", "seek")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows_held = 0
 
         def take(block: list[np.ndarray]) -> pa.RecordBatch:
-            word, ids, meta, parity, seek = block
-            later, earlier, more = _pairs_in_groups(word, ids, meta, parity, seek.astype(bool), num, den, every)
+            word, ids, meta, parity, parity2, seek = block
+            later, earlier, more = _pairs_in_groups(word, ids, meta, parity, parity2, seek.astype(bool), num, den, every)
             x = np.concatenate([*later, *more]) if later or more else np.zeros(0, np.int64)
             y = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
             none = np.zeros(len(x), bool)
@@ -247,7 +249,7 @@ def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y, mask=none)], ["x", "y"])
 
         def joined() -> list[np.ndarray]:
-            return [np.concatenate([h[i] for h in held]) for i in range(5)]
+            return [np.concatenate([h[i] for h in held]) for i in range(6)]
 
         for b in batches:
             if not b.num_rows:
@@ -272,10 +274,12 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: Fraction, key:
     """The pairs (x, y) whose sets have the wanted Jaccard similarity, on whole sets (of 64-bit word hashes) read from the text again."""
     num, den = t.numerator, t.denominator
     wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    places = sets.join(wanted, "id").select("id", "place.key", "place.th", "place.line")
+    places = materialize(sets.join(wanted, "id").select("id", "place.key", "place.th", "place.line"), "line-wanted")
     per_doc = places.groupBy("key", "th").agg(F.collect_list(F.struct("line", "id")).alias("want"))  # lines of one text
     held = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    rows = held.join(per_doc, per_doc["key"].eqNullSafe(held["k"]) & (per_doc["th"] == held["h"])).select("want", "text")
+    per_doc = materialize(per_doc, "line-places")
+    few = places.count() <= MOST_BROADCAST // 2
+    rows = held.join(F.broadcast(per_doc) if few else per_doc, per_doc["key"].eqNullSafe(held["k"]) & (per_doc["th"] == held["h"])).select("want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -302,7 +306,7 @@ def similar_lines(docs: DataFrame, similarity: Fraction = Fraction(4, 5), key: s
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     lines = materialize(occurrences(docs, rarity(docs, text), similarity, key, text), "lines")
-    sets = lines.groupBy("a", "b").agg(F.min(_place("key", "line", "th")).alias("place"), *[F.first(c).alias(c) for c in ("size", "parity", "prefix")])
+    sets = lines.groupBy("a", "b").agg(F.min(_place("key", "line", "th")).alias("place"), *[F.first(c).alias(c) for c in ("size", "parity", "parity2", "prefix")])
     # Ids in the order of first places: range partitions are numbered in order, rows within them too.
     sets = materialize(sets.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "line-sets")
     found = candidates(sets, similarity)
