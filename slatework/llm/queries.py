@@ -155,6 +155,15 @@ SELECT m.conv_id, m.turn, m.role, CAST(coalesce(p.n_quoted, 0) AS BIGINT) AS n_q
   length(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) AS body_chars,
   sha256(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) AS body_sha256
 FROM conversations m LEFT JOIN parents p ON m.conv_id = p.conv AND m.turn = p.turn LEFT JOIN tree t ON m.conv_id = t.conv AND m.turn = t.turn
+""",
+    "op3_warc": """
+WITH raw AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+hashed AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM raw),
+first AS (SELECT hex, payload_bytes, min(page_id) AS first_id FROM hashed GROUP BY ALL),
+coded AS (SELECT hex, array_to_string(list_transform(range(0, 32), lambda i:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (CAST('0x' || substr(hex, CAST(1 + (i // 4) * 5 AS BIGINT), 5) AS INTEGER) // CAST(pow(32, 3 - i % 4) AS INTEGER)) % 32]), '') AS digest FROM (SELECT DISTINCT hex FROM hashed))
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM hashed JOIN first USING (hex, payload_bytes) JOIN coded USING (hex)
 """,
     "op4_decontaminate": r"""
 WITH item_words AS (
