@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ LANGUAGES = {
 SCRIPT_LANGUAGES = ("javascript", "typescript", "jsx", "tsx")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Lower-cased terms of a text in order; null has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
@@ -52,6 +59,17 @@ def count_term(terms_: Column, term: Column | str) -> Column:
     return F.size(F.filter(terms_, lambda t: t == wanted))
 
 
+def term_counts(text: Column) -> Column:
+    """Distinct terms of a text with their counts, as an array of structs: sorted and cut into runs, within the row."""
+
+    def runs(held: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(held)), lambda i: (i == 0) | (i == F.size(held)) | (F.get(held, i) != F.get(held, i - 1)))
+        cut = lambda at: F.transform(at, lambda b, i: F.struct(F.get(held, b).alias("term"), (F.get(at, i + 1) - b).cast("long").alias("tf")))
+        return F.filter(let(begins, cut), lambda r: r["term"].isNotNull())
+
+    return let(F.array_sort(terms(text)), runs)
+
+
 def identifier_parts(text: Column) -> Column:
     """Parts of the distinct compound identifiers of a text, lower-cased, in order.
 
@@ -60,7 +78,7 @@ def identifier_parts(text: Column) -> Column:
     """
     names = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), F.lit(0)), lambda x: F.length(x) >= 3)
     keyed = F.array_sort(F.transform(names, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("name"))))
-    firsts = F.filter(keyed, lambda s, i: (i == 0) | (F.get(keyed, i - 1)["low"] != s["low"]))
+    firsts = let(keyed, lambda held: F.filter(held, lambda s, i: (i == 0) | (F.get(held, i - 1)["low"] != s["low"])))
     ordered = F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["name"].alias("name"))))
     split = F.transform(ordered, lambda s: F.array_remove(F.transform(F.split(s["name"], _PARTS), F.lower), ""))
     return F.flatten(F.filter(split, lambda p: F.size(p) > 1))
@@ -68,8 +86,7 @@ def identifier_parts(text: Column) -> Column:
 
 def with_identifier_parts(text: Column) -> Column:
     """The text, and its identifier parts on a line below if there are any."""
-    parts = identifier_parts(text)
-    return F.when(F.size(parts) > 0, F.concat(text, F.lit("\n"), F.array_join(parts, " "))).otherwise(text)
+    return let(identifier_parts(text), lambda parts: F.when(F.size(parts) > 0, F.concat(text, F.lit("\n"), F.array_join(parts, " "))).otherwise(text))
 
 
 def preview(content: Column, width: int = 150) -> Column:

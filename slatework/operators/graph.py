@@ -132,11 +132,10 @@ def neighbours(nodes_: DataFrame, edges_: DataFrame, name: str, relation: str =
 
 def reachability(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """All pairs (src, dst) with a path of one step or more: semi-naive, each round joins only the pairs found last."""
-    links = links.select("src", "dst").distinct()
-    known = fresh = materialize(links, "closure")
+    links = known = fresh = materialize(links.select("src", "dst").distinct(), "closure")
     rounds = 1
     while not fresh.isEmpty() and (most_rounds is None or rounds < most_rounds):
-        step = fresh.select("src", F.col("dst").alias("mid")).join(links.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        step = fresh.select("src", F.col("dst").alias("mid")).join(links.select(F.col("src").alias("mid"), F.col("dst")), "mid").select("src", "dst").distinct()
         fresh = materialize(step.join(known, ["src", "dst"], "left_anti"), "closure")
         known = known.unionByName(fresh)
         rounds += 1
@@ -153,6 +152,7 @@ def mutual(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable in either direction): linear in the edges where closure is quadratic."""
     both = links.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(links.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct()
+    both = materialize(both, "links")
     labels = materialize(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "components")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatework.functions.text import count_term, terms
+from slatework.functions.text import count_term, term_counts, terms
 
 #: Common BM25 defaults.
 K1, B = 1.2, 0.75
@@ -103,17 +103,15 @@ def top_k(scored: DataFrame, k: int, key: str, score: str = "score", digits: int
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index: term, key, tf, doc_len. Counts are combined before the shuffle."""
-    rows = docs.select(F.col(key), F.explode(terms(F.col(text))).alias("term"))
-    counted = rows.groupBy("term", key).agg(F.count("*").alias("tf"))
-    sizes = docs.select(F.col(key), F.size(terms(F.col(text))).alias("doc_len"))
-    return counted.join(sizes, key)
+    """The inverted index: term, key, tf, doc_len. Terms are counted in the row, so nothing is shuffled; writers partition by term."""
+    t = F.col("__t")
+    rows = docs.select(F.col(key), terms(F.col(text)).alias("__t"), F.explode(term_counts(F.col(text))).alias("c"))
+    return rows.select("c.term", F.col(key), "c.tf", F.size(t).alias("doc_len"))
 
 
-def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, df (documents), cf (occurrences), max_tf: one shuffle, without going through postings."""
-    in_doc = docs.select(F.explode(terms(F.col(text))).alias("term"), F.col(key).alias("key"))
-    counted = in_doc.groupBy("term", "key").agg(F.count("*").alias("tf"))
+def term_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df (documents), cf (occurrences), max_tf: one shuffle of sums that tasks have combined."""
+    counted = docs.select(F.explode(term_counts(F.col(text))).alias("c")).select("c.*")
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
