@@ -104,9 +104,9 @@ def top_k(scored: DataFrame, k: int, key: str, score: str = "score", digits: int
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The inverted index: term, key, tf, doc_len. Terms are counted in the row, so nothing is shuffled; writers partition by term."""
-    t = F.col("__t")
-    rows = docs.select(F.col(key), terms(F.col(text)).alias("__t"), F.explode(term_counts(F.col(text))).alias("c"))
-    return rows.select("c.term", F.col(key), "c.tf", F.size(t).alias("doc_len"))
+    # Counted in a projection of its own: beside a generator it would be evaluated again for every term.
+    rows = docs.select(F.col(key), F.size(terms(F.col(text))).alias("doc_len"), term_counts(F.col(text)).alias("cs"))
+    return rows.select(F.col(key), "doc_len", F.explode("cs").alias("c")).select("c.term", F.col(key), "c.tf", "doc_len")
 
 
 def term_statistics(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +53,14 @@ def batch_top_k(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: in
             for b in batches:
                 if not b.num_rows:
                     continue
+                b = b.take(pa.compute.array_sort_indices(b.column(0)))  # by key, so that stable sorts settle ties
                 rows = np.vstack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
                 length = np.linalg.norm(rows, axis=1)
                 sims = np.round(np.divide(rows @ matrix.T, length[:, None], out=np.full((len(rows), len(ids)), -np.inf), where=length[:, None] > 0), digits)
-                keep = min(k, len(rows))
-                # All rows at least as near as the k-th: ties at the edge are settled by key after the shuffle.
-                edge = np.partition(sims, len(rows) - keep, axis=0)[len(rows) - keep]
-                at_row, at_query = np.nonzero((sims >= edge) & np.isfinite(sims))
+                best = np.argsort(-sims, axis=0, kind="stable")[: min(k, len(rows))]
+                at_row, at_query = best.ravel(), np.tile(np.arange(len(ids)), len(best))
+                found = np.isfinite(sims[at_row, at_query])
+                at_row, at_query = at_row[found], at_query[found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at_query]), b.column(0).take(pa.array(at_row)), pa.array(sims[at_row, at_query])], ["query_id", key, "similarity"])
 
         held = corpus.where(F.col(column).isNotNull()).select(key, column)
