@@ -22,6 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +37,84 @@ MOST_BROADCAST = 400_000
 #: Prefix rows that a task holds at once beyond the group at hand.
 HELD = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Bytes of text hashed at once.
+CHUNK = 1 << 20
+#: An odd multiplier of the word hash, and its inverse modulo 2**64.
+_BASE = 0x9E6C63D0876A9A35
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Hashes of all words, the running number of the line each stands in, and the lines of each text."""
-    from xxhash import xxh64_intdigest
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2**64."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _TABLES:
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            both.append(np.multiply.accumulate(steps))
+        _TABLES.clear()
+        _TABLES[size] = both[0], both[1]
+    return _TABLES[size]
 
-    words: list[bytes] = []
-    sizes: list[int] = []
-    lines: list[int] = []
-    for t in texts:
-        split = [] if t is None else t.encode("utf-8", "replace").translate(_LOWER).split(b"\n")
-        lines.append(len(split))
-        for line in split:
-            some = line.split()
-            words += some
-            sizes.append(len(some))
-    hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    return hashes, np.repeat(np.arange(len(sizes)), sizes), lines
+
+_FOLD = np.frombuffer(bytes(range(256)).translate(_LOWER), np.uint8).astype(np.uint64) + np.uint64(1)
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, one text after the other, and where each begins (and the last ends)."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    held = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(offsets) else np.zeros(0, np.uint8)
+    return held, offsets - (offsets[0] if len(offsets) else 0)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every word of the texts: a polynomial over its lower-cased bytes modulo 2**64, mixed.
+
+    Works on the bytes of many texts at once: a word's polynomial is a difference of two prefix sums.
+    """
+    space = _IS_SPACE[data]
+    fresh = np.zeros(len(data) + 1, bool)
+    fresh[offsets[:-1]] = True  # a text's first byte begins a word even if the text before ends in one
+    fresh = fresh[: len(data)]
+    inside = ~space
+    before = np.concatenate(([True], space[:-1])) if len(data) else space
+    starts = np.flatnonzero(inside & (before | fresh))
+    after = np.concatenate((space[1:] | fresh[1:], [True])) if len(data) else space
+    ends = np.flatnonzero(inside & after) + 1
+    hashes = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
+        s, e = starts[at], ends[upto - 1]
+        power, inverse = _powers(int(e - s) + 1)
+        sums = np.zeros(int(e - s) + 1, np.uint64)
+        np.cumsum(_FOLD[data[s:e]] * power[: e - s], out=sums[1:])
+        x, y = starts[at:upto] - s, ends[at:upto] - s
+        h = (sums[y] - sums[x]) * inverse[x]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        hashes[at:upto] = h ^ (h >> np.uint64(32))
+        at = upto
+    return hashes, starts
+
+
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the running number of the line each stands in, and the lines of each text (none of a null)."""
+    data, offsets = _bytes_of(column)
+    hashes, starts = _word_hashes(data, offsets)
+    breaks = np.flatnonzero(data == 10)
+    valid = np.asarray(column.is_valid())
+    lines = np.where(valid, np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1, 0)
+    text = np.searchsorted(offsets, starts, "right") - 1
+    first = np.concatenate(([0], np.cumsum(lines)))[:-1]
+    in_text = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[text]
+    return hashes, first[text] + in_text, lines
 
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -64,15 +125,9 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     bound_arrow_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         total = np.zeros(1 << RARITY, np.int32)
         for b in batches:
-            words: list[bytes] = []
-            for t in b.column(0):
-                if t.is_valid:
-                    words += t.as_py().encode("utf-8", "replace").translate(_LOWER).split()
-            hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+            hashes, _ = _word_hashes(*_bytes_of(b.column(0)))
             found, n = np.unique((hashes >> np.uint64(64 - RARITY)).astype(np.int32), return_counts=True)
             total[found] += n.astype(np.int32)
         at = np.flatnonzero(total).astype(np.int32)
@@ -131,7 +186,7 @@ def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text:
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            hashes, line, lines = _hashed(b.column(2).to_pylist())
+            hashes, line, lines = _hashed(b.column(2))
             if not len(hashes):
                 continue
             level = spread.value
@@ -149,9 +204,9 @@ def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text:
             head = within < np.repeat(length, sizes)
             # A word counted once has no partner; equal halves of other words only add candidates.
             shared = head & (level[(h >> np.uint64(64 - RARITY)).astype(np.int64)] > 0)
-            prefix, place = h[shared].astype(np.uint32).view(np.int32), within[shared].astype(np.int32)
-            kept = np.add.reduceat(shared.astype(np.int32), starts)
-            offsets = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
+            prefix = np.stack([h[shared].astype("<u4"), within[shared].astype("<u4")], 1).tobytes()
+            cuts = np.concatenate(([0], np.cumsum(np.add.reduceat(shared.astype(np.int64), starts)))) * 8
+            prefixes = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(prefix)])
             number = at[starts]  # of the line in the batch
             doc_of = np.repeat(np.arange(len(lines)), lines)
             first_of = np.concatenate(([0], np.cumsum(lines)))[:-1]
@@ -160,12 +215,12 @@ def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text:
                 [
                     b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((number - first_of[doc]).astype(np.int32)),
                     pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(sizes.astype(np.int32)), pa.array(parity), pa.array(parity2),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(prefix), pa.array(place)], ["word", "pos"])),
+                    prefixes,
                 ],
                 ["key", "th", "line", "a", "b", "size", "parity", "parity2", "prefix"],
             )
 
-    return rows.mapInArrow(run, f"key {kind}, th long, line int, a long, b long, size int, parity long, parity2 long, prefix array<struct<word:int,pos:int>>")
+    return rows.mapInArrow(run, f"key {kind}, th long, line int, a long, b long, size int, parity long, parity2 long, prefix binary")
 
 
 def _place(key: Column | str, line: Column | str, th: Column | str) -> Column:
@@ -216,22 +271,36 @@ def _pairs_in_groups(word, ids, meta, parity, parity2, seek, num: int, den: int,
     return later, earlier, more
 
 
+def _words_of(sets: DataFrame) -> DataFrame:
+    """word, id, meta (size and position), parity, parity2: a row per shared prefix word of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.asarray(pa.compute.binary_length(b.column(4))) // 8
+            pairs = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u4").reshape(-1, 2)
+            ids, size, parity, parity2 = (np.repeat(b.column(i).to_numpy(), n) for i in range(4))
+            meta = size.astype(np.int64) * (1 << 20) + pairs[:, 1]
+            columns = [pairs[:, 0].copy().view(np.int32), ids, meta, parity, parity2]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "id", "meta", "parity", "parity2"])
+
+    return sets.select("id", "size", "parity", "parity2", "prefix").mapInArrow(run, "word int, id long, meta long, parity long, parity2 long")
+
+
 def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -> DataFrame:
     """x, y: ids of a set and an earlier one that pass the filters; y null: x has more than were given.
 
     With ``seekers`` (column id), only those look, and get all.
     """
     num, den, every = t.numerator, t.denominator, seekers is not None
-    rows = sets.select("id", "size", "parity", "parity2", F.explode("prefix").alias("p"))
-    rows = rows.select("p.word", "id", (F.col("size").cast("long") * (1 << 20) + F.col("p.pos")).alias("meta"), "parity", "parity2")
+    words = _words_of(sets)
     if every:
-        asked = materialize(sets.join(seekers, "id", "left_semi").select("id", F.explode("prefix.word").alias("word")), "line-asked")
+        asked = materialize(words.join(seekers, "id", "left_semi").select("id", "word"), "line-asked")
         few = asked.count() <= MOST_BROADCAST
-        words, looks = asked.select("word").distinct(), asked.select("id", F.lit(True).alias("seek")).distinct()
-        rows = rows.join(F.broadcast(words) if few else words, "word", "left_semi")
+        wanted, looks = asked.select("word").distinct(), asked.select("id", F.lit(True).alias("seek")).distinct()
+        rows = words.join(F.broadcast(wanted) if few else wanted, "word", "left_semi")
         rows = rows.join(F.broadcast(looks) if few else looks, "id", "left").select("word", "id", "meta", "parity", "parity2", F.coalesce("seek", F.lit(False)).alias("seek"))
     else:
-        rows = rows.withColumn("seek", F.lit(True))
+        rows = words.withColumn("seek", F.lit(True))
     rows = rows.repartition("word").sortWithinPartitions("word", "id").select("word", "id", "meta", "parity", "parity2", "seek")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
