@@ -29,7 +29,7 @@ PIECE = 1 << 16
 
 OUT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "n_tokens long, chars_per_token double, byte_share double, entropy double, upper_share double, kept boolean"
+    "n_tokens long, chars_per_token double, byte_share double, entropy double, kept boolean"
 )
 
 
@@ -121,14 +121,17 @@ def measure(text: str | None, sp, is_byte: np.ndarray) -> dict:
     return {
         "n_words": n, "word_chars": chars, "n_symbols": len(_NOT_SYMBOL.sub("", text)), "n_dup_lines": dup, "n_repeat_words": repeated,
         "n_tokens": total, "chars_per_token": chars / total if total else 0.0, "byte_share": float(counts[is_byte].sum()) / total if total else 0.0,
-        "entropy": float(-(share * np.log2(share)).sum()) if total else 0.0, "upper_share": sum(map(str.isupper, words)) / n if n else 0.0,
+        "entropy": float(-(share * np.log2(share)).sum()) if total else 0.0,
     }
 
 
 def script_of(text: str | None) -> str:
     """latin where most letters of the text are below U+0250, else other."""
-    letters = [c for c in (text or "")[:: max(1, len(text or "") // 4096)] if c.isalpha()]
-    return "latin" if 2 * sum(c < "ɐ" for c in letters) >= len(letters) else "other"
+    latin = other = 0
+    for c in text or "":
+        if c.isalpha():
+            latin, other = (latin + 1, other) if c < "ɐ" else (latin, other + 1)
+    return "latin" if latin >= other else "other"
 
 
 def verdict(m: dict, band: Band, rules: Rules) -> tuple[bool, bool]:
@@ -172,7 +175,7 @@ def score(
                 m["base_failed"], m["kept"] = verdict(m, band, rules)
                 for k in names:
                     out[k].append(m[k])
-            new = [pa.array(out[k], pa.bool_() if k in ("base_failed", "kept") else pa.float64() if k in ("chars_per_token", "byte_share", "entropy", "upper_share") else pa.int64()) for k in names]
+            new = [pa.array(out[k], pa.bool_() if k in ("base_failed", "kept") else pa.float64() if k in ("chars_per_token", "byte_share", "entropy") else pa.int64()) for k in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["row", *names])
 
     return held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, {OUT}")

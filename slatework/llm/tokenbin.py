@@ -34,6 +34,8 @@ from slatework.scratch import materialize, scratch_path
 
 #: Words kept with their ids in a worker; about 120 MB when full.
 CACHE = 500_000
+#: Most tasks that read parts back.
+MOST_TASKS = 20_000
 _TOKENIZERS: dict[str, "Encoder"] = {}
 
 
@@ -217,8 +219,9 @@ def digest(tokens: TokenSet) -> DataFrame:
     The checksum is over the ids as little-endian uint32, whatever the width of the files.
     """
     path = tokens.path
-    # One row per part: a task reads whole files, in parallel over the parts.
-    rows = tokens.manifest.select("stem", "width", "base").repartition(F.col("stem"))
+    # A row per part; the number of tasks is given, else so few bytes would be joined to one task.
+    rows = tokens.manifest.select("stem", "width", "base")
+    rows = rows.repartition(min(max(1, tokens.manifest.count()), MOST_TASKS), "stem")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,6 +29,8 @@ from slatework.scratch import materialize, scratch_path
 FILE_BYTES = 1 << 30
 #: Ranges with at most this gap are read together, up to this many bytes at once.
 GAP, MOST = 64 << 10, 8 << 20
+#: Compressed bytes that a task reads.
+TASK_BYTES = 64 << 20
 #: Fixed values of the WARC 1.1 format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, type string, page string"
@@ -168,7 +170,10 @@ def read(archive: Archive, selected: DataFrame | None = None) -> DataFrame:
     """
     path = archive.path
     rows = (archive.index if selected is None else selected).select("file", "offset", "length")
-    rows = rows.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # The number of tasks follows the bytes to read, which the few bytes of the index do not show.
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(-(-total // TASK_BYTES), rows.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(path)
