@@ -46,7 +46,7 @@ _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse, modulo 2**64."""
-    size = 1 << max(16, (n - 1).bit_length())
+    size = max([1 << max(20, (n - 1).bit_length()), *_TABLES])
     if size not in _TABLES:
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
@@ -59,7 +59,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FOLD = np.frombuffer(bytes(range(256)).translate(_LOWER), np.uint8).astype(np.uint64) + np.uint64(1)
-_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,15 +75,14 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
     Works on the bytes of many texts at once: a word's polynomial is a difference of two prefix sums.
     """
-    space = _IS_SPACE[data]
-    fresh = np.zeros(len(data) + 1, bool)
-    fresh[offsets[:-1]] = True  # a text's first byte begins a word even if the text before ends in one
-    fresh = fresh[: len(data)]
-    inside = ~space
-    before = np.concatenate(([True], space[:-1])) if len(data) else space
-    starts = np.flatnonzero(inside & (before | fresh))
-    after = np.concatenate((space[1:] | fresh[1:], [True])) if len(data) else space
-    ends = np.flatnonzero(inside & after) + 1
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    first = offsets[:-1][offsets[:-1] < len(data)]  # a text's first byte begins a word even if the text before ends in one
+    before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    before[1:], after[: len(data)] = inside, inside
+    before[first] = False
+    after[first] = False
+    starts = np.flatnonzero(inside & ~before[:-1])
+    ends = np.flatnonzero(inside & ~after[1:]) + 1
     hashes = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -300,16 +298,16 @@ def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -
         rows = words.join(F.broadcast(wanted) if few else wanted, "word", "left_semi")
         rows = rows.join(F.broadcast(looks) if few else looks, "id", "left").select("word", "id", "meta", "parity", "parity2", F.coalesce("seek", F.lit(False)).alias("seek"))
     else:
-        rows = words.withColumn("seek", F.lit(True))
-    rows = rows.repartition("word").sortWithinPartitions("word", "id").select("word", "id", "meta", "parity", "parity2", "seek")
+        rows = words
+    rows = rows.repartition("word").sortWithinPartitions("word", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows_held = 0
 
         def take(block: list[np.ndarray]) -> pa.RecordBatch:
-            word, ids, meta, parity, parity2, seek = block
-            later, earlier, more = _pairs_in_groups(word, ids, meta, parity, parity2, seek.astype(bool), num, den, every)
+            seek = block[5].astype(bool) if every else np.ones(len(block[0]), bool)
+            later, earlier, more = _pairs_in_groups(*block[:5], seek, num, den, every)
             x = np.concatenate([*later, *more]) if later or more else np.zeros(0, np.int64)
             y = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
             none = np.zeros(len(x), bool)
@@ -318,7 +316,7 @@ def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y, mask=none)], ["x", "y"])
 
         def joined() -> list[np.ndarray]:
-            return [np.concatenate([h[i] for h in held]) for i in range(6)]
+            return [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
 
         for b in batches:
             if not b.num_rows:
