@@ -269,8 +269,8 @@ def _pairs_in_groups(word, ids, meta, parity, parity2, seek, num: int, den: int,
     return later, earlier, more
 
 
-def _words_of(sets: DataFrame) -> DataFrame:
-    """word, id, meta (size and position), parity, parity2: a row per shared prefix word of every set."""
+def _words_of(sets: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """word, id, meta (size and position), parity, parity2: a row per shared prefix word of every set, or per word in ``only`` (sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,6 +279,10 @@ def _words_of(sets: DataFrame) -> DataFrame:
             ids, size, parity, parity2 = (np.repeat(b.column(i).to_numpy(), n) for i in range(4))
             meta = size.astype(np.int64) * (1 << 20) + pairs[:, 1]
             columns = [pairs[:, 0].copy().view(np.int32), ids, meta, parity, parity2]
+            if only is not None:
+                at = np.minimum(np.searchsorted(only, columns[0]), max(len(only) - 1, 0))
+                hit = only[at] == columns[0] if len(only) else np.zeros(len(columns[0]), bool)
+                columns = [c[hit] for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "id", "meta", "parity", "parity2"])
 
     return sets.select("id", "size", "parity", "parity2", "prefix").mapInArrow(run, "word int, id long, meta long, parity long, parity2 long")
@@ -290,15 +294,17 @@ def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -
     With ``seekers`` (column id), only those look, and get all.
     """
     num, den, every = t.numerator, t.denominator, seekers is not None
-    words = _words_of(sets)
     if every:
-        asked = materialize(words.join(seekers, "id", "left_semi").select("id", "word"), "line-asked")
+        asked = materialize(_words_of(sets.join(seekers, "id", "left_semi")).select("id", "word"), "line-asked")
         few = asked.count() <= MOST_BROADCAST
         wanted, looks = asked.select("word").distinct(), asked.select("id", F.lit(True).alias("seek")).distinct()
-        rows = words.join(F.broadcast(wanted) if few else wanted, "word", "left_semi")
+        if few:  # at most MOST_BROADCAST numbers
+            rows = _words_of(sets, np.sort(wanted.toPandas()["word"].to_numpy(np.int32)))
+        else:
+            rows = _words_of(sets).join(wanted, "word", "left_semi")
         rows = rows.join(F.broadcast(looks) if few else looks, "id", "left").select("word", "id", "meta", "parity", "parity2", F.coalesce("seek", F.lit(False)).alias("seek"))
     else:
-        rows = words
+        rows = _words_of(sets)
     rows = rows.repartition("word").sortWithinPartitions("word", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
