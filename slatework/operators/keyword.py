@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatework.functions.text import count_term, term_counts, terms
+from slatework.functions.text import count_term, let, term_counts, terms
+from slatework.scratch import materialize
 
 #: Common BM25 defaults.
 K1, B = 1.2, 0.75
@@ -41,16 +42,14 @@ def bm25(docs: DataFrame, wanted: list[str], text: str = "text", scope: DataFram
     sums = [F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_len")]
     sums += [F.count_if(F.array_contains("t", w)).alias(f"df{i}") for i, w in enumerate(wanted)]
     stats = found.agg(*sums)  # one row
-    counted = docs.withColumn("__t", terms(F.col(text))).where(F.arrays_overlap("__t", F.array(*[F.lit(w) for w in wanted])))
-    counted = counted.withColumn("__len", F.size("__t"))
-    for i, w in enumerate(wanted):
-        counted = counted.withColumn(f"__tf{i}", count_term(F.col("__t"), w))
-    joined = counted.crossJoin(F.broadcast(stats))
+    # One pass over a text's terms leaves its length and the few terms that were asked for.
+    kept = let(terms(F.col(text)), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(wanted)).alias("hits")))
+    joined = docs.withColumn("__kept", kept).where(F.size("__kept.hits") > 0).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        df, tf = F.col(f"df{i}"), F.col(f"__tf{i}")
+        df, tf = F.col(f"df{i}"), count_term(F.col("__kept.hits"), wanted[i])
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("mean_len")))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__kept.len") / F.col("mean_len")))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], score.alias("score"))
 
 
@@ -126,7 +125,7 @@ def batch_bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id",
     index = postings(docs, key)
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("mean_len"))
     asked = queries.select("term").distinct()
-    used = index.join(asked, "term", "left_semi")
+    used = materialize(index.join(asked, "term", "left_semi"), "asked-postings")  # read twice below
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     rows = used.join(df, "term").join(queries, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
