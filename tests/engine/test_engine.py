@@ -213,3 +213,45 @@ def test_index_metadata(spark, tmp_path):
     for name, values in (("b", {}), ("a", {"total_files_indexed": 3})):
         (tmp_path / f"{name}_metadata.json").write_text(json.dumps({"index_name": name, **values}))
     assert [(r.index_name, r.files_label) for r in files.index_metadata(spark, str(tmp_path)).collect()] == [("a", "3"), ("b", "N/A")]
+
+
+def test_dimension_and_migration(spark):
+    from slatework import schema
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, embedding array<float>")
+    assert schema.assert_dimension(df, 2).count() == 2
+    with pytest.raises(Exception, match="expected 3 components"):
+        schema.assert_dimension(df, 3).collect()
+    wide = schema.with_columns(df, "id int, note string, embedding array<double>")
+    assert wide.dtypes == [("id", "int"), ("note", "string"), ("embedding", "array<double>")]
+
+
+def test_load_report(spark):
+    from slatework.operators import analytics
+
+    rows = [(f"q{i}", float(i), 1.0, float(i), 2, i != 3) for i in range(1, 11)]
+    r = analytics.load_report(spark.createDataFrame(rows, "query string, total_ms double, embed_ms double, search_ms double, result_count int, success boolean"), 2.0)
+    one = r.first()
+    good = sorted(x[1] for x in rows if x[5])
+    assert (one.successful, one.failed, one.throughput_qps, one.error_rate) == (9, 1, 4.5, 0.1)
+    assert one.total_p50_ms == good[min(int(9 * 50 / 100), 8)] and one.total_p99_ms == good[8]
+    assert tuple(analytics.within_targets(r).first()) == (True, True, False)
+
+
+def test_inverted_file_prunes(spark, sf, tmp_path):
+    from slatework.operators import vector_search
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    index = vector_search.InvertedFile.build(rows, str(tmp_path / "ivf"), cells=4)
+    q = list(rows.first()["embedding"])
+    assert index.corpus.count() == rows.count()
+    exact = [r.vec_id for r in vector_search.top_k(rows, q, 5, threshold=None).collect()]
+    assert [r.vec_id for r in index.top_k(q, 5, probes=4).collect()] == exact
+    assert "PartitionFilters: [cell" in index.top_k(q, 5, probes=1)._jdf.queryExecution().executedPlan().toString().replace("isnotnull(cell#", "cell#")
+
+
+def test_sweep_and_scratch(spark):
+    from slatework import scratch
+
+    kept = scratch.materialize(spark.range(3), "probe")
+    assert kept.count() == 3 and scratch.shared_dir(spark) in kept.inputFiles()[0].replace("file:///", "file:///")
