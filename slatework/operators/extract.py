@@ -199,7 +199,21 @@ def script_snippets(source: str) -> list[Snippet]:
     return out
 
 
-_RUBY_OPEN = re.compile(r"^\s*(?:class|module|def|if|unless|case|while|until|for|begin)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|=\s*(?:if|unless|case|begin)\b")
+_RUBY_LEAD = re.compile(r"\s*(?:(?:private|public|protected|module_function|private_class_method)\s+)?(class|module|def|if|unless|case|while|until|for|begin)\b(?!\s*:)")
+_RUBY_ENDLESS = re.compile(r"\s*(?:\w+\s+)?def\s+[\w.?!]+(?:\s*\([^)]*\))?\s*=\s")
+_RUBY_VALUE = re.compile(r"(?:=|\breturn|\()\s*(?:if|unless|case|begin|while|until)\b")
+_RUBY_DO = re.compile(r"\bdo\b(?=\s*(?:\|[^|]*\|)|\s*$|\s*;)")
+_RUBY_CLOSE = re.compile(r"(?<![.:@$\w])end\b(?![?!:\w])")
+
+
+def _ruby_depth(code: str) -> tuple[int, int]:
+    """Blocks that a line opens and closes."""
+    lead = _RUBY_LEAD.match(code)
+    opens = 0 if _RUBY_ENDLESS.match(code) else int(bool(lead))
+    opens += len(_RUBY_VALUE.findall(code))
+    if not (lead and lead[1] in ("while", "until", "for")):  # their do is theirs
+        opens += len(_RUBY_DO.findall(code))
+    return opens, len(_RUBY_CLOSE.findall(code))
 
 
 def _ruby_code(line: str) -> str:
@@ -210,9 +224,8 @@ def _ruby_end(lines: list[str], at: int, stop: int) -> int:
     """Line (0-based) of the ``end`` that closes the block opened at ``at``."""
     depth = 0
     for i in range(at, stop):
-        code = _ruby_code(lines[i])
-        opens = bool(_RUBY_OPEN.search(code)) and not re.search(r";\s*end\s*$", code) and not re.match(r"\s*def\s+[\w.?!]+(?:\([^)]*\))?\s*=\s", code)
-        depth += opens - bool(re.match(r"\s*end\b", code))
+        opens, closes = _ruby_depth(_ruby_code(lines[i]))
+        depth += opens - closes
         if depth <= 0:
             return i
     return stop - 1
@@ -226,7 +239,7 @@ def ruby_snippets(source: str) -> list[Snippet]:
         signatures, i = [], first
         while i < last:
             code = _ruby_code(lines[i])
-            m = re.match(r"\s*def\s+(?:self\.)?([\w?!=]+)", code)
+            m = re.match(r"\s*(?:(?:private|public|protected|module_function|private_class_method)\s+)?def\s+(?:self\.)?([\w?!=]+)", code)
             k = re.match(r"\s*class\s+([A-Z]\w*)", code)
             end = _ruby_end(lines, i, last)
             if m:
@@ -234,7 +247,7 @@ def ruby_snippets(source: str) -> list[Snippet]:
                 signatures.append("  " + lines[i].strip())
             elif k and nested:
                 group(i, end, k[1], False)
-            i = max(end, i) + 1 if m or k or re.match(r"\s*module\b", code) else i + 1
+            i = max(end, i) + 1 if _ruby_depth(code)[0] else i + 1
         return signatures
 
     def group(first: int, last: int, name: str, nested: bool) -> None:
@@ -256,7 +269,7 @@ def ruby_snippets(source: str) -> list[Snippet]:
             out.append(Snippet("import", m[1], lines[i], i + 1, i + 1))
         elif m := re.match(r"([A-Z]\w*)\s*=[^=~]", code):
             out.append(Snippet("module_constant", m[1], lines[i], i + 1, i + 1))
-        elif _RUBY_OPEN.search(code):
+        elif _ruby_depth(code)[0]:
             end = _ruby_end(lines, i, len(lines))
         i = end + 1
     return out

@@ -55,6 +55,63 @@ def test_script_and_ruby_rules():
     assert rb[("class", "Tools")].end_line == 14 and rb[("function", "cut")].end_line == 7
 
 
+TSX = """import React, {useState} from "react";
+// comment with { brace
+interface Props<T> { a: string; b(): void }
+export default class Panel extends React.Component<Props> {
+  state = { open: false };
+  private async load(id: string): Promise<void> {
+    if (id) { for (const x of []) { call(x) } }
+  }
+  get value() { return 1 }
+}
+export const a = 1, b = (x: number): number => x + 1;
+const c = function() { return 3 };
+export function* gen() { yield 1 }
+const Comp = async ({ id }) => {
+  return <p>it's {id}</p>
+}
+module.exports = { a };
+foo(function inner() { return 1 })
+"""
+
+RUBY = """class Foo < Bar
+  include Baz
+  def initialize(a) = @a = a
+  def run(x)
+    return 1 unless x
+    while x do
+      y = if x then 1 else 2 end
+    end
+    z = case x
+        when 1 then 2
+        end
+    [1].map { |q| q }
+  end
+  class Inner
+    def in; 1; end
+  end
+  private def self.make; new(1); end
+end
+def top(a)
+  a.each do |x| puts x end
+end
+if VERSION
+  def hidden; end
+end
+"""
+
+
+def test_larger_sources():
+    got = [(s.snippet_type, s.name, s.start_line, s.end_line) for s in extract.script_snippets(TSX)]
+    assert got == [
+        ("import", "", 1, 1), ("function", "load", 6, 8), ("function", "value", 9, 9), ("class", "Panel", 4, 10), ("module_constant", "a", 11, 11), ("function", "b", 11, 11),
+        ("module_constant", "c", 12, 12), ("function", "gen", 13, 13), ("function", "Comp", 14, 16),
+    ]
+    got = [(s.snippet_type, s.name, s.start_line, s.end_line) for s in extract.ruby_snippets(RUBY)]
+    assert got == [("function", "initialize", 3, 3), ("function", "run", 4, 13), ("function", "make", 17, 17), ("class", "Foo", 1, 18), ("function", "top", 19, 21)]
+
+
 def test_extract_falls_back(spark):
     df = spark.createDataFrame([("a.py", "def ("), ("b.go", "package b"), ("c.py", None), ("d.py", " ")], "relative_path string, content string")
     got = {r.file_path: (r.snippet_type, r.name, r.error is not None) for r in extract.extract(df).collect()}
