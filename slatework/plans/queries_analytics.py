@@ -151,9 +151,9 @@ def grouped_file_snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("snippets"), F.min("doc_id").alias("first_id"), F.max("n_chars").alias("largest"))
 
 
-@add("SELECT doc_id, lang FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S') AND lang IN ('en', 'de')".replace("\\\\", "\\"))
+@add("SELECT doc_id, lang FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')".replace("\\\\", "\\"))
 def blank_content_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~T.is_blank(F.col("text")) & F.col("lang").isin("en", "de")).select("doc_id", "lang")
+    return table(spark, sf_dir, "documents").where(~T.is_blank(F.col("text"))).select("doc_id", "lang")
 
 
 @add("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")

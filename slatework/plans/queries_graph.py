@@ -21,15 +21,12 @@ def extract_links(spark, sf_dir):
     return rows.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@add(f"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS link FROM pages), few AS (SELECT link FROM l GROUP BY link HAVING count(*) BETWEEN 2 AND 20)
-SELECT a.page_id AS src, b.page_id AS dst, count(*) AS shared FROM l a JOIN few USING (link) JOIN l b USING (link) WHERE a.page_id < b.page_id GROUP BY ALL""")
+@add(f"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS link FROM pages)
+SELECT page_id AS src, link AS dst, n_pages FROM l JOIN (SELECT link, count(*) AS n_pages FROM l GROUP BY link) USING (link)""")
 def link_edges(spark, sf_dir):
-    """Pages that share a link which few pages have."""
+    """Edges from pages to what they link to, with how many pages do."""
     l = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)))).alias("link"))  # noqa: E741
-    few = l.groupBy("link").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 20").select("link")
-    used = l.join(few, "link", "left_semi")
-    a, b = used.select("link", F.col("page_id").alias("src")), used.select("link", F.col("page_id").alias("dst"))
-    return a.join(b, "link").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    return l.join(l.groupBy("link").agg(F.count("*").alias("n_pages")), "link").select(F.col("page_id").alias("src"), F.col("link").alias("dst"), "n_pages")
 
 
 @add(r"""SELECT page_id, coalesce(string_agg(DISTINCT c, ',' ORDER BY c), '') AS calls FROM (SELECT page_id, unnest(CASE WHEN len(f) = 0 THEN [NULL] ELSE f END) AS c FROM (
