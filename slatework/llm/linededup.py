@@ -37,6 +37,8 @@ MOST_BROADCAST = 400_000
 #: Prefix rows that a task holds at once beyond the group at hand.
 HELD = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Lines sorted at once: what a sort key has room for.
+LINES = 1 << 20
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 #: An odd multiplier of the word hash, and its inverse modulo 2**64.
@@ -153,7 +155,16 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def _sets(hashes: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashes, their lines), by line, then rarity level, then hash."""
+    """(distinct hashes, their lines), by line, then rarity level, then hash. Lines come in ascending order, LINES of them are sorted at once."""
+    if not len(line) or line[-1] < LINES:
+        return _sorted_sets(hashes, line, level)
+    cuts = np.searchsorted(line, np.arange(0, int(line[-1]) + LINES + 1, LINES))
+    parts = [(_sorted_sets(hashes[x:y], line[x:y] - i * LINES, level), i * LINES) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+    return np.concatenate([h for (h, _), _ in parts]), np.concatenate([at + base for (_, at), base in parts])
+
+
+def _sorted_sets(hashes: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_sets``, for line numbers below LINES."""
     bits = (level[(hashes >> np.uint64(64 - RARITY)).astype(np.int64)]).astype(np.uint64)
     # Level and the hash's upper bits in one number sort fast; full ties of other hashes are put right below.
     key = (line.astype(np.uint64) << np.uint64(44)) | (bits << np.uint64(37)) | (hashes >> np.uint64(27))

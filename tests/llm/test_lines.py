@@ -3,11 +3,18 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from slatework.llm import linededup
 from slatework.llm.queries import op8_linededup
 from tests.llm import brute
 
 
+#: Lines beyond which the sort key of a batch once had no room.
+FAR = 1 << 20
+
+
 def removed(rows):
     """rows: (key, text). Line numbers each text loses."""
     seen, out = [], {}
@@ -41,3 +48,20 @@ def test_many_variants_and_nulls(spark, monkeypatch):
     texts = {r.row.doc_id: r.text for r in linededup.remove_lines(df).collect()}
     assert len(texts) == len(rows) and texts[200] is None and texts[202] == " \n\n" and texts[203] == "A b\na B c\n\na b c d e"
     assert linededup.removals(df.limit(0)).count() == 0
+
+
+def test_more_lines_than_a_sort_key_holds(spark):
+    def lines(apart):
+        words = [" ".join(f"{c}{i}" for i in range(10)) for c in "xy"]
+        return words[0] + "\n" * apart + words[1]
+
+    for texts in ([lines(FAR)], ["", lines(1000), None, lines(2 * FAR), lines(3)]):
+        hashes, line, _ = linededup._hashed(pa.array(texts))
+        h, at = linededup._sets(hashes, line, np.zeros(1 << linededup.RARITY, np.uint8))
+        found, n = np.unique(at, return_counts=True)
+        assert (np.diff(at) >= 0).all() and sorted(found) == sorted(set(line.tolist())) and set(n.tolist()) == {10}
+        assert all(set(h[at == x]) == set(hashes[line == x]) for x in found)
+    # y0 is clean: it shares its number modulo FAR with the first line, whose fragments must not count.
+    rows = [(1, lines(FAR) + "\nx0"), (2, "y9 z\n" + lines(5))]
+    got = {r.key: r.removed for r in linededup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [1, 6]}
