@@ -1,11 +1,13 @@
 """The registered queries against brute force over whole small tables."""
 
 import math
+import random
 from collections import defaultdict
 
 import pytest
 from tokenizers import Tokenizer
 
+from slatework.llm import fertility
 from slatework.llm import queries as Q
 from tests.llm import brute
 
@@ -72,3 +74,25 @@ def test_tokens(spark, sf, docs):
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
         assert got[r.doc_id] == (at, len(ids), brute.crc(ids))
         at += len(ids)
+
+
+def test_token_measures_reject_junk(spark, docs):
+    other_marks = str.maketrans("#*$%&|<>", "@~^=+/{}")
+    model = fertility._model(Q.PIECE_VOCABULARY)
+
+    def kept(text, lang):
+        return fertility.verdict(fertility.measure(text, *model), fertility.DEFAULT.bands[lang], fertility.DEFAULT)
+
+    prose, junk = [], []
+    for r in docs:
+        if not kept(r.text, r.lang)[0]:
+            (junk if brute.base_quality(r.text)[2] > 0.2 * len(brute.space_words(r.text)) else prose).append(r)
+    assert len(junk) > 5 and all(kept(r.text, r.lang)[1] for r in prose)
+    assert not any(kept(r.text.translate(other_marks), r.lang)[1] for r in junk)
+    rng = random.Random(1)
+    few = [(" ".join(rng.choices(r.text.split()[:20], k=300)), r.lang) for r in prose]
+    assert not any(kept(*x)[1] for x in few) and not all(kept(*x)[0] for x in few)
+    numbers = "\n".join(" ".join(f"{rng.randrange(9999)}.{rng.randrange(99)}" for _ in range(6)) for _ in range(40))
+    assert not any(kept(numbers, lang)[1] for lang in fertility.DEFAULT.bands)
+    loud = [kept(r.text.upper(), r.lang)[1] for r in prose if r.lang in ("de", "es")]
+    assert len(loud) > 5 and sum(loud) <= 0.05 * len(loud)
