@@ -13,7 +13,7 @@ row per hash, and thread roots are found by pointer doubling over tables in the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.scratch import materialize
@@ -61,22 +61,27 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     """conv, turn, line, level, to_conv, to_turn of every quoted line with words; to_* is null where nobody wrote it.
 
     The author is the earliest own line with the same normalised content: of the same conversation and an
-    earlier turn if there is one, else of another conversation.
+    earlier turn if there is one, else of the smallest other conversation, at its first turn. Null turns are no authors.
     """
     lines = parse(messages, conv, turn, text).where(F.col("content") != "")
     own = lines.where("level = 0").select("conv", "turn", "content", F.xxhash64("content").alias("hash"))
     near = own.groupBy("conv", "hash", "content").agg(F.min("turn").alias("to_turn"))
-    far = own.groupBy("hash", "content").agg(F.min(F.struct("conv", "turn")).alias("to"))
+    # The first place of each of the two smallest conversations: one of them is not the quoting one. Rows without a conversation come last.
+    rank = F.row_number().over(Window.partitionBy("hash", "content").orderBy(F.col("conv").isNull(), "conv"))
+    two = near.where("to_turn IS NOT NULL").withColumn("rank", rank).where("rank <= 2")
+    place = F.struct("conv", F.col("to_turn").alias("turn"))
+    far = two.groupBy("hash", "content").agg(F.min(F.when(F.col("rank") == 1, place)).alias("to"), F.min(F.when(F.col("rank") == 2, place)).alias("next"))
     quoted = lines.where("level > 0").select("conv", "turn", "line", "level", "content", F.xxhash64("content").alias("hash"))
     q, n, f = quoted.alias("q"), near.alias("n"), far.alias("f")
     same = (F.col("q.conv") == F.col("n.conv")) & (F.col("q.hash") == F.col("n.hash")) & (F.col("q.content") == F.col("n.content")) & (F.col("n.to_turn") < F.col("q.turn"))
     found = q.join(n, same, "left").select("q.*", F.col("n.to_turn").alias("near_turn")).alias("q")
-    other = (F.col("q.hash") == F.col("f.hash")) & (F.col("q.content") == F.col("f.content")) & ~F.col("f.to.conv").eqNullSafe(F.col("q.conv"))
+    other = (F.col("q.hash") == F.col("f.hash")) & (F.col("q.content") == F.col("f.content"))
     found = found.join(f, other & F.col("q.near_turn").isNull(), "left")
+    to = F.when(F.col("f.to.conv").eqNullSafe(F.col("q.conv")), F.col("f.next")).otherwise(F.col("f.to"))
     return found.select(
         "q.conv", "q.turn", "q.line", "q.level",
-        F.when(F.col("near_turn").isNotNull(), F.col("q.conv")).otherwise(F.col("f.to.conv")).alias("to_conv"),
-        F.coalesce("near_turn", F.col("f.to.turn")).alias("to_turn"),
+        F.when(F.col("near_turn").isNotNull(), F.col("q.conv")).otherwise(to["conv"]).alias("to_conv"),
+        F.coalesce("near_turn", to["turn"]).alias("to_turn"),
     )
 
 

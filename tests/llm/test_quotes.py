@@ -45,3 +45,17 @@ def test_empty_and_circles(spark):
     assert quotes.conversations(df).count() == 0
     ring = spark.createDataFrame([(1, 0, "a", "one\n> two"), (2, 0, "b", "two\n> one")], "conv_id long, turn long, role string, text string")
     assert sorted((r.root_conv, r.depth) for r in quotes.conversations(ring).collect()) == [(1, 0), (2, 0)]
+
+
+def test_author_in_another_conversation(spark):
+    rows = [
+        (1, 0, "hi"), (1, 1, "> L"), (1, 2, "L"), (2, 1, "L"), (2, 0, "L"), (3, 0, "L"), (4, 5, "> L"), (None, 0, "L\nM"), (2, None, "L\nN"),
+        (5, 0, "> M\n> N"), (6, 0, "> O"), (6, 1, "O"), (6, 2, "> O\n> L"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {(r.conv, r.turn, r.line): (r.to_conv, r.to_turn) for r in quotes.link(df).collect()}
+    assert got == {
+        (1, 1, 0): (2, 0), (4, 5, 0): (1, 2), (5, 0, 0): (None, 0), (5, 0, 1): (None, None), (6, 0, 0): (None, None), (6, 2, 0): (6, 1), (6, 2, 1): (1, 2),
+    }
+    answers = {(r.conv, r.turn): (r.n_linked, r.to_conv, r.to_turn) for r in quotes.parents(df).collect()}
+    assert answers[(1, 1)] == (1, 2, 0)
