@@ -1,9 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-Texts are cut into paragraphs (lines), long ones into overlapping windows. A sparse logistic regression over
+Texts are cut into lines, and into paragraphs of lines with words, where wrapped notices are found; long ones
+into overlapping windows. A sparse logistic regression over
 hashed word 1- to 3-grams, one against the rest per licence family, scores every window; scores are
 calibrated on held-out examples (Platt), and a window that no family claims with enough probability is unknown.
-A claimed window counts only if enough of a template's word pairs occur in it.
+A family counts only if enough of a template's word pairs occur in a claimed window and the words from the first to the
+last of them are the family's by themselves, so a window can have several families.
 
 Training data are written from the templates below: whole, cut, filled in and mixed with other words, against
 windows without licence text. Training happens on the driver over a few thousand short rows, fixed by
@@ -133,10 +135,50 @@ class Classifier:
         raw = self.weights[some].sum(0) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.platt[:, 0] * raw + self.platt[:, 1], -35, 35)))
 
-    def confirm(self, family: int, h: np.ndarray) -> float:
-        """The best share of a template's word pairs that the window has; long templates may be cut by the window."""
-        two = set((h[:-1] * np.uint64(31) + h[1:] * np.uint64(0x10001)).tolist())
-        return max(sum(p in two for p in t.tolist()) / min(len(t), WINDOW // 2) for t in self.pairs[family])
+    def confirm(self, family: int, h: np.ndarray) -> tuple[float, int, int]:
+        """The best share of a template's word pairs in one stretch of a window (long templates may be cut by it), and the stretch."""
+        two = h[:-1] * np.uint64(31) + h[1:] * np.uint64(0x10001)
+        best = (0.0, 0, 0)
+        for t in self.pairs[family]:
+            hit = np.isin(two, t)
+            least = min(len(t), WINDOW // 2)
+            if len(np.unique(two[hit])) < CONFIRM * least:
+                continue
+            # Where pairs of the template are densest; of a pair that comes again (in another notice) all, the first or the last one counts.
+            first, last = np.zeros(len(two), bool), np.zeros(len(two), bool)
+            first[np.unique(two, return_index=True)[1]] = True
+            last[len(two) - 1 - np.unique(two[::-1], return_index=True)[1]] = True
+            for some in (hit, hit & first, hit & last):
+                sums = np.concatenate(([0], np.cumsum(np.where(some, 1, -1))))
+                low = np.minimum.accumulate(sums)
+                end = int((sums - low).argmax())
+                start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
+                share = len(np.unique(two[start:end][some[start:end]])) / least
+                best = max(best, (share, start, end + 1), key=lambda x: (x[0], x[1] - x[2]))
+        return best
+
+    def families(self, h: np.ndarray) -> tuple[list[tuple[int, int, int, float, float]], float]:
+        """(family, first word, end, probability, share) of every family confirmed in a window, none in the words of another; the largest probability."""
+        p = self.probabilities(h)
+        most = float(p.max())
+        if most < CLAIM / 4 or len(h) < 2:
+            return [], most
+        some = []
+        for f in range(len(self.pairs)):
+            share, start, end = self.confirm(f, h)
+            if share >= CONFIRM:
+                alone = float(self.probabilities(h[start:end])[f])
+                some.append((max(alone, float(p[f]) if p[f] == most else 0.0), f, start, end, share))
+        taken: list[tuple[int, int, int, float, float]] = []
+        for q, f, start, end, share in sorted(some, key=lambda x: (-x[0], -x[4])):
+            if q >= CLAIM and all(end <= s or start >= e for _, s, e, _, _ in taken):
+                taken.append((f, start, end, q, share))
+        # What is left beside them may hold others.
+        cuts = [0, *(x for _, s, e, _, _ in sorted(taken, key=lambda x: x[1]) for x in (s, e)), len(h)]
+        for s, e in zip(cuts[::2], cuts[1::2]) if taken else ():
+            if e - s > 2:
+                taken += [(f, s + x, s + y, q, share) for f, x, y, q, share in self.families(h[s:e])[0]]
+        return taken, most
 
 
 def _examples(rng: random.Random, n: int) -> list[tuple[np.ndarray, int]]:
@@ -234,44 +276,80 @@ def _windows(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def findings(text: str | None, model: Classifier, score_of: np.ndarray) -> list[tuple[int, str, float, float]]:
-    """(line, family or unknown, probability, share of template) of the paragraphs with a claim, one per line and family.
+    """(line, family or unknown, probability, share of template) of what is claimed, one per line and family.
+
+    The line is that of a notice's first matched word; unknown is what no family is confirmed in.
 
     ``score_of``: the largest weight of any family by coordinate. A window whose words cannot reach a claim even
     with all their largest weights is passed over at once, which is most of any corpus.
     """
-    out = []
     lines = (text or "").split("\n")
     words = [words_of(x) for x in lines]
     h_all = hashes([w for some in words for w in some])
     if not len(h_all):
-        return out
+        return []
     one, two, three = grams(h_all)
     best = score_of[one].copy()
     best[: len(two)] += score_of[two]
     best[: len(three)] += score_of[three]
     total = np.concatenate(([0.0], np.cumsum(best)))
     floor = np.min((_logit(np.array([CLAIM / 4])) - model.platt[:, 1]) / model.platt[:, 0] - model.bias)
-    begin = 0
-    for number, some in enumerate(words):
-        end = begin + len(some)
+    line_of = np.repeat(np.arange(len(words)), [len(some) for some in words])
+
+    def look(begin: int, end: int) -> Iterator[tuple[int, int, list, float]]:
+        """begin, end, families (at places of the text) and the largest probability of the windows that may claim something."""
         if end > begin and total[end] - total[begin] > floor:
-            found: dict[str, tuple[float, float]] = {}
             for at, h in _windows(h_all[begin:end]):
-                if total[begin + at + len(h)] - total[begin + at] <= floor:
-                    continue
-                p = model.probabilities(h)
-                f = int(p.argmax())
-                share = model.confirm(f, h) if p[f] >= CLAIM / 4 and len(h) > 1 else 0.0
-                if p[f] >= CLAIM and share >= CONFIRM:
-                    name = FAMILIES[f]
-                elif p[f] >= CLAIM / 4:  # something like a licence that neither side settles
-                    name = "unknown"
-                else:
-                    continue
-                found[name] = max(found.get(name, (0.0, 0.0)), (float(p[f]), share))
-            out += [(number, k, *v) for k, v in sorted(found.items())]
+                at += begin
+                if total[at + len(h)] - total[at] > floor:
+                    some, most = model.families(h)
+                    if some or most >= CLAIM / 4:
+                        yield at, at + len(h), [(f, at + s, at + e, p, share) for f, s, e, p, share in some], most
+
+    spans: list[list] = []  # family, first word, end, probability, share, line
+    has = {}  # the words of a family's notices, by family
+    covered = np.zeros(len(h_all), bool)  # words of any notice
+    lone: list[tuple[int, int, float]] = []  # windows that neither side settles, of lines and of paragraphs
+    wider: list[tuple[int, int, float]] = []
+    begin = first = kept = 0
+    for number, some in enumerate(words):
+        end = begin + len(some)
+        for s, e, found, most in look(begin, end):
+            spans += [[*x, number] for x in found]
+            for f, x, y, _, _ in found:
+                has.setdefault(f, np.zeros(len(h_all), bool))[x:y] = True
+                covered[x:y] = True
+            if not found:
+                lone.append((s, e, most))
         begin = end
-    return out
+        # A paragraph ends before a line without words. Its windows tell what no single line does.
+        if number + 1 == len(words) or not words[number + 1]:
+            if first < end and line_of[first] < line_of[end - 1]:
+                wide: list[list] = []
+                for s, e, found, most in look(first, end):
+                    for f, x, y, p, share in found:
+                        covered[x:y] = True
+                        if f in has and has[f][x:y].any():  # a line has it by itself
+                            continue
+                        again = next((z for z in wide[-WINDOW:] if z[0] == f and z[1] < y and x < z[2]), None)
+                        if again:  # the same notice in the next window
+                            again[2:5] = max(again[2], y), max(again[3], p), max(again[4], share)
+                        else:
+                            wide.append([f, x, y, p, share, int(line_of[x])])
+                    if not found:
+                        wider.append((s, e, most))
+                spans[kept:] = [z for z in spans[kept:] if not any(x[1] <= z[1] and z[2] <= x[2] and x[0] != z[0] and x[3] >= z[3] for x in wide)] + wide
+            first, kept = end, len(spans)
+    out: dict[tuple[int, str], tuple[float, float]] = {}
+    for f, _, _, p, share, number in spans:
+        key = (number, FAMILIES[f])
+        out[key] = max(out.get(key, (0.0, 0.0)), (p, share))
+    for s, e, most in lone + wider:  # something like a licence; a paragraph's windows do not repeat its lines'
+        if not covered[s:e].any():
+            covered[s:e] = True
+            key = (int(line_of[s]), "unknown")
+            out[key] = max(out.get(key, (0.0, 0.0)), (most, 0.0))
+    return [(*k, *v) for k, v in sorted(out.items())]
 
 
 def scan(docs: DataFrame, model: Classifier | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

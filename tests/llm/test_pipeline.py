@@ -1,7 +1,10 @@
 """Each stage of the pipeline against brute force on its own input."""
 
+import textwrap
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as P
 from slatework.llm import licences
 from slatework.llm.queries import op3_warc, op6_toxicity, op10_licences
@@ -70,3 +73,16 @@ def test_toxicity(spark):
     caught = sum(r.predicted for r in rows if r.toxic == 1) / sum(r.toxic for r in rows)
     alarms = sum(r.predicted for r in rows if r.toxic == 0) / sum(1 - r.toxic for r in rows)
     assert right > 0.95 and caught > 0.7 and alarms < 0.02
+
+
+def _found(texts):
+    model = licences.train()
+    score_of = np.zeros(1 << licences.BITS)
+    score_of[model.at] = np.maximum(model.weights.max(1), 0)
+    return [[(line, family) for line, family, *_ in licences.findings(t, model, score_of)] for t in texts]
+
+
+def test_wrapped_licences():
+    cases = [(f, t, mark, width) for f, some in licences.TEMPLATES.items() for t in some for mark in ("", "# ", " * ") for width in (72, 40)]
+    texts = [f"int x;\n{m.rstrip()}\n" + "\n".join(m + x for x in textwrap.wrap(t, width)) + f"\n{m.rstrip()}\nother words" for _, t, m, width in cases]
+    assert [(c, x) for c, x in zip(cases, _found(texts)) if x != [(2, c[0])]] == []
