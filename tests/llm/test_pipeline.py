@@ -86,3 +86,12 @@ def test_wrapped_licences():
     cases = [(f, t, mark, width) for f, some in licences.TEMPLATES.items() for t in some for mark in ("", "# ", " * ") for width in (72, 40)]
     texts = [f"int x;\n{m.rstrip()}\n" + "\n".join(m + x for x in textwrap.wrap(t, width)) + f"\n{m.rstrip()}\nother words" for _, t, m, width in cases]
     assert [(c, x) for c, x in zip(cases, _found(texts)) if x != [(2, c[0])]] == []
+
+
+def test_several_licences_on_a_line():
+    short = {f: t[-1] for f, t in licences.TEMPLATES.items() if len(t[-1].split()) < 14}
+    pairs = [(f, g) for f in short for g in short if f != g]
+    found = _found([f"{short[f]} {short[g]}" for f, g in pairs])
+    assert [(p, x) for p, x in zip(pairs, found) if x != [(0, f) for f in sorted(p)]] == []
+    apart = [f"{short[f]}\n{short[g]}" for f, g in pairs]
+    assert [(p, x) for p, x in zip(pairs, _found(apart)) if sorted(x) != [(0, p[0]), (1, p[1])]] == []
