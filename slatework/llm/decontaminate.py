@@ -106,8 +106,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: st
     joined = held.join(found, on, "left")
     whole = held["row"][text]
     # Pieces are a word and what follows it; what stands before the first word is kept in front.
-    lead = F.regexp_extract(whole, "^" + NON_ALNUM.replace("+", "*"), 0)
-    pieces = F.regexp_extract_all(whole, F.lit("[^" + NON_ALNUM[1:-2].replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60") + "]+" + NON_ALNUM.replace("+", "*")), F.lit(0))
+    # The text keeps its case: capitals are word characters here.
+    separator = NON_ALNUM[1:-2].replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")
+    lead = F.regexp_extract(whole, f"^[{separator}]*", 0)
+    pieces = F.regexp_extract_all(whole, F.lit(f"[^{separator}]+[{separator}]*"), F.lit(0))
     hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))
     kept = F.filter(pieces, lambda _, i: ~F.array_contains(hit, i))
     cut = F.when(F.col("spans").isNotNull(), F.concat(lead, F.concat_ws("", kept))).otherwise(whole)

@@ -148,3 +148,26 @@ def test_pipeline_stages_keep_columns(spark, docs, sf):
     for name, stage in P.STAGES[:4]:
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_remove_spans_keeps_case(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    words = ["I", "A", "NASA", "saw", "go", "to", "the", "Moon", "x9", "Ünï", "ÉTÉ", "b"]
+    texts = ["I saw NASA go to the Moon", "(A) B, C! saw NASA go.", "  NASA\nGO TO THE MOON", "[A]_B^the MOON", "to the Moon"]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "_", " [", "^"]) for _ in range(30)) for _ in range(60)]
+    items = [(1, "go TO the"), (2, "nasa"), (3, "a b")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        w, hit = brute.alnum_words(t), set()
+        for _, item in items:
+            g = brute.alnum_words(item)
+            hit |= {j + k for j in range(len(w)) if w[j : j + len(g)] == g for k in range(len(g))}
+        spots = [m.start() for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t)] + [len(t)]
+        want[i] = t[: spots[0]] + "".join(t[a:b] for j, (a, b) in enumerate(zip(spots, spots[1:])) if j not in hit)
+    assert want[0] == "I saw Moon"
+    assert {r.doc_id: r.text for r in decontaminate.remove_spans(df, bench).collect()} == want
