@@ -112,3 +112,16 @@ class InvertedFile:
     def top_k(self, query: list[float], k: int, probes: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
         """The k nearest of the probed cells."""
         return top_k(self.corpus.where(F.col("cell").isin(self.probe(query, probes))), query, k, key, None, column)
+
+    def batch_top_k(self, queries: list[tuple[int, list[float]]], k: int, probes: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+        """query_id, key, similarity, rank of the k nearest of each query's probed cells: one batch per cell, at least one query."""
+        by_cell: dict[int, list[tuple[int, list[float]]]] = {}
+        for q in queries:
+            for c in self.probe(q[1], probes):
+                by_cell.setdefault(c, []).append(q)
+        parts = [batch_top_k(self.corpus.where(F.col("cell") == c), some, k, key, column).drop("rank") for c, some in sorted(by_cell.items())]
+        found = parts[0]
+        for more in parts[1:]:
+            found = found.unionByName(more)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(key)))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)

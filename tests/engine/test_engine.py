@@ -307,6 +307,23 @@ def test_inverted_file_prunes(spark, sf, tmp_path):
     assert "PartitionFilters: [cell" in index.top_k(q, 5, probes=1)._jdf.queryExecution().executedPlan().toString().replace("isnotnull(cell#", "cell#")
 
 
+def test_inverted_file_recall(spark, tmp_path):
+    from slatework.operators import vector_search
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    index = vector_search.InvertedFile.build(rows, str(tmp_path / "ivf"), cells=8)
+    asked = [(r.vec_id, list(r.embedding)) for r in rows.where("vec_id % 100 = 0").collect()]
+    exact = {(r.query_id, r.vec_id) for r in vector_search.batch_top_k(rows, asked, 10).collect()}
+    recall = {}
+    for probes in (4, 7, 8):
+        found = {(r.query_id, r.vec_id) for r in index.batch_top_k(asked, 10, probes).collect()}
+        recall[probes] = len(exact & found) / len(exact)
+    assert len(exact) == 10 * len(asked) == 200 and recall[8] == 1 and recall[7] >= 0.9
+    from slatework.plans.queries_search import ivf_recall
+
+    assert tuple(ivf_recall(spark, "/root/testdata/sf0.1").first()) == (200, round(200 * recall[4]))
+
+
 def test_sweep_and_scratch(spark):
     from slatework import scratch
 
