@@ -21,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.text import bound_arrow_batches
-
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
 _MODELS: dict[str, tuple] = {}
@@ -171,7 +169,6 @@ def score(
     script. Repeated rows are judged alike. Any extra columns may travel in ``row``.
     ``model`` is the path of the vocabulary on the executors.
     """
-    bound_arrow_batches(docs.sparkSession)
     names = [f.split()[0] for f in OUT.split(", ")]
     row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
     held = docs.select(row, F.col(text).alias("text"), F.col(lang).alias("lang"))

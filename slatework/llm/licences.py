@@ -25,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.text import bound_arrow_batches
-
 #: Notices and sentences by which public licences are declared.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": (
@@ -357,7 +355,6 @@ def scan(docs: DataFrame, model: Classifier | None = None, key: str = "doc_id",
 
     Null and empty texts have no licence. Repeated rows are scanned each; extra columns are ignored.
     """
-    bound_arrow_batches(docs.sparkSession)
     model = model or train()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("share", pa.float64())]))

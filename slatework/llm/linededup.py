@@ -9,15 +9,19 @@ lines without words stay.
 1. Words are counted in 2**RARITY hash buckets over all texts: a table of fixed size that is broadcast. Any
    order of words is right; rarity only keeps the prefixes selective, and a word counted once has no partner.
 2. Equal sets collapse; a distinct set keeps its first place, size, parity bits and prefix.
-3. Prefix words are dealt by word. Within a word's lines, in order of first place, each line is paired with
-   the nearest FIRST earlier lines that pass the filters, and is marked if there are more.
-4. Pairs are verified. Marked lines that found no similar earlier line get all their other pairs, verified
-   alike, so the caps lose nothing: they only keep a group of a thousand variants from making all its pairs.
+3. Prefix words are dealt by word, many rows in a blob. Within a word's lines, in order of first place, each line is paired
+   with the nearest FIRST earlier lines that pass the filters, and is marked if there are more. Lines of a word of more than
+   2 * BLOCK lines look within their block of it, and are marked too.
+4. Pairs are verified. Marked lines that found no similar earlier line look again, with a cap AGAIN times as high, until none
+   is marked and without one. Then words of many lines are dealt by pairs of words, and of a pair of many lines all blocks
+   meet all that look. So caps and blocks lose nothing: they only keep a group of many variants from making all its
+   pairs, or from meeting in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -26,41 +30,27 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.text import bound_arrow_batches, wide_arrow_batches
+from slatework.llm.text import arrow_batches
 from slatework.scratch import materialize
 
 RARITY, FIRST = 24, 4
-#: Buckets are summed in pieces of this many.
-PIECE = 1 << 16
-#: Words of sets that look again that are broadcast, and half as many lines to read again; beyond it they are joined by a shuffle.
+#: Buckets are summed in pieces of this many, and over so many tasks at first.
+PIECE, TREE = 1 << 16, 512
+#: Slots that are broadcast, and half as many lines to read again; beyond it they are joined by a shuffle, or slots stay whole.
 MOST_BROADCAST = 400_000
-#: Prefix rows that a task holds at once beyond the group at hand.
-HELD = 1 << 18
+#: A slot of twice as many rows is split into blocks of about so many; rows a bucket (held by a task) and a blob have.
+BLOCK, BUCKET, BLOB = 512, 1 << 16, 1 << 14
+#: Marks of a row, beside a word's position: it looks for earlier sets, it can be found, its slot is split.
+SEEK, BASE, PART, PLACE = 1 << 30, 1 << 29, 1 << 28, (1 << 28) - 1
+#: How many times as many pairs as before a set gets when it looks again.
+AGAIN = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Lines sorted at once: what a sort key has room for.
 LINES = 1 << 20
-#: Bytes of text hashed at once.
-CHUNK = 1 << 20
-#: An odd multiplier of the word hash, and its inverse modulo 2**64.
-_BASE = 0x9E6C63D0876A9A35
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, modulo 2**64."""
-    size = max([1 << max(20, (n - 1).bit_length()), *_TABLES])
-    if size not in _TABLES:
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _TABLES.clear()
-        _TABLES[size] = both[0], both[1]
-    return _TABLES[size]
-
-
-_FOLD = np.frombuffer(bytes(range(256)).translate(_LOWER), np.uint8).astype(np.uint64) + np.uint64(1)
+#: The lowest bytes of a number.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time, with all others of the batch; longer words have their own call.
+LONG = 4096
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,35 +62,36 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of every word of the texts: a polynomial over its lower-cased bytes modulo 2**64, mixed.
+def _mix(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, well mixed."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    Works on the bytes of many texts at once: a word's polynomial is a difference of two prefix sums.
-    """
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    first = offsets[:-1][offsets[:-1] < len(data)]  # a text's first byte begins a word even if the text before ends in one
-    before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
-    before[1:], after[: len(data)] = inside, inside
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every word of the texts: its lower-cased bytes, eight at a time, for all words at once."""
+    from xxhash import xxh64_intdigest
+
+    n = len(data)
+    low = np.frombuffer(data.tobytes().translate(_LOWER) + bytes(8), np.uint8)
+    inside = (data != 32) & ((data - np.uint8(9)) > 4)
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    first = offsets[:-1][offsets[:-1] < n]  # a text's first byte begins a word even if the text before ends in one
     before[first] = False
-    after[first] = False
-    starts = np.flatnonzero(inside & ~before[:-1])
-    ends = np.flatnonzero(inside & ~after[1:]) + 1
-    hashes = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
-        s, e = starts[at], ends[upto - 1]
-        power, inverse = _powers(int(e - s) + 1)
-        sums = np.zeros(int(e - s) + 1, np.uint64)
-        np.cumsum(_FOLD[data[s:e]] * power[: e - s], out=sums[1:])
-        x, y = starts[at:upto] - s, ends[at:upto] - s
-        h = (sums[y] - sums[x]) * inverse[x]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        hashes[at:upto] = h ^ (h >> np.uint64(32))
-        at = upto
+    after[first[first > 0] - 1] = False
+    starts, ends = np.flatnonzero(inside > before), np.flatnonzero(inside > after) + 1
+    size = ends - starts
+    eight = np.ndarray((n + 1,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+    hashes = _mix((eight[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at, left = 8, np.flatnonzero(size > 8)
+    while len(left) and at < LONG:
+        hashes[left] = _mix(hashes[left] ^ (eight[starts[left] + at] & _MASK[np.minimum(size[left] - at, 8)]))
+        at += 8
+        left = left[size[left] > at]
+    for i in left:
+        hashes[i] = xxh64_intdigest(low[starts[i] : ends[i]].tobytes())
     return hashes, starts
 
 
@@ -122,14 +113,12 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     Tasks send their non-zero buckets in sorted pieces; pieces are summed where they meet.
     """
-    bound_arrow_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY, np.int32)
         for b in batches:
             hashes, _ = _word_hashes(*_bytes_of(b.column(0)))
-            found, n = np.unique((hashes >> np.uint64(64 - RARITY)).astype(np.int32), return_counts=True)
-            total[found] += n.astype(np.int32)
+            np.add.at(total, (hashes >> np.uint64(64 - RARITY)).astype(np.intp), np.int32(1))
         at = np.flatnonzero(total).astype(np.int32)
         bounds = np.searchsorted(at, np.arange(0, (1 << RARITY) + 1, PIECE))
         for piece, (x, y) in enumerate(zip(bounds, bounds[1:])):
@@ -137,20 +126,32 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
                 where, n = (at[x:y] % PIECE).astype("<u2").tobytes(), np.minimum(total[at[x:y]], 65535).astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([where]), pa.array([n])], ["piece", "at", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for piece, where, n in zip(*(c.to_pylist() for c in b.columns)):
-                held = sums.setdefault(piece, np.zeros(PIECE, np.int64))
-                held[np.frombuffer(where, "<u2")] += np.frombuffer(n, "<u2")
-        for piece, held in sums.items():
-            level = np.minimum(127, np.ceil(4 * np.log2(np.maximum(held, 1)))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([level.tobytes()])], ["piece", "level"])
-
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece int, at binary, n binary")
+    def add(width: str, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for piece, where, n in zip(*(c.to_pylist() for c in b.columns)):
+                    held = sums.setdefault(piece, np.zeros(PIECE, np.int64))
+                    held[np.frombuffer(where, "<u2")] += np.frombuffer(n, width)
+            for piece, held in sums.items():
+                at = np.flatnonzero(held)
+                out = np.minimum(127, np.ceil(4 * np.log2(held[at]))).astype(np.uint8) if last else np.minimum(held[at], (1 << 32) - 1).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([out.tobytes()])], ["piece", "at", "n"])
+
+        return run
+
+    schema, width = "piece int, at binary, n binary", "<u2"
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
+    tasks = docs.rdd.getNumPartitions()
+    if tasks > TREE:  # sums of TREE tasks first, so that no task reads what all tasks counted
+        groups = -(-tasks // TREE)
+        parts = parts.repartition(min(groups * ((1 << RARITY) // PIECE), 20_000), "piece", F.spark_partition_id() % groups).mapInArrow(add("<u2", False), schema)
+        width = "<u4"
     levels = np.zeros(1 << RARITY, np.uint8)
-    for r in parts.repartition("piece").mapInArrow(add, "piece int, level binary").toLocalIterator():  # 2**RARITY bytes in all
-        levels[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.level, np.uint8)
+    with arrow_batches(docs.sparkSession, 512):
+        sums = parts.repartition("piece").mapInArrow(add(width, True), schema).collect()  # 2**RARITY bytes and places at most
+    for r in sums:
+        levels[r.piece * PIECE : (r.piece + 1) * PIECE][np.frombuffer(r.at, "<u2")] = np.frombuffer(r.n, np.uint8)
     return levels
 
 
@@ -184,10 +185,16 @@ def _least_overlap(total, num: int, den: int):
     return -((-num * total) // (num + den))
 
 
+def _prefix(size, num: int, den: int):
+    """Words of a set's prefix: similar sets share one of them at least, and two of one word more."""
+    return size - (-(-num * size // den)) + 1
+
+
 def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text: str) -> DataFrame:
     """key, th, line, a, b (128-bit digest of the set), size, parity, prefix of every line with words."""
     num, den = t.numerator, t.denominator
     spread = docs.sparkSession.sparkContext.broadcast(level)
+    often = int(4 * np.log2(2 * BLOCK))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
@@ -208,13 +215,13 @@ def occurrences(docs: DataFrame, level: np.ndarray, t: Fraction, key: str, text:
             # 128 parity bits in two words: which one a word counts in is another bit of its hash.
             bit, side = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) > 0
             parity, parity2 = (np.bitwise_xor.reduceat(np.where(side == s, bit, np.uint64(0)), starts).view(np.int64) for s in (False, True))
-            length = sizes - (-(-num * sizes // den)) + 1
+            length = _prefix(sizes, num, den)
             within = np.arange(len(h)) - np.repeat(starts, sizes)
-            head = within < np.repeat(length, sizes)
-            # A word counted once has no partner; equal halves of other words only add candidates.
-            shared = head & (level[(h >> np.uint64(64 - RARITY)).astype(np.int64)] > 0)
-            prefix = np.stack([h[shared].astype("<u4"), within[shared].astype("<u4")], 1).tobytes()
-            cuts = np.concatenate(([0], np.cumsum(np.add.reduceat(shared.astype(np.int64), starts)))) * 8
+            # A word counted once has no partner, and comes first; equal halves of other words only add candidates.
+            levels = level[(h >> np.uint64(64 - RARITY)).astype(np.int64)]
+            shared = (within < np.repeat(length + 1, sizes)) & (levels > 0)
+            prefix = ((h[shared] & ~np.uint64(1)) | (levels[shared] > often)).astype("<u4").tobytes()
+            cuts = np.concatenate(([0], np.cumsum(np.add.reduceat(shared.astype(np.int64), starts)))) * 4
             prefixes = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(prefix)])
             number = at[starts]  # of the line in the batch
             doc_of = np.repeat(np.arange(len(lines)), lines)
@@ -237,120 +244,227 @@ def _place(key: Column | str, line: Column | str, th: Column | str) -> Column:
     return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(th).alias("th"), F.col(line).alias("line"))
 
 
-def _passing(size_x, size_y, pos_x, pos_y, odd, odd2, num: int, den: int) -> np.ndarray:
-    """Length, positional and parity filter (``odd``: parity bits that differ); all keep every pair of the wanted similarity."""
-    total = size_x + size_y
-    least = _least_overlap(total, num, den)
-    ok = den * np.minimum(size_x, size_y) >= num * np.maximum(size_x, size_y)
-    ok &= 1 + np.minimum(size_x - pos_x, size_y - pos_y) - 1 >= least
-    ok &= np.bitwise_count(odd.view(np.uint64)).astype(np.int32) + np.bitwise_count(odd2.view(np.uint64)) <= total - 2 * least
-    return ok
-
+def _pairs_in_groups(slot, ids, meta, parity, parity2, num: int, den: int, most: int) -> tuple[list, list, list]:
+    """Pairs (later, earlier) and marked lines among rows sorted by slot and id; groups are whole.
 
-def _pairs_in_groups(word, ids, meta, parity, parity2, seek, num: int, den: int, every: bool) -> tuple[list, list, list]:
-    """Pairs (later, earlier) and marked lines among rows sorted by word and place; groups are whole.
-
-    All rows step back through their groups together, one place at a time; a row that has FIRST pairs and finds
-    another is marked and stops. ``seek``: rows that look for earlier ones. ``every``: no caps.
+    All rows that look step back through their groups together, one place at a time; a row that has ``most`` pairs and
+    finds another is marked and stops. Rows of a slot that was split are marked at the end: other parts were not seen.
+    The parity, length and positional filters keep every pair of the wanted similarity.
     """
-    size, pos = (meta >> 20).astype(np.int32), (meta & ((1 << 20) - 1)).astype(np.int32)
+    size = (meta >> 32).astype(np.int32)
+    room = size - (meta & PLACE).astype(np.int32)
+    apart = size * np.int32(den - num)  # words that are not shared, as a bound
+    base = (meta & BASE) != 0
+    parity, parity2 = parity.view(np.uint64), parity2.view(np.uint64)
     later, earlier, more = [], [], []
-    begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    within = np.arange(len(word)) - np.repeat(begins, np.diff(np.append(begins, len(word))))
-    active = np.flatnonzero((within > 0) & seek)
-    given = np.zeros(len(word), np.int8)
+    begins = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    within = (np.arange(len(slot)) - np.repeat(begins, np.diff(np.append(begins, len(slot))))).astype(np.int32)
+    active = np.flatnonzero((within > 0) & ((meta & SEEK) != 0))
+    given, full = np.zeros(len(slot), np.int32), np.zeros(len(slot), bool)
     d = 1
     while len(active):
         back = active - d
-        x = active[_passing(size[active], size[back], pos[active], pos[back], parity[active] ^ parity[back], parity2[active] ^ parity2[back], num, den)]
-        full = np.zeros(0, np.int64)
+        odd = np.bitwise_count(parity[active] ^ parity[back]) + np.bitwise_count(parity2[active] ^ parity2[back])
+        x = active[odd * np.int32(num + den) <= apart[active] + apart[back]]
         if len(x):
-            if not every:
-                full = x[given[x] == FIRST]
-                x = x[given[x] < FIRST]
-                given[x] += 1
-                more.append(ids[full])
+            y = x - d
+            total, least = size[x] + size[y], np.minimum(size[x], size[y])
+            ok = (den * least >= num * (total - least)) & (np.minimum(room[x], room[y]) * (num + den) >= num * total)
+            x = x[ok & base[y] & (ids[y] != ids[x])]
+            over = given[x] == most
+            full[x[over]] = True
+            x = x[~over]
+            given[x] += 1
             later.append(ids[x])
             earlier.append(ids[x - d])
         d += 1
-        stay = within[active] >= d
-        if len(full):
-            stay &= ~np.isin(active, full, assume_unique=True)
-        active = active[stay]
+        active = active[(within[active] >= d) & ~full[active]]
+    more.append(ids[full | ((meta & PART) != 0)])
     return later, earlier, more
 
 
-def _words_of(sets: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """word, id, meta (size and position), parity, parity2: a row per shared prefix word of every set, or per word in ``only`` (sorted)."""
+def _slots(prefixes: pa.Array, size: np.ndarray, hot: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, position, frequent) of the prefix words of some sets of ``size`` words.
+
+    A word is a slot. A hot word (sorted in ``hot``) is a slot per later word of the set's prefix, which is one word longer
+    for that: similar sets share two words or more, and the first shared one is in both prefixes, another in both longer ones.
+    """
+    n = np.asarray(pa.compute.binary_length(prefixes)).astype(np.int64) // 4
+    word = np.frombuffer(b"".join(prefixes.to_pylist()), "<u4")
+    row, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    length = _prefix(size.astype(np.int64), num, den)
+    # Words counted once come first and are left out.
+    pos = np.arange(len(word)) - np.repeat(ends - np.minimum(length + 1, size), n)
+    own, often = pos < length[row], (word & 1) != 0
+    split = np.zeros(len(word), bool)
+    if len(hot):
+        some = np.flatnonzero(own & often)
+        split[some] = hot[np.minimum(np.searchsorted(hot, word[some]), len(hot) - 1)] == word[some]
+    plain, hit = np.flatnonzero(own & ~split), np.flatnonzero(split)
+    one, number = _copied(ends[row[hit]] - hit - 1)
+    one = hit[one]
+    both = _mix((word[one].astype(np.uint64) << np.uint64(32)) | word[one + 1 + number]) | np.uint64(1 << 63)
+    at = np.concatenate([plain, one])
+    return row[at], np.concatenate([word[plain].astype(np.uint64), both]), pos[at], often[at]
+
+
+def _copied(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, number) of n[i] copies of each i."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _counted(sets: DataFrame, hot: np.ndarray, t: Fraction, frequent: bool, label: str) -> DataFrame:
+    """slot, n: rows per slot of ``sets``; of frequent words alone, or of all slots. Also slot -1 with the rows of all slots."""
+    num, den = t.numerator, t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.asarray(pa.compute.binary_length(b.column(4))) // 8
-            pairs = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u4").reshape(-1, 2)
-            ids, size, parity, parity2 = (np.repeat(b.column(i).to_numpy(), n) for i in range(4))
-            meta = size.astype(np.int64) * (1 << 20) + pairs[:, 1]
-            columns = [pairs[:, 0].copy().view(np.int32), ids, meta, parity, parity2]
-            if only is not None:
-                at = np.minimum(np.searchsorted(only, columns[0]), max(len(only) - 1, 0))
-                hit = only[at] == columns[0] if len(only) else np.zeros(len(columns[0]), bool)
-                columns = [c[hit] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "id", "meta", "parity", "parity2"])
-
-    return sets.select("id", "size", "parity", "parity2", "prefix").mapInArrow(run, "word int, id long, meta long, parity long, parity2 long")
-
-
-def candidates(sets: DataFrame, t: Fraction, seekers: DataFrame | None = None) -> DataFrame:
-    """x, y: ids of a set and an earlier one that pass the filters; y null: x has more than were given.
+            _, slot, _, often = _slots(b.column(1), b.column(0).to_numpy(), hot, num, den)
+            found, n = np.unique(slot[often] if frequent else slot, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found.view(np.int64), -1)), pa.array(np.append(n, len(slot)).astype(np.int64))], ["slot", "n"])
+
+    return materialize(sets.select("size", "prefix").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), label)
+
+
+@dataclass(frozen=True)
+class Deal:
+    """How prefix words are dealt: hot words (by pairs of words), slots of many rows with the numbers of their blocks, buckets."""
+
+    words: np.ndarray
+    slots: np.ndarray
+    blocks: np.ndarray
+    buckets: int
+
+    @staticmethod
+    def of(sets: DataFrame, t: Fraction, hot: Deal | None = None) -> Deal:
+        """Counted over all sets: by words, or with the words that ``hot`` splits by pairs of words.
+
+        Which slots are split changes the work, not the result: of more than MOST_BROADCAST the rest stays whole.
+        """
+        words = np.zeros(0, np.uint32) if hot is None else hot.slots.astype(np.uint32)
+        counted = _counted(sets, words, t, True, "line-frequent")
+        total = counted.where("slot = -1").agg(F.sum("n")).first()[0] or 0
+        rows = counted.where((F.col("slot") != -1) & (F.col("n") > 2 * BLOCK)).orderBy(F.col("n").desc(), "slot").limit(MOST_BROADCAST).toPandas()
+        slots, n = rows["slot"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+        order = np.argsort(slots)
+        return Deal(words, slots[order], -(-n[order] // BLOCK), max(1, -(-total // BUCKET)))
+
+    def large(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose slot is split, and its place in ``slots``."""
+        if not len(self.slots):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
+        some = np.flatnonzero(self.slots[at] == slot)
+        return some, at[some]
+
+
+def _dealt(sets: DataFrame, deal: Deal, t: Fraction, asked: tuple[np.ndarray, np.ndarray, bool] | None) -> DataFrame:
+    """bucket, blob: the rows of all slots, many in a blob (five columns of eight bytes).
+
+    A slot of many rows is split into blocks. At first (no ``asked``) every row looks within its block. With ``asked`` (sorted
+    slots that are looked in, their numbers of seekers, and whether these are all such slots) rows with ``seek`` look in all blocks:
+    a block meets BLOCK seekers at a time.
+    """
+    num, den = t.numerator, t.denominator
+    sent = sets.sparkSession.sparkContext.broadcast((deal, asked))
 
-    With ``seekers`` (column id), only those look, and get all.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal, asked = sent.value
+        for b in batches:
+            row, slot, pos, _ = _slots(b.column(4), b.column(1).to_numpy(), deal.words, num, den)
+            pos = np.minimum(pos, PLACE)
+            flags = np.full(len(row), SEEK | BASE, np.int64)
+            if asked is not None:
+                flags = np.where(b.column(5).to_numpy(zero_copy_only=False)[row], SEEK | BASE, BASE)
+                if asked[2]:
+                    keep = np.isin(slot, asked[0])
+                    row, slot, pos, flags = row[keep], slot[keep], pos[keep], flags[keep]
+            ids = b.column(0).to_numpy()[row]
+            some, at = deal.large(slot)
+            if len(some):
+                mixed = _mix(ids[some].view(np.uint64))
+                block = mixed % deal.blocks[at].astype(np.uint64)
+                if asked is None:
+                    slot[some] = _mix(slot[some] + block * np.uint64(0x9E3779B97F4A7C15))
+                    flags[some] |= PART
+                else:
+                    slots, n = (np.append(x, x.dtype.type(0)) for x in asked[:2])
+                    where = np.searchsorted(asked[0], slot[some])
+                    parts = np.where(slots[where] == slot[some], -(-n[where] // BLOCK), 0)  # of seekers
+                    own = mixed // np.uint64(1 << 32) % np.maximum(parts, 1).astype(np.uint64)
+                    b_at, b_part = _copied(parts)
+                    looks = (flags[some] & SEEK) != 0
+                    s_at, s_block = _copied(np.where(looks, deal.blocks[at], 0))
+                    src = np.concatenate([some[b_at], some[s_at]])
+                    part = np.concatenate([b_part.astype(np.uint64), own[s_at]])
+                    block = np.concatenate([block[b_at], s_block.astype(np.uint64)])
+                    cell = _mix(_mix(slot[src] + block * np.uint64(0x9E3779B97F4A7C15)) + part)
+                    role = np.concatenate([np.full(len(b_at), BASE), np.full(len(s_at), SEEK)])
+                    whole = np.ones(len(row), bool)
+                    whole[some] = False
+                    row, ids, pos = (np.concatenate([x[whole], x[src]]) for x in (row, ids, pos))
+                    slot, flags = np.concatenate([slot[whole], cell]), np.concatenate([flags[whole], role])
+            meta = (b.column(1).to_numpy()[row].astype(np.int64) << 32) | flags | pos
+            bucket = (_mix(slot) % np.uint64(deal.buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            columns = [x[order].view(np.int64) for x in (slot, ids, meta, b.column(2).to_numpy()[row], b.column(3).to_numpy()[row])]
+            bucket = bucket[order]
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+            cuts = np.unique(np.concatenate([cuts, np.arange(0, len(bucket), BLOB)])).astype(np.int64)
+            spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]))
+            for i in range(0, len(spans), 64):
+                blobs = [b"".join(c[x:y].tobytes() for c in columns) for x, y in spans[i : i + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[i : i + 64]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    names = ["id", "size", "parity", "parity2", "prefix", *(["seek"] if asked is not None else [])]
+    return sets.select(*names).mapInArrow(run, "bucket long, blob binary")
+
+
+def candidates(sets: DataFrame, t: Fraction, deal: Deal, most: int, seekers: DataFrame | None = None) -> DataFrame:
+    """x, y: ids of a set and an earlier one that pass the filters, ``most`` a set and task; y null: there may be more than were given.
+
+    With ``seekers`` (column id), only those look, and they look everywhere.
     """
-    num, den, every = t.numerator, t.denominator, seekers is not None
-    if every:
-        asked = materialize(_words_of(sets.join(seekers, "id", "left_semi")).select("id", "word"), "line-asked")
-        few = asked.count() <= MOST_BROADCAST
-        wanted, looks = asked.select("word").distinct(), asked.select("id", F.lit(True).alias("seek")).distinct()
-        if few:  # at most MOST_BROADCAST numbers
-            rows = _words_of(sets, np.sort(wanted.toPandas()["word"].to_numpy(np.int32)))
-        else:
-            rows = _words_of(sets).join(wanted, "word", "left_semi")
-        rows = rows.join(F.broadcast(looks) if few else looks, "id", "left").select("word", "id", "meta", "parity", "parity2", F.coalesce("seek", F.lit(False)).alias("seek"))
-    else:
-        rows = _words_of(sets)
-    rows = rows.repartition("word").sortWithinPartitions("word", "id")
+    num, den, asked = t.numerator, t.denominator, None
+    if seekers is not None:
+        sets = sets.join(seekers.withColumn("looks", F.lit(True)), "id", "left").withColumn("seek", F.coalesce("looks", F.lit(False)))
+        counted = _counted(sets.where("seek"), deal.words, t, False, "line-asked").where("slot != -1")
+        few = counted.count() <= MOST_BROADCAST
+        if not few:  # all rows are dealt again; only split slots need their numbers of seekers
+            split = sets.sparkSession.createDataFrame([(int(x),) for x in deal.slots.view(np.int64)], "slot long")
+            counted = counted.join(F.broadcast(split), "slot", "left_semi")
+        rows = counted.toPandas()
+        slot = rows["slot"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(slot)
+        asked = slot[order], rows["n"].to_numpy(np.int64)[order], few
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows_held = 0
+        now, held = None, []
 
-        def take(block: list[np.ndarray]) -> pa.RecordBatch:
-            seek = block[5].astype(bool) if every else np.ones(len(block[0]), bool)
-            later, earlier, more = _pairs_in_groups(*block[:5], seek, num, den, every)
-            x = np.concatenate([*later, *more]) if later or more else np.zeros(0, np.int64)
+        def take() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            order = np.lexsort((columns[1], columns[0]))
+            later, earlier, more = _pairs_in_groups(*(c[order] for c in columns), num, den, most)
+            x = np.concatenate([*later, *more])
             y = np.concatenate(earlier) if earlier else np.zeros(0, np.int64)
             none = np.zeros(len(x), bool)
             none[len(y) :] = True
             y = np.concatenate([y, np.zeros(len(x) - len(y), np.int64)])
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y, mask=none)], ["x", "y"])
 
-        def joined() -> list[np.ndarray]:
-            return [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
-
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
-            rows_held += b.num_rows
-            if rows_held >= HELD:
-                block = joined()
-                cut = int(np.searchsorted(block[0], block[0][-1]))  # the last word may go on
-                if cut:
-                    yield take([c[:cut] for c in block])
-                held, rows_held = [[c[cut:].copy() for c in block]], len(block[0]) - cut
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if bucket != now and held:
+                    yield take()
+                    held = []
+                now = bucket
+                held.append(np.frombuffer(blob.as_buffer(), np.int64).reshape(5, -1))
         if held:
-            yield take(joined())
+            yield take()
 
-    spark = sets.sparkSession
-    with wide_arrow_batches(spark):
+    with arrow_batches(sets.sparkSession, 1 << 16):
+        rows = _dealt(sets, deal, t, asked).repartition("bucket").sortWithinPartitions("bucket")
         return materialize(rows.mapInArrow(run, "x long, y long").distinct(), "line-pairs")
 
 
@@ -377,7 +491,8 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: Fraction, key:
                     words.append(np.fromiter(map(xxh64_intdigest, set(lines[w["line"]].split())), np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["id", "words"])
 
-    content = materialize(rows.mapInArrow(run, "id long, words array<bigint>").dropDuplicates(["id"]), "line-words")
+    with arrow_batches(docs.sparkSession, 512):
+        content = materialize(rows.mapInArrow(run, "id long, words array<bigint>").dropDuplicates(["id"]), "line-words")
     x = content.select(F.col("id").alias("x"), F.col("words").alias("wx"))
     y = content.select(F.col("id").alias("y"), F.col("words").alias("wy"))
     both = pairs.join(x, "x").join(y, "y")
@@ -386,22 +501,44 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, t: Fraction, key:
 
 
 def similar_lines(docs: DataFrame, similarity: Fraction = Fraction(4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, th, line, first (the set's first place), similar (an earlier, different set is similar) of every line with words."""
-    spark = docs.sparkSession
-    bound_arrow_batches(spark)
-    lines = materialize(occurrences(docs, rarity(docs, text), similarity, key, text), "lines")
-    sets = lines.groupBy("a", "b").agg(F.min(_place("key", "line", "th")).alias("place"), *[F.first(c).alias(c) for c in ("size", "parity", "parity2", "prefix")])
+    """key, th, line, first (the set's first place), similar (an earlier, different set is similar) of lines with words that occur again or are similar.
+
+    ``similarity`` must be above one half.
+    """
+    if 2 * similarity <= 1:
+        raise ValueError("similarity must be above one half")
+    level = rarity(docs, text)
+    with arrow_batches(docs.sparkSession, 512):
+        lines = materialize(occurrences(docs, level, similarity, key, text), "lines")
+    sets = lines.groupBy("a", "b").agg(F.min(_place("key", "line", "th")).alias("place"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "parity", "parity2", "prefix")])
     # Ids in the order of first places: range partitions are numbered in order, rows within them too.
     sets = materialize(sets.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    found = candidates(sets, similarity)
+    deal, most = Deal.of(sets, similarity), FIRST
+    found = candidates(sets, similarity, deal, most)
     done = materialize(verify(docs, sets, found.where("y IS NOT NULL"), similarity, key, text).select(F.col("x").alias("id")).distinct(), "line-similar")
-    marked = materialize(found.where("y IS NULL").select(F.col("x").alias("id")).join(done, "id", "left_anti"), "line-marked")
-    if not marked.isEmpty():
-        again = verify(docs, sets, candidates(sets, similarity, marked), similarity, key, text).select(F.col("x").alias("id"))
+    open_ = found
+    while True:
+        open_ = materialize(open_.where("y IS NULL").select(F.col("x").alias("id")).distinct().join(done, "id", "left_anti"), "line-marked")
+        if open_.isEmpty():
+            break
+        if most == FIRST and len(deal.slots):
+            deal = Deal.of(sets, similarity, deal)
+        most *= AGAIN
+        open_ = candidates(sets, similarity, deal, most, open_)
+        again = verify(docs, sets, open_.where("y IS NOT NULL"), similarity, key, text).select(F.col("x").alias("id"))
         done = materialize(done.union(again).distinct(), "line-similar")
-    outcome = sets.join(done.withColumn("similar", F.lit(True)), "id", "left").select("a", "b", "place", F.coalesce("similar", F.lit(False)).alias("similar"))
+    outcome = sets.select("id", "a", "b", "place", "n").join(done.withColumn("similar", F.lit(True)), "id", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
+    outcome = materialize(outcome.where("n > 1 OR similar").drop("id"), "line-outcome")
     spots = lines.select("a", "b", "key", "th", "line")
-    joined = spots.join(outcome, ["a", "b"])
+    total, largest = outcome.agg(F.sum("n"), F.max("n")).first()
+    if largest and largest * 1000 > total:
+        # Sets of a thousandth of these lines each: there are fewer than a thousand. They are broadcast, so no key has many rows in the other join.
+        wide = F.col("n") * 1000 > total
+        hot = F.broadcast(outcome.where(wide))
+        rest = spots.join(hot.select("a", "b"), ["a", "b"], "left_anti").join(outcome.where(~wide), ["a", "b"])
+        joined = spots.join(hot, ["a", "b"]).unionByName(rest)
+    else:
+        joined = spots.join(outcome, ["a", "b"])
     return joined.select("key", "th", "line", _place("key", "line", "th").eqNullSafe(F.col("place")).alias("first"), "similar")
 
 

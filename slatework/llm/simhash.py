@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.text import bound_arrow_batches
 from slatework.scratch import materialize
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -60,7 +59,6 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """key, th (hash of the text) and fp (signed long) per row; nothing is shuffled."""
-    bound_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
 

@@ -32,23 +32,20 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts stay small: a worker's memory follows the rows of a batch, not the partition."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def wide_arrow_batches(spark: SparkSession, rows: int = 1 << 16) -> Iterator[None]:
-    """Larger Arrow batches for actions on rows of a few numbers each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(rows))
+def arrow_batches(spark: SparkSession, rows: int, size: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of at most so many rows and about so many bytes, for the actions and plans made inside."""
+    before = {k: spark.conf.get(k, None) for k in (_ROWS, _BYTES)}
+    spark.conf.set(_ROWS, str(rows))
+    spark.conf.set(_BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatework.llm.text import bound_arrow_batches
+from slatework.llm.text import arrow_batches
 from slatework.scratch import materialize, scratch_path
 
 #: Words kept with their ids in a worker; about 120 MB when full.
@@ -144,7 +144,6 @@ def write(
     ``path`` must be a folder that all executors and the driver reach (default: the shared scratch folder).
     """
     spark = docs.sparkSession
-    bound_arrow_batches(spark)
     path = path or scratch_path(spark, "tokens")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
@@ -179,7 +178,8 @@ def write(
             )
 
     parts = rows.mapInArrow(run, "part int, stem string, width int, n_docs long, n_tokens long")
-    parts = materialize(parts, "token-parts")
+    with arrow_batches(spark, 512):
+        parts = materialize(parts, "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     manifest = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     manifest.write.parquet(f"{path}/manifest")

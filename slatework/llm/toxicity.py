@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.text import bound_arrow_batches
 
 BITS = 20
 #: Words hashed at once; overlapping pieces keep every gram of a long text.
@@ -116,7 +115,6 @@ def train(
     Null keys and labels are left out, a key with several labels counts as 1 if any is, repeated documents
     are used each. Without any row the model is a coin toss.
     """
-    bound_arrow_batches(docs.sparkSession)
     y = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").groupBy("k").agg(F.max("y").alias("y"))
     y = y.orderBy(F.xxhash64("k"), "k").limit(most_rows)
     held = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -137,7 +135,6 @@ def train(
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1) of every row, whole texts, nothing shuffled; null and empty texts get the intercept's score."""
-    bound_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

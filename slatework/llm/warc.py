@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatework.llm.text import bound_arrow_batches
+from slatework.llm.text import arrow_batches
 from slatework.scratch import materialize, scratch_path
 
 #: A new file begins beyond this many bytes.
@@ -107,7 +107,6 @@ def write(
     ``path`` must be a folder that all executors and the driver reach (default: the shared scratch folder).
     """
     spark = pages.sparkSession
-    bound_arrow_batches(spark)
     path = path or scratch_path(spark, "warc")
     payload = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
     rows = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), payload.alias("payload"))
@@ -148,7 +147,8 @@ def write(
         if out:
             out.close()
 
-    return Archive(path, materialize(held.mapInArrow(run, INDEX), "warc-index"))
+    with arrow_batches(spark, 512):
+        return Archive(path, materialize(held.mapInArrow(run, INDEX), "warc-index"))
 
 
 def _ranges(rows: list[dict]) -> Iterator[list[dict]]:

@@ -65,3 +65,53 @@ def test_more_lines_than_a_sort_key_holds(spark):
     rows = [(1, lines(FAR) + "\nx0"), (2, "y9 z\n" + lines(5))]
     got = {r.key: r.removed for r in linededup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: [1, 6]}
+
+
+def _crowded():
+    """Near copies of a line whose words are all common, so that words and pairs of words have too many lines for one block."""
+    rng = random.Random(11)
+    base, other = [f"w{i}" for i in range(12)], [f"z{i}" for i in range(400)]
+    lines = []
+    for i in range(2100):
+        if i % 7:
+            words = list(base)
+            for j in rng.sample(range(12), rng.choice([1, 1, 1, 2])):
+                words[j] = rng.choice(other)
+        else:
+            words = rng.sample(other, 9) + rng.sample(base, 2)
+        lines.append(" ".join(words))
+    return [(i // 3, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
+
+
+def test_common_words_are_split(spark, monkeypatch):
+    rows = _crowded()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {k: v for k, v in removed(rows).items() if v}
+    seen = []
+    kept = linededup.Deal.of
+    monkeypatch.setattr(linededup.Deal, "of", staticmethod(lambda *a: seen.append(kept(*a)) or seen[-1]))
+    assert {r.key: r.removed for r in linededup.removals(df).collect()} == want
+    assert len(seen) == 2 and max(seen[0].blocks) > 2 and len(seen[1].words) > 1 and len(seen[1].slots) > 0
+    # Fewer slots may be split, and seekers' slots may be too many to be sent: other ways, the same result.
+    monkeypatch.setattr(linededup, "MOST_BROADCAST", 1)
+    assert {r.key: r.removed for r in linededup.removals(df).collect()} == want and len(seen[2].slots) == 1
+    monkeypatch.setattr(linededup, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(linededup, "FIRST", 1)
+    monkeypatch.setattr(linededup, "AGAIN", 2)
+    monkeypatch.setattr(linededup, "TREE", 1)
+    assert {r.key: r.removed for r in linededup.removals(df).collect()} == want
+
+
+def test_two_words_of_a_line_in_one_slot():
+    """Equal halves of word hashes put a line into a slot twice; it is no partner of itself."""
+    meta = np.array([(5 << 32) | linededup.SEEK | linededup.BASE | p for p in (0, 1)], np.int64)
+    none = np.zeros(2, np.int64)
+    later, earlier, more = linededup._pairs_in_groups(np.array([7, 7]), np.array([3, 3]), meta, none, none, 4, 5, 4)
+    assert not any(map(len, later)) and not any(map(len, earlier)) and not any(map(len, more))
+
+
+def test_a_line_of_many_documents(spark):
+    """One line makes half of all rows, so its places are found by broadcast."""
+    rows = [(i, f"the same words everywhere here\nown{i} line{i // 2} of{i} number{i}") for i in range(120)] + [(500, "the same words everywhere")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.key: r.removed for r in linededup.removals(df).collect()} == {k: v for k, v in removed(rows).items() if v}
