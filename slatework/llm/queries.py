@@ -17,7 +17,7 @@ PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message with the message it answers, its thread and its text without quotes."""
     rows = quotes.conversations(read(spark, sf_dir, "conversations"))
-    links = ["n_quoted", "n_linked", "to_conv", "to_turn", "root_conv", "root_turn", "depth"]
+    links = ["n_quoted", "n_linked", "to_conv", "to_turn", "root_conv", "root_turn", "depth", "place"]
     return rows.select("row.conv_id", "row.turn", "row.role", *links, F.length("body").cast("long").alias("body_chars"), F.sha2("body", 256).alias("body_sha256"))
 
 
@@ -115,44 +115,65 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_quotes": r"""
 WITH RECURSIVE lines AS (
-  SELECT conv_id AS conv, turn, unnest(string_split(text, chr(10))) AS raw FROM conversations WHERE text IS NOT NULL
+  SELECT conv_id AS conv, turn, hash(text) AS th, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line
+  FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)
 ), parsed AS (
-  SELECT conv, turn, raw,
-    length(regexp_replace(regexp_extract(raw, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level,
-    trim(regexp_replace(lower(regexp_replace(raw, '^((?:[ \t]*>)+)[ \t]?', '')), '[\x09-\x0D ]+', ' ', 'g')) AS content
+  SELECT conv, turn, th, line, length(regexp_replace(regexp_extract(raw, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level, regexp_replace(raw, '^((?:[ \t]*>)+)[ \t]?', '') AS bare
   FROM lines
-), own AS (SELECT conv, turn, content FROM parsed WHERE level = 0 AND content <> ''),
+), marked AS (
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv, turn, th ORDER BY line) THEN 1 ELSE 0 END AS begins FROM parsed
+), numbered AS (
+  SELECT *, sum(begins) OVER (PARTITION BY conv, turn, th ORDER BY line) AS passage FROM marked
+), runs AS (
+  SELECT conv, turn, th, passage, level, string_agg(bare, chr(10) ORDER BY line) AS content FROM numbered GROUP BY ALL
+), parts AS (
+  SELECT conv, turn, th, passage, level, 0 AS grain, 0 AS part, content FROM runs
+  UNION ALL
+  SELECT conv, turn, th, passage, level, 1, generate_subscripts(regexp_split_to_array(content, '\n[\x09-\x0D ]*\n'), 1), unnest(regexp_split_to_array(content, '\n[\x09-\x0D ]*\n')) FROM runs
+  UNION ALL
+  SELECT conv, turn, th, passage, level, 2, generate_subscripts(string_split(content, chr(10)), 1), unnest(string_split(content, chr(10))) FROM runs
+), units AS (
+  SELECT conv, turn, th, passage, level, grain, trim(regexp_replace(lower(regexp_replace(content, '^((?:[ \t]*>)+)[ \t]?', '')), '[\x09-\x0D ]+', ' ', 'g')) AS content FROM parts
+), own AS (SELECT conv, turn, content FROM units WHERE level = 0 AND content <> '' AND turn IS NOT NULL),
 near_by AS (SELECT conv, content, min(turn) AS to_turn FROM own GROUP BY ALL),
-far_off AS (SELECT content, min({'c': conv, 't': turn}) AS dest FROM own GROUP BY ALL),
-links AS (
-  SELECT q.conv, q.turn, q.level, CASE WHEN n.to_turn IS NOT NULL THEN q.conv ELSE f.dest.c END AS to_conv, coalesce(n.to_turn, f.dest.t) AS to_turn
-  FROM parsed q
+far_off AS (SELECT conv, content, to_turn, row_number() OVER (PARTITION BY content ORDER BY conv NULLS LAST) AS place FROM near_by),
+found AS (
+  SELECT q.*, len(string_split(q.content, ' ')) AS words, CASE WHEN n.to_turn IS NOT NULL THEN q.conv WHEN f1.conv IS DISTINCT FROM q.conv THEN f1.conv ELSE f2.conv END AS to_conv,
+    CASE WHEN n.to_turn IS NOT NULL THEN n.to_turn WHEN f1.conv IS DISTINCT FROM q.conv THEN f1.to_turn ELSE f2.to_turn END AS to_turn
+  FROM units q
   LEFT JOIN near_by n ON q.conv = n.conv AND q.content = n.content AND n.to_turn < q.turn
-  LEFT JOIN far_off f ON q.content = f.content AND f.dest.c IS DISTINCT FROM q.conv AND n.to_turn IS NULL
+  LEFT JOIN far_off f1 ON q.content = f1.content AND f1.place = 1
+  LEFT JOIN far_off f2 ON q.content = f2.content AND f2.place = 2
   WHERE q.level > 0 AND q.content <> ''
+), sums AS (
+  SELECT conv, turn, th, passage, level, grain, to_conv, to_turn, sum(words) AS words FROM found GROUP BY ALL
+), links AS (
+  SELECT conv, turn, th, passage, level, CASE WHEN to_turn IS NOT NULL THEN words END AS words, to_conv, to_turn FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv, turn, th, passage, level ORDER BY to_turn IS NULL, grain, words DESC, to_conv IS DISTINCT FROM conv, to_turn DESC, to_conv NULLS LAST) AS r FROM sums
+  ) WHERE r = 1
 ), votes AS (
-  SELECT conv, turn, to_conv, to_turn, count(*) AS n, count(*) FILTER (level = 1) AS outer_n FROM links GROUP BY ALL
+  SELECT conv, turn, to_conv, to_turn, sum(words) AS words FROM links WHERE level = 1 AND to_conv IS NOT NULL GROUP BY ALL
 ), best AS (
-  SELECT conv, turn, to_conv, to_turn,
-    row_number() OVER (PARTITION BY conv, turn ORDER BY outer_n DESC, to_turn DESC, to_conv) AS r
-  FROM votes WHERE to_turn IS NOT NULL AND outer_n > 0
-), sums AS (
-  SELECT conv, turn, sum(n) AS n_quoted, sum(CASE WHEN to_turn IS NOT NULL THEN n ELSE 0 END) AS n_linked FROM votes GROUP BY ALL
+  SELECT conv, turn, to_conv, to_turn, row_number() OVER (PARTITION BY conv, turn ORDER BY words DESC, to_turn DESC, to_conv) AS r FROM votes
+), counts AS (
+  SELECT conv, turn, count(*) AS n_quoted, count(to_turn) AS n_linked FROM links GROUP BY ALL
 ), ids AS (SELECT DISTINCT conv_id AS conv, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 parents AS (
   SELECT i.conv, i.turn, coalesce(s.n_quoted, 0) AS n_quoted, coalesce(s.n_linked, 0) AS n_linked,
     CASE WHEN b.to_turn IS NOT NULL THEN b.to_conv WHEN p.turn IS NOT NULL THEN i.conv END AS to_conv,
     CASE WHEN b.to_turn IS NOT NULL THEN b.to_turn WHEN p.turn IS NOT NULL THEN i.turn - 1 END AS to_turn
-  FROM ids i LEFT JOIN sums s USING (conv, turn) LEFT JOIN best b ON i.conv = b.conv AND i.turn = b.turn AND b.r = 1
+  FROM ids i LEFT JOIN counts s USING (conv, turn) LEFT JOIN best b ON i.conv = b.conv AND i.turn = b.turn AND b.r = 1
   LEFT JOIN ids p ON p.conv = i.conv AND p.turn = i.turn - 1
-), tree AS (
-  SELECT conv, turn, conv AS root_conv, turn AS root_turn, 0 AS depth FROM parents WHERE to_turn IS NULL
+), walk AS (
+  SELECT conv, turn, conv AS root_conv, turn AS root_turn, 0 AS depth, [{'c': conv, 't': turn}] AS path FROM parents WHERE to_turn IS NULL
   UNION ALL
-  SELECT p.conv, p.turn, t.root_conv, t.root_turn, t.depth + 1 FROM parents p JOIN tree t ON p.to_conv = t.conv AND p.to_turn = t.turn
+  SELECT p.conv, p.turn, t.root_conv, t.root_turn, t.depth + 1, list_append(t.path, {'c': p.conv, 't': p.turn}) FROM parents p JOIN walk t ON p.to_conv = t.conv AND p.to_turn = t.turn
+), tree AS (
+  SELECT *, row_number() OVER (PARTITION BY root_conv, root_turn ORDER BY path) - 1 AS place FROM walk
 )
 SELECT m.conv_id, m.turn, m.role, CAST(coalesce(p.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(p.n_linked, 0) AS BIGINT) AS n_linked,
   p.to_conv, p.to_turn, coalesce(t.root_conv, p.conv) AS root_conv, coalesce(t.root_turn, p.turn) AS root_turn,
-  CAST(CASE WHEN p.conv IS NOT NULL THEN coalesce(t.depth, 0) END AS BIGINT) AS depth,
+  CAST(CASE WHEN p.conv IS NOT NULL THEN coalesce(t.depth, 0) END AS BIGINT) AS depth, CAST(CASE WHEN p.conv IS NOT NULL THEN coalesce(t.place, 0) END AS BIGINT) AS place,
   length(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) AS body_chars,
   sha256(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) AS body_sha256
 FROM conversations m LEFT JOIN parents p ON m.conv_id = p.conv AND m.turn = p.turn LEFT JOIN tree t ON m.conv_id = t.conv AND m.turn = t.turn
