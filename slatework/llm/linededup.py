@@ -30,12 +30,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.text import arrow_batches
+from slatework.llm.text import arrow_batches, input_bytes
 from slatework.scratch import materialize
 
 RARITY, FIRST = 24, 4
 #: Buckets are summed in pieces of this many, and over so many tasks at first.
 PIECE, TREE = 1 << 16, 512
+#: Bytes of a file that a task is taken to read.
+SPLIT = 128 << 20
 #: Slots that are broadcast, and half as many lines to read again; beyond it they are joined by a shuffle, or slots stay whole.
 MOST_BROADCAST = 400_000
 #: A slot of twice as many rows is split into blocks of about so many; rows a bucket (held by a task) and a blob have.
@@ -142,7 +144,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     schema, width = "piece int, at binary, n binary", "<u2"
     parts = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
-    tasks = docs.rdd.getNumPartitions()
+    tasks = -(-input_bytes(docs) // SPLIT)
     if tasks > TREE:  # sums of TREE tasks first, so that no task reads what all tasks counted
         groups = -(-tasks // TREE)
         parts = parts.repartition(min(groups * ((1 << RARITY) // PIECE), 20_000), "piece", F.spark_partition_id() % groups).mapInArrow(add("<u2", False), schema)

@@ -48,6 +48,13 @@ def arrow_batches(spark: SparkSession, rows: int, size: int = 16 << 20) -> Itera
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of the files that a DataFrame reads, as Spark knows them without running it; what it does not know counts nothing."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

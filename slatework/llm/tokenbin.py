@@ -29,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatework.llm.text import arrow_batches
+from slatework.llm.text import arrow_batches, input_bytes
 from slatework.scratch import materialize, scratch_path
 
-#: Words kept with their ids in a worker; about 120 MB when full.
-CACHE = 500_000
+#: Words kept with their ids in a worker; about 40 MB when full.
+CACHE = 150_000
+#: Bytes of input a part, and of tokens that are read at once where files cannot be mapped.
+PART_BYTES, READ_BYTES = 64 << 20, 4 << 20
 #: Most tasks that read parts back.
 MOST_TASKS = 20_000
 _TOKENIZERS: dict[str, "Encoder"] = {}
@@ -73,7 +75,10 @@ class _Words(dict):
 
 
 def _by_word(path: str) -> bool:
-    """Whether white space ends every word and is dropped, and words are lower-cased letters, in this tokenizers file."""
+    """Whether white space ends every word and is dropped, and words are lower-cased letters, in this tokenizers file.
+
+    The driver asks this once: the parsed file is larger than all that a worker keeps.
+    """
     with open(path) as f:
         spec = json.load(f)
     steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -89,7 +94,7 @@ def _by_word(path: str) -> bool:
 class Encoder:
     """A tokenizers file; where its rules allow it, distinct words are encoded once a worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_word: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,7 +102,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = _Words(self.tokenizer, self.type) if _by_word(path) else None
+        self.words = _Words(self.tokenizer, self.type) if by_word else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
@@ -109,10 +114,10 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, by_word: bool) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Encoder(path)
+        _TOKENIZERS[path] = Encoder(path, by_word)
     return _TOKENIZERS[path]
 
 
@@ -140,16 +145,19 @@ def write(
     """Encode every whole text, append ``end_id``, write the parts in ascending key order.
 
     A null or empty text is the end id alone. Null keys come first. Rows with equal keys are ordered by
-    text and stay separate documents. Other columns are ignored. An empty table gives no parts.
+    their text's hash, then text, and stay separate documents; they may be in several parts, but for rows that are wholly equal.
+    Other columns are ignored. An empty table gives no parts. The number of parts follows the bytes of the input.
     ``path`` must be a folder that all executors and the driver reach (default: the shared scratch folder).
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    by_word = _by_word(vocabulary)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(-(-input_bytes(docs) // PART_BYTES), MOST_TASKS))
+    rows = rows.repartitionByRange(tasks, "key", "th").sortWithinPartitions("key", "th", "text").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder = TaskContext.get().partitionId(), encoder(vocabulary)
+        part, coder = TaskContext.get().partitionId(), encoder(vocabulary, by_word)
         end = np.array([end_id], coder.type).tobytes()
         fs, base = _open(path)
         stem, sinks, offsets = f"{part:06d}-{uuid.uuid4().hex}", None, [0]
@@ -179,7 +187,8 @@ def write(
 
     parts = rows.mapInArrow(run, "part int, stem string, width int, n_docs long, n_tokens long")
     with arrow_batches(spark, 512):
-        parts = materialize(parts, "token-parts")
+        # A row per part: in a few files, not one each.
+        parts = materialize(parts.repartition(-(-tasks // 4096), "part"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     manifest = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     manifest.write.parquet(f"{path}/manifest")
@@ -192,25 +201,35 @@ def load(spark: SparkSession, path: str, key_type: str = "bigint") -> TokenSet:
     return TokenSet(path, spark.read.parquet(f"{path}/manifest"), key_type)
 
 
-def documents(path: str, stem: str, width: int) -> Iterator[tuple[object, int, np.ndarray]]:
-    """(key, offset, ids) of each document of a part; local files are memory-mapped, others read once."""
+def _token_ranges(path: str, width: int, offsets: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
+    """The ids of each document of a part, by reads of about ``at_once`` bytes, or of one longer document."""
+    fs, name = _open(path)
+    kind, first = np.dtype(f"<u{width}"), 0
+    with fs.open_input_file(name) as f:
+        while first + 1 < len(offsets):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + np.uint64(at_once // width), "right")) - 1)
+            start, end = int(offsets[first]), int(offsets[last])
+            held = np.frombuffer(f.read_at((end - start) * width, start * width), kind)
+            for i in range(first, last):
+                yield held[int(offsets[i]) - start : int(offsets[i + 1]) - start]
+            first = last
+
+
+def documents(path: str, stem: str, width: int, mapped: bool | None = None, at_once: int = READ_BYTES) -> Iterator[tuple[object, int, np.ndarray]]:
+    """(key, offset, ids) of each document of a part; local files are memory-mapped (``mapped``), of others ranges are read."""
     fs, base = _open(path)
-    kind = np.dtype(f"<u{width}")
-    if isinstance(fs, pafs.LocalFileSystem):
-        tokens = np.memmap(f"{base}/{stem}.bin", kind, "r")
-        offsets = np.memmap(f"{base}/{stem}.idx", "<u8", "r")
+    mapped = isinstance(fs, pafs.LocalFileSystem) if mapped is None else mapped
+    if mapped:
+        tokens, offsets = np.memmap(f"{base}/{stem}.bin", f"<u{width}", "r"), np.memmap(f"{base}/{stem}.idx", "<u8", "r")
+        found = (tokens[int(x) : int(y)] for x, y in zip(offsets, offsets[1:]))
     else:
-        with fs.open_input_file(f"{base}/{stem}.bin") as f:
-            tokens = np.frombuffer(f.read(), kind)
         with fs.open_input_file(f"{base}/{stem}.idx") as f:
             offsets = np.frombuffer(f.read(), "<u8")
-    at = 0
+        found = _token_ranges(f"{path}/{stem}.bin", width, offsets, at_once)
     with fs.open_input_stream(f"{base}/{stem}.key") as f:
-        for batch in pa.ipc.open_stream(f):
-            for k in batch.column(0):
-                first, last = int(offsets[at]), int(offsets[at + 1])
-                yield k.as_py(), first, tokens[first:last]
-                at += 1
+        keys = (k.as_py() for batch in pa.ipc.open_stream(f) for k in batch.column(0))
+        for k, first, ids in zip(keys, offsets, found):
+            yield k, int(first), ids
 
 
 def digest(tokens: TokenSet) -> DataFrame:

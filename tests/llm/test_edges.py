@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and extra columns with clashing names, operator by operator."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from slatework.llm import decontaminate, fertility, licences, linededup, mixing, simhash, tokenbin, toxicity, warc
@@ -101,13 +102,36 @@ def test_tokens(spark, docs):
     t = Tokenizer.from_file(WORD_VOCABULARY)
     got = tokenbin.digest(tokenbin.write(docs, WORD_VOCABULARY)).orderBy("start").collect()
     at = 0
-    for r, (k, text, *_) in zip(got, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))):
+    hashed = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    for r, (k, text, *_) in zip(got, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[:2]]))):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert (r.key, r.start, r.n_tokens, r.ids_crc32) == (k, at, len(ids), brute.crc(ids))
         at += len(ids)
     assert tokenbin.digest(tokenbin.write(docs.limit(0), WORD_VOCABULARY)).count() == 0
 
 
+def test_tokens_by_ranges(spark, docs):
+    """Files that cannot be mapped are read by ranges; both ways give the same."""
+    tokens = tokenbin.write(docs, WORD_VOCABULARY)
+    n = 0
+    for r in tokens.manifest.collect():
+        parts = [[(k, at, ids.tolist()) for k, at, ids in tokenbin.documents(tokens.path, r.stem, r.width, mapped, size)] for mapped, size in ((True, 0), (False, 1), (False, 7), (False, 1 << 20))]
+        assert parts[0] == parts[1] == parts[2] == parts[3] and len(parts[0]) == r.n_docs
+        n += r.n_docs
+    assert n == len(ROWS)
+
+
+def test_tokens_of_one_key(spark):
+    """Rows that share a key, or have none, are dealt by text too."""
+    df = spark.createDataFrame([(None if i % 2 else 1, f"word{i} tail") for i in range(400)], "doc_id long, text string")
+    tokens = tokenbin.write(df, WORD_VOCABULARY)
+    rows = tokenbin.digest(tokens).collect()
+    assert len(rows) == 400 and max(r.n_docs for r in tokens.manifest.collect()) < 350
+    ends = sorted((r.start, r.start + r.n_tokens) for r in rows)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    assert [r.key for r in sorted(rows, key=lambda r: r.start)] == [None] * 200 + [1] * 200
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u\r\nX: y", None), (4, "u", ""), (5, "v", "x" * 3_000_000), (None, "w", "<p>é</p>"), (1, "http://a", "<p>é</p>"), (6, "r\r\n\r\n", "\r\n\r\nbody")]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, payload string, slot string")

@@ -99,6 +99,7 @@ def test_common_words_are_split(spark, monkeypatch):
     monkeypatch.setattr(linededup, "FIRST", 1)
     monkeypatch.setattr(linededup, "AGAIN", 2)
     monkeypatch.setattr(linededup, "TREE", 1)
+    monkeypatch.setattr(linededup, "input_bytes", lambda docs: 3 * linededup.SPLIT)
     assert {r.key: r.removed for r in linededup.removals(df).collect()} == want
 
 
