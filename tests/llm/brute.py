@@ -1,7 +1,9 @@
 """Plain Python versions of the corpus operators, written from their contracts."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -88,3 +90,19 @@ def targets(sizes, weights=(1, 2, 3), cap=3):
             return fixed | {s: level * weight[s] for s in rest}
         fixed |= {s: cap * sizes[s] for s in over}
         rest -= over
+
+
+def token_measures(sp, text):
+    """Tokens, characters per token, share of bytes, entropy and share of tokens of marks only, from one encode of the whole text."""
+    ids = sp.encode(text or "")
+    n, chars = len(ids), sum(map(len, space_words(text)))
+    if not n:
+        return 0, 0.0, 0.0, 0.0, 0.0
+    counts = Counter(ids)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+
+    def marks(i):
+        p = sp.id_to_piece(i).replace("\u2581", "").strip()
+        return bool(p) and not sp.is_byte(i) and i > 2 and all(unicodedata.category(c)[0] not in "LNM" for c in p)
+
+    return n, chars / n, sum(c for i, c in counts.items() if sp.is_byte(i)) / n, entropy, sum(c for i, c in counts.items() if marks(i)) / n

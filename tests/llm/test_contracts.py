@@ -40,6 +40,14 @@ def test_quality(spark, sf, docs):
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want
         assert g.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert not (g.base_failed and g.kept)
+    sp = fertility._model(Q.PIECE_VOCABULARY)[0]
+    measured = fertility.score(spark.read.parquet(f"{sf}/documents.parquet"), Q.PIECE_VOCABULARY).collect()
+    for m in measured:
+        want = brute.token_measures(sp, m.row.text)
+        assert m.n_tokens == want[0] and [m.chars_per_token, m.byte_share, m.entropy, m.mark_share] == pytest.approx(want[1:], abs=1e-9)
+        band = fertility.DEFAULT.bands[m.row.lang]
+        good = band.least_chars <= want[1] <= band.most_chars and want[2] <= band.most_bytes and want[4] <= band.most_marks
+        assert m.kept == (not m.base_failed and good and want[3] >= band.least_entropy * math.log2(max(2, min(want[0], 1024))))
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     good = [rows[i].kept for i, q in labels.items() if q == 1 and not rows[i].base_failed]
     bad = [rows[i].kept for i, q in labels.items() if q == 0]

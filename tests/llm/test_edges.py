@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and extra columns with clashing names, operator by operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,8 +43,6 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_links_lose_nothing(spark):
-    import random
-
     rng = random.Random(1)
     points = {rng.getrandbits(64) for _ in range(60)}
     for p in list(points):
@@ -155,12 +155,20 @@ def test_toxicity(spark, docs):
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.5}
 
 
-def test_long_text_in_pieces():
+def test_long_text_in_pieces(monkeypatch):
     words = " ".join(f"w{i}" for i in range(70_000))
-    cuts = list(fertility._pieces(words))
-    assert "".join(cuts) == words and max(map(len, cuts)) <= fertility.PIECE
     assert simhash.fingerprint(words) == brute.simhash(words)
     assert len(toxicity.features(words)) > 100_000
+    sp, *tools = fertility._model(PIECE_VOCABULARY)
+    assert tools[-1]  # so pieces are used
+    rng = random.Random(2)
+    parts = ["the", "of", "Über", "naïve", "x1", "  ", "\n", "\t", "日本", "привет", "😀", "a▁b", "▁", "...", "é", "\u00a0", "\u3000", "ﬁ"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "", " ", "\n"]) for _ in range(rng.randint(1, 120))) for _ in range(400)]
+    for size, some in ((40, texts), (1 << 16, [words * 3, "x" * 200_000, "y\n" * 100_000, " ".join(texts) * 40])):
+        monkeypatch.setattr(fertility, "PIECE", size)
+        for t in some:
+            assert [i for p in fertility._pieces(t, True) for i in sp.encode(p)] == sp.encode(t)
+    assert len(list(fertility._pieces(words, True))) > 5
 
 
 def test_licences_and_lines(spark, docs):
@@ -175,7 +183,6 @@ def test_pipeline_stages_keep_columns(spark, docs, sf):
 
 
 def test_remove_spans_keeps_case(spark):
-    import random
     import re
 
     rng = random.Random(4)
