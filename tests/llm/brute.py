@@ -106,3 +106,10 @@ def token_measures(sp, text):
         return bool(p) and not sp.is_byte(i) and i > 2 and all(unicodedata.category(c)[0] not in "LNM" for c in p)
 
     return n, chars / n, sum(c for i, c in counts.items() if sp.is_byte(i)) / n, entropy, sum(c for i, c in counts.items() if marks(i)) / n
+
+
+def declared(text, templates):
+    """Families whose short declarations stand in a text word for word."""
+    plain = " ".join(re.findall("[a-z0-9]+", (text or "").lower()))
+    short = {f: " ".join(re.findall("[a-z0-9]+", t[-1].lower())) for f, t in templates.items()}
+    return {f for f, t in short.items() if f" {t} " in f" {plain} "}

@@ -44,7 +44,7 @@ def test_stages(spark, sf, tmp_path):
 def test_licences(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: set(filter(None, r.families.split(","))) for r in op10_licences(spark, sf).collect()}
-    assert got == {i: licences.declared(t) for i, t in texts.items()}
+    assert got == {i: brute.declared(t, licences.TEMPLATES) for i, t in texts.items()}
     model = licences.train()
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "x\n\n" + licences.TEMPLATES["mit"][0] + " tail " * 90), (4, "licence of the version")], "doc_id long, text string")
     found = {r.key: [(x.line, x.family) for x in r.licences] for r in licences.scan(odd, model).collect()}
@@ -83,7 +83,7 @@ def _found(texts):
 
 
 def test_wrapped_licences():
-    cases = [(f, t, mark, width) for f, some in licences.TEMPLATES.items() for t in some for mark in ("", "# ", " * ") for width in (72, 40)]
+    cases = [(f, t, mark, width) for f, some in licences.TEMPLATES.items() for t in some for mark in ("", "# ", " * ", "// ") for width in (80, 70, 60, 40)]
     texts = [f"int x;\n{m.rstrip()}\n" + "\n".join(m + x for x in textwrap.wrap(t, width)) + f"\n{m.rstrip()}\nother words" for _, t, m, width in cases]
     assert [(c, x) for c, x in zip(cases, _found(texts)) if x != [(2, c[0])]] == []
 
@@ -95,3 +95,20 @@ def test_several_licences_on_a_line():
     assert [(p, x) for p, x in zip(pairs, found) if x != [(0, f) for f in sorted(p)]] == []
     apart = [f"{short[f]}\n{short[g]}" for f, g in pairs]
     assert [(p, x) for p, x in zip(pairs, _found(apart)) if sorted(x) != [(0, p[0]), (1, p[1])]] == []
+
+
+def test_unknown_licences():
+    names = ["Acme Widget", "Zorblax", "Open Toaster Community"]
+    declared = [f"some words before\n\n{t.format(n)}\n\nand after" for t in licences.OTHERS for n in names]
+    found = _found(declared)
+    assert sum(x == [(2, "unknown")] for x in found) > 0.9 * len(found) and not any(f != "unknown" for x in found for _, f in x)
+    clean = ["the version of the software was released in may", "a copy of the notice is for the public", "the work is free and the public likes it", "license plates and driving licenses are sold here"] * 2
+    assert not any(_found(clean))
+
+
+def test_licences_in_long_and_repeated_texts(spark):
+    filler = "plain words go on without end and say nothing of it\n" * 20_000
+    long = filler + licences.TEMPLATES["apache"][0] + "\n" + filler + licences.TEMPLATES["mit"][2]
+    rows = [(1, long), (1, long), (2, licences.TEMPLATES["gpl"][2] + "\n\n" + licences.TEMPLATES["gpl"][2]), (None, licences.TEMPLATES["mpl"][1])]
+    got = sorted((r.key or 0, [(x.line, x.family) for x in r.licences]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, [(0, "mpl")]), (1, [(20_000, "apache"), (40_001, "mit")]), (1, [(20_000, "apache"), (40_001, "mit")]), (2, [(0, "gpl"), (2, "gpl")])]
