@@ -5,6 +5,9 @@ Tables are never overwritten in place: ``TableStore`` writes a new version and m
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +62,10 @@ def cascade(parent: DataFrame, key: str, doomed: DataFrame, children: list[tuple
 
 
 class TableStore:
-    """Versioned Parquet tables below one folder: a write is a new version, readers follow the pointer.
+    """Versioned Parquet tables below one folder: a write is a new version, an append a folder beside it, readers take the latest.
 
-    The pointer is a one-row Parquet folder per version; the largest version counts, so a job that dies
-    while writing leaves the former version in force.
+    A folder counts once Spark has committed it, so a job that dies while writing leaves the former version in force. A
+    table may be kept in parts (one per codebase), each with versions of its own: changing one part touches no other.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -73,31 +76,82 @@ class TableStore:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self, name: str) -> list[int]:
-        """Committed versions of a table, ascending."""
+    def _folders(self, name: str) -> list[str]:
         fs, path = self._fs()
         root = path(f"{self.path}/{name}")
-        if not fs.exists(root):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(f[1:]) for f in found if f.startswith("v") and fs.exists(path(f"{self.path}/{name}/{f}/_SUCCESS")))
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+    def _committed(self, name: str) -> dict[int, list[str]]:
+        """Folders of each version: the write, then its appends in order."""
+        fs, path = self._fs()
+        found: dict[int, list[tuple[int, str]]] = {}
+        for f in self._folders(name):
+            m = re.fullmatch(r"v(\d+)(?:-(\d+))?", f)
+            if m and fs.exists(path(f"{self.path}/{name}/{f}/_SUCCESS")):
+                found.setdefault(int(m[1]), []).append((int(m[2] or 0), f"{self.path}/{name}/{f}"))
+        return {v: [f for _, f in sorted(some)] for v, some in sorted(found.items()) if min(some)[0] == 0}
+
+    def versions(self, name: str) -> list[int]:
+        """Committed versions of a table, ascending."""
+        return list(self._committed(name))
 
     def exists(self, name: str) -> bool:
-        """Whether any version was committed."""
-        return bool(self.versions(name))
+        """Whether any version was committed, of the table or of a part."""
+        return bool(self.versions(name)) or bool(self.parts(name))
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """The latest version, or one of the past."""
-        version = self.versions(name)[-1] if version is None else version
-        return self.spark.read.parquet(f"{self.path}/{name}/v{version}")
+        known = self._committed(name)
+        return self.spark.read.parquet(*known[max(known) if version is None else version])
 
     def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Commit a new version and return it."""
-        version = (self.versions(name) or [0])[-1] + 1
+        version = max(self._numbers(name), default=0) + 1
         out = df.write.partitionBy(partition_by) if partition_by else df.write
         out.parquet(f"{self.path}/{name}/v{version}")
         return self.read(name, version)
 
+    def _numbers(self, name: str) -> list[int]:
+        """Versions begun, committed or not."""
+        return [int(m[1]) for m in (re.match(r"v(\d+)", f) for f in self._folders(name)) if m]
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Add rows to the latest version without reading or copying it, and return the table; nothing is compared."""
+        known = self._committed(name)
+        if not known:
+            return self.write(name, df)
+        version = max(known)
+        taken = [int(m[1]) for m in (re.fullmatch(rf"v{version}-(\d+)", f) for f in self._folders(name)) if m]
+        df.write.parquet(f"{self.path}/{name}/v{version}-{max(taken, default=0) + 1}")
+        return self.read(name)
+
     def upsert(self, name: str, new: DataFrame, keys: list[str], **options) -> DataFrame:
         """Keyed upsert as a new version; the first one is what is given."""
         return self.write(name, upsert(self.read(name), new, keys, **options) if self.exists(name) else new)
+
+    @staticmethod
+    def part(name: str, of: str) -> str:
+        """The name of a table's part."""
+        return f"{name}/part-{quote(of, safe='')}"
+
+    def parts(self, name: str) -> list[str]:
+        """Names of a table's parts with a committed version."""
+        return [f"{name}/{f}" for f in sorted(self._folders(name)) if f.startswith("part-") and self.versions(f"{name}/{f}")]
+
+    def read_parts(self, name: str, of: str | None = None) -> DataFrame | None:
+        """All parts together, or the one of a codebase: only its files are listed. None where there is none."""
+        names = self.parts(name) if of is None else [n for n in [self.part(name, of)] if self.versions(n)]
+        out = None
+        for n in names:
+            out = self.read(n) if out is None else out.unionByName(self.read(n), allowMissingColumns=True)
+        return out
+
+    def sweep(self, name: str, keep: int = 2) -> int:
+        """Delete all but the latest ``keep`` versions, which running readers may still use; how many went."""
+        fs, path = self._fs()
+        known = self._committed(name)
+        old = list(known)[:-keep] if keep else list(known)
+        for version in old:
+            for folder in known[version]:
+                fs.delete(path(folder), True)
+        return len(old)

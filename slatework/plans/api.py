@@ -10,7 +10,7 @@ from slatework.operators import change, graph, symbols
 from slatework.plans import retrieve as R
 from slatework.plans.config import SearchConfig
 from slatework.plans.registry import Registry
-from slatework.sources.embedding import MockProvider, Provider
+from slatework.sources.embedding import ExpressionProvider, Provider, mock_provider, vector_of
 
 
 class NotFound(LookupError):
@@ -18,21 +18,19 @@ class NotFound(LookupError):
 
 
 class Engine:
-    """Search and administration over one table store: corpus (partitioned by codebase), nodes, edges, codebases."""
+    """Search and administration over one table store: corpus, nodes, edges and files (a part per codebase), codebases."""
 
-    def __init__(self, spark: SparkSession, path: str, config: SearchConfig = SearchConfig(), provider: Provider | None = None):
-        self.spark, self.config, self.provider = spark, config, provider or MockProvider()
+    def __init__(self, spark: SparkSession, path: str, config: SearchConfig = SearchConfig(), provider: Provider | ExpressionProvider | None = None):
+        self.spark, self.config, self.provider = spark, config, provider or mock_provider()
         self.store = change.TableStore(spark, path)
         self.registry = Registry(self.store)
 
     def corpus(self, codebase: str) -> DataFrame:
-        """The indexed rows of a codebase; the filter prunes its partition."""
+        """The indexed rows of a codebase; only its part is read."""
         if self.registry.get(codebase).isEmpty():
             raise NotFound(f"codebase {codebase!r} is not registered")
-        if not self.store.exists("corpus"):
-            raise NotFound(f"codebase {codebase!r} is not indexed")
-        rows = self.store.read("corpus").where(F.col("codebase_name") == codebase)
-        if rows.isEmpty():
+        rows = self.store.read_parts("corpus", codebase)
+        if rows is None or rows.isEmpty():
             raise NotFound(f"codebase {codebase!r} is not indexed")
         return rows
 
@@ -43,26 +41,26 @@ class Engine:
             shown = found.select("name", "snippet_type", "file_path", "start_line", "end_line", "match_type", "match_priority", T.preview(F.col("content")).alias("preview"))
             if not self.config.fallback or not shown.isEmpty():
                 return shown
-        return graph.name_search(self.store.read("nodes"), codebase, query, limit)
+        return graph.name_search(self.store.read_parts("nodes"), codebase, query, limit)
 
     def retrieve(self, query: str, codebase: str, limit: int = 5, alpha: float | None = None) -> DataFrame:
         """Hybrid retrieval. ``alpha`` (an extension) weighs the vector branch against the keyword branch."""
         if self.config.backend != "tables":
             raise ValueError("retrieval needs the tables backend")
         weights = None if alpha is None else {"vector": alpha, "keyword": 1 - alpha}
-        vector = self.provider.embed_batch([query])[0]
+        vector = vector_of(self.spark, self.provider, query)
         return R.retrieve(self.corpus(codebase), query, vector, limit, hybrid=self.config.hybrid, weights=weights)
 
     def explore(self, name: str, codebase: str, relation: str = "all") -> DataFrame:
         """Callers, callees, methods and imports around a name (an extension)."""
-        nodes = graph.of_codebase(self.store.read("nodes"), codebase)
-        return graph.neighbours(nodes, self.store.read("edges"), name, relation)
+        nodes = graph.of_codebase(self.store.read_parts("nodes"), codebase)
+        return graph.neighbours(nodes, self.store.read_parts("edges"), name, relation)
 
     def graph_status(self) -> DataFrame:
         """Whether there is a graph, and its nodes."""
         if not self.store.exists("nodes"):
             return self.spark.createDataFrame([(False, 0)], "available boolean, nodes long")
-        return self.store.read("nodes").agg(F.count("*").alias("nodes")).select(F.lit(True).alias("available"), "nodes")
+        return self.store.read_parts("nodes").agg(F.count("*").alias("nodes")).select(F.lit(True).alias("available"), "nodes")
 
     def config_frame(self) -> DataFrame:
         """The settings in force."""
@@ -72,10 +70,10 @@ class Engine:
         """SQL over the views nodes, edges and corpus."""
         for name in ("nodes", "edges", "corpus"):
             if self.store.exists(name):
-                self.store.read(name).createOrReplaceTempView(name)
+                self.store.read_parts(name).createOrReplaceTempView(name)
         return self.spark.sql(sql)
 
     def statistics(self, codebase: str) -> DataFrame:
         """files, snippets, embeddings, corpus_rows of a codebase in one pass."""
-        rows = self.store.read("corpus").where(F.col("codebase_name") == codebase)
+        rows = self.corpus(codebase)
         return rows.agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("snippets"), F.count_if(F.size("embedding") > 0).alias("embeddings"), F.count("*").alias("corpus_rows"))

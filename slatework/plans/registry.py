@@ -40,7 +40,9 @@ class Registry:
         return self.table().where("enabled").orderBy("name")
 
     def register(self, rows: DataFrame, enabled: bool = True) -> DataFrame:
-        """Upsert by name; enabled, commit and creation time of rows that exist stay as they are."""
+        """Upsert by name; enabled, commit and creation time of rows that exist stay as they are. Every row needs a github_repo."""
+        if "github_repo" not in rows.columns or not rows.where(F.coalesce(F.trim("github_repo"), F.lit("")) == "").isEmpty():
+            raise ValueError("every codebase needs a github_repo")
         now = F.current_timestamp()
         filled = {"enabled": F.lit(enabled), "main_branch_name": F.lit("main"), "language": F.lit("mixed"), "description": F.lit("")}
         for c, v in filled.items():
@@ -95,6 +97,18 @@ class Registry:
         null = F.lit(None)
         return bool(self._update((F.col("name") == name) & F.col("last_sync_error").isNotNull(), last_sync_error=null.cast("string"), last_sync_error_at=null.cast("timestamp")))
 
+    def record_sync(self, outcomes: DataFrame) -> DataFrame:
+        """Paths, commits and errors of a pass (name, path, commit, error) in one write; nulls leave paths and commits as they are."""
+        table, now = self.table(), F.current_timestamp()
+        joined = table.join(outcomes.select("name", F.struct("path", "commit", "error").alias("__s")), "name", "left")
+        seen, failed = F.col("__s").isNotNull(), F.col("__s.error")
+        values = {
+            "path": F.coalesce(F.col("__s.path"), F.col("path")), "last_indexed_commit": F.coalesce(F.col("__s.commit"), F.col("last_indexed_commit")),
+            "last_sync_error": F.when(seen, failed).otherwise(F.col("last_sync_error")),
+            "last_sync_error_at": F.when(~seen, F.col("last_sync_error_at")).when(failed.isNotNull(), now), "updated_at": F.when(seen, now).otherwise(F.col("updated_at")),
+        }
+        return self.store.write(self.name, joined.select(*[values.get(c, F.col(c)).alias(c) for c in table.columns]))
+
     def delete(self, name: str) -> bool:
         """Whether a row was removed; indexed data stay."""
         table = self.table()

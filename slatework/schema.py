@@ -9,14 +9,10 @@ CODEBASES = (
     "id long, name string, path string, description string, language string, created_at timestamp, updated_at timestamp, enabled boolean, "
     "github_repo string, main_branch_name string, last_indexed_commit string, last_sync_error string, last_sync_error_at timestamp"
 )
-FILES = "id long, codebase_id long, file_path string, relative_path string, content_hash string, file_size int, created_at timestamp, updated_at timestamp"
-SNIPPETS = "id long, file_id long, snippet_type string, name string, start_line int, end_line int, content string, language string, created_at timestamp"
-EMBEDDINGS = "id long, snippet_id long, model string, embedding array<float>, created_at timestamp"
-INDEX_RUNS = "id long, codebase_id long, status string, files_processed int, snippets_created int, error string, started_at timestamp, finished_at timestamp"
-CORPUS = "codebase_name string, id long, file_path string, snippet_type string, name string, content string, start_line long, end_line long, language string, embedding array<float>"
-REPOS = "name string, github_repo string, default_branch string, description string, language string"
-RANKED = "source string, rank int, id long, name string, content string"
-LOAD_RESULTS = "query string, total_ms double, embed_ms double, search_ms double, result_count int, success boolean, error string"
+CORPUS = (
+    "codebase_name string, id long, file_path string, snippet_type string, name string, content string, start_line long, end_line long, language string, docstring string, error string, "
+    "embedding array<float>"
+)
 
 
 def with_columns(df: DataFrame, schema: str) -> DataFrame:

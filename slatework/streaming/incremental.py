@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatework import schema
 from slatework.functions.ids import stable_id
 from slatework.functions.text import is_blank
 from slatework.operators import change, extract, graph
@@ -28,8 +31,8 @@ def snapshot(spark: SparkSession, root: str, codebase: str, memo: str, exclude:
     return rows.withColumn("codebase_name", F.lit(codebase)).withColumn("memo", F.lit(memo))
 
 
-def index_rows(changed: DataFrame, codebase: str, provider: embedding.Provider) -> DataFrame:
-    """Corpus rows of some files: extract, drop blanks, embed, stable ids."""
+def index_rows(changed: DataFrame, codebase: str, provider: embedding.Provider | embedding.ExpressionProvider) -> DataFrame:
+    """Corpus rows of some files: extract, drop blanks, embed, stable ids. Rows that could not be embedded have embed_error."""
     found = extract.extract(changed).where(~is_blank(F.col("content")))
     found = embedding.embed(found, provider)
     ids = stable_id(F.lit(codebase), "file_path", "start_line", "name", "content")
@@ -39,72 +42,99 @@ def index_rows(changed: DataFrame, codebase: str, provider: embedding.Provider)
 def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run: bool = False, exclude: tuple[str, ...] = files.EXCLUDED) -> DataFrame:
     """Bring a codebase's rows up to date; status, files. Only new and changed files are read by the extractor.
 
-    A file is unchanged if its content hash and the memo key are. Rows of changed and deleted files are
-    replaced in one new version of the corpus, the file table follows last, so a build that dies is repeated.
+    A file is unchanged if its content hash and the memo key are. Without any change nothing is written. Else the
+    codebase's own parts of the tables get a new version: the rows of unchanged files, and those of new and changed ones. The
+    file table follows last, so a build that dies is repeated. Files with rows that could not be embedded stay out of it and are
+    tried again by the next build; ``failures`` has their errors, and status ``failed`` counts them.
     """
     spark, store = engine.spark, engine.store
     now = snapshot(spark, root, codebase, memo_key(engine), exclude)
-    known = store.read("files") if store.exists("files") else spark.createDataFrame([], "codebase_name string, relative_path string, content_hash string, file_size long, memo string")
-    mine = known.where(F.col("codebase_name") == codebase)
-    status = materialize(change.diff(now, mine.limit(0) if full else mine, "relative_path", "content_hash", "memo"), "build-status")
+    known = store.read_parts("files", codebase)
+    if known is None or full:
+        known = spark.createDataFrame([], "codebase_name string, relative_path string, content_hash string, file_size long, memo string")
+    status = materialize(change.diff(now, known, "relative_path", "content_hash", "memo"), "build-status")
     summary = status.groupBy("status").agg(F.count("*").alias("files"))
-    if dry_run:
+    old = store.read_parts("corpus", codebase)
+    if dry_run or (old is not None and status.where("status != 'unchanged'").isEmpty()):
         return summary
     fresh = index_rows(now.join(status.where("status IN ('new', 'changed')"), "relative_path", "left_semi"), codebase, engine.provider)
     fresh = materialize(fresh, "build-rows")
-    if store.exists("corpus"):
-        corpus = store.read("corpus")
-        kept = status.where("status = 'unchanged'").select(F.lit(codebase).alias("codebase_name"), F.col("relative_path").alias("file_path"))
-        other = corpus.where(F.col("codebase_name") != codebase)
-        same = corpus.where(F.col("codebase_name") == codebase).join(kept, ["codebase_name", "file_path"], "left_semi")
-        rows = other.unionByName(same, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
-    else:
-        rows = fresh
-    corpus = store.write("corpus", rows, "codebase_name")
-    code = corpus.where(F.col("codebase_name") == codebase)
-    nodes, edges = graph.nodes(code), graph.edges(code)
-    if store.exists("nodes"):
-        old_nodes, old_edges = graph.clear(store.read("nodes"), store.read("edges"), codebase)
-        nodes, edges = old_nodes.unionByName(nodes), old_edges.unionByName(edges)
-    store.write("nodes", nodes)
-    store.write("edges", edges)
-    store.write("files", known.where(F.col("codebase_name") != codebase).unionByName(now.select(*FILE_COLUMNS)))
-    return summary
-
-
-def poll(engine: Engine, sync: Callable[[str, str, str], tuple[str, str]], dry_run: bool = False, build_one: Callable[[str, str], bool] | None = None) -> dict[str, int]:
-    """Sync every enabled codebase and index those with a new commit; checked, reindexed, skipped, failed.
-
-    ``sync(repo, name, branch)`` returns (commit, path) or raises SyncError. One failure stops nothing. The commit is
-    recorded last, so a failed build is tried again; a dry run writes nothing.
-    """
-    registry = engine.registry
-    run = build_one or (lambda name, path: build(engine, name, path) is not None)
-    done = {"checked": 0, "reindexed": 0, "skipped": 0, "failed": 0}
-    for row in registry.enabled().collect():  # a registry is a few hundred rows
-        done["checked"] += 1
+    failures = materialize(fresh.where("embed_error IS NOT NULL").groupBy(F.col("file_path").alias("relative_path")).agg(F.min("embed_error").alias("error"), F.count("*").alias("rows")), "build-failures")
+    rows = fresh.where("embed_error IS NULL").drop("embed_error")
+    if old is not None:
+        kept = status.where("status = 'unchanged'").select(F.col("relative_path").alias("file_path"))
+        rows = old.join(kept, "file_path", "left_semi").unionByName(rows, allowMissingColumns=True)
+    part = lambda name: store.part(name, codebase)
+    code = store.write(part("corpus"), schema.with_columns(rows, schema.CORPUS))
+    store.write(part("nodes"), graph.nodes(code))
+    store.write(part("edges"), graph.edges(code))
+    store.write(part("failures"), failures.withColumn("codebase_name", F.lit(codebase)))
+    store.write(part("files"), now.select(*FILE_COLUMNS).join(failures, "relative_path", "left_anti"))
+    for name in ("corpus", "nodes", "edges", "failures", "files"):
+        store.sweep(part(name))
+    failed = failures.agg(F.count("*").alias("files")).where("files > 0").select(F.lit("failed").alias("status"), "files")
+    return summary.unionByName(failed)
+
+
+Sync = Callable[[str, str, str], tuple[str, str]]
+OUTCOME = "name string, commit string, path string, error string"
+
+
+def sync_outcomes(rows: DataFrame, sync: Sync, at_once: int = 4) -> DataFrame:
+    """OUTCOME of syncing the working copies of registry rows, some at once; a failure is an error, not an exception."""
+
+    def attempt(row) -> tuple:
         try:
-            commit, path = sync(row.github_repo, row.name, row.main_branch_name)
+            return (row.name, *sync(row.github_repo, row.name, row.main_branch_name), None)
         except repos.SyncError as e:
-            done["failed"] += 1
-            if not dry_run:
-                registry.record_error(row.name, str(e))
-            continue
-        if not dry_run:
-            registry.clear_error(row.name)
-        if commit == row.last_indexed_commit:
-            done["skipped"] += 1
-            continue
-        if dry_run:
-            done["reindexed"] += 1
-            continue
-        registry.set_path(row.name, path)
-        if run(row.name, path):
-            registry.set_commit(row.name, commit)
-            done["reindexed"] += 1
-        else:
-            done["failed"] += 1
-    return done
+            return (row.name, None, None, str(e))
+
+    asked = rows.select("github_repo", "name", "main_branch_name").collect()  # a row per codebase
+    with ThreadPoolExecutor(at_once) as pool:
+        return rows.sparkSession.createDataFrame(list(pool.map(attempt, asked)), OUTCOME)
+
+
+def poll(engine: Engine, sync: Sync, dry_run: bool = False, build_one: Callable[[str, str], bool] | None = None) -> dict[str, int]:
+    """One pass over the enabled codebases; checked, reindexed, skipped, failed.
+
+    What is to be done follows from the sync outcomes joined to the registry, and the registry is written once, at the end:
+    commits of what was built, errors of what was not synced. So a failed build is tried again by the next pass, and
+    one failure stops nothing. A dry run counts what would be done and writes nothing.
+    """
+    rows = engine.registry.enabled()
+    outcomes = sync_outcomes(rows, sync)
+    action = F.when(F.col("error").isNotNull(), "failed").when(F.col("commit").eqNullSafe(F.col("last_indexed_commit")), "skipped").otherwise("reindexed")
+    plan = rows.select("name", "last_indexed_commit").join(outcomes, "name").withColumn("action", action)
+    if not dry_run:
+        due = plan.where("action = 'reindexed'").select("name", "path").collect()
+        run = build_one or (lambda name, path: build(engine, name, path) is not None)
+        built = [(r.name, bool(run(r.name, r.path))) for r in due]
+        plan = plan.join(engine.spark.createDataFrame(built, "name string, built boolean"), "name", "left")
+        plan = plan.withColumn("action", F.when(~F.coalesce("built", F.lit(True)), "failed").otherwise(F.col("action")))
+        plan = materialize(plan, "poll")
+        engine.registry.record_sync(plan.select("name", "path", "error", F.when(F.col("action") == "reindexed", F.col("commit")).alias("commit")))
+    counts = {r.action: r.n for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    return {"checked": sum(counts.values()), **{a: counts.get(a, 0) for a in ("reindexed", "skipped", "failed")}}
+
+
+def keep_polling(engine: Engine, sync: Sync, seconds: float, passes: int | None = None, sleep: Callable[[float], None] = time.sleep, **options) -> Iterator[dict[str, int]]:
+    """A pass every ``seconds`` (from one's end to the next one's begin), without end or ``passes`` times; yields the counts."""
+    done = 0
+    while passes is None or done < passes:
+        if done:
+            sleep(seconds)
+        yield poll(engine, sync, **options)
+        done += 1
+
+
+def live(engine: Engine, codebase: str, root: str, checkpoint: str, suffix: str = "", once: bool = True, seconds: int = 60):
+    """Live mode: a started query that brings a codebase up to date whenever files have come in below ``root``."""
+
+    def update(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            build(engine, codebase, root)
+
+    return stream_files(engine.spark, root, suffix, update, checkpoint, once, seconds)
 
 
 def stream_files(spark: SparkSession, root: str, suffix: str, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, seconds: int = 60):

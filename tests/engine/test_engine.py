@@ -164,6 +164,97 @@ def test_build_and_search(spark, tree, tmp_path):
         graph_engine.retrieve("x", "demo")
 
 
+class Flaky:
+    """Fails for texts with a word until it is mended."""
+
+    key = "flaky"
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def embed_batch(self, texts):
+        import os
+
+        if any("helper" in t for t in texts) and not os.path.exists(f"{self.folder}/mended"):
+            raise ValueError("model is down")
+        return [[1.0, float(len(t))] for t in texts]
+
+
+def test_builds_write_only_what_changed(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), provider=Flaky(tmp_path))
+    for name in ("demo", "a/b c"):
+        engine.registry.register(spark.createDataFrame([(name, f"org/{name}")], "name string, github_repo string"))
+    counts = lambda df: {r.status: r.files for r in df.collect()}
+    store, parts = engine.store, ("corpus", "nodes", "edges", "files")
+    versions = lambda name: [store.versions(store.part(t, name)) for t in parts]
+    first = counts(incremental.build(engine, "demo", str(tree)))
+    assert first["new"] == 7 and first["failed"] >= 1
+    failed = {r.relative_path: r.error for r in store.read_parts("failures").collect()}
+    assert "app/util.py" in failed and "model is down" in failed["app/util.py"] and len(failed) == first["failed"]
+    (tmp_path / "mended").write_text("")
+    assert counts(incremental.build(engine, "demo", str(tree))) == {"unchanged": 7 - len(failed), "new": len(failed)}
+    assert "helper" in {r.name for r in engine.corpus("demo").collect()} and store.read_parts("failures").count() == 0
+    before = versions("demo")
+    assert counts(incremental.build(engine, "demo", str(tree))) == {"unchanged": 7} and versions("demo") == before
+    incremental.build(engine, "a/b c", str(tree))
+    assert versions("demo") == before and engine.corpus("a/b c").count() == engine.corpus("demo").count()
+    assert engine.graph_status().first().nodes == store.read_parts("nodes", "demo").count() + store.read_parts("nodes", "a/b c").count()
+    for text in ("x = 1\n", "x = 2\n", "x = 3\n"):
+        (tree / "app/util.py").write_text(text)
+        incremental.build(engine, "demo", str(tree))
+    assert [len(v) for v in versions("demo")] == [2] * 4
+
+
+def test_live_build(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.registry.register(spark.createDataFrame([("demo", "org/demo")], "name string, github_repo string"))
+    incremental.live(engine, "demo", str(tree), str(tmp_path / "ck")).awaitTermination()
+    n = engine.corpus("demo").count()
+    (tree / "app/more.py").write_text("def more():\n    return 1\n")
+    incremental.live(engine, "demo", str(tree), str(tmp_path / "ck")).awaitTermination()
+    assert engine.corpus("demo").count() == n + 1
+
+
+def test_append(spark, tmp_path):
+    store = change.TableStore(spark, str(tmp_path / "s"))
+    rows = spark.range(3)
+    assert store.append("t", rows).count() == 3 and store.append("t", rows).count() == 6 and store.append("t", spark.range(1)).count() == 7
+    assert store.versions("t") == [1] and store.write("t", rows).count() == 3 and store.append("t", rows).count() == 6 and store.read("t", 1).count() == 7
+    assert store.sweep("t", 1) == 1 and store.versions("t") == [2] and store.read("t").count() == 6
+
+
+def test_http_provider(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"embeddings": [[float(len(t)), 1.0] for t in asked["input"]]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    provider = embedding.provider_named("http", "m", {"SLATEWORK_EMBEDDING_URL": f"http://127.0.0.1:{server.server_port}"})
+    rows = embedding.embed(spark.createDataFrame([(1, "abc"), (2, " "), (3, "abcdef")], "id int, content string"), provider).collect()
+    server.shutdown()
+    assert {(r.id, tuple(r.embedding), r.embed_error) for r in rows} == {(1, (3.0, 1.0), None), (3, (6.0, 1.0), None)}
+    assert embedding.provider_named("mock").key == "mock-768" and len(embedding.vector_of(spark, embedding.mock_provider(5), "x")) == 5
+    with pytest.raises(ValueError):
+        embedding.provider_named("other")
+
+
+def test_register_needs_a_repository(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError):
+        engine.registry.register(spark.createDataFrame([("x", " ")], "name string, github_repo string"))
+
+
 def test_poll(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"))
     rows = spark.createDataFrame([(n, f"org/{n}") for n in ("fresh", "same", "down", "broken")], "name string, github_repo string")
@@ -181,6 +272,10 @@ def test_poll(spark, tmp_path):
     assert incremental.poll(engine, sync, build_one=run) == {"checked": 4, "reindexed": 1, "skipped": 1, "failed": 2}
     state = {r.name: (r.last_indexed_commit, r.last_sync_error) for r in engine.registry.table().collect()}
     assert state == {"fresh": ("c1", None), "same": ("c1", None), "down": (None, "no route"), "broken": (None, None)}
+    waits, before = [], len(engine.store.versions("codebases"))
+    counts = list(incremental.keep_polling(engine, sync, 5.0, 2, waits.append, build_one=lambda name, path: True))
+    assert [c["reindexed"] for c in counts] == [1, 0] and [c["failed"] for c in counts] == [1, 1] and waits == [5.0]
+    assert len(engine.store.versions("codebases")) == before + 2  # a write per pass
 
 
 def test_working_copy(tmp_path):
