@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def ranked(scored: DataFrame, key: str, score: str, query: str | None = None) -> DataFrame:
-    """Add the 1-based rank by score, ties by key, within the query if there is one."""
+    """Add the 1-based rank by score (but for noise below ten digits), ties by key, within the query if there is one."""
     window = Window.partitionBy(query) if query else Window.partitionBy()
-    return scored.withColumn("rank", F.row_number().over(window.orderBy(F.desc(score), F.asc(key))))
+    return scored.withColumn("rank", F.row_number().over(window.orderBy(F.desc(F.round(score, 10)), F.asc(key))))
 
 
 def fuse(

@@ -7,8 +7,13 @@ statistics are one row of sums, and top-k keeps k rows a task. Batches of querie
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.functions.text import count_term, let, term_counts, terms
@@ -18,6 +23,10 @@ from slatework.scratch import materialize
 K1, B = 1.2, 0.75
 #: Text rank: weight of an unlabelled position, the sum of 1/n^2, and the distance beyond which words are unrelated.
 WEIGHT, ZETA, FAR = 0.1, 1.64493406685, 100
+#: Digits by which scores are compared: what differs less is noise of the order of sums.
+TIES = 10
+#: Queries of a batch that are sent to every task at once, and documents that are multiplied with them at once.
+QUERY_BLOCK, DOC_BLOCK = 512, 512
 
 
 def any_term(text: Column, wanted: list[str]) -> Column:
@@ -47,9 +56,7 @@ def bm25(docs: DataFrame, wanted: list[str], text: str = "text", scope: DataFram
     joined = docs.withColumn("__kept", kept).where(F.size("__kept.hits") > 0).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        df, tf = F.col(f"df{i}"), count_term(F.col("__kept.hits"), wanted[i])
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__kept.len") / F.col("mean_len")))
+        score = score + _part(count_term(F.col("__kept.hits"), wanted[i]), F.col(f"df{i}"), F.col("__kept.len"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], score.alias("score"))
 
 
@@ -96,9 +103,35 @@ def _miss_pairs(start: Column, a: Column, b: Column) -> Column:
 
 
 def top_k(scored: DataFrame, k: int, key: str, score: str = "score", digits: int = 4) -> DataFrame:
-    """The k best by rounded score, ties by key: k rows a task, then one merge."""
-    rounded = scored.withColumn(score, F.round(score, digits))
-    return rounded.orderBy(F.desc(score), F.asc(key)).limit(k)
+    """The k best by unrounded score (but for noise below TIES digits), ties by key: k rows a task, then one merge. The score shown is rounded."""
+    found = scored.orderBy(F.desc(F.round(score, TIES)), F.asc(key)).limit(k)
+    return found.withColumn(score, F.round(score, digits)) if digits else found
+
+
+def bm25_top_k(docs: DataFrame, wanted: list[str], k: int, key: str = "doc_id", text: str = "text", digits: int = 4) -> DataFrame:
+    """key, score of the k best documents by BM25, with one pass over the texts.
+
+    The pass leaves a row of a few numbers per document (its terms and how often each asked term occurs); statistics and
+    scores are taken from those. A query without terms finds nothing.
+    """
+    wanted = list(dict.fromkeys(wanted))
+    kept = let(terms(F.col(text)), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(wanted)).alias("hits")))
+    counts = F.array(*[count_term(F.col("kept.hits"), w) for w in wanted]) if wanted else F.array().cast("array<int>")
+    rows = docs.select(F.col(key), kept.alias("kept")).select(F.col(key), F.col("kept.len").alias("len"), counts.alias("tf"))
+    rows = materialize(rows, "term-counts")
+    tf = [F.get("tf", i) for i in range(len(wanted))]
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)])
+    found = rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    score = F.lit(0.0)
+    for i, x in enumerate(tf):
+        score = score + _part(x, F.col(f"df{i}"), F.col("len"))
+    return top_k(found.select(key, score.alias("score")), k, key, digits=digits)
+
+
+def _part(tf: Column, df: Column, length: Column) -> Column:
+    """What one term adds to a score; n and mean_len are columns."""
+    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean_len")))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,25 +147,76 @@ def term_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
-def batch_bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
-    """Top-k documents of many queries (``queries``: query_key, term distinct per query) over the inverted index.
+def batch_bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", text: str = "text", digits: int = 4) -> DataFrame:
+    """query_key, key, score, rank of the k best documents of many queries (``queries``: query_key, term, distinct).
 
-    Query terms are looked up by a join on term, so only postings of asked terms are scored; the rank per
-    query is a window whose group limit is pushed below the shuffle.
+    A stated query set against all documents, in blocks of about QUERY_BLOCK queries, of which one at a time is held by the
+    driver. A pass over the texts leaves the asked terms' counts of every document; then each batch of
+    documents is multiplied with the block's queries and cut to k rows a query, so what is shuffled is k rows per query and task.
     """
-    from pyspark.sql import Window
-
-    index = postings(docs, key)
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("mean_len"))
-    asked = queries.select("term").distinct()
-    used = materialize(index.join(asked, "term", "left_semi"), "asked-postings")  # read twice below
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    rows = used.join(df, "term").join(queries, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
-    scored = rows.groupBy(query_key, key).agg(F.round(F.sum(part), 4).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks = -(-queries.select(query_key).distinct().count() // QUERY_BLOCK) or 1
+    held = docs.select(F.col(key), terms(F.col(text)).alias("terms"))
+    found = None
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block) if blocks > 1 else queries
+        part = _score_block(held, some.select(query_key, "term").toPandas(), k, key, query_key, queries.schema[query_key].dataType.simpleString())
+        part = materialize(part, "block-scores") if blocks > 1 else part
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("score", TIES)), key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", digits))
+
+
+def _score_block(held: DataFrame, asked: pd.DataFrame, k: int, key: str, query_key: str, query_type: str) -> DataFrame:
+    """query_key, key, score: the k best rows per query and batch."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    words, ids = sorted(set(asked["term"])), asked[query_key].drop_duplicates().tolist()
+    at, row = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
+    wants = np.zeros((len(words), len(ids)))
+    wants[[at[w] for w in asked["term"]], [row[q] for q in asked[query_key]]] = 1
+    key_type = held.schema[key].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            lengths = np.diff(lists.offsets.to_numpy())
+            found = pa.compute.index_in(lists.flatten(), known)
+            some = np.flatnonzero(np.asarray(found.is_valid()))
+            cell = np.repeat(np.arange(len(lengths)), lengths)[some] * len(words) + found.drop_null().to_numpy()
+            cell, tf = np.unique(cell, return_counts=True)
+            cuts = np.searchsorted(cell // max(1, len(words)), np.arange(len(lengths) + 1)).astype(np.int32)
+            term = pa.ListArray.from_arrays(cuts, pa.array((cell % max(1, len(words))).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths.astype(np.int32)), term, pa.ListArray.from_arrays(cuts, pa.array(tf.astype(np.int32)))], [key, "len", "term", "tf"])
+
+    counted = materialize(held.mapInArrow(count, f"{key} {key_type}, len int, term array<int>, tf array<int>"), "asked-terms")
+    n, mean = counted.agg(F.count("*"), F.avg("len")).first()
+    seen = counted.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toPandas()  # at most the block's terms
+    df = np.zeros(len(words))
+    df[seen["term"]] = seen["df"]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    kind = to_arrow_type(_parse_datatype_string(query_type))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, DOC_BLOCK):
+                c = b.slice(at, DOC_BLOCK)
+                c = c.take(pa.compute.array_sort_indices(c.column(0)))  # by key, so that stable sorts settle ties
+                term, tf = (c.column(i).flatten().to_numpy() for i in (2, 3))
+                doc = np.repeat(np.arange(c.num_rows), np.asarray(pa.compute.list_value_length(c.column(2))))
+                length = c.column(1).to_numpy()[doc]
+                weights = np.zeros((c.num_rows, len(words)))
+                weights[doc, term] = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+                total = weights @ wants
+                order = np.argsort(-np.round(total, TIES), axis=0, kind="stable")[:k]
+                at_doc, at_query = order.ravel(), np.tile(np.arange(len(ids)), len(order))
+                hit = total[at_doc, at_query] > 0
+                at_doc, at_query = at_doc[hit], at_query[hit]
+                names = pa.array(ids, kind).take(pa.array(at_query))
+                yield pa.RecordBatch.from_arrays([names, c.column(0).take(pa.array(at_doc)), pa.array(total[at_doc, at_query])], [query_key, key, "score"])
+
+    return counted.mapInArrow(score, f"{query_key} {query_type}, {key} {key_type}, score double")
 
 
 def expected_idf(n: int, df: int) -> float:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatework.functions import vectors
+from slatework.scratch import materialize
+
+#: Digits by which similarities are compared: what differs less is noise of the order of sums.
+TIES = 10
 
 
 def similarities(corpus: DataFrame, query: list[float], threshold: float | None = 0.0, column: str = "embedding") -> DataFrame:
@@ -19,57 +23,82 @@ def similarities(corpus: DataFrame, query: list[float], threshold: float | None
     return scored if threshold is None else scored.where(F.col("similarity") >= threshold)
 
 
-def top_k(corpus: DataFrame, query: list[float], k: int, key: str = "vec_id", threshold: float | None = 0.0, column: str = "embedding", digits: int = 4) -> DataFrame:
-    """The k nearest by rounded cosine, ties by key. One scan, k rows a task, one merge; no shuffle."""
-    found = similarities(corpus, query, threshold, column).withColumn("similarity", F.round("similarity", digits))
-    return found.orderBy(F.desc("similarity"), F.asc(key)).limit(k)
+def top_k(corpus: DataFrame, query: list[float], k: int, key: str = "vec_id", threshold: float | None = 0.0, column: str = "embedding", digits: int | None = 4) -> DataFrame:
+    """The k nearest by cosine (but for noise below TIES digits), ties by key; the similarity shown is rounded if there are ``digits``.
+
+    One scan, k rows a task, one merge; no shuffle.
+    """
+    found = similarities(corpus, query, threshold, column).orderBy(F.desc(F.round("similarity", TIES)), F.asc(key)).limit(k)
+    return found.withColumn("similarity", F.round("similarity", digits)) if digits else found
 
 
 def top_k_per_group(corpus: DataFrame, query: list[float], k: int, group: str, key: str = "vec_id", column: str = "embedding", digits: int = 4) -> DataFrame:
     """The k nearest within each group; the rank filter becomes a group limit before the shuffle."""
-    found = similarities(corpus, query, None, column).select(group, key, F.round("similarity", digits).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("similarity"), F.asc(key)))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = similarities(corpus, query, None, column).select(group, key, "similarity")
+    return _ranked(found, group, key, k, digits)
+
 
+def _ranked(found: DataFrame, group: str, key: str, k: int, digits: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round("similarity", TIES)), F.asc(key)))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", F.round("similarity", digits))
 
-#: Most query vectors that are sent to every task at once; more go in blocks.
+
+#: Query vectors that are sent to every task at once; more go in blocks.
 QUERY_BLOCK = 4096
 
+Queries = DataFrame | list[tuple[int, list[float]]]
+
+
+def blocks_of(queries: Queries, key: str = "query_id", column: str = "embedding") -> Iterator[list[tuple[int, list[float]]]]:
+    """The queries (a DataFrame or a list) in blocks of about QUERY_BLOCK, of which one at a time is held by the driver."""
+    if isinstance(queries, list):
+        yield from (queries[at : at + QUERY_BLOCK] for at in range(0, len(queries), QUERY_BLOCK))
+        return
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block) if blocks > 1 else queries
+        yield [(r[0], list(r[1])) for r in rows.select(key, column).collect()]
+
 
-def batch_top_k(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", column: str = "embedding", digits: int = 4) -> DataFrame:
+def batch_top_k(corpus: DataFrame, queries: Queries, k: int, key: str = "vec_id", column: str = "embedding", digits: int = 4) -> DataFrame:
     """query_id, key, similarity, rank of the k nearest of a stated query set, against all rows.
 
     Each Arrow batch is multiplied with a block of queries and cut to k rows a query in the task, so what is
-    shuffled is k rows per query and task, not every pair. ``queries`` is a stated set held by the driver.
+    shuffled is k rows per query and task, not every pair. ``queries`` is a list, or a DataFrame with query_id and embedding of
+    any size: beyond one block each block's result is written before the next one is read.
     """
+    found = None
+    for block in blocks_of(queries):
+        part = _nearest(corpus, block, k, key, column)
+        part = materialize(part, "block-nearest") if not isinstance(queries, list) and len(block) == QUERY_BLOCK else part
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = corpus.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("similarity")).limit(0)
+    return _ranked(found, "query_id", key, k, digits)
+
+
+def _nearest(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str, column: str) -> DataFrame:
+    """query_id, key, similarity: the k nearest per query and batch."""
     kind = corpus.schema[key].dataType.simpleString()
-    parts = []
-    for at in range(0, len(queries), QUERY_BLOCK):
-        ids = np.array([q[0] for q in queries[at : at + QUERY_BLOCK]], np.int64)
-        matrix = np.array([q[1] for q in queries[at : at + QUERY_BLOCK]], np.float64)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                b = b.take(pa.compute.array_sort_indices(b.column(0)))  # by key, so that stable sorts settle ties
-                rows = np.vstack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                length = np.linalg.norm(rows, axis=1)
-                sims = np.round(np.divide(rows @ matrix.T, length[:, None], out=np.full((len(rows), len(ids)), -np.inf), where=length[:, None] > 0), digits)
-                best = np.argsort(-sims, axis=0, kind="stable")[: min(k, len(rows))]
-                at_row, at_query = best.ravel(), np.tile(np.arange(len(ids)), len(best))
-                found = np.isfinite(sims[at_row, at_query])
-                at_row, at_query = at_row[found], at_query[found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at_query]), b.column(0).take(pa.array(at_row)), pa.array(sims[at_row, at_query])], ["query_id", key, "similarity"])
-
-        held = corpus.where(F.col(column).isNotNull()).select(key, column)
-        parts.append(held.mapInArrow(run, f"query_id long, {key} {kind}, similarity double"))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(key)))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    ids = np.array([q[0] for q in queries], np.int64)
+    matrix = np.array([q[1] for q in queries], np.float64)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b.take(pa.compute.array_sort_indices(b.column(0)))  # by key, so that stable sorts settle ties
+            rows = np.vstack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+            length = np.linalg.norm(rows, axis=1)
+            sims = np.divide(rows @ matrix.T, length[:, None], out=np.full((len(rows), len(ids)), -np.inf), where=length[:, None] > 0)
+            best = np.argsort(-np.round(sims, TIES), axis=0, kind="stable")[: min(k, len(rows))]
+            at_row, at_query = best.ravel(), np.tile(np.arange(len(ids)), len(best))
+            found = np.isfinite(sims[at_row, at_query])
+            at_row, at_query = at_row[found], at_query[found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at_query]), b.column(0).take(pa.array(at_row)), pa.array(sims[at_row, at_query])], ["query_id", key, "similarity"])
+
+    return corpus.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"query_id long, {key} {kind}, similarity double")
 
 
 class InvertedFile:
@@ -113,15 +142,15 @@ class InvertedFile:
         """The k nearest of the probed cells."""
         return top_k(self.corpus.where(F.col("cell").isin(self.probe(query, probes))), query, k, key, None, column)
 
-    def batch_top_k(self, queries: list[tuple[int, list[float]]], k: int, probes: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-        """query_id, key, similarity, rank of the k nearest of each query's probed cells: one batch per cell, at least one query."""
-        by_cell: dict[int, list[tuple[int, list[float]]]] = {}
-        for q in queries:
-            for c in self.probe(q[1], probes):
-                by_cell.setdefault(c, []).append(q)
-        parts = [batch_top_k(self.corpus.where(F.col("cell") == c), some, k, key, column).drop("rank") for c, some in sorted(by_cell.items())]
-        found = parts[0]
-        for more in parts[1:]:
-            found = found.unionByName(more)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(key)))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    def batch_top_k(self, queries: Queries, k: int, probes: int, key: str = "vec_id", column: str = "embedding", digits: int = 4) -> DataFrame:
+        """query_id, key, similarity, rank of the k nearest of each query's probed cells: one batch per block and cell."""
+        found = None
+        for block in blocks_of(queries):
+            by_cell: dict[int, list[tuple[int, list[float]]]] = {}
+            for q in block:
+                for c in self.probe(q[1], probes):
+                    by_cell.setdefault(c, []).append(q)
+            for c, some in sorted(by_cell.items()):
+                part = _nearest(self.corpus.where(F.col("cell") == c), some, k, key, column)
+                found = part if found is None else found.unionByName(part)
+        return _ranked(found, "query_id", key, k, digits)

@@ -29,8 +29,9 @@ bm AS (
   SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS raw
   FROM tf JOIN df USING (w), stats WHERE tf > 0 GROUP BY doc_id
 )"""
-KEYWORD_LIST = f"kw AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(raw, 4) AS score FROM bm ORDER BY score DESC, doc_id LIMIT {DEPTH}))"
-VECTOR_LIST = f"vec AS (SELECT doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT vec_id AS doc_id, round({SIM}, 4) AS similarity FROM embeddings WHERE {SIM} >= 0 ORDER BY similarity DESC, doc_id LIMIT {DEPTH}))"
+KEYWORD_LIST = f"kw AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(raw, 10) DESC, doc_id) AS rank FROM (SELECT doc_id, raw, round(raw, 4) AS score FROM bm ORDER BY round(raw, 10) DESC, doc_id LIMIT {DEPTH}))"
+NEAR = f"(SELECT *, round(raw, 4) AS similarity FROM (SELECT vec_id, label, {SIM} AS raw FROM embeddings))"
+VECTOR_LIST = f"vec AS (SELECT vec_id AS doc_id, similarity, row_number() OVER (ORDER BY round(raw, 10) DESC, vec_id) AS rank FROM {NEAR} WHERE raw >= 0 ORDER BY rank LIMIT {DEPTH})"
 
 
 def fused_sql(vector_weight: float = 1.0, keyword_weight: float = 1.0, extra: str = "") -> str:
@@ -54,10 +55,10 @@ def _vector_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fusion.ranked(keyword.top_k(keyword.bm25(docs, WORDS), DEPTH, "doc_id"), "doc_id", "score")
+    return fusion.ranked(keyword.bm25_top_k(docs, WORDS, DEPTH, digits=None), "doc_id", "score")
 
 
-@add(f"SELECT vec_id, round({SIM}, 4) AS similarity FROM embeddings WHERE {SIM} >= 0 ORDER BY similarity DESC, vec_id LIMIT 20")
+@add(f"SELECT vec_id, similarity FROM {NEAR} WHERE raw >= 0 ORDER BY round(raw, 10) DESC, vec_id LIMIT 20")
 def vector_topk_cosine(spark, sf_dir):
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 20).select("vec_id", "similarity")
 
@@ -68,20 +69,20 @@ def vector_threshold(spark, sf_dir):
     return found.select("vec_id", F.round("similarity", 4).alias("similarity"))
 
 
-@add(f"SELECT label, vec_id, similarity, rank FROM (SELECT label, vec_id, similarity, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT label, vec_id, round({SIM}, 4) AS similarity FROM embeddings)) WHERE rank <= 3")
+@add(f"SELECT label, vec_id, similarity, rank FROM (SELECT label, vec_id, similarity, row_number() OVER (PARTITION BY label ORDER BY round(raw, 10) DESC, vec_id) AS rank FROM {NEAR}) WHERE rank <= 3")
 def vector_topk_per_label(spark, sf_dir):
     found = vector_search.top_k_per_group(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 3, "label")
     return found.select("label", "vec_id", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
 @add("""SELECT query_id, vec_id, similarity, rank FROM (
-SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
-SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity
+SELECT query_id, vec_id, round(raw, 4) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, vec_id) AS rank FROM (
+SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS raw
 FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 5""")
 def vector_batch_topk(spark, sf_dir):
     """Every hundredth vector as a query against all rows."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = [(r.vec_id, list(r.embedding)) for r in rows.where("vec_id % 100 = 0").collect()]  # the stated query set
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")  # the stated query set, in blocks
     return vector_search.batch_top_k(rows, asked, 5).select("query_id", "vec_id", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
@@ -95,17 +96,17 @@ def vector_measures(spark, sf_dir):
     )
 
 
-@add(f"WITH {BM25} SELECT doc_id, round(raw, 4) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
+@add(f"WITH {BM25} SELECT doc_id, round(raw, 4) AS score FROM bm ORDER BY round(raw, 10) DESC, doc_id LIMIT 20")
 def keyword_topk_bm25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return keyword.top_k(keyword.bm25(docs, WORDS), 20, "doc_id").select("doc_id", "score")
+    return keyword.bm25_top_k(docs, WORDS, 20)
 
 
-@add(rf"""WITH {BM25.replace("FROM documents", "FROM documents WHERE source = 'src1'", 1)} SELECT doc_id, round(raw, 4) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 20""")
+@add(rf"""WITH {BM25.replace("FROM documents", "FROM documents WHERE source = 'src1'", 1)} SELECT doc_id, round(raw, 4) AS score FROM bm ORDER BY round(raw, 10) DESC, doc_id LIMIT 20""")
 def keyword_topk_bm25_tenant(spark, sf_dir):
     """Statistics of the tenant only."""
     docs = table(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", "text")
-    return keyword.top_k(keyword.bm25(docs, WORDS), 20, "doc_id").select("doc_id", "score")
+    return keyword.bm25_top_k(docs, WORDS, 20)
 
 
 @add(rf"SELECT doc_id FROM documents WHERE len(list_filter(['thing', 'erat', 'with', 'anon'], lambda w: NOT list_contains({TOKENS}, w))) = 0")
@@ -124,9 +125,9 @@ docs AS (SELECT doc_id, {TOKENS} AS t FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS mean_len FROM docs),
 post AS (SELECT doc_id, w, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, unnest(t) AS w, len(t) AS len FROM docs) GROUP BY doc_id, w),
 df AS (SELECT w, count(*) AS df FROM post GROUP BY w),
-scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 4) AS score
+scored AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS raw
   FROM q JOIN post USING (w) JOIN df USING (w), stats GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 3""")
+SELECT item_id, doc_id, round(raw, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 10) DESC, doc_id) AS rank FROM scored) WHERE rank <= 3""")
 def keyword_batch_bm25(spark, sf_dir):
     """A batch of queries (all words of every benchmark item) over the inverted index."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -136,15 +137,15 @@ def keyword_batch_bm25(spark, sf_dir):
 
 
 @add(rf"""WITH pos AS (SELECT doc_id, w, p FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM (SELECT doc_id, {TOKENS} AS t FROM documents)) WHERE w IN ('thing', 'with'))
-SELECT a.doc_id, round(1 - product(1 - sqrt(0.01 * CASE WHEN abs(a.p - b.p) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.p - b.p) / 1.5 - 2)) END)), 4) AS score
-FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.w = 'with' AND b.w = 'thing' GROUP BY a.doc_id ORDER BY score DESC, a.doc_id LIMIT 20""")
+SELECT doc_id, round(raw, 4) AS score FROM (SELECT a.doc_id, 1 - product(1 - sqrt(0.01 * CASE WHEN abs(a.p - b.p) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.p - b.p) / 1.5 - 2)) END)) AS raw
+FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.w = 'with' AND b.w = 'thing' GROUP BY a.doc_id) ORDER BY round(raw, 10) DESC, doc_id LIMIT 20""")
 def ts_rank_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return keyword.top_k(keyword.ts_rank(docs, ["thing", "with"]), 20, "doc_id").select("doc_id", "score")
 
 
 @add(rf"""SELECT doc_id, round(list_sum(list_transform(range(1, n + 1), lambda j: 0.1 / (j * j))) / 1.64493406685, 4) AS score
-FROM (SELECT doc_id, len(list_filter({TOKENS}, lambda x: x = 'thing')) AS n FROM documents) WHERE n > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+FROM (SELECT doc_id, len(list_filter({TOKENS}, lambda x: x = 'thing')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20""")
 def ts_rank_single_term(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return keyword.top_k(keyword.ts_rank(docs, ["thing"]), 20, "doc_id").select("doc_id", "score")
@@ -183,14 +184,14 @@ def hybrid_fallback_vector_only(spark, sf_dir):
 
 
 @add(rf"""WITH docs AS (SELECT d.doc_id, lang, text, embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
-q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY similarity DESC, doc_id) AS rank, doc_id FROM (SELECT lang, doc_id, round({SIM}, 4) AS similarity FROM docs)),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY round(raw, 10) DESC, doc_id) AS rank, doc_id FROM (SELECT lang, doc_id, {SIM} AS raw FROM docs)),
 l AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS rank, doc_id FROM docs)
 SELECT lang, doc_id, place, round(raw, 6) AS rrf_score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY raw DESC, place_key) AS place FROM (
 SELECT lang, doc_id, sum(1.0 / (60 + rank)) AS raw, min(ord * 1000000 + rank) AS place_key FROM (SELECT *, 0 AS ord FROM q WHERE rank <= 20 UNION ALL SELECT *, 1 FROM l WHERE rank <= 20) GROUP BY lang, doc_id)) WHERE place <= 3""")
 def rrf_batch_per_language(spark, sf_dir):
     """Fusion of many queries at once: a language is a query."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    near = vector_search.similarities(docs, query_vector(spark, sf_dir), None).select("lang", "doc_id", F.round("similarity", 4).alias("similarity"))
+    near = vector_search.similarities(docs, query_vector(spark, sf_dir), None).select("lang", "doc_id", "similarity")
     near = fusion.ranked(near, "doc_id", "similarity", "lang").where("rank <= 20").select("lang", "doc_id", "rank")
     long = docs.select("lang", "doc_id", F.length("text").alias("chars"))
     long = fusion.ranked(long, "doc_id", "chars", "lang").where("rank <= 20").select("lang", "doc_id", "rank")
@@ -291,8 +292,8 @@ def path_language(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.language_of(path).alias("language"), T.stem_of(path).alias("stem"))
 
 
-@add("""WITH top AS (SELECT vec_id FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10),
-other AS (SELECT vec_id FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 4) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10)
+@add("""WITH top AS (SELECT vec_id FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 10) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10),
+other AS (SELECT vec_id FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 10) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10)
 SELECT (SELECT count(*) FROM top SEMI JOIN other USING (vec_id)) AS common, (SELECT count(*) FROM (SELECT * FROM top UNION SELECT * FROM other)) AS together,
 round((SELECT count(*) FROM top SEMI JOIN other USING (vec_id)) / (SELECT count(*) FROM (SELECT * FROM top UNION SELECT * FROM other)), 6) AS jaccard""")
 def topk_jaccard(spark, sf_dir):
@@ -306,12 +307,12 @@ def topk_jaccard(spark, sf_dir):
 
 @add()
 def ivf_recall(spark, sf_dir):
-    """An inverted-file index over all vectors: recall of probing half of the cells against the exact search, over every id divisible by 100."""
+    """An inverted-file index over all vectors: recall of probing 7 of 8 cells against the exact search, over every id divisible by 100."""
     from slatework.scratch import scratch_path
 
     rows = table(spark, sf_dir, "embeddings")
     index = vector_search.InvertedFile.build(rows, scratch_path(spark, "ivf"), cells=8)
-    asked = [(r["vec_id"], list(r["embedding"])) for r in rows.where("vec_id % 100 = 0").select("vec_id", "embedding").collect()]
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     exact = vector_search.batch_top_k(rows, asked, 10).select("query_id", "vec_id")
-    probed = index.batch_top_k(asked, 10, probes=4).select("query_id", "vec_id")
+    probed = index.batch_top_k(asked, 10, probes=7).select("query_id", "vec_id")
     return exact.join(probed.withColumn("found", F.lit(True)), ["query_id", "vec_id"], "left").agg(F.count("*").alias("wanted"), F.count("found").alias("found"))

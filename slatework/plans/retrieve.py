@@ -11,8 +11,8 @@ from slatework.operators import fusion, keyword, vector_search
 
 def vector_branch(corpus: DataFrame, query: list[float], depth: int, key: str, column: str = "embedding") -> DataFrame:
     """Ranked rows of the vector search, without the vectors."""
-    found = vector_search.top_k(corpus, query, depth, key, column=column)
-    return fusion.ranked(found.drop(column), key, "similarity")
+    found = vector_search.top_k(corpus, query, depth, key, column=column, digits=None)
+    return fusion.ranked(found.drop(column), key, "similarity").withColumn("similarity", F.round("similarity", 4))
 
 
 def keyword_branch(corpus: DataFrame, query: str, depth: int, key: str, text: str, mode: str) -> DataFrame:
@@ -20,7 +20,7 @@ def keyword_branch(corpus: DataFrame, query: str, depth: int, key: str, text: st
     spark = corpus.sparkSession
     wanted = spark.range(1).select(T.query_terms(F.lit(query)).alias("t")).first()["t"]
     scored = keyword.bm25(corpus, wanted, text) if mode == "any" else keyword.ts_rank(corpus, wanted, text)
-    return fusion.ranked(keyword.top_k(scored, depth, key), key, "score")
+    return fusion.ranked(keyword.top_k(scored, depth, key, digits=None), key, "score").withColumn("score", F.round("score", 4))
 
 
 def retrieve(

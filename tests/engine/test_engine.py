@@ -416,7 +416,7 @@ def test_inverted_file_recall(spark, tmp_path):
     assert len(exact) == 10 * len(asked) == 200 and recall[8] == 1 and recall[7] >= 0.9
     from slatework.plans.queries_search import ivf_recall
 
-    assert tuple(ivf_recall(spark, "/root/testdata/sf0.1").first()) == (200, round(200 * recall[4]))
+    assert tuple(ivf_recall(spark, "/root/testdata/sf0.1").first()) == (200, round(200 * recall[7]))
 
 
 def test_sweep_and_scratch(spark):

@@ -81,6 +81,9 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, None)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in vector_search.top_k(df, [1.0, 0.0], 9).collect()] == [1, 2]
     assert [r.vec_id for r in vector_search.top_k(df, [1.0, 0.0], 9, threshold=0.5).collect()] == [1]
+    near = spark.createDataFrame([(1, [1.0, 0.009]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in vector_search.top_k(near, [1.0, 0.0], 1).collect()] == [2]  # the exact match, though both show 1.0
+    assert [(r.vec_id, r.similarity) for r in vector_search.batch_top_k(near, near.withColumnRenamed("vec_id", "query_id").where("query_id = 2"), 2).collect()] == [(2, 1.0), (1, 1.0)]
     batch = {(r.query_id, r.rank): r.vec_id for r in vector_search.batch_top_k(df, [(0, [1.0, 0.0]), (1, [0.0, 2.0])], 2).collect()}
     assert batch == {(0, 1): 1, (0, 2): 2, (1, 1): 2, (1, 2): 1}
 
@@ -107,3 +110,16 @@ def test_retrieve(spark):
     assert found[0].id == 2 and found[0].sources == "keyword+vector"
     assert [r.id for r in retrieve.retrieve(corpus, "nothing", [1.0, 0.0], 2).collect()] == [1, 2]
     assert [r.id for r in retrieve.retrieve(corpus, "gamma", [1.0, 0.0], 2, hybrid=False).collect()] == [1, 2]
+
+
+def test_query_sets_in_blocks(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    whole = {tuple(r) for r in vector_search.batch_top_k(rows, asked, 3).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    terms = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").cast("string").alias("query_id"), F.explode(T.query_terms(F.col("text"))).alias("term"))
+    scored = {tuple(r) for r in keyword.batch_bm25(docs, terms, 2).collect()}
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(keyword, "QUERY_BLOCK", 7)
+    assert {tuple(r) for r in vector_search.batch_top_k(rows, asked, 3).collect()} == whole and len(whole) == 3 * asked.count()
+    assert {tuple(r) for r in keyword.batch_bm25(docs, terms, 2).collect()} == scored
