@@ -15,6 +15,8 @@ from slatework.scratch import materialize
 
 #: Benchmark windows broadcast at once (about 200 bytes each). A larger benchmark is scanned in blocks of this many.
 BLOCK = 200_000
+#: Most rows of a window that many items have.
+CHUNKS = 64
 #: Document words to a code: position times this, plus the window's words.
 CODE = 16
 
@@ -25,9 +27,9 @@ def normalised_words(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, width: int = 10, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows of a benchmark: gram (words), len, hash, items (ids of the items that have it).
+    """Distinct windows of a benchmark: gram (words), len, hash, chunk, items (ids of the items that have it).
 
-    Items without words have no window; null ids are left out of items, their windows still count as hits.
+    A window of many items has up to CHUNKS rows, a share of its items in each. Items without words have no window; null ids are left out of items, their windows still count as hits.
     """
     if not 0 < width < CODE:
         raise ValueError(f"a window has 1 to {CODE - 1} words")
@@ -35,8 +37,9 @@ def windows_of(benchmark: DataFrame, width: int = 10, item: str = "item_id", tex
     rows = rows.where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(width)))
     rows = rows.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at"))
     grams = rows.select("item", "len", F.slice("w", F.col("at"), F.col("len")).alias("gram"))
-    grams = grams.groupBy("gram", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return grams.select("gram", "len", F.xxhash64("gram").alias("hash"), "items")
+    chunk = F.coalesce(F.pmod(F.xxhash64("item"), F.lit(CHUNKS)), F.lit(0)).alias("chunk")
+    grams = grams.groupBy("gram", "len", chunk).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return grams.select("gram", "len", F.xxhash64("gram").alias("hash"), "chunk", "items")
 
 
 def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -61,14 +64,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc
     spans: hit words as (first, last) positions from 0, merged and ascending. Rows with null or empty
     text have no words and no hits. Equal (key, text) rows give equal results, one row each; equal keys
     with other texts stay apart. Extra columns are ignored. A benchmark without words hits nothing.
-    The benchmark's windows are broadcast at most ``block`` at a time: a larger set takes more scans.
+    The benchmark's windows are broadcast in blocks of about ``block`` rows and item ids: a larger set takes more scans.
     """
     # At most width distinct lengths and one count come to the driver.
     windows = materialize(windows_of(benchmark, width), "windows")
-    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.sum(F.size("items") + 1).alias("n")).collect()}
     blocks = max(1, -(-sum(sizes.values()) // block))
     words = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), normalised_words(F.col(text)).alias("w"))
-    part = [windows.where(F.pmod("hash", F.lit(blocks)) == b) for b in range(blocks)]
+    part = [windows.where(F.pmod(F.xxhash64("hash", "chunk"), F.lit(blocks)) == b) for b in range(blocks)]
     scans = [_scan(words, p, sorted(sizes)) for p in part]
     rows = scans[0]
     for more in scans[1:]:
