@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,7 @@ def train(
     labels: DataFrame,
     label: str = "toxic",
     most_rows: int = 20000,
+    most_bytes: int = 64 << 20,
     epochs: int = 5,
     alpha: float = 2.0,
     beta: float = 1.0,
@@ -110,24 +111,30 @@ def train(
     key: str = "doc_id",
     text: str = "text",
 ) -> Model:
-    """Fit on at most ``most_rows`` labelled rows, those with the smallest hash of their key.
+    """Fit on at most ``most_rows`` labelled rows of ``most_bytes`` together, those with the smallest hash of their key.
 
-    Null keys and labels are left out, a key with several labels counts as 1 if any is, repeated documents
-    are used each. Without any row the model is a coin toss.
+    Null keys and labels are left out, a key with several labels counts as 1 if any is. Rows of one key with other texts
+    are used each, equal rows once. Without any row the model is a coin toss. Training is one task, which the bounds keep small.
     """
     y = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").groupBy("k").agg(F.max("y").alias("y"))
     y = y.orderBy(F.xxhash64("k"), "k").limit(most_rows)
-    held = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    chosen = held.join(F.broadcast(y), held["key"] == y["k"]).select("key", "y", "text")  # most_rows small rows
+    held = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    # Chosen by light rows, so that neither many rows of a key nor long texts come together.
+    light = held.select("key", "th", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(F.broadcast(y), held["key"] == y["k"])  # most_rows small rows
+    order = [F.xxhash64("key"), "key", "th"]
+    light = light.select("key", "th", "bytes", "y").distinct().orderBy(*order).limit(most_rows)
+    upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    light = light.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select(F.col("key").alias("k"), F.col("th").alias("h"), "y")
+    chosen = held.join(F.broadcast(light), (held["key"] == F.col("k")) & (held["th"] == F.col("h"))).select("key", "th", "y", "text").dropDuplicates(["key", "th"])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(r.key, features(r.text), int(r.y)) for b in batches for r in b.itertuples()]
-        rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1].tobytes()))
         w, bias = ftrl([r[1:] for r in rows], epochs, alpha, beta, l1, l2)
         at = np.nonzero(w)[0]
         yield pd.DataFrame({"i": np.append(at, -1), "w": np.append(w[at], bias)})
 
-    found = chosen.repartition(1).mapInPandas(fit, "i long, w double").toPandas()  # at most 2**BITS weights
+    found = chosen.select("key", "y", "text").repartition(1).mapInPandas(fit, "i long, w double").toPandas()  # at most 2**BITS weights
     inside = found[found.i >= 0]
     bias = found.w[found.i < 0]
     return Model(inside.i.to_numpy(np.int32), inside.w.to_numpy(np.float32), float(bias.iloc[0]) if len(bias) else 0.0)
