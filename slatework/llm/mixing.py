@@ -59,7 +59,7 @@ def mix(
     """One row per input row: row (the input's columns as a struct), size, source_size, target, copies.
 
     Any input columns may exist; they travel in ``row``. A null source is a source of its own. Rows of
-    size 0 are ranked like any other and take no words. Equal rows are separate rows, each with its own
+    size 0 are ranked like any other and take no words. Rows without a key, or of one key, are dealt by their other columns. Equal rows are separate rows, each with its own
     copies; which of them gets more is arbitrary but indistinguishable. An empty table gives no rows.
     The same rows give the same copies in every run and partitioning.
     """
@@ -68,12 +68,13 @@ def mix(
         F.col(source).cast("string").alias("source"),
         F.col(key).alias("key"),
         size.cast("long").alias("size"),
+        F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]).alias("rest"),
     )
     bucketed = keyed.select(
         "*",
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
         F.floor(F.log2(F.col("size") + 1) * LEVELS_PER_OCTAVE).cast("int").alias("band"),
-        F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(SUBS)).cast("int").alias("sub"),
+        F.pmod(F.xxhash64("key", "rest", F.lit(seed)), F.lit(SUBS)).cast("int").alias("sub"),
     )
     counts = bucketed.groupBy("source", "skey", "band", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     counts = materialize(counts, "mix-counts")
@@ -84,7 +85,7 @@ def mix(
     upto = Window.partitionBy("skey").orderBy("band", "sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("skey", "band", "sub", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     bases = bases.join(targets, "skey")
-    within = Window.partitionBy("skey", "band", "sub").orderBy("size", F.xxhash64("key", F.lit(seed + 1)), "key")
+    within = Window.partitionBy("skey", "band", "sub").orderBy("size", F.xxhash64("key", "rest", F.lit(seed + 1)), "key", "rest")
     ranked = bucketed.withColumn("rank", F.row_number().over(within)).join(bases, ["skey", "band", "sub"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate)
