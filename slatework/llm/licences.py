@@ -129,6 +129,12 @@ class Classifier:
     platt: np.ndarray
     pairs: tuple[tuple[np.ndarray, ...], ...]
 
+    def bounds(self) -> np.ndarray:
+        """The largest weight of any family, and the weight of the unknown class, by coordinate, none below 0."""
+        out = np.zeros((2, 1 << BITS))
+        out[0, self.at], out[1, self.at] = np.maximum(self.weights[:, :-1].max(1), 0), np.maximum(self.weights[:, -1], 0)
+        return out
+
     def probabilities(self, h: np.ndarray) -> np.ndarray:
         """Calibrated probability of each family, and of an unknown licence, for a window of word hashes."""
         x = _distinct(h)
@@ -290,7 +296,7 @@ def findings(text: str | None, model: Classifier, score_of: np.ndarray) -> list[
 
     The line is that of a notice's first matched word; unknown is what no family is confirmed in.
 
-    ``score_of``: the largest weight of any family by coordinate. A window whose words cannot reach a claim even
+    ``score_of``: the largest weight of any family, and the weight of the unknown class, by coordinate, none below 0. A window whose words cannot reach a claim even
     with all their largest weights is passed over at once, which is most of any corpus.
     """
     lines = (text or "").split("\n")
@@ -299,19 +305,21 @@ def findings(text: str | None, model: Classifier, score_of: np.ndarray) -> list[
     if not len(h_all):
         return []
     one, two, three = grams(h_all)
-    best = score_of[one].copy()
-    best[: len(two)] += score_of[two]
-    best[: len(three)] += score_of[three]
-    total = np.concatenate(([0.0], np.cumsum(best)))
-    floor = np.min((_logit(np.array([CLAIM / 4])) - model.platt[:, 1]) / model.platt[:, 0] - model.bias)
+    best = score_of[:, one].copy()
+    best[:, : len(two)] += score_of[:, two]
+    best[:, : len(three)] += score_of[:, three]
+    total = np.zeros((2, len(h_all) + 1))
+    np.cumsum(best, 1, out=total[:, 1:])
+    least = (_logit(np.array([CLAIM / 4] * len(FAMILIES) + [CLAIM])) - model.platt[:, 1]) / model.platt[:, 0] - model.bias
+    floor = np.array([least[:-1].min(), least[-1]])
     line_of = np.repeat(np.arange(len(words)), [len(some) for some in words])
 
     def look(begin: int, end: int) -> Iterator[tuple[int, int, list, float]]:
         """begin, end, families (at places of the text) and the largest probability of the windows that may claim something."""
-        if end > begin and total[end] - total[begin] > floor:
+        if end > begin and (total[:, end] - total[:, begin] > floor).any():
             for at, h in _windows(h_all[begin:end]):
                 at += begin
-                if total[at + len(h)] - total[at] > floor:
+                if (total[:, at + len(h)] - total[:, at] > floor).any():
                     some, most = model.families(h)
                     if some or most >= CLAIM:
                         yield at, at + len(h), [(f, at + s, at + e, p, share) for f, s, e, p, share in some], most
@@ -376,8 +384,7 @@ def scan(docs: DataFrame, model: Classifier | None = None, key: str = "doc_id",
     names = ("line", "family", "probability", "share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of = np.zeros(1 << BITS)
-        score_of[model.at] = np.maximum(model.weights.max(1), 0)
+        score_of = model.bounds()
         for b in batches:
             found = [[dict(zip(names, f)) for f in findings(t.as_py(), model, score_of)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["key", "licences"])

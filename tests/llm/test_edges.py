@@ -202,3 +202,77 @@ def test_remove_spans_keeps_case(spark):
         want[i] = t[: spots[0]] + "".join(t[a:b] for j, (a, b) in enumerate(zip(spots, spots[1:])) if j not in hit)
     assert want[0] == "I saw Moon"
     assert {r.doc_id: r.text for r in decontaminate.remove_spans(df, bench).collect()} == want
+
+
+def test_windows_that_many_items_have(spark):
+    """A window of every item is sent in shares; blocks change nothing."""
+    bench = spark.createDataFrame([(i, "the very same words") for i in range(300)] + [(1000, "other words here")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x the very same words y"), (2, "other words here"), (3, "nothing")], "doc_id long, text string")
+    want = {1: (4, sorted(map(str, range(300)))), 2: (3, ["1000"]), 3: (0, [])}
+    for block in (10, 200_000):
+        assert {r.key: (r.n_hit, r["items"]) for r in decontaminate.hits(df, bench, block=block).collect()} == want
+    assert decontaminate.windows_of(bench).agg(F.max(F.size("items"))).first()[0] < 20
+
+
+def test_mixing_rows_of_one_key(spark):
+    rows = [(None, f"word {i}", "a") for i in range(300)] + [(7, f"word {i}", "b") for i in range(300)] + [(8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (sorted(repr((r.row, r.copies)) for r in mixing.mix(d, count_words(d["text"])).collect()) for d in (df, df.repartition(5)))
+    assert first == again and len(first) == 601
+    totals = {"a": 600, "b": 600, None: 0}
+    taken = dict.fromkeys(totals, 0)
+    for r in mixing.mix(df, count_words(df["text"])).collect():
+        taken[r.row.source] += r.size * r.copies
+    assert all(abs(taken[s] - t) <= 4 for s, t in brute.targets(totals).items())
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    """Rows of one labelled key and long texts stay within the bounds; equal rows count once."""
+    rows = [(1, f"bad words {i}") for i in range(50)] + [(2, "good words")] * 50 + [(3, "long " * 10_000), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    plain = toxicity.train(df, labels, most_bytes=2000)
+    assert plain.score("bad words") > plain.score("good words") and (plain.at >= 0).all()
+    assert len(toxicity.train(df, labels, most_rows=1).at) <= len(plain.at)
+    assert not len(toxicity.train(df, labels, most_bytes=0).at)
+
+
+def test_ftrl():
+    """Against one coordinate at a time, in plain Python."""
+    import math
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        y = rng.random() < 0.4
+        x = sorted({rng.randrange(30) + (30 if y and rng.random() < 0.7 else 0) for _ in range(rng.randint(0, 9))})
+        rows.append((x, int(y)))
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.8, 0.1
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in x:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + math.sqrt(bias_n))
+    import numpy as np
+
+    found, intercept = toxicity.ftrl([(np.array(x, np.int32), y) for x, y in rows], 3, alpha, beta, l1, l2)
+    assert intercept == pytest.approx(bias) and np.flatnonzero(found).tolist() == [i for i in sorted(z) if weight(i)]
+    assert found[:60].tolist() == pytest.approx([weight(i) for i in range(60)])
+
+
+def test_every_query_is_registered():
+    import __spark_entry__ as entry
+
+    wanted = {f"op{i}_" for i in range(1, 11)}
+    assert {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")} == wanted and "pipeline" in entry.queries()

@@ -3,8 +3,6 @@
 import textwrap
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline as P
 from slatework.llm import licences
 from slatework.llm.queries import op3_warc, op6_toxicity, op10_licences
@@ -77,9 +75,7 @@ def test_toxicity(spark):
 
 def _found(texts):
     model = licences.train()
-    score_of = np.zeros(1 << licences.BITS)
-    score_of[model.at] = np.maximum(model.weights.max(1), 0)
-    return [[(line, family) for line, family, *_ in licences.findings(t, model, score_of)] for t in texts]
+    return [[(line, family) for line, family, *_ in licences.findings(t, model, model.bounds())] for t in texts]
 
 
 def test_wrapped_licences():
