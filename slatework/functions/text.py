@@ -154,6 +154,11 @@ def calls(content: Column, language: Column, own_name: Column | None = None, lit
     return F.array_sort(F.array_distinct(F.array_except(found, F.array(*[F.lit(w) for w in CALL_STOPLIST]))))
 
 
+def dollars(amount: Column) -> Column:
+    """$1,234 from a thousand on, else $12.34."""
+    return F.when(amount >= 1000, F.format_string("$%,.0f", amount.cast("double"))).otherwise(F.format_string("$%,.2f", amount.cast("double")))
+
+
 def human_count(n: Column) -> Column:
     """12.3K, 4.5M, or the number."""
     million, thousand = F.format_string("%.1fM", F.round(n / 1e6, 1)), F.format_string("%.1fK", F.round(n / 1e3, 1))

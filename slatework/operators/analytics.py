@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slatework.scratch import materialize
+
 
 def to_tokens(chars: Column) -> Column:
     """Four characters a token, rounded down."""
@@ -35,26 +37,42 @@ def corpus_statistics_fanout(parents: DataFrame, files: DataFrame, snippets: Dat
     )
 
 
-def nearest_rank(values: Column, percent: float) -> Column:
-    """Aggregate: the value at place floor(n * p / 100) + 1 of the sorted values, the last one at most; null for none.
+def average_size(rows: DataFrame, group: str, size: Column, positive: bool = False) -> DataFrame:
+    """group, mean, n: the mean size of snippets or files; sizes of 0 and below are left out if only ``positive`` ones count."""
+    counted = F.when(size > 0, size) if positive else size
+    return rows.groupBy(group).agg(F.coalesce(F.avg(counted), F.lit(0.0)).alias("mean"), F.count(counted).alias("n"))
+
+
+def weighted_averages(rows: DataFrame, weight: str, **values: str) -> DataFrame:
+    """One row: the mean of each column weighted by a count, and the sum of counts."""
+    total = F.sum(weight)
+    return rows.agg(*[ratio(F.sum(F.col(c) * F.col(weight)), total).alias(name) for name, c in values.items()], total.alias(weight))
 
-    The sorted values are one array, so this is for reports on bounded groups; ``nearest_rank_by_count`` has no bound.
-    """
-    held = F.sort_array(F.collect_list(values))
-    return F.try_element_at(held, F.least(F.floor(F.size(held) * percent / 100).cast("int"), F.size(held) - 1) + 1)
+
+def index_statistics(files: DataFrame, snippets: DataFrame, embeddings: DataFrame, group: str, key: str) -> DataFrame:
+    """group, files, snippets, embeddings; children are counted per file before the joins, so nothing fans out."""
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    rows = files.select(group, key).distinct().join(count(snippets, "snippets"), key, "left").join(count(embeddings, "embeddings"), key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return rows.groupBy(group).agg(F.count("*").alias("files"), total("snippets"), total("embeddings"))
 
 
 def nearest_rank_by_count(rows: DataFrame, group: str, value: str, percents: dict[str, float]) -> DataFrame:
-    """The same for groups of any size: counts per distinct value, running sums of counts, then the value that covers the place."""
-    from pyspark.sql import Window
+    """Nearest-rank percentiles: the value at place floor(n * p / 100) + 1 of the sorted values, the last one at most; null for none.
 
+    Counts per distinct value are sorted by range, summed within their partition, and added to the sums of the partitions
+    before, so no task holds the values of a group.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    window = Window.partitionBy(group)
-    running = counts.select(
-        group, value, F.sum("n").over(window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(window).alias("total")
-    )
+    held = materialize(counts.orderBy(group, value).withColumn("part", F.spark_partition_id()), "value-counts")
+    sums = held.groupBy(group, "part").agg(F.sum("n").alias("m"))  # a row per group and partition that has it
+    whole = Window.partitionBy(group)
+    before = F.sum("m").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col(group).alias("__g"), F.col("part").alias("__p"), F.coalesce(before, F.lit(0)).alias("base"), F.sum("m").over(whole).alias("total"))
+    running = F.sum("n").over(Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    joined = held.withColumn("upto", running).join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("part") == F.col("__p")))
     place = lambda p: F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1) + 1
-    return running.groupBy(group).agg(*[F.min(F.when(F.col("upto") >= place(p), F.col(value))).alias(name) for name, p in percents.items()])
+    return joined.groupBy(group).agg(*[F.min(F.when(F.col("base") + F.col("upto") >= place(p), F.col(value))).alias(name) for name, p in percents.items()])
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -64,15 +82,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def load_report(results: DataFrame, wall_seconds: float, total: str = "total_ms", search: str = "search_ms", embed: str = "embed_ms", ok: str = "success", found: str = "result_count") -> DataFrame:
     """One row: counts, throughput, error rate, nearest-rank percentiles and means of the successful calls."""
-    good = F.when(F.col(ok), F.col(total))
-    return results.agg(
+    counts = results.agg(
         F.count("*").alias("total_queries"), F.count_if(F.col(ok)).alias("successful"), F.count_if(~F.col(ok)).alias("failed"),
         (F.count_if(F.col(ok)) / F.lit(float(wall_seconds))).alias("throughput_qps"),
         (F.count_if(~F.col(ok)) / F.greatest(F.count("*"), F.lit(1))).alias("error_rate"),
-        *[nearest_rank(good, p).alias(f"total_p{p}_ms") for p in (50, 95, 99)],
-        *[nearest_rank(F.when(F.col(ok), F.col(search)), p).alias(f"search_p{p}_ms") for p in (50, 95, 99)],
         F.avg(F.when(F.col(ok), F.col(embed))).alias("embed_avg_ms"), F.avg(F.when(F.col(ok), F.col(found))).alias("avg_results_per_query"),
     )
+    good = results.where(F.col(ok)).select(F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(c).cast("double").alias("ms")) for n, c in (("total", total), ("search", search))])).alias("x")).select("x.*")
+    ranks = nearest_rank_by_count(good, "what", "ms", {f"p{p}": p for p in (50, 95, 99)})
+    ranks = ranks.groupBy().agg(*[F.max(F.when(F.col("what") == n, F.col(f"p{p}"))).alias(f"{n}_p{p}_ms") for n in ("total", "search") for p in (50, 95, 99)])
+    return counts.crossJoin(ranks)  # one row each
 
 
 def within_targets(report: DataFrame, search_p95: float = 500.0, total_p95: float = 5000.0, error_rate: float = 0.05) -> DataFrame:
@@ -89,8 +108,12 @@ def count_parity(current: DataFrame, former: DataFrame, low: float = 0.8, high:
     return both.select("current_rows", "former_rows", F.round(share, 6).alias("ratio"), share.between(low, high).alias("ok"))
 
 
-def sensitivity_grid(spark: SparkSession, engineers: list[int], queries_per_day: list[int], days: int, saved_tokens: int) -> DataFrame:
-    """Tokens saved a year for every team size and query rate."""
+def sensitivity_grid(spark: SparkSession, engineers: list[int], queries_per_day: list[int], days: int, saved_tokens: int, prices: dict[str, float] | None = None) -> DataFrame:
+    """Tokens saved a year for every team size and query rate; with ``prices`` (dollars a million tokens) a row per model with its annual_cost."""
     e = spark.createDataFrame([(x,) for x in engineers], "engineers long")
     q = spark.createDataFrame([(x,) for x in queries_per_day], "queries_per_day long")
-    return e.crossJoin(q).withColumn("annual_tokens", F.col("engineers") * F.col("queries_per_day") * days * saved_tokens)
+    grid = e.crossJoin(q).withColumn("annual_tokens", F.col("engineers") * F.col("queries_per_day") * days * saved_tokens)
+    if prices is None:
+        return grid
+    models = spark.createDataFrame(list(prices.items()), "model string, price double")
+    return grid.crossJoin(models).select("engineers", "queries_per_day", "annual_tokens", "model", (F.col("annual_tokens") / 1e6 * F.col("price")).alias("annual_cost"))

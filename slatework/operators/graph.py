@@ -143,8 +143,19 @@ def reachability(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
 
 
 def mutual(links: DataFrame) -> DataFrame:
-    """Distinct pairs that reach each other: circular imports. Includes (a, a) where a lies on a cycle."""
-    closed = materialize(reachability(links), "closure-all")
+    """Distinct pairs that reach each other: circular imports. Includes (a, a) where a lies on a cycle.
+
+    What nothing leads to, or leads to nothing, lies on no cycle and goes first, again and again; the closure is that of the rest.
+    """
+    core = materialize(links.select("src", "dst").distinct(), "core")
+    left = core.count()
+    while left:
+        core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        core = materialize(core.select("src", "dst"), "core")
+        before, left = left, core.count()
+        if left == before:
+            break
+    closed = materialize(reachability(core), "closure-all")
     back = closed.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return closed.join(back, ["src", "dst"], "left_semi")
 

@@ -56,7 +56,7 @@ def bm25(docs: DataFrame, wanted: list[str], text: str = "text", scope: DataFram
     joined = docs.withColumn("__kept", kept).where(F.size("__kept.hits") > 0).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(len(wanted)):
-        score = score + _part(count_term(F.col("__kept.hits"), wanted[i]), F.col(f"df{i}"), F.col("__kept.len"))
+        score = score + _part(count_term(F.col("__kept.hits"), wanted[i]), F.col(f"df{i}"), F.col("__kept.len"), F.col("mean_len"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], score.alias("score"))
 
 
@@ -108,30 +108,34 @@ def top_k(scored: DataFrame, k: int, key: str, score: str = "score", digits: int
     return found.withColumn(score, F.round(score, digits)) if digits else found
 
 
-def bm25_top_k(docs: DataFrame, wanted: list[str], k: int, key: str = "doc_id", text: str = "text", digits: int = 4) -> DataFrame:
-    """key, score of the k best documents by BM25, with one pass over the texts.
+def bm25_top_k(docs: DataFrame, wanted: list[str], k: int, key: str = "doc_id", text: str | tuple[str, ...] = "text", digits: int | None = 4) -> DataFrame:
+    """key, score of the k best documents by BM25, with one pass over the texts; of several columns (a name or its content) scores add up.
 
-    The pass leaves a row of a few numbers per document (its terms and how often each asked term occurs); statistics and
-    scores are taken from those. A query without terms finds nothing.
+    The pass leaves a row of a few numbers per document (a field's terms and how often each asked term occurs in it);
+    statistics and scores are taken from those. A query without terms finds nothing.
     """
-    wanted = list(dict.fromkeys(wanted))
-    kept = let(terms(F.col(text)), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(wanted)).alias("hits")))
-    counts = F.array(*[count_term(F.col("kept.hits"), w) for w in wanted]) if wanted else F.array().cast("array<int>")
-    rows = docs.select(F.col(key), kept.alias("kept")).select(F.col(key), F.col("kept.len").alias("len"), counts.alias("tf"))
+    wanted, fields = list(dict.fromkeys(wanted)), (text,) if isinstance(text, str) else text
+    kept = lambda c: let(terms(F.col(c)), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(wanted)).alias("hits")))
+    rows = docs.select(F.col(key), *[kept(c).alias(f"kept{f}") for f, c in enumerate(fields)])
+    counts = lambda f: F.array(*[count_term(F.col(f"kept{f}.hits"), w) for w in wanted]) if wanted else F.array().cast("array<int>")
+    rows = rows.select(F.col(key), *[x for f in range(len(fields)) for x in (F.col(f"kept{f}.len").alias(f"len{f}"), counts(f).alias(f"tf{f}"))])
     rows = materialize(rows, "term-counts")
-    tf = [F.get("tf", i) for i in range(len(wanted))]
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)])
-    found = rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i, x in enumerate(tf):
-        score = score + _part(x, F.col(f"df{i}"), F.col("len"))
+    cells = [(f, i, F.get(f"tf{f}", i)) for f in range(len(fields)) for i in range(len(wanted))]
+    means = [F.avg(f"len{f}").alias(f"mean_len{f}") for f in range(len(fields))]
+    stats = rows.agg(F.count("*").alias("n"), *means, *[F.count_if(x > 0).alias(f"df{f}_{i}") for f, i, x in cells])
+    some = F.lit(False)
+    for f in range(len(fields)):
+        some = some | F.exists(f"tf{f}", lambda x: x > 0)
+    found, score = rows.where(some).crossJoin(F.broadcast(stats)), F.lit(0.0)
+    for f, i, x in cells:
+        score = score + F.when(x > 0, _part(x, F.col(f"df{f}_{i}"), F.col(f"len{f}"), F.col(f"mean_len{f}"))).otherwise(0.0)
     return top_k(found.select(key, score.alias("score")), k, key, digits=digits)
 
 
-def _part(tf: Column, df: Column, length: Column) -> Column:
-    """What one term adds to a score; n and mean_len are columns."""
+def _part(tf: Column, df: Column, length: Column, mean: Column) -> Column:
+    """What one term adds to a score; n is a column."""
     idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean_len")))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatework.functions import text as T
-from slatework.operators import analytics
+from slatework.operators import analytics, joins
 from slatework.plans.registered import Catalogue
 from slatework.session import table
 
@@ -16,14 +16,15 @@ add = CATALOGUE.add
 @add("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND c_acctbal > 0")
 def tenant_filtered_join(spark, sf_dir):
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    joined = c.where("c_acctbal > 0").join(n, c.c_nationkey == n.n_nationkey).join(r.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = joins.with_parents(c.where("c_acctbal > 0"), n, {"c_nationkey": "n_nationkey"}, "n_name", "n_regionkey")
+    joined = joins.with_parents(joined, r.where("r_name = 'ASIA'"), {"n_regionkey": "r_regionkey"}, "r_name")
     return joined.select("c_custkey", "c_name", "n_name", "r_name")
 
 
 @add("SELECT d.source, d.lang, count(*) AS n, count(DISTINCT e.label) AS labels FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.quality, 1) = 1 GROUP BY ALL")
 def embedding_snippet_file_join(spark, sf_dir):
     e, d, q = (table(spark, sf_dir, t) for t in ("embeddings", "documents", "labels"))
-    joined = e.select(F.col("vec_id").alias("doc_id"), "label").join(d.select("doc_id", "source", "lang"), "doc_id").join(q.select("doc_id", "quality"), "doc_id", "left")
+    joined = joins.with_parents(e.select(F.col("vec_id").alias("doc_id"), "label"), d, {"doc_id": "doc_id"}, "source", "lang").join(q.select("doc_id", "quality"), "doc_id", "left")
     return joined.where(F.coalesce("quality", F.lit(1)) == 1).groupBy("source", "lang").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
 
 
@@ -54,13 +55,13 @@ def left_join_chain_stats_ref_fanout(spark, sf_dir):
 
 @add("SELECT source, round(avg(length(text)), 4) AS mean_chars FROM documents GROUP BY source")
 def avg_content_size(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.coalesce(F.avg(F.length("text")), F.lit(0.0)), 4).alias("mean_chars"))
+    return analytics.average_size(table(spark, sf_dir, "documents"), "source", F.length("text")).select("source", F.round("mean", 4).alias("mean_chars"))
 
 
 @add("SELECT c_mktsegment, round(avg(c_acctbal) FILTER (c_acctbal > 0), 4) AS mean_positive, count(*) FILTER (c_acctbal > 0) AS n_positive FROM customer GROUP BY 1")
 def avg_positive_size(spark, sf_dir):
-    positive = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(F.avg(positive), 4).alias("mean_positive"), F.count(positive).alias("n_positive"))
+    rows = analytics.average_size(table(spark, sf_dir, "customer"), "c_mktsegment", F.col("c_acctbal"), positive=True)
+    return rows.select("c_mktsegment", F.round("mean", 4).alias("mean_positive"), F.col("n").alias("n_positive"))
 
 
 _PER_SOURCE = "per AS (SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(least(n_chars, 1000)) AS BIGINT) AS snippet_chars FROM documents GROUP BY source)"
@@ -76,8 +77,8 @@ def compression_ratio(spark, sf_dir):
 @add(f"WITH {_PER_SOURCE} SELECT round(sum((chars / files) * files) / sum(files), 4) AS weighted_file, round(sum(CAST(snippet_chars AS DOUBLE)) / sum(files), 4) AS weighted_snippet, CAST(sum(files) AS BIGINT) AS files FROM per")
 def weighted_avg(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.avg("n_chars").alias("f"), F.avg(F.least("n_chars", F.lit(1000))).alias("s"))
-    total = F.sum("files")
-    return rows.agg(F.round(F.sum(F.col("f") * F.col("files")) / total, 4).alias("weighted_file"), F.round(F.sum(F.col("s") * F.col("files")) / total, 4).alias("weighted_snippet"), total.alias("files"))
+    found = analytics.weighted_averages(rows, "files", weighted_file="f", weighted_snippet="s")
+    return found.select(F.round("weighted_file", 4).alias("weighted_file"), F.round("weighted_snippet", 4).alias("weighted_snippet"), "files")
 
 
 @add("SELECT e AS engineers, q AS queries_per_day, e * q * 250 * 41000 AS annual_tokens FROM (SELECT unnest([50::BIGINT, 100, 200]) AS e), (SELECT unnest([5::BIGINT, 10, 20]) AS q)")
@@ -85,6 +86,18 @@ def sensitivity_grid(spark, sf_dir):
     return analytics.sensitivity_grid(spark, [50, 100, 200], [5, 10, 20], 250, 41_000)
 
 
+@add("SELECT e AS engineers, q AS queries_per_day, e * q * 250 * 41000 AS annual_tokens, model, round(e * q * 250 * 41000 / 1e6 * price, 4) AS annual_cost FROM (SELECT unnest([50::BIGINT, 100]) AS e), (SELECT unnest([5::BIGINT, 10]) AS q), (VALUES ('small', 0.25), ('large', 3.0)) AS m(model, price)")
+def sensitivity_costs(spark, sf_dir):
+    """The grid with the cost a year of each model."""
+    rows = analytics.sensitivity_grid(spark, [50, 100], [5, 10], 250, 41_000, {"small": 0.25, "large": 3.0})
+    return rows.withColumn("annual_cost", F.round("annual_cost", 4))
+
+
+@add("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN format('${:,}', CAST(round(o_totalprice) AS BIGINT)) ELSE printf('$%.2f', o_totalprice) END AS label FROM orders")
+def dollar_labels(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.dollars(F.col("o_totalprice")).alias("label"))
+
+
 @add("SELECT p_partkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', round(n / 1e6, 1)) WHEN n >= 1000 THEN printf('%.1fK', round(n / 1e3, 1)) ELSE CAST(n AS VARCHAR) END AS label FROM (SELECT p_partkey, p_partkey * p_partkey + p_size AS n FROM part)")
 def token_labels(spark, sf_dir):
     n = (F.col("p_partkey") * F.col("p_partkey") + F.col("p_size")).cast("long")
@@ -94,10 +107,8 @@ def token_labels(spark, sf_dir):
 @add("""SELECT d.source, count(DISTINCT d.doc_id) AS files, count(l.doc_id) AS snippets, count(e.vec_id) AS embeddings FROM documents d
 LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON d.doc_id = e.vec_id GROUP BY d.source""")
 def index_statistics(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    l = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("s"))  # noqa: E741
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("e"))
-    return d.join(l, "doc_id", "left").join(e, "doc_id", "left").groupBy("source").agg(F.countDistinct("doc_id").alias("files"), F.count("s").alias("snippets"), F.count("e").alias("embeddings"))
+    embeddings = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return analytics.index_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), embeddings, "source", "doc_id")
 
 
 @add("SELECT r_name, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS all_names, coalesce(string_agg(DISTINCT n_name, ',' ORDER BY n_name) FILTER (contains(lower(n_name), '_1')), '') AS matched FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
@@ -136,7 +147,7 @@ def count_parity(spark, sf_dir):
 
 @add("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 AS even FROM events")
 def json_props(spark, sf_dir):
-    k = F.from_json("props", "k long")["k"]
+    k = joins.json_fields("props", "k long")["k"]
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), (k % 2 == 0).alias("even"))
 
 
@@ -159,7 +170,7 @@ def blank_content_filter(spark, sf_dir):
 @add("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def registry_order(spark, sf_dir):
     """Newest first, with a tie-break."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
+    return joins.newest_first(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").limit(100)
 
 
 @add("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slatework.operators import change
+from slatework.operators import change, joins
 from slatework.plans.registered import Catalogue
 from slatework.session import table
 from slatework.sources import repos
@@ -34,14 +34,14 @@ def change_summary(spark, sf_dir):
 def anti_join_new(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(urgent, "c_custkey", "left_anti")
+    return joins.absent(c, urgent, "c_custkey")
 
 
 @add("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def semi_join_existing(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     large = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(large, "c_custkey", "left_semi")
+    return joins.present(c, large, "c_custkey").where("found").drop("found")
 
 
 @add("""WITH old AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS score, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey % 3 <> 0),
@@ -83,8 +83,7 @@ def conditional_state_update(spark, sf_dir):
 @add("SELECT count(*) AS checked, count(*) FILTER (event_type = 'purchase') AS reindexed, count(*) FILTER (event_type IN ('view', 'click')) AS skipped, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def poll_summary(spark, sf_dir):
     kind = F.col("event_type")
-    counts = [F.count_if(kind == "purchase").alias("reindexed"), F.count_if(kind.isin("view", "click")).alias("skipped"), F.count_if(kind == "error").alias("failed")]
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("checked"), *counts)
+    return joins.run_counters(table(spark, sf_dir, "events"), reindexed=kind == "purchase", skipped=kind.isin("view", "click"), failed=kind == "error")
 
 
 @add("SELECT s_name AS name, 'org/' || s_name AS github_repo, CASE WHEN s_suppkey % 3 = 0 THEN 'main' ELSE 'trunk' END AS default_branch, '' AS description, CASE WHEN s_suppkey % 4 = 0 THEN 'mixed' ELSE 'python' END AS language FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0")

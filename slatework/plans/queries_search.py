@@ -109,6 +109,17 @@ def keyword_topk_bm25_tenant(spark, sf_dir):
     return keyword.bm25_top_k(docs, WORDS, 20)
 
 
+_FIELD = r"""toks{f} AS (SELECT p_partkey, regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+') AS t FROM part), st{f} AS (SELECT count(*) AS n, avg(len(t)) AS mean_len FROM toks{f}),
+tf{f} AS (SELECT p_partkey, w, len(list_filter(t, lambda x: x = w)) AS tf, len(t) AS len FROM toks{f}, (SELECT unnest(['ring', 'small', 'rod']) AS w)), df{f} AS (SELECT w, count(*) AS df FROM tf{f} WHERE tf > 0 GROUP BY w),
+bm{f} AS (SELECT p_partkey, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS raw FROM tf{f} JOIN df{f} USING (w), st{f} WHERE tf > 0 GROUP BY p_partkey)"""
+
+
+@add(f"WITH {_FIELD.format(f=0, c='p_name')}, {_FIELD.format(f=1, c='p_type')} SELECT p_partkey, round(sum(raw), 4) AS score FROM (SELECT * FROM bm0 UNION ALL SELECT * FROM bm1) GROUP BY p_partkey ORDER BY round(sum(raw), 10) DESC, p_partkey LIMIT 20")
+def keyword_name_or_content(spark, sf_dir):
+    """Any term in either of two fields."""
+    return keyword.bm25_top_k(table(spark, sf_dir, "part"), ["ring", "small", "rod"], 20, "p_partkey", ("p_name", "p_type"))
+
+
 @add(rf"SELECT doc_id FROM documents WHERE len(list_filter(['thing', 'erat', 'with', 'anon'], lambda w: NOT list_contains({TOKENS}, w))) = 0")
 def keyword_all_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(keyword.all_terms(F.col("text"), WORDS)).select("doc_id")

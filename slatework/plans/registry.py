@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slatework import schema
 from slatework.functions.ids import stable_id
 from slatework.functions.text import short_commit
-from slatework.operators import change
+from slatework.operators import change, joins
 
 
 class Registry:
@@ -26,7 +26,7 @@ class Registry:
     def list(self) -> DataFrame:
         """Rows for people: newest first, short commit, first line of the error."""
         error = F.substring(F.substring_index(F.coalesce("last_sync_error", F.lit("")), "\n", 1), 1, 40)
-        return self.table().orderBy(F.desc("created_at"), "name").select(
+        return joins.newest_first(self.table(), "created_at", "name").select(
             "name", F.when(F.col("enabled"), "yes").otherwise("no").alias("enabled"), "language", short_commit(F.col("last_indexed_commit")).alias("last_commit"),
             F.coalesce("github_repo", F.lit("-")).alias("github_repo"), error.alias("sync_error"),
         )
@@ -54,7 +54,7 @@ class Registry:
 
     def discover(self, repos: DataFrame, dry_run: bool = False) -> DataFrame:
         """discovered, new, existing; new ones are registered as disabled, existing ones are left alone."""
-        fresh = repos.join(self.table().select("name"), "name", "left_anti")
+        fresh = joins.absent(repos, self.table(), "name")
         counts = repos.agg(F.count("*").alias("discovered")).crossJoin(fresh.agg(F.count("*").alias("new")))
         summary = self.store.spark.createDataFrame(counts.select("discovered", "new", (F.col("discovered") - F.col("new")).alias("existing")).collect(), "discovered long, new long, existing long")
         if not dry_run:
@@ -64,7 +64,7 @@ class Registry:
     def seed(self, names: list[str]) -> DataFrame:
         """Enable the named codebases that exist; name, found of all of them."""
         wanted = self.store.spark.createDataFrame([(n,) for n in names], "name string")
-        found = wanted.join(self.table().select("name", F.lit(True).alias("found")), "name", "left").select("name", F.coalesce("found", F.lit(False)).alias("found"))
+        found = joins.present(wanted, self.table(), "name")
         self._update(F.col("name").isin(names), enabled=F.lit(True))
         return found
 

@@ -79,6 +79,16 @@ def write_index_metadata(spark: SparkSession, folder: str, index_name: str, **va
     row.coalesce(1).write.mode("overwrite").json(f"{folder}/{index_name}")
 
 
+def table_sizes(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """table, files, bytes on storage of some tables' folders; only names and lengths are read."""
+    out = None
+    for name, folder in folders.items():
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("length")
+        row = held.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).select(F.lit(name).alias("table"), "files", "bytes")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def table_statistics(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """table, rows, columns of some tables."""
     out = None

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import re
 import subprocess
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from slatework.operators.joins import json_fields
+
 LISTING = "name string, full_name string, default_branch string, description string, language string, archived boolean, fork boolean"
 #: A page: (body, next page's address or none).
 Fetch = Callable[[str], tuple[str, str | None]]
@@ -58,10 +62,17 @@ def pages(fetch: Fetch, first: str) -> Iterator[str]:
         yield body
 
 
+def list_organisation(spark: SparkSession, organisation: str, token: str, api: str = "https://api.github.com", per_page: int = 100, fetch: Fetch | None = None) -> DataFrame:
+    """The active repositories of an organisation, page by page; raises ListingError."""
+    first = f"{api}/orgs/{quote(organisation, safe='')}/repos?per_page={per_page}"
+    return active_repos(listing(spark, list(pages(fetch or http_fetch(token), first))))
+
+
 def listing(spark: SparkSession, bodies: list[str]) -> DataFrame:
     """Raw rows of listing pages (JSON arrays)."""
     raw = spark.createDataFrame([(b,) for b in bodies], "body string")
-    return raw.select(F.explode(F.from_json("body", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in LISTING.split(', '))}>>")).alias("r")).select("r.*")
+    kind = f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in LISTING.split(', '))}>>"
+    return raw.select(F.explode(json_fields("body", kind)).alias("r")).select("r.*")
 
 
 def active_repos(raw: DataFrame) -> DataFrame:
@@ -96,18 +107,28 @@ class _ListingReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition):
-        with open(self.path) as f:
-            for line in f:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.path)  # a path or an address that the executor reaches
+        with system.open_input_stream(path) as f:
+            for line in f.read().decode().splitlines():
                 for r in json.loads(line or "[]"):
                     yield tuple(r.get(c.split()[0]) for c in LISTING.split(", "))
 
 
-def sync_working_copy(url: str, folder: str, branch: str = "main", timeout: float = 300.0) -> str:
-    """Clone, or fetch and hard-reset, and return the commit; local edits are lost. Raises SyncError."""
+def sync_working_copy(url: str, folder: str, branch: str = "main", timeout: float = 300.0, token: str | None = None) -> str:
+    """Clone, or fetch and hard-reset, and return the commit; local edits are lost. Raises SyncError.
+
+    A ``token`` is sent as a header that git reads from its environment, so it is in no argument, address or message.
+    """
+    env = dict(os.environ, GIT_TERMINAL_PROMPT="0")
+    if token:
+        secret = base64.b64encode(f"x-access-token:{token}".encode()).decode()
+        env |= {"GIT_CONFIG_COUNT": "1", "GIT_CONFIG_KEY_0": "http.extraHeader", "GIT_CONFIG_VALUE_0": f"Authorization: Basic {secret}"}
 
     def git(*args: str, cwd: str | None = None) -> str:
         try:
-            return subprocess.run(["git", *args], cwd=cwd, check=True, capture_output=True, text=True, timeout=timeout).stdout.strip()
+            return subprocess.run(["git", *args], cwd=cwd, env=env, check=True, capture_output=True, text=True, timeout=timeout).stdout.strip()
         except subprocess.CalledProcessError as e:
             raise SyncError(f"git {args[0]} failed: {e.stderr.strip()}") from e
         except subprocess.TimeoutExpired as e:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slatework import schema
 from slatework.functions.ids import stable_id
 from slatework.functions.text import is_blank
-from slatework.operators import change, extract, graph
+from slatework.operators import change, extract, graph, joins
 from slatework.plans.api import Engine
 from slatework.scratch import materialize
 from slatework.sources import embedding, files, repos
@@ -113,8 +113,7 @@ def poll(engine: Engine, sync: Sync, dry_run: bool = False, build_one: Callable[
         plan = plan.withColumn("action", F.when(~F.coalesce("built", F.lit(True)), "failed").otherwise(F.col("action")))
         plan = materialize(plan, "poll")
         engine.registry.record_sync(plan.select("name", "path", "error", F.when(F.col("action") == "reindexed", F.col("commit")).alias("commit")))
-    counts = {r.action: r.n for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    return {"checked": sum(counts.values()), **{a: counts.get(a, 0) for a in ("reindexed", "skipped", "failed")}}
+    return joins.run_counters(plan, **{a: F.col("action") == a for a in ("reindexed", "skipped", "failed")}).first().asDict()
 
 
 def keep_polling(engine: Engine, sync: Sync, seconds: float, passes: int | None = None, sleep: Callable[[float], None] = time.sleep, **options) -> Iterator[dict[str, int]]:

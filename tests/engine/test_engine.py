@@ -293,14 +293,20 @@ def test_working_copy(tmp_path):
     git("commit", "-qam", "two", cwd=origin)
     second = repos.sync_working_copy(str(origin), copy)
     assert len(first) == 40 and first != second and (tmp_path / "copies/one/a.txt").read_text() == "2"
-    with pytest.raises(repos.SyncError):
-        repos.sync_working_copy(str(tmp_path / "nowhere"), str(tmp_path / "copies/two"))
+    with pytest.raises(repos.SyncError) as failed:
+        repos.sync_working_copy(str(tmp_path / "nowhere"), str(tmp_path / "copies/two"), token="s3cret")
+    assert "s3cret" not in str(failed.value) and repos.sync_working_copy(str(origin), copy, token="s3cret") == second
+    assert "s3cret" not in "".join(f.read_text(errors="replace") for f in (tmp_path / "copies/one/.git").rglob("*") if f.is_file())
 
 
 def test_listing_pages(spark, tmp_path):
     bodies = {"p1": ('[{"name": "a"}]', "p2"), "p2": ('[{"name": "b", "fork": true}]', None)}
     assert len(list(repos.pages(bodies.__getitem__, "p1"))) == 2
     assert repos.next_link('<https://x/2>; rel="next", <https://x/9>; rel="last"') == "https://x/2" and repos.next_link(None) is None
+    asked = []
+    answer = lambda url: (asked.append(url), (bodies["p1"][0], "next") if len(asked) == 1 else bodies["p2"])[1]
+    assert [r.name for r in repos.list_organisation(spark, "an org", "t", fetch=answer).collect()] == ["a"]
+    assert asked == ["https://api.github.com/orgs/an%20org/repos?per_page=100", "next"]
     (tmp_path / "pages.jsonl").write_text("\n".join(b for b, _ in bodies.values()))
     spark.dataSource.register(repos.ListingSource)
     assert repos.active_repos(spark.read.format("repo_listing").option("path", str(tmp_path / "pages.jsonl")).load()).count() == 1
@@ -320,7 +326,8 @@ def test_graph(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 7)], "src long, dst long")
     assert {tuple(r) for r in graph.mutual(links).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(5, 5)}
     assert {tuple(r) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (7, 6)}
-    assert graph.reachability(links.limit(0)).count() == 0
+    assert graph.reachability(links.limit(0)).count() == 0 and graph.mutual(links.limit(0)).count() == 0
+    assert graph.mutual(spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")).count() == 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
     assert {r.component for r in graph.components(chain).collect()} == {0}
 
@@ -378,6 +385,30 @@ def test_dimension_and_migration(spark):
     assert wide.dtypes == [("id", "int"), ("note", "string"), ("embedding", "array<double>")]
 
 
+def test_percentiles_over_partitions(spark):
+    import random
+
+    from slatework.operators import analytics
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(60))) for _ in range(2000)] + [("c", None), ("d", 1.0)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: (r.p50, r.p99) for r in analytics.nearest_rank_by_count(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p50": 50, "p99": 99}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("a", "b", None, "d"):
+        held = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == tuple(held[min(int(len(held) * p / 100), len(held) - 1)] for p in (50, 99))
+    assert len(got) == 4
+
+
+def test_table_sizes(spark, tmp_path):
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "t"))
+    r = files.table_sizes(spark, {"t": str(tmp_path / "t")}).first()
+    assert r.bytes > 500 and r.files >= 2
+
+
 def test_load_report(spark):
     from slatework.operators import analytics
 
