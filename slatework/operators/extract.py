@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,6 +112,9 @@ def _close(masked: str, at: int) -> int:
     return len(masked) - 1
 
 
+_CONTINUES = re.compile(r"\s*[.?:+*/&|,=]")
+
+
 def _statement_end(masked: str, at: int) -> int:
     """End of a statement: a semicolon, or a line end outside brackets that no operator continues."""
     i = at
@@ -121,8 +125,11 @@ def _statement_end(masked: str, at: int) -> int:
         elif c == ";":
             return i
         elif c == "\n":
-            rest, before = masked[i:].lstrip(), masked[at:i].rstrip()
-            if not re.match(r"[.?:+*/&|,=]|=>", rest) and not before.endswith(("=", ",", "=>", "+", "&&", "||", "?", ":", "(")):
+            last = i
+            while last > at and masked[last - 1].isspace():
+                last -= 1
+            goes_on = masked[max(at, last - 2) : last].endswith(("=", ",", "=>", "+", "&&", "||", "?", ":", "("))
+            if not goes_on and not _CONTINUES.match(masked, i):
                 return i - 1
         i += 1
     return len(masked) - 1
@@ -138,7 +145,9 @@ _JS_NOT = {"if", "for", "while", "switch", "catch", "return", "function"}
 def script_snippets(source: str) -> list[Snippet]:
     """Top-level functions, classes with their methods, imports (no name) and declarations; arrow functions are functions."""
     masked, out = _masked(source), []
-    line_of = lambda at: source.count("\n", 0, at) + 1
+    lines = source.split("\n")
+    breaks = [i for i, c in enumerate(source) if c == "\n"]
+    line_of = lambda at: bisect_left(breaks, at) + 1
     whole = lambda a, b: source[a : b + 1]
     at = 0
     while at < len(masked):
@@ -166,7 +175,7 @@ def script_snippets(source: str) -> list[Snippet]:
                     if 0 <= body < end and re.fullmatch(r"\s*(?::[^{;=]*)?", masked[_close(masked, mm.end() - 1) + 1 : body]):
                         stop = _close(masked, body)
                         out.append(Snippet("function", mm["name"], whole(mm.start(), stop), line_of(mm.start()), line_of(stop)))
-                        signatures.append("  " + source.split("\n")[line_of(mm.start()) - 1].strip())
+                        signatures.append("  " + lines[line_of(mm.start()) - 1].strip())
                         i = stop + 1
                         continue
                 if masked[i] in "{([":
@@ -174,7 +183,7 @@ def script_snippets(source: str) -> list[Snippet]:
                 i += 1
                 while i < end and (masked[i - 1].isalnum() or masked[i - 1] in "_$") and (masked[i].isalnum() or masked[i] in "_$"):
                     i += 1
-            head = _lines(source.split("\n"), line_of(own), line_of(max(open_, own)))
+            head = _lines(lines, line_of(own), line_of(max(open_, own)))
             content = "\n\n".join([head, *(["\n".join(["  // Methods:", *signatures])] if signatures else [])])
             out.append(Snippet("class", m["cls"], content, line_of(own), line_of(end)))
         elif m["var"]:
