@@ -16,27 +16,27 @@ from slatework.scratch import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the tokeniser's bands reject go."""
+    """Documents that the base rules or the tokeniser's bands reject go: null, empty and short texts too. Kept rows stay as they were, repeated ones each."""
     return fertility.score(docs, PIECE_VOCABULARY).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash class the document with the smallest id stays."""
+    """Of each SimHash class the document with the smallest id stays, null ids last; of equal rows one. Null and empty texts are one class."""
     return simhash.deduplicate(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
+    """Documents with any window of a benchmark item go; null and empty texts have none and stay, repeated rows are judged alike."""
     return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: documents are dropped or repeated whole."""
+    """Sources in their target shares: documents are dropped or repeated whole. A null source is one of its own; empty texts take no words but may go or come again."""
     return mixing.emit(mixing.mix(docs, count_words(F.col("text"))))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left; a row per document as read back from them."""
+    """Token files of what is left; a row per document as read back from them. A null or empty text is its end id, null ids come first, equal rows stay apart."""
     tokens = tokenbin.write(docs, WORD_VOCABULARY)
     return tokenbin.digest(tokens).withColumnRenamed("key", "doc_id")
 
