@@ -180,6 +180,10 @@ def test_pipeline_stages_keep_columns(spark, docs, sf):
     for name, stage in P.STAGES[:4]:
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0
+    name, stage = P.STAGES[4]
+    rows = stage(spark, docs, sf).collect()
+    assert sorted(repr(r.doc_id) for r in rows) == sorted(repr(r[0]) for r in ROWS) and stage(spark, docs.limit(0), sf).count() == 0
+    assert sum(r.n_tokens == 1 for r in rows) == sum(not (r[1] or "").strip() for r in ROWS)
 
 
 def test_remove_spans_keeps_case(spark):

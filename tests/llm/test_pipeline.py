@@ -1,11 +1,12 @@
 """Each stage of the pipeline against brute force on its own input."""
 
+import math
 import textwrap
 from collections import Counter
 
 import corpus_pipeline as P
-from slatework.llm import licences
-from slatework.llm.queries import op3_warc, op6_toxicity, op10_licences
+from slatework.llm import fertility, licences
+from slatework.llm.queries import PIECE_VOCABULARY, op3_warc, op6_toxicity, op10_licences
 from tests.llm import brute
 
 
@@ -24,6 +25,17 @@ def test_stages(spark, sf, tmp_path):
             whole = {r["doc_id"]: r for r in before}
             assert all(whole[r["doc_id"]] == r for r in after)
         ids = sorted(r["doc_id"] for r in after)
+        if name == "quality":
+            bands, sp = fertility.DEFAULT.bands, fertility._model(PIECE_VOCABULARY)[0]
+            want = []
+            for r in before:
+                n, _, _, _, repeated = brute.base_quality(r["text"])
+                tokens, chars, share, entropy, marks = brute.token_measures(sp, r["text"])
+                band = bands[r["lang"]]
+                good = band.least_chars <= chars <= band.most_chars and share <= band.most_bytes and marks <= band.most_marks
+                if n >= 50 and 100 * repeated <= 50 * n and good and entropy >= band.least_entropy * math.log2(max(2, min(tokens, 1024))):
+                    want.append(r["doc_id"])
+            assert ids == sorted(want) and 0 < len(ids) < len(before)
         if name == "near_duplicates":
             want = brute.components([(r["doc_id"], brute.simhash(r["text"])) for r in before])
             assert ids == sorted({c for _, _, c in want}) and len(ids) < len(before)
@@ -31,6 +43,13 @@ def test_stages(spark, sf, tmp_path):
             assert ids == sorted(r["doc_id"] for r in before if not brute.hits(r["text"], items)[1])
         if name == "mix_sources":
             assert max(Counter(ids).values()) <= 3
+            size, total, taken, longest = {r["doc_id"]: len(brute.space_words(r["text"])) for r in before}, Counter(), Counter(), Counter()
+            for r in before:
+                total[r["source"]] += size[r["doc_id"]]
+                longest[r["source"]] = max(longest[r["source"]], size[r["doc_id"]])
+            for r in after:
+                taken[r["source"]] += size[r["doc_id"]]
+            assert all(abs(taken[s] - t) <= 3 * longest[s] for s, t in brute.targets(total).items())
         if name == "token_files":
             assert ids == sorted(r["doc_id"] for r in before)
             rows = sorted(after, key=lambda r: r["start"])
