@@ -110,10 +110,11 @@ def count_parity(current: DataFrame, former: DataFrame, low: float = 0.8, high:
 
 def sensitivity_grid(spark: SparkSession, engineers: list[int], queries_per_day: list[int], days: int, saved_tokens: int, prices: dict[str, float] | None = None) -> DataFrame:
     """Tokens saved a year for every team size and query rate; with ``prices`` (dollars a million tokens) a row per model with its annual_cost."""
-    e = spark.createDataFrame([(x,) for x in engineers], "engineers long")
-    q = spark.createDataFrame([(x,) for x in queries_per_day], "queries_per_day long")
-    grid = e.crossJoin(q).withColumn("annual_tokens", F.col("engineers") * F.col("queries_per_day") * days * saved_tokens)
+    values = lambda some: F.explode(F.array(*[F.lit(x).cast("long") for x in some]))
+    grid = spark.range(1).select(values(engineers).alias("engineers")).select("*", values(queries_per_day).alias("queries_per_day"))
+    grid = grid.withColumn("annual_tokens", F.col("engineers") * F.col("queries_per_day") * days * saved_tokens)
     if prices is None:
         return grid
-    models = spark.createDataFrame(list(prices.items()), "model string, price double")
-    return grid.crossJoin(models).select("engineers", "queries_per_day", "annual_tokens", "model", (F.col("annual_tokens") / 1e6 * F.col("price")).alias("annual_cost"))
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(p)).alias("price")) for m, p in prices.items()]))
+    grid = grid.select("*", models.alias("m"))
+    return grid.select("engineers", "queries_per_day", "annual_tokens", "m.model", (F.col("annual_tokens") / 1e6 * F.col("m.price")).alias("annual_cost"))

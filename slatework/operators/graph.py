@@ -130,12 +130,17 @@ def neighbours(nodes_: DataFrame, edges_: DataFrame, name: str, relation: str =
     return out
 
 
-def reachability(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """All pairs (src, dst) with a path of one step or more: semi-naive, each round joins only the pairs found last."""
+def reachability(links: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """All pairs (src, dst) with a path of one step or more, or of ``most_steps`` at most.
+
+    Semi-naive: each round extends only the pairs found last, by all known paths, so paths double in length; with a
+    bound on steps by one step a round.
+    """
     links = known = fresh = materialize(links.select("src", "dst").distinct(), "closure")
     rounds = 1
-    while not fresh.isEmpty() and (most_rounds is None or rounds < most_rounds):
-        step = fresh.select("src", F.col("dst").alias("mid")).join(links.select(F.col("src").alias("mid"), F.col("dst")), "mid").select("src", "dst").distinct()
+    while not fresh.isEmpty() and (most_steps is None or rounds < most_steps):
+        onwards = known if most_steps is None else links
+        step = fresh.select("src", F.col("dst").alias("mid")).join(onwards.select(F.col("src").alias("mid"), F.col("dst")), "mid").select("src", "dst").distinct()
         fresh = materialize(step.join(known, ["src", "dst"], "left_anti"), "closure")
         known = known.unionByName(fresh)
         rounds += 1

@@ -326,6 +326,9 @@ def test_graph(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 7)], "src long, dst long")
     assert {tuple(r) for r in graph.mutual(links).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(5, 5)}
     assert {tuple(r) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (7, 6)}
+    assert {tuple(r) for r in graph.reachability(links, 2).collect()} == {(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 7), (1, 3), (2, 1), (2, 4), (3, 2)}
+    ring = spark.createDataFrame([(i, (i + 1) % 37) for i in range(37)] + [(36, 100), (100, 101)], "src long, dst long")
+    assert graph.reachability(ring).count() == 37 * 37 + 37 * 2 + 1 and graph.mutual(ring).count() == 37 * 37
     assert graph.reachability(links.limit(0)).count() == 0 and graph.mutual(links.limit(0)).count() == 0
     assert graph.mutual(spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")).count() == 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
