@@ -146,9 +146,25 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def term_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, df (documents), cf (occurrences), max_tf: one shuffle of sums that tasks have combined."""
-    counted = docs.select(F.explode(term_counts(F.col(text))).alias("c")).select("c.*")
-    return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    """term, df (documents), cf (occurrences), max_tf: batches sum up their own terms first, then one shuffle of those sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            if not len(lists.flatten()):
+                continue
+            held = lists.flatten().dictionary_encode()
+            n = len(held.dictionary)
+            cell = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) * n + held.indices.to_numpy()
+            cell, tf = np.unique(cell, return_counts=True)  # a cell is a document and a term
+            term = cell % n
+            order = np.argsort(term, kind="stable")
+            starts = np.flatnonzero(np.diff(term[order], prepend=-1))
+            most = np.maximum.reduceat(tf[order], starts)
+            yield pa.RecordBatch.from_arrays([held.dictionary, *map(pa.array, (np.bincount(term, minlength=n), np.add.reduceat(tf[order], starts), most))], ["term", "df", "cf", "max_tf"])
+
+    sums = docs.select(terms(F.col(text)).alias("t")).mapInArrow(count, "term string, df long, cf long, max_tf long")
+    return sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
 
 
 def batch_bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", text: str = "text", digits: int = 4) -> DataFrame:
