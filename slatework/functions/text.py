@@ -137,6 +137,15 @@ def imports(content: Column, language: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))))
 
 
+def imported_names(content: Column, language: Column) -> Column:
+    """module.name of every name that Python's ``from module import`` asks for: such a name may be a module itself."""
+    pattern = F.lit(r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+\(?([\w, \t]+)")
+    modules, names = (F.regexp_extract_all(content, pattern, F.lit(i)) for i in (1, 2))
+    full = lambda m, some: F.transform(F.split(some, ","), lambda n: F.concat(m, F.lit("."), F.regexp_extract(n, r"\w+", 0)))
+    found = F.when(language == "python", F.flatten(F.zip_with(modules, names, full)))
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+
+
 def calls(content: Column, language: Column, own_name: Column | None = None, literal: bool = False) -> Column:
     """Distinct names that a snippet calls, sorted, comment lines and the stoplist left out.
 
@@ -146,6 +155,9 @@ def calls(content: Column, language: Column, own_name: Column | None = None, lit
     lines = F.filter(F.split(content, "\n"), lambda x: ~F.trim(x).rlike(r"^(#|//)"))
     if not literal:
         lines = F.transform(lines, lambda x: F.regexp_replace(x, r"\b(def|function|class)[ \t]+[A-Za-z_$][A-Za-z0-9_$]*[ \t]*\(", "("))
+        if own_name is not None:  # a method's definition has no keyword: its name before the first bracket of the first line
+            method = F.concat(F.lit(r"^[^(]*\Q"), F.coalesce(own_name, F.lit("")), F.lit(r"\E[ \t]*\("))
+            lines = F.transform(lines, lambda x, i: F.when(i == 0, F.regexp_replace(x, method, F.lit("("))).otherwise(x))
         pattern = r"(?<![A-Za-z0-9_$])([A-Za-z_$][A-Za-z0-9_$]*)[ \t]*\("
     else:
         pattern = r"(?:^|\s|\.)\s*([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\("

@@ -19,7 +19,7 @@ from slatework.functions.text import LANGUAGES
 
 SCHEMA = "file_path string, snippet_type string, name string, content string, start_line long, end_line long, language string, docstring string, error string"
 #: Part of the memo key of incremental builds: raise it when the rules change.
-VERSION = "1"
+VERSION = "2"
 
 
 @dataclass
@@ -174,8 +174,9 @@ def script_snippets(source: str) -> list[Snippet]:
                     body = masked.find("{", _close(masked, mm.end() - 1))
                     if 0 <= body < end and re.fullmatch(r"\s*(?::[^{;=]*)?", masked[_close(masked, mm.end() - 1) + 1 : body]):
                         stop = _close(masked, body)
-                        out.append(Snippet("function", mm["name"], whole(mm.start(), stop), line_of(mm.start()), line_of(stop)))
-                        signatures.append("  " + lines[line_of(mm.start()) - 1].strip())
+                        first = mm.start() + len(mm[0]) - len(mm[0].lstrip())  # the name, if the match begins with the blanks before it
+                        out.append(Snippet("function", mm["name"], whole(first, stop), line_of(first), line_of(stop)))
+                        signatures.append("  " + lines[line_of(first) - 1].strip())
                         i = stop + 1
                         continue
                 if masked[i] in "{([":

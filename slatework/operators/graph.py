@@ -70,16 +70,19 @@ def call_edges(snippets: DataFrame, scope: str = "codebase", literal: bool = Fal
 def import_edges(snippets: DataFrame) -> DataFrame:
     """IMPORTS edges between files of a codebase: a module is resolved to the file whose path it spells.
 
-    Dotted modules are matched to path endings (with or without a package file), script modules to their last part.
+    Dotted modules are matched to path endings (with or without a package file), script modules to their last part, names that
+    are imported from a package to its modules. A file imports files of its own language; all script languages are one.
     """
-    found = snippets.where("snippet_type = 'import'").select(F.col("codebase_name").alias("codebase"), F.col("file_path").alias("path"), F.explode(T.imports(F.col("content"), F.col("language"))).alias("module"))
-    files = snippets.select(F.col("codebase_name").alias("codebase"), F.col("file_path").alias("to_path")).distinct()
+    kind = F.when(F.col("language").isin(*T.SCRIPT_LANGUAGES), "script").otherwise(F.col("language")).alias("kind")
+    modules = F.array_union(T.imports(F.col("content"), F.col("language")), T.imported_names(F.col("content"), F.col("language")))
+    found = snippets.where("snippet_type = 'import'").select(F.col("codebase_name").alias("codebase"), F.col("file_path").alias("path"), kind, F.explode(modules).alias("module"))
+    files = snippets.select(F.col("codebase_name").alias("codebase"), F.col("file_path").alias("to_path"), kind).distinct()
     bare = F.regexp_replace(F.regexp_replace("to_path", r"\.[^./]+$", ""), r"/(__init__|index)$", "")
     parts = F.split(bare, "/")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    spelled = files.select("codebase", "to_path", F.explode(ends).alias("spelling"))
+    spelled = files.select("codebase", "kind", "to_path", F.explode(ends).alias("spelling"))
     spelling = F.regexp_replace(F.regexp_replace("module", r"^[./]+", ""), "/", ".")
-    joined = found.withColumn("spelling", spelling).join(spelled, ["codebase", "spelling"]).where("path != to_path")
+    joined = found.withColumn("spelling", spelling).join(spelled, ["codebase", "kind", "spelling"]).where("path != to_path")
     c = F.col("codebase")
     return joined.select(_id("CodeFile", c, F.col("path")).alias("src"), _id("CodeFile", c, F.col("to_path")).alias("dst"), F.lit("IMPORTS").alias("type"), "module").distinct()
 
