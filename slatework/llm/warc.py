@@ -181,6 +181,8 @@ def read(archive: Archive, selected: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             for some in _ranges(batch.to_pylist()):
                 if some[0]["file"] != name:
+                    if source:
+                        source.close()
                     name = some[0]["file"]
                     source = fs.open_input_file(f"{base}/{name}")
                 start = some[0]["offset"]
@@ -194,6 +196,8 @@ def read(archive: Archive, selected: DataFrame | None = None) -> DataFrame:
                         x.append(v)
                 kinds = (*[pa.string()] * 5, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds)], ["page", "url", "type", "refers_to", "digest", "payload"])
+        if source:
+            source.close()
 
     return rows.mapInArrow(run, "page string, url string, type string, refers_to string, digest string, payload binary")
 
