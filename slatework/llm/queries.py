@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import decontaminate, fertility, licences, linededup, mixing, quotes, simhash, tokenbin, toxicity, warc
-from slatework.llm.text import count_words, read
+from slatework.llm import decontaminate, fertility, licences, linededup, manifest, mixing, quotes, simhash, tokenbin, toxicity, warc
+from slatework.llm.text import ascii_lower, count_words, read
 
 #: Vocabulary files of public tokenisers; the path is a parameter of every operator that uses one.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -100,6 +100,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and what a third of them, tampered with, would give."""
+    docs = read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    tree = manifest.build(docs, manifest.row_digest(*fields, F.col("text")), "lang", "doc_id", manifest.row_digest(*fields, changed))
+    rows = manifest.prove(tree)
+    return rows.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES = {
     "op1_quotes": op1_quotes,
     "op2_simhash": op2_simhash,
@@ -111,6 +123,7 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_tokenbin": op9_tokenbin,
     "op10_licences": op10_licences,
+    "op12_manifest": op12_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_quotes": r"""
@@ -204,5 +217,53 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS i
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
   coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN places p USING (doc_id) LEFT JOIN items i USING (doc_id)
+""",
+    "op12_manifest": r"""
+WITH RECURSIVE crc_steps AS (
+  SELECT n, n AS c, 0 AS k FROM range(0, 256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc_steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_steps WHERE k = 8),
+marked AS (
+  SELECT *, doc_id IS NOT NULL AND xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a // 256, t[1 + xor(a, b) % 256])), 4294967295) % 3 = 0 AS tampered FROM documents, crc_table
+), fields AS (
+  SELECT doc_id, lang, tampered, text, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id) END,
+    CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END, CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars) END) AS head FROM marked
+), digests AS (
+  SELECT doc_id, lang, sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS leaf,
+    sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END) END)) AS claim FROM fields
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS total FROM digests
+), lower_nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, total AS width FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), max((width + 7) // 8) FROM lower_nodes WHERE width > 1 GROUP BY tree, level, idx // 8
+), upper_nodes AS (
+  SELECT 0 AS level, tree AS idx, h, (SELECT count(*) FROM lower_nodes WHERE width = 1) AS width FROM lower_nodes WHERE width = 1
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), max((width + 7) // 8) FROM upper_nodes WHERE width > 1 GROUP BY level, idx // 8
+), runs AS (
+  SELECT tree, level, idx // 8 AS up, list(h ORDER BY idx) AS hs FROM lower_nodes WHERE width > 1 GROUP BY ALL
+  UNION ALL
+  SELECT -1, level, idx // 8, list(h ORDER BY idx) FROM upper_nodes WHERE width > 1 GROUP BY ALL
+), heights AS (SELECT tree, max(level) AS height FROM lower_nodes GROUP BY 1),
+nodes_above AS (
+  SELECT doc_id, leaf, claim, l.tree, CASE WHEN height = 0 THEN -1 ELSE l.tree END AS at_tree, 0 AS level, CASE WHEN height = 0 THEN l.tree ELSE idx END AS idx, height,
+    CAST([] AS VARCHAR[]) AS siblings, claim AS folded, l.idx AS place FROM leaves l JOIN heights USING (tree)
+  UNION ALL
+  SELECT doc_id, leaf, claim, n.tree, CASE WHEN at_tree = -1 OR n.level + 1 = height THEN -1 ELSE at_tree END,
+    CASE WHEN at_tree <> -1 AND n.level + 1 = height THEN 0 ELSE n.level + 1 END, CASE WHEN at_tree <> -1 AND n.level + 1 = height THEN n.tree ELSE idx // 8 END, height,
+    list_concat(siblings, list_concat(hs[1 : idx % 8], hs[idx % 8 + 2 :])),
+    sha256(concat(array_to_string(hs[1 : idx % 8], ''), folded, array_to_string(hs[idx % 8 + 2 :], ''))), place
+  FROM nodes_above n JOIN runs r ON r.tree = n.at_tree AND r.level = n.level AND r.up = n.idx // 8
+), ends AS (
+  SELECT *, row_number() OVER (PARTITION BY tree, place ORDER BY len(siblings) DESC, at_tree, level DESC) AS r FROM nodes_above
+)
+SELECT doc_id, leaf, (SELECT h FROM lower_nodes s WHERE s.tree = e.tree AND s.width = 1) AS subroot, (SELECT h FROM upper_nodes WHERE width = 1) AS root,
+  sha256(array_to_string(siblings, '')) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM upper_nodes WHERE width = 1) AS verified
+FROM ends e WHERE r = 1
 """,
 }

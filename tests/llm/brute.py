@@ -113,3 +113,40 @@ def declared(text, templates):
     plain = " ".join(re.findall("[a-z0-9]+", (text or "").lower()))
     short = {f: " ".join(re.findall("[a-z0-9]+", t[-1].lower())) for f, t in templates.items()}
     return {f for f, t in short.items() if f" {t} " in f" {plain} "}
+
+
+def sha(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(fields):
+    return sha("-" if v is None else f"{len(str(v).encode())}:{v}" for v in fields)
+
+
+def _tree(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha(levels[-1][i : i + 8]) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def _way(levels, at):
+    for level in levels[:-1]:
+        first = at // 8 * 8
+        yield from (h for i, h in enumerate(level[first : first + 8], first) if i != at)
+        at //= 8
+
+
+def merkle(rows):
+    """rows: (group, key, leaf). ([(group, key, leaf, subroot, siblings up to the root)], root)."""
+    groups = {}
+    for g, key, h in rows:
+        groups.setdefault(g, []).append((key is not None, key or 0, h))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = [_tree([h for *_, h in sorted(groups[g])]) for g in order]
+    top = _tree([t[-1][0] for t in trees])
+    out = []
+    for at, g in enumerate(order):
+        for i, (has, key, h) in enumerate(sorted(groups[g])):
+            out.append((g, key if has else None, h, trees[at][-1][0], [*_way(trees[at], i), *_way(top, at)]))
+    return out, top[-1][0]
