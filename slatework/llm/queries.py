@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import decontaminate, fertility, licences, linededup, manifest, mixing, quotes, simhash, tokenbin, toxicity, warc
+from slatework.llm import decontaminate, extraction, fertility, licences, linededup, manifest, mixing, quotes, simhash, tokenbin, toxicity, warc
 from slatework.llm.text import ascii_lower, count_words, read
 
 #: Vocabulary files of public tokenisers; the path is a parameter of every operator that uses one.
@@ -100,6 +100,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.train(pages)).withColumnRenamed("page", "page_id")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and root of every document, and what a third of them, tampered with, would give."""
     docs = read(spark, sf_dir, "documents")
@@ -123,6 +129,7 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_tokenbin": op9_tokenbin,
     "op10_licences": op10_licences,
+    "op11_extraction": op11_extraction,
     "op12_manifest": op12_manifest,
 }
 ORACLES: dict[str, str] = {
