@@ -76,20 +76,23 @@ def ts_rank(docs: DataFrame, wanted: list[str], text: str = "text") -> DataFrame
     if not wanted:
         return docs.withColumn("score", F.lit(None).cast("double")).limit(0)
     held = docs.withColumn("__t", terms(F.col(text))).where(F.forall(F.array(*[F.lit(w) for w in wanted]), lambda w: F.array_contains("__t", w)))
-    if len(wanted) == 1:
-        n = count_term(F.col("__t"), wanted[0])
-        score = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, j: s + WEIGHT / (j * j)) / ZETA
-    else:
-        for i, w in enumerate(wanted):
-            held = held.withColumn(f"__p{i}", positions(F.col("__t"), w))
-        missed = F.lit(1.0)
-        for i in range(len(wanted)):
-            for k in range(i):
-                missed = _miss_pairs(missed, F.col(f"__p{i}"), F.col(f"__p{k}"))
-        score = 1 - missed
+    for i, w in enumerate(wanted):
+        held = held.withColumn(f"__p{i}", positions(F.col("__t"), w))
+    score = rank_of_places([F.col(f"__p{i}") for i in range(len(wanted))])
     return held.select(*[F.col(f"`{c}`") for c in docs.columns], score.alias("score"))
 
 
+def rank_of_places(places: list[Column]) -> Column:
+    """The text rank of a document in which each term has some places."""
+    if len(places) == 1:
+        return F.aggregate(F.sequence(F.lit(1), F.size(places[0])), F.lit(0.0), lambda s, j: s + WEIGHT / (j * j)) / ZETA
+    missed = F.lit(1.0)
+    for i in range(len(places)):
+        for k in range(i):
+            missed = _miss_pairs(missed, places[i], places[k])
+    return 1 - missed
+
+
 def _closeness(distance: Column) -> Column:
     near = 1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2))
     return F.sqrt(WEIGHT * WEIGHT * F.when(distance > FAR, F.lit(1e-30)).otherwise(near))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions import text as T
 from slatework.operators import change, graph, symbols
+from slatework.operators.inverted_index import InvertedIndex
 from slatework.plans import retrieve as R
 from slatework.plans.config import SearchConfig
 from slatework.plans.registry import Registry
@@ -34,6 +35,15 @@ class Engine:
             raise NotFound(f"codebase {codebase!r} is not indexed")
         return rows
 
+    def index_path(self, codebase: str) -> str:
+        """Where the inverted index of a codebase is kept."""
+        return f"{self.store.path}/{self.store.part('index', codebase)}"
+
+    def index(self, codebase: str) -> InvertedIndex | None:
+        """The inverted index of a codebase, which its builds keep up; none before the first one."""
+        path = self.index_path(codebase)
+        return InvertedIndex(self.spark, path) if InvertedIndex.exists(self.spark, path) else None
+
     def search_symbols(self, query: str, codebase: str, limit: int = 10) -> DataFrame:
         """Symbols by name or path with a preview; files of the graph if that is the backend, or if nothing is found and fallback is on."""
         if self.config.backend == "tables":
@@ -43,13 +53,13 @@ class Engine:
                 return shown
         return graph.name_search(self.store.read_parts("nodes"), codebase, query, limit)
 
-    def retrieve(self, query: str, codebase: str, limit: int = 5, alpha: float | None = None) -> DataFrame:
-        """Hybrid retrieval. ``alpha`` (an extension) weighs the vector branch against the keyword branch."""
+    def retrieve(self, query: str, codebase: str, limit: int = 5, alpha: float | None = None, mode: str = "all") -> DataFrame:
+        """Hybrid retrieval; the keyword branch reads the asked terms' blocks of the index. ``alpha`` (an extension) weighs the branches, ``mode`` wants all terms or any."""
         if self.config.backend != "tables":
             raise ValueError("retrieval needs the tables backend")
         weights = None if alpha is None else {"vector": alpha, "keyword": 1 - alpha}
         vector = vector_of(self.spark, self.provider, query)
-        return R.retrieve(self.corpus(codebase), query, vector, limit, hybrid=self.config.hybrid, weights=weights)
+        return R.retrieve(self.corpus(codebase), query, vector, limit, mode=mode, hybrid=self.config.hybrid, weights=weights, index=self.index(codebase))
 
     def explore(self, name: str, codebase: str, relation: str = "all") -> DataFrame:
         """Callers, callees, methods and imports around a name (an extension)."""

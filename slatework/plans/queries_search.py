@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from slatework.functions import ids, vectors
 from slatework.functions import text as T
 from slatework.operators import analytics, fusion, keyword, symbols, vector_search
+from slatework.operators.inverted_index import InvertedIndex
 from slatework.plans import retrieve
 from slatework.plans.registered import Catalogue
+from slatework.scratch import scratch_path
 from slatework.session import table
 
 CATALOGUE = Catalogue()
@@ -169,6 +171,43 @@ def rrf_hybrid_topk(spark, sf_dir):
     return fusion.fuse(lists, "doc_id", limit=TOP)
 
 
+_INDEXES: dict[tuple[str, str], InvertedIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
+    """The inverted index of all documents, made when a session first asks for it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        _INDEXES[at] = InvertedIndex.build(table(spark, sf_dir, "documents"), scratch_path(spark, "inverted-index"))
+    return _INDEXES[at]
+
+
+@add(f"WITH {BM25} SELECT doc_id, round(raw, 4) AS score FROM bm ORDER BY round(raw, 10) DESC, doc_id LIMIT 20")
+def index_topk_bm25(spark, sf_dir):
+    """Any term, from the asked terms' blocks of the stored index."""
+    return stored_index(spark, sf_dir).top_k(WORDS, 20)
+
+
+@add(CATALOGUE.oracles["ts_rank_topk"])
+def index_topk_all_terms(spark, sf_dir):
+    """All terms by text rank, from the stored index."""
+    return stored_index(spark, sf_dir).top_k_all(["thing", "with"], 20)
+
+
+@add(f"WITH {BM25}, {KEYWORD_LIST}, {VECTOR_LIST} {fused_sql()}")
+def index_hybrid_topk(spark, sf_dir):
+    """Hybrid retrieval whose keyword branch reads the stored index."""
+    near = fusion.ranked(stored_index(spark, sf_dir).top_k(WORDS, DEPTH, digits=None), "doc_id", "score")
+    return fusion.fuse({"vector": _vector_list(spark, sf_dir).select("doc_id", "rank"), "keyword": near.select("doc_id", "rank")}, "doc_id", limit=TOP)
+
+
+@add(rf"SELECT term, doc_id, count(*) AS tf, any_value(n) AS len FROM (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM (SELECT doc_id, {TOKENS} AS t FROM documents)) GROUP BY ALL")
+def index_postings(spark, sf_dir):
+    """All postings that the stored index has."""
+    rows = stored_index(spark, sf_dir).postings()
+    return rows.select("term", F.col("key").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("len"))
+
+
 @add(f"WITH {BM25}, {KEYWORD_LIST}, {VECTOR_LIST} {fused_sql(0.3, 0.7)}")
 def rrf_weighted(spark, sf_dir):
     lists = {"vector": _vector_list(spark, sf_dir).select("doc_id", "rank"), "keyword": _keyword_list(spark, sf_dir).select("doc_id", "rank")}
@@ -319,8 +358,6 @@ def topk_jaccard(spark, sf_dir):
 @add()
 def ivf_recall(spark, sf_dir):
     """An inverted-file index over all vectors: recall of probing 7 of 8 cells against the exact search, over every id divisible by 100."""
-    from slatework.scratch import scratch_path
-
     rows = table(spark, sf_dir, "embeddings")
     index = vector_search.InvertedFile.build(rows, scratch_path(spark, "ivf"), cells=8)
     asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")

@@ -13,6 +13,7 @@ from slatework import schema
 from slatework.functions.ids import stable_id
 from slatework.functions.text import is_blank
 from slatework.operators import change, extract, graph, joins
+from slatework.operators.inverted_index import InvertedIndex
 from slatework.plans.api import Engine
 from slatework.scratch import materialize
 from slatework.sources import embedding, files, repos
@@ -66,6 +67,11 @@ def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run:
         rows = old.join(kept, "file_path", "left_semi").unionByName(rows, allowMissingColumns=True)
     part = lambda name: store.part(name, codebase)
     code = store.write(part("corpus"), schema.with_columns(rows, schema.CORPUS))
+    old_index = None if full else engine.index(codebase)
+    if old_index is None:
+        InvertedIndex.build(code, engine.index_path(codebase), "id", "content", "file_path")
+    else:  # a file's snippets are in one shard, so its shard is what changes
+        old_index.refresh(code, status.where("status != 'unchanged'").select(F.col("relative_path").alias("file_path")), "id", "content", "file_path")
     store.write(part("nodes"), graph.nodes(code))
     store.write(part("edges"), graph.edges(code))
     store.write(part("failures"), failures.withColumn("codebase_name", F.lit(codebase)))
@@ -108,9 +114,15 @@ def poll(engine: Engine, sync: Sync, dry_run: bool = False, build_one: Callable[
     if not dry_run:
         due = plan.where("action = 'reindexed'").select("name", "path").collect()
         run = build_one or (lambda name, path: build(engine, name, path) is not None)
-        built = [(r.name, bool(run(r.name, r.path))) for r in due]
-        plan = plan.join(engine.spark.createDataFrame(built, "name string, built boolean"), "name", "left")
+        built = []
+        for r in due:
+            try:
+                built.append((r.name, bool(run(r.name, r.path)), None))
+            except Exception as e:  # one codebase's failure is its own: it is recorded, and tried again by the next pass
+                built.append((r.name, False, f"{type(e).__name__}: {e}"[:500]))
+        plan = plan.join(engine.spark.createDataFrame(built, "name string, built boolean, build_error string"), "name", "left")
         plan = plan.withColumn("action", F.when(~F.coalesce("built", F.lit(True)), "failed").otherwise(F.col("action")))
+        plan = plan.withColumn("error", F.coalesce("error", "build_error"))
         plan = materialize(plan, "poll")
         engine.registry.record_sync(plan.select("name", "path", "error", F.when(F.col("action") == "reindexed", F.col("commit")).alias("commit")))
     return joins.run_counters(plan, **{a: F.col("action") == a for a in ("reindexed", "skipped", "failed")}).first().asDict()
