@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slatework.functions import text as T
 from slatework.operators import change, graph, symbols
 from slatework.operators.inverted_index import InvertedIndex
+from slatework.operators.vector_store import VectorStore
 from slatework.plans import retrieve as R
 from slatework.plans.config import SearchConfig
 from slatework.plans.registry import Registry
@@ -25,6 +26,7 @@ class Engine:
         self.spark, self.config, self.provider = spark, config, provider or mock_provider()
         self.store = change.TableStore(spark, path)
         self.registry = Registry(self.store)
+        self.vectors = VectorStore(spark, f"{self.store.path}/vectors")
 
     def corpus(self, codebase: str) -> DataFrame:
         """The indexed rows of a codebase; only its part is read."""

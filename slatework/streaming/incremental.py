@@ -14,6 +14,7 @@ from slatework.functions.ids import stable_id
 from slatework.functions.text import is_blank
 from slatework.operators import change, extract, graph, joins
 from slatework.operators.inverted_index import InvertedIndex
+from slatework.operators.vector_store import VectorStore
 from slatework.plans.api import Engine
 from slatework.scratch import materialize
 from slatework.sources import embedding, files, repos
@@ -32,10 +33,10 @@ def snapshot(spark: SparkSession, root: str, codebase: str, memo: str, exclude:
     return rows.withColumn("codebase_name", F.lit(codebase)).withColumn("memo", F.lit(memo))
 
 
-def index_rows(changed: DataFrame, codebase: str, provider: embedding.Provider | embedding.ExpressionProvider) -> DataFrame:
-    """Corpus rows of some files: extract, drop blanks, embed, stable ids. Rows that could not be embedded have embed_error."""
+def index_rows(changed: DataFrame, codebase: str, provider: embedding.Provider | embedding.ExpressionProvider, vectors: VectorStore) -> DataFrame:
+    """Corpus rows of some files: extract, drop blanks, embed what has no vector yet, stable ids. Rows that could not be embedded have embed_error."""
     found = extract.extract(changed).where(~is_blank(F.col("content")))
-    found = embedding.embed(found, provider)
+    found = vectors.embed(found, provider)
     ids = stable_id(F.lit(codebase), "file_path", "start_line", "name", "content")
     return found.select(F.lit(codebase).alias("codebase_name"), ids.alias("id"), *[c for c in found.columns])
 
@@ -58,7 +59,7 @@ def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run:
     old = store.read_parts("corpus", codebase)
     if dry_run or (old is not None and status.where("status != 'unchanged'").isEmpty()):
         return summary
-    fresh = index_rows(now.join(status.where("status IN ('new', 'changed')"), "relative_path", "left_semi"), codebase, engine.provider)
+    fresh = index_rows(now.join(status.where("status IN ('new', 'changed')"), "relative_path", "left_semi"), codebase, engine.provider, engine.vectors)
     fresh = materialize(fresh, "build-rows")
     failures = materialize(fresh.where("embed_error IS NOT NULL").groupBy(F.col("file_path").alias("relative_path")).agg(F.min("embed_error").alias("error"), F.count("*").alias("rows")), "build-failures")
     rows = fresh.where("embed_error IS NULL").drop("embed_error")
