@@ -57,15 +57,20 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, "H" if kind.itemsize == 2 else "I"
 
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Whether a word is one run of letters to the tokeniser too, in either case."""
+        return word.isalpha() and (word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word) and word.lower().isalpha()))
+
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and (word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word) and word.lower().isalpha())):
+        if self.plain(word):
             low = word.lower()
             if low != word:
                 ids = self[low]
             else:
                 mapped = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
                 ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        elif word[-1] in ",.!?" and word[:-1].isalpha():
+        elif word[-1] in ",.!?" and self.plain(word[:-1]):
             ids = self[word[:-1]] + self[word[-1]]
         else:
             ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()

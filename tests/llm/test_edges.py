@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def test_decontaminate(spark, docs):
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench).collect()}
     assert cut[1] == "a b e" and cut[3] is None and cut[8] == "b"
     assert decontaminate.hits(docs.limit(0), bench).count() == 0 and decontaminate.hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
-    blocks = decontaminate.hits(docs, bench, block=2)
+    blocks = decontaminate.hits(docs, bench, block=1)
+    assert "Broadcast" not in blocks._jdf.queryExecution().executedPlan().toString()  # each block was a job of its own
     assert sorted(repr((r.key, r.n_words, r.n_hit)) for r in blocks.collect()) == got
 
 
@@ -110,6 +112,19 @@ def test_tokens(spark, docs):
     assert tokenbin.digest(tokenbin.write(docs.limit(0), WORD_VOCABULARY)).count() == 0
 
 
+def test_tokens_of_every_letter():
+    """Words, and words with a mark behind, against the library: letters that decompose, have odd cases or are beyond the BMP."""
+    e = tokenbin.Encoder(WORD_VOCABULARY, tokenbin._by_word(WORD_VOCABULARY))
+    letters = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    for form in ("{}", "{}.", "a{}", "x{}y!", "{0}{0},", "{}?x", "BELED{}YES{}.".replace("{}", "{0}")):
+        for at in range(0, len(letters), 500):
+            words = [form.format(c) for c in letters[at : at + 500]]
+            want = [x.ids for x in e.tokenizer.encode_batch(words, add_special_tokens=False)]
+            assert [np.frombuffer(e.encode(w), e.type).tolist() for w in words] == want
+    for text in ("ALİ.", "BELEDİYESİ.", "ΑΣ. Σ", "ŉ! ß?"):
+        assert np.frombuffer(e.encode(text), e.type).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_by_ranges(spark, docs):
     """Files that cannot be mapped are read by ranges; both ways give the same."""
     tokens = tokenbin.write(docs, WORD_VOCABULARY)
