@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatework.llm.text import NON_ALNUM, ascii_lower, split_words
-from slatework.scratch import materialize
+from slatework.scratch import materialize, scratch_path
 
-#: Benchmark windows broadcast at once (about 200 bytes each). A larger benchmark is scanned in blocks of this many.
+#: Benchmark windows broadcast at once (about 200 bytes each). A larger benchmark is looked up in blocks of this many, one after the other.
 BLOCK = 200_000
 #: Most rows of a window that many items have.
 CHUNKS = 64
@@ -64,18 +64,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc
     spans: hit words as (first, last) positions from 0, merged and ascending. Rows with null or empty
     text have no words and no hits. Equal (key, text) rows give equal results, one row each; equal keys
     with other texts stay apart. Extra columns are ignored. A benchmark without words hits nothing.
-    The benchmark's windows are broadcast in blocks of about ``block`` rows and item ids: a larger set takes more scans.
+    The benchmark's windows are broadcast in blocks of about ``block`` rows and item ids. If there are several, texts are cut into words once and
+    blocks follow one another, each a job of its own that leaves its hits, so that no task or driver ever holds two.
     """
     # At most width distinct lengths and one count come to the driver.
     windows = materialize(windows_of(benchmark, width), "windows")
     sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.sum(F.size("items") + 1).alias("n")).collect()}
     blocks = max(1, -(-sum(sizes.values()) // block))
     words = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), normalised_words(F.col(text)).alias("w"))
-    part = [windows.where(F.pmod(F.xxhash64("hash", "chunk"), F.lit(blocks)) == b) for b in range(blocks)]
-    scans = [_scan(words, p, sorted(sizes)) for p in part]
-    rows = scans[0]
-    for more in scans[1:]:
-        rows = rows.unionByName(more.where(F.col("code") > 0))
+    if blocks == 1:
+        rows = _scan(words, windows, sorted(sizes))
+    else:
+        words = materialize(words, "words")
+        path = scratch_path(docs.sparkSession, "block-hits")
+        for b in range(blocks):
+            part = windows.where(F.pmod(F.xxhash64("hash", "chunk"), F.lit(blocks)) == b)
+            found = _scan(words, part, sorted(sizes)).where(F.col("code") > 0)
+            found.write.mode("append").parquet(path)
+        rows = _scan(words, windows, []).unionByName(docs.sparkSession.read.schema(found.schema).parquet(path))
     grouped = rows.groupBy("key", "th").agg(
         F.max("n").cast("long").alias("n_words"),
         F.sum((F.col("code") == 0).cast("int")).cast("int").alias("repeats"),
