@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions import text as T
 from slatework.functions.ids import stable_id
+from slatework.operators import strong
 from slatework.scratch import materialize
 
 
@@ -153,19 +154,12 @@ def reachability(links: DataFrame, most_steps: int | None = None) -> DataFrame:
 def mutual(links: DataFrame) -> DataFrame:
     """Distinct pairs that reach each other: circular imports. Includes (a, a) where a lies on a cycle.
 
-    What nothing leads to, or leads to nothing, lies on no cycle and goes first, again and again; the closure is that of the rest.
+    The pairs of every strongly connected class, of which a class of n nodes has n * n; ``strong.classes`` has the classes alone.
     """
-    core = materialize(links.select("src", "dst").distinct(), "core")
-    left = core.count()
-    while left:
-        core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        core = materialize(core.select("src", "dst"), "core")
-        before, left = left, core.count()
-        if left == before:
-            break
-    closed = materialize(reachability(core), "closure-all")
-    back = closed.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return closed.join(back, ["src", "dst"], "left_semi")
+    found = strong.components(links)
+    circles = strong.classes(links, found).where("n_links > 0").select("component")
+    inside = materialize(found.join(circles, "component", "left_semi"), "circles")
+    return inside.select(F.col("node").alias("src"), "component").join(inside.select(F.col("node").alias("dst"), "component"), "component").select("src", "dst")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatework.functions import text as T
-from slatework.operators import extract, graph
+from slatework.operators import extract, graph, strong
 from slatework.plans.registered import Catalogue
 from slatework.session import table
 
@@ -113,6 +113,26 @@ def graph_cycles(spark, sf_dir):
     return graph.mutual(_ring(spark, sf_dir))
 
 
+_NAMES = f"{_FUNCTIONS}, links AS (SELECT DISTINCT codebase, k AS src, c1 AS dst FROM fn UNION SELECT DISTINCT codebase, k, c2 FROM fn WHERE k % 3 > 0)"
+
+
+def _calls_between_names(spark, sf_dir):
+    """Which name calls which in a codebase made of parts: a name is a number beyond its codebase's."""
+    k, brand = F.col("p_partkey").cast("long"), F.regexp_extract("p_brand", r"\d+", 0).cast("long") * 1000
+    rows = table(spark, sf_dir, "part").withColumn("to", F.explode(F.array((k * 3 + 7) % 400, F.when(k % 400 % 3 > 0, (k * 5 + 7) % 400)))).where("to IS NOT NULL")
+    return rows.select((brand + k % 400).alias("src"), (brand + F.col("to")).alias("dst")).distinct()
+
+
+@add(f"""WITH RECURSIVE {_NAMES}, closure AS (SELECT codebase, src, dst FROM links UNION SELECT c.codebase, c.src, l.dst FROM closure c JOIN links l ON c.codebase = l.codebase AND c.dst = l.src),
+nodes AS (SELECT codebase, src AS k FROM links UNION SELECT codebase, dst FROM links), circles AS (SELECT a.codebase, a.src AS k, min(a.dst) AS least FROM closure a JOIN closure b ON a.codebase = b.codebase AND a.src = b.dst AND a.dst = b.src GROUP BY ALL),
+named AS (SELECT n.codebase, CAST(replace(n.codebase, 'Brand#', '') AS BIGINT) * 1000 AS base, n.k, coalesce(least(c.least, n.k), n.k) AS least FROM nodes n LEFT JOIN circles c ON n.codebase = c.codebase AND n.k = c.k),
+inside AS (SELECT a.codebase, a.least, count(*) AS n_links FROM links l JOIN named a ON l.codebase = a.codebase AND l.src = a.k JOIN named b ON l.codebase = b.codebase AND l.dst = b.k AND a.least = b.least GROUP BY ALL)
+SELECT base + n.least AS component, count(*) AS n_nodes, coalesce(any_value(i.n_links), 0) AS n_links FROM named n LEFT JOIN inside i USING (codebase, least) GROUP BY codebase, base, n.least""")
+def graph_strong_classes(spark, sf_dir):
+    """Strongly connected classes of calls, with their links."""
+    return strong.classes(_calls_between_names(spark, sf_dir))
+
+
 @add(f"WITH RECURSIVE {_LINKS}, u AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), reach AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM reach r JOIN u ON r.dst = u.src) SELECT src AS node, least(src, min(dst)) AS component FROM reach GROUP BY src")
 def graph_components(spark, sf_dir):
     return graph.components(_ring(spark, sf_dir))

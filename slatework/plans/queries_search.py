@@ -9,6 +9,7 @@ from slatework.functions import ids, vectors
 from slatework.functions import text as T
 from slatework.operators import analytics, fusion, keyword, symbols, vector_search
 from slatework.operators.inverted_index import InvertedIndex
+from slatework.operators.quantised import QuantisedIndex
 from slatework.plans import retrieve
 from slatework.plans.registered import Catalogue
 from slatework.scratch import scratch_path
@@ -364,3 +365,14 @@ def ivf_recall(spark, sf_dir):
     exact = vector_search.batch_top_k(rows, asked, 10).select("query_id", "vec_id")
     probed = index.batch_top_k(asked, 10, probes=7).select("query_id", "vec_id")
     return exact.join(probed.withColumn("found", F.lit(True)), ["query_id", "vec_id"], "left").agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
+
+
+@add()
+def quantised_recall(spark, sf_dir):
+    """Quantised vectors, every id divisible by 100 against all rows: true neighbours among the k best, and the share of the vectors' bytes that was compared."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = QuantisedIndex.build(rows, scratch_path(spark, "quantised"))
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = vector_search.batch_top_k(rows, asked, 10).select("query_id", "vec_id")
+    found = index.batch_top_k(asked, 10, candidates=20).select("query_id", "vec_id")
+    return exact.join(found.withColumn("found", F.lit(True)), ["query_id", "vec_id"], "left").agg(F.count("*").alias("wanted"), F.count("found").alias("found"), F.lit(round(index.share_read(20), 4)).alias("share_read"))
