@@ -108,13 +108,14 @@ def count_parity(current: DataFrame, former: DataFrame, low: float = 0.8, high:
     return both.select("current_rows", "former_rows", F.round(share, 6).alias("ratio"), share.between(low, high).alias("ok"))
 
 
-def sensitivity_grid(spark: SparkSession, engineers: list[int], queries_per_day: list[int], days: int, saved_tokens: int, prices: dict[str, float] | None = None) -> DataFrame:
-    """Tokens saved a year for every team size and query rate; with ``prices`` (dollars a million tokens) a row per model with its annual_cost."""
+def sensitivity_grid(base: DataFrame, engineers: list[int], queries_per_day: list[int], days: int, prices: dict[str, float] | None = None) -> DataFrame:
+    """Tokens saved a year for every row of ``base`` (saved_tokens a query), team size and query rate; with ``prices`` (dollars a million tokens) a row per model with its annual_cost."""
     values = lambda some: F.explode(F.array(*[F.lit(x).cast("long") for x in some]))
-    grid = spark.range(1).select(values(engineers).alias("engineers")).select("*", values(queries_per_day).alias("queries_per_day"))
-    grid = grid.withColumn("annual_tokens", F.col("engineers") * F.col("queries_per_day") * days * saved_tokens)
+    kept = [c for c in base.columns if c != "saved_tokens"]
+    grid = base.select("*", values(engineers).alias("engineers")).select("*", values(queries_per_day).alias("queries_per_day"))
+    grid = grid.withColumn("annual_tokens", F.col("engineers") * F.col("queries_per_day") * days * F.col("saved_tokens")).drop("saved_tokens")
     if prices is None:
         return grid
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(p)).alias("price")) for m, p in prices.items()]))
     grid = grid.select("*", models.alias("m"))
-    return grid.select("engineers", "queries_per_day", "annual_tokens", "m.model", (F.col("annual_tokens") / 1e6 * F.col("m.price")).alias("annual_cost"))
+    return grid.select(*kept, "engineers", "queries_per_day", "annual_tokens", "m.model", (F.col("annual_tokens") / 1e6 * F.col("m.price")).alias("annual_cost"))

@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from slatework.functions.text import LANGUAGES
+from slatework.operators.lexers import mask_ruby, mask_script
 
 SCHEMA = "file_path string, snippet_type string, name string, content string, start_line long, end_line long, language string, docstring string, error string"
 #: Part of the memo key of incremental builds: raise it when the rules change.
-VERSION = "2"
+VERSION = "3"
 
 
 @dataclass
@@ -94,14 +95,6 @@ def python_all_functions(source: str) -> list[Snippet]:
     return out
 
 
-_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
-
-
-def _masked(source: str) -> str:
-    """The source with comments and strings blanked, same length and lines: braces in it are code."""
-    return _TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-
-
 def _close(masked: str, at: int) -> int:
     """Where the bracket at ``at`` is closed, or the end."""
     depth = 0
@@ -136,7 +129,7 @@ def _statement_end(masked: str, at: int) -> int:
 
 
 _JS_TOP = re.compile(
-    r"(?P<export>export\s+(?:default\s+)?)?(?:(?P<async>async\s+)?function\b\s*\*?\s*(?P<fn>[\w$]*)|(?:abstract\s+)?class\s+(?P<cls>[\w$]+)|(?P<imp>import)\b(?!\s*\()|(?P<var>const|let|var)\s)"
+    r"(?P<export>export\s+(?:default\s+)?)?(?:(?P<async>async\s+)?function\b\s*\*?\s*(?P<fn>[\w$]*)|(?:abstract\s+)?(?P<kls>class)\b(?:\s+(?!extends\b|implements\b)(?P<cls>[\w$]+))?|(?P<imp>import)\b(?!\s*\()|(?P<var>const|let|var)\s)"
 )
 _JS_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*(?P<name>[#\w$]+)\s*(?:<[^>{(]*>)?\s*\(")
 _JS_NOT = {"if", "for", "while", "switch", "catch", "return", "function"}
@@ -144,7 +137,7 @@ _JS_NOT = {"if", "for", "while", "switch", "catch", "return", "function"}
 
 def script_snippets(source: str) -> list[Snippet]:
     """Top-level functions, classes with their methods, imports (no name) and declarations; arrow functions are functions."""
-    masked, out = _masked(source), []
+    masked, out = mask_script(source), []
     lines = source.split("\n")
     breaks = [i for i, c in enumerate(source) if c == "\n"]
     line_of = lambda at: bisect_left(breaks, at) + 1
@@ -162,7 +155,7 @@ def script_snippets(source: str) -> list[Snippet]:
             # The module's string is blanked in the mask; the statement ends at its line's end or semicolon.
             end = _statement_end(masked, m.end())
             out.append(Snippet("import", "", whole(begin, end), line_of(begin), line_of(end)))
-        elif m["cls"]:
+        elif m["kls"]:
             open_ = masked.find("{", m.end())
             end = _close(masked, open_) if open_ >= 0 else len(masked) - 1
             own = begin + len(m["export"] or "")
@@ -186,7 +179,7 @@ def script_snippets(source: str) -> list[Snippet]:
                     i += 1
             head = _lines(lines, line_of(own), line_of(max(open_, own)))
             content = "\n\n".join([head, *(["\n".join(["  // Methods:", *signatures])] if signatures else [])])
-            out.append(Snippet("class", m["cls"], content, line_of(own), line_of(end)))
+            out.append(Snippet("class", m["cls"] or "default", content, line_of(own), line_of(end)))
         elif m["var"]:
             end = _statement_end(masked, m.end())
             body = masked[m.end() : end + 1]
@@ -226,15 +219,11 @@ def _ruby_depth(code: str) -> tuple[int, int]:
     return opens, len(_RUBY_CLOSE.findall(code))
 
 
-def _ruby_code(line: str) -> str:
-    return re.sub(r"#.*$", "", re.sub(r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", '""', line)).rstrip()
-
-
 def _ruby_end(lines: list[str], at: int, stop: int) -> int:
-    """Line (0-based) of the ``end`` that closes the block opened at ``at``."""
+    """Line (0-based) of the ``end`` that closes the block opened at ``at``; the lines are code alone."""
     depth = 0
     for i in range(at, stop):
-        opens, closes = _ruby_depth(_ruby_code(lines[i]))
+        opens, closes = _ruby_depth(lines[i])
         depth += opens - closes
         if depth <= 0:
             return i
@@ -243,20 +232,22 @@ def _ruby_end(lines: list[str], at: int, stop: int) -> int:
 
 def ruby_snippets(source: str) -> list[Snippet]:
     """Methods, classes and modules with their methods, classes directly in a module, requires, capitalised assignments."""
-    lines, out = source.split("\n"), []
+    lines, coded, out = source.split("\n"), [x.rstrip() for x in mask_ruby(source).split("\n")], []
 
     def body(first: int, last: int, nested: bool) -> list[str]:
         signatures, i = [], first
         while i < last:
-            code = _ruby_code(lines[i])
+            code = coded[i]
             m = re.match(r"\s*(?:(?:private|public|protected|module_function|private_class_method)\s+)?def\s+(?:self\.)?([\w?!=]+)", code)
             k = re.match(r"\s*class\s+([A-Z]\w*)", code)
-            end = _ruby_end(lines, i, last)
+            end = _ruby_end(coded, i, last)
             if m:
                 out.append(Snippet("function", m[1], _lines(lines, i + 1, end + 1), i + 1, end + 1))
                 signatures.append("  " + lines[i].strip())
             elif k and nested:
                 group(i, end, k[1], False)
+            elif re.match(r"\s*class\s*<<", code):  # methods of the class itself
+                signatures += body(i + 1, end, False)
             i = max(end, i) + 1 if _ruby_depth(code)[0] else i + 1
         return signatures
 
@@ -267,20 +258,20 @@ def ruby_snippets(source: str) -> list[Snippet]:
 
     i = 0
     while i < len(lines):
-        code = _ruby_code(lines[i])
+        code = coded[i]
         end = i
         if m := re.match(r"(class|module)\s+([A-Z][\w:]*)", code):
-            end = _ruby_end(lines, i, len(lines))
+            end = _ruby_end(coded, i, len(lines))
             group(i, end, m[2], m[1] == "module")
         elif m := re.match(r"def\s+(?:self\.)?([\w?!=]+)", code):
-            end = _ruby_end(lines, i, len(lines))
+            end = _ruby_end(coded, i, len(lines))
             out.append(Snippet("function", m[1], _lines(lines, i + 1, end + 1), i + 1, end + 1))
         elif m := re.match(r"(require|require_relative|include)\b", code):
             out.append(Snippet("import", m[1], lines[i], i + 1, i + 1))
         elif m := re.match(r"([A-Z]\w*)\s*=[^=~]", code):
             out.append(Snippet("module_constant", m[1], lines[i], i + 1, i + 1))
         elif _ruby_depth(code)[0]:
-            end = _ruby_end(lines, i, len(lines))
+            end = _ruby_end(coded, i, len(lines))
         i = end + 1
     return out
 

@@ -81,15 +81,23 @@ def weighted_avg(spark, sf_dir):
     return found.select(F.round("weighted_file", 4).alias("weighted_file"), F.round("weighted_snippet", 4).alias("weighted_snippet"), "files")
 
 
-@add("SELECT e AS engineers, q AS queries_per_day, e * q * 250 * 41000 AS annual_tokens FROM (SELECT unnest([50::BIGINT, 100, 200]) AS e), (SELECT unnest([5::BIGINT, 10, 20]) AS q)")
+def _saved(spark, sf_dir):
+    """What a query of a codebase saves: its mean text in tokens of four characters, once for each of 25 documents not read."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg((F.sum(F.length("text")) * 25 / (F.count("*") * 4)).cast("long").alias("saved_tokens"))
+
+
+_SAVED = "(SELECT source, CAST(trunc(sum(length(text)) * 25 / (count(*) * 4)) AS BIGINT) AS saved FROM documents GROUP BY source)"
+
+
+@add(f"SELECT source, e AS engineers, q AS queries_per_day, e * q * 250 * saved AS annual_tokens FROM {_SAVED}, (SELECT unnest([50::BIGINT, 100, 200]) AS e), (SELECT unnest([5::BIGINT, 10, 20]) AS q)")
 def sensitivity_grid(spark, sf_dir):
-    return analytics.sensitivity_grid(spark, [50, 100, 200], [5, 10, 20], 250, 41_000)
+    return analytics.sensitivity_grid(_saved(spark, sf_dir), [50, 100, 200], [5, 10, 20], 250)
 
 
-@add("SELECT e AS engineers, q AS queries_per_day, e * q * 250 * 41000 AS annual_tokens, model, round(e * q * 250 * 41000 / 1e6 * price, 4) AS annual_cost FROM (SELECT unnest([50::BIGINT, 100]) AS e), (SELECT unnest([5::BIGINT, 10]) AS q), (VALUES ('small', 0.25), ('large', 3.0)) AS m(model, price)")
+@add(f"SELECT source, e AS engineers, q AS queries_per_day, e * q * 250 * saved AS annual_tokens, model, round(e * q * 250 * saved / 1e6 * price, 4) AS annual_cost FROM {_SAVED}, (SELECT unnest([50::BIGINT, 100]) AS e), (SELECT unnest([5::BIGINT, 10]) AS q), (VALUES ('small', 0.25), ('large', 3.0)) AS m(model, price)")
 def sensitivity_costs(spark, sf_dir):
     """The grid with the cost a year of each model."""
-    rows = analytics.sensitivity_grid(spark, [50, 100], [5, 10], 250, 41_000, {"small": 0.25, "large": 3.0})
+    rows = analytics.sensitivity_grid(_saved(spark, sf_dir), [50, 100], [5, 10], 250, {"small": 0.25, "large": 3.0})
     return rows.withColumn("annual_cost", F.round("annual_cost", 4))
 
 

@@ -146,43 +146,56 @@ def containment_path(spark, sf_dir):
     return joined.groupBy("r_name", "n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"))
 
 
-#: Small sources of our own for the extractor queries.
+#: The sources of one codebase for the extractor queries; every supplier is one, whose key stands for the mark.
 SOURCES = {
-    "app/core.py": 'import os\nfrom app import util\n\nLIMIT = 3\n\n\n@cached\ndef run(x):\n    """Run it."""\n    return helper(x)\n\n\nasync def later():\n    pass\n\n\nclass Box:\n    """A box."""\n\n    def open(self):\n        return 1\n\n    def close(self):\n        return 2\n',
+    "app/core.py": 'import os\nfrom app import util\n\nLIMIT = 3\n\n\n@cached\ndef run§(x):\n    """Run it."""\n    return helper§(x)\n\n\nasync def later():\n    pass\n\n\nclass Box§:\n    """A box."""\n\n    def open(self):\n        return 1\n\n    def close(self):\n        return 2\n',
     "app/broken.py": "def nope(:\n",
-    "app/util.py": "def helper(x):\n    return x\n",
-    "web/app.js": "import {a} from './lib'\nexport const add = (x, y) => x + y\nconst SIZE = 10\nfunction main() {\n  if (a) { return '}' }\n}\nclass View extends Base {\n  render(x) {\n    return x\n  }\n}\n",
-    "lib/tool.rb": "require 'json'\nLIMIT = 5\nmodule Tools\n  class Saw\n    def cut(x)\n      x if x\n    end\n  end\n  def self.all\n    [].each do |i|\n      i\n    end\n  end\nend\n",
+    "app/util.py": "def helper§(x):\n    return x\n",
+    "web/app.js": "import {a} from './lib'\nexport const add = (x, y) => x + y\nconst RE§ = /[{\"'\\/]/g\nfunction main§() {\n  if (a) { return `}${[1].map(x => `{${x}`)}` }\n}\nclass View§ extends Base {\n  render(x) {\n    return x.replace(/{/, '}')\n  }\n}\n",
+    "lib/tool.rb": "require 'json'\nLIMIT = 5\nmodule Tools§\n  class Saw\n    def cut§(x)\n      x if x =~ /end if/\n    end\n  end\n  def self.all\n    [].each do |i|\n      %w[if end]\n    end\n  end\nend\n=begin\ndef no\n=end\ndef sql§\n  x = <<~SQL\n    select end from if\n  SQL\n  x\nend\n",
     "main.go": "package main\n",
 }
 
 
-def _sources(spark, suffix):
-    rows = [(p, c) for p, c in SOURCES.items() if p.endswith(suffix)]
-    return spark.createDataFrame(rows, "relative_path string, content string")
+def _sources(spark, sf_dir, suffix=""):
+    """codebase_name, relative_path and content: the sources of every supplier."""
+    files = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in SOURCES.items() if p.endswith(suffix)]))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("codebase_name"), files.alias("f"))
+    return rows.select("codebase_name", F.concat("codebase_name", F.lit("/"), "f.path").alias("relative_path"), F.replace("f.content", F.lit("§"), F.col("codebase_name")).alias("content"))
 
 
-# Read off SOURCES by hand.
-@add("SELECT file_path, snippet_type, name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, failed FROM (VALUES ('app/broken.py', 'file', 'broken', 1, 2, TRUE), ('app/core.py', 'import', '', 1, 1, FALSE), ('app/core.py', 'import', 'app', 2, 2, FALSE), ('app/core.py', 'module_constant', 'LIMIT', 4, 4, FALSE), ('app/core.py', 'function', 'run', 7, 10, FALSE), ('app/core.py', 'function', 'later', 13, 14, FALSE), ('app/core.py', 'function', 'open', 20, 21, FALSE), ('app/core.py', 'function', 'close', 23, 24, FALSE), ('app/core.py', 'class', 'Box', 17, 17, FALSE), ('app/util.py', 'function', 'helper', 1, 2, FALSE)) AS t(file_path, snippet_type, name, start_line, end_line, failed)")
+def _spans(rows: str, failed: str = "") -> str:
+    """SQL for the snippets of every supplier, read off SOURCES by hand."""
+    columns = "file_path, snippet_type, name, start_line, end_line" + (", failed" if failed else "")
+    return f"""SELECT CAST(s_suppkey AS VARCHAR) || '/' || file_path AS file_path, snippet_type, replace(name, '§', CAST(s_suppkey AS VARCHAR)) AS name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line{", failed" if failed else ""}
+FROM supplier, (VALUES {rows}) AS t({columns})"""
+
+
+_SHOWN = ["file_path", "snippet_type", "name", "start_line", "end_line"]
+
+
+@add(_spans("""('app/broken.py', 'file', 'broken', 1, 2, TRUE), ('app/core.py', 'import', '', 1, 1, FALSE), ('app/core.py', 'import', 'app', 2, 2, FALSE), ('app/core.py', 'module_constant', 'LIMIT', 4, 4, FALSE), ('app/core.py', 'function', 'run§', 7, 10, FALSE),
+('app/core.py', 'function', 'later', 13, 14, FALSE), ('app/core.py', 'function', 'open', 20, 21, FALSE), ('app/core.py', 'function', 'close', 23, 24, FALSE), ('app/core.py', 'class', 'Box§', 17, 17, FALSE), ('app/util.py', 'function', 'helper§', 1, 2, FALSE)""", "failed"))
 def python_snippets(spark, sf_dir):
-    return extract.extract(_sources(spark, ".py")).select("file_path", "snippet_type", "name", "start_line", "end_line", F.col("error").isNotNull().alias("failed"))
+    return extract.extract(_sources(spark, sf_dir, ".py")).select(*_SHOWN, F.col("error").isNotNull().alias("failed"))
 
 
-# Read off SOURCES by hand.
-@add("SELECT file_path, snippet_type, name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM (VALUES ('web/app.js', 'import', '', 1, 1), ('web/app.js', 'function', 'add', 2, 2), ('web/app.js', 'module_constant', 'SIZE', 3, 3), ('web/app.js', 'function', 'main', 4, 6), ('web/app.js', 'function', 'render', 8, 10), ('web/app.js', 'class', 'View', 7, 11)) AS t(file_path, snippet_type, name, start_line, end_line)")
+@add(_spans("('web/app.js', 'import', '', 1, 1), ('web/app.js', 'function', 'add', 2, 2), ('web/app.js', 'module_constant', 'RE§', 3, 3), ('web/app.js', 'function', 'main§', 4, 6), ('web/app.js', 'function', 'render', 8, 10), ('web/app.js', 'class', 'View§', 7, 11)"))
 def script_snippets(spark, sf_dir):
-    return extract.extract(_sources(spark, ".js")).select("file_path", "snippet_type", "name", "start_line", "end_line")
+    """Regular expressions and nested templates that hold brackets and quotes are no code."""
+    return extract.extract(_sources(spark, sf_dir, ".js")).select(*_SHOWN)
 
 
-# Read off SOURCES by hand.
-@add("SELECT file_path, snippet_type, name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM (VALUES ('lib/tool.rb', 'import', 'require', 1, 1), ('lib/tool.rb', 'module_constant', 'LIMIT', 2, 2), ('lib/tool.rb', 'class', 'Tools', 3, 14), ('lib/tool.rb', 'class', 'Saw', 4, 8), ('lib/tool.rb', 'function', 'cut', 5, 7), ('lib/tool.rb', 'function', 'all', 9, 13)) AS t(file_path, snippet_type, name, start_line, end_line)")
+@add(_spans("('lib/tool.rb', 'import', 'require', 1, 1), ('lib/tool.rb', 'module_constant', 'LIMIT', 2, 2), ('lib/tool.rb', 'class', 'Tools§', 3, 14), ('lib/tool.rb', 'class', 'Saw', 4, 8), ('lib/tool.rb', 'function', 'cut§', 5, 7), ('lib/tool.rb', 'function', 'all', 9, 13), ('lib/tool.rb', 'function', 'sql§', 18, 23)"))
 def ruby_snippets(spark, sf_dir):
-    return extract.extract(_sources(spark, ".rb")).select("file_path", "snippet_type", "name", "start_line", "end_line")
+    """Heredocs, percent literals, regular expressions and =begin parts that hold keywords are no code."""
+    return extract.extract(_sources(spark, sf_dir, ".rb")).select(*_SHOWN)
 
 
-# Read off SOURCES by hand.
-@add("SELECT type, CAST(n AS BIGINT) AS n FROM (VALUES ('CONTAINS_FILE', 6), ('CONTAINS_FUNCTION', 10), ('CONTAINS_CLASS', 4), ('IMPORTS', 1), ('CALLS', 1)) AS t(type, n)")
+@add("SELECT CAST(s_suppkey AS VARCHAR) AS codebase_name, type, CAST(n AS BIGINT) AS n FROM supplier, (VALUES ('CONTAINS_FILE', 6), ('CONTAINS_FUNCTION', 11), ('CONTAINS_CLASS', 4), ('IMPORTS', 1), ('CALLS', 1)) AS t(type, n)")
 def source_graph(spark, sf_dir):
-    """Extraction to graph: edges by type of the small sources."""
-    rows = extract.extract(spark.createDataFrame(list(SOURCES.items()), "relative_path string, content string")).withColumn("codebase_name", F.lit("demo"))
-    return graph.edges(rows).groupBy("type").agg(F.count("*").alias("n"))
+    """Extraction to graph: edges by type of every supplier's sources."""
+    sources = _sources(spark, sf_dir)
+    rows = extract.extract(sources).withColumn("codebase_name", F.substring_index("file_path", "/", 1)).withColumn("file_path", F.expr("substring(file_path, instr(file_path, '/') + 1)"))
+    nodes = graph.nodes(rows).select(F.col("id").alias("src"), F.col("codebase").alias("codebase_name"))
+    return graph.edges(rows).join(nodes, "src").groupBy("codebase_name", "type").agg(F.count("*").alias("n"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from slatework.operators import change, extract, graph
 from slatework.plans.api import Engine, NotFound
 from slatework.plans.config import SearchConfig
-from slatework.plans.queries_graph import SOURCES
+from slatework.plans.queries_graph import SOURCES as MARKED
 from slatework.sources import embedding, files, repos
 from slatework.streaming import incremental
 
+SOURCES = {path: content.replace("§", "") for path, content in MARKED.items()}
+
 
 @pytest.fixture
 def tree(tmp_path):
@@ -48,10 +50,10 @@ def test_python_rules():
 
 def test_script_and_ruby_rules():
     js = snippets(SOURCES["web/app.js"], extract.script_snippets)
-    assert {("import", ""), ("function", "add"), ("module_constant", "SIZE"), ("function", "main"), ("function", "render"), ("class", "View")} == set(js)
+    assert {("import", ""), ("function", "add"), ("module_constant", "RE"), ("function", "main"), ("function", "render"), ("class", "View")} == set(js)
     assert js[("function", "main")].end_line == 6 and "return x" not in js[("class", "View")].content
     rb = snippets(SOURCES["lib/tool.rb"], extract.ruby_snippets)
-    assert {("import", "require"), ("module_constant", "LIMIT"), ("class", "Tools"), ("class", "Saw"), ("function", "cut"), ("function", "all")} == set(rb)
+    assert {("import", "require"), ("module_constant", "LIMIT"), ("class", "Tools"), ("class", "Saw"), ("function", "cut"), ("function", "all"), ("function", "sql")} == set(rb)
     assert rb[("class", "Tools")].end_line == 14 and rb[("function", "cut")].end_line == 7
 
 
