@@ -31,23 +31,28 @@ def _trim(edges: DataFrame) -> DataFrame:
     return materialize(edges.join(firsts, "src", "left_semi").join(lasts, "dst", "left_semi").select("src", "dst"), "scc-core")
 
 
-def _paths(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges without inner nodes, node with the ends of its path, node with the smallest of its lone ring).
+def paths(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges without inner nodes, the others with the ends p and n of their path, its first node and how far they are from p, node with the smallest of its lone ring).
 
     An inner node has one way in and one way out. It is in a class with others only if both ends of its path are.
     """
-    inner = materialize(_with_ways(edges).where("n_in = 1 AND n_out = 1").select("node", "p", "n", F.least("node", "p").alias("least")), "scc-inner")
+    inner = _with_ways(edges).where("n_in = 1 AND n_out = 1").select("node", "p", "n", F.least("node", "p").alias("least"), F.col("node").alias("first"), F.lit(1).cast("long").alias("far"))
+    inner = materialize(inner, "scc-inner")
     steps = inner.count().bit_length() + 1  # the reach is then longer than any path, and its end has been seen
     at = inner.withColumn("open", F.lit(True))
     for _ in range(steps):
-        before, after = (at.select(F.col("node").alias(x), F.col(x).alias(f"{x}{x}"), F.col("least").alias(f"least_{x}")) for x in ("p", "n"))
-        at = at.drop("open").join(before, "p", "left").join(after.drop("least_n"), "n", "left")
-        at = at.select("node", F.coalesce("pp", "p").alias("p"), F.coalesce("nn", "n").alias("n"), F.least("least", F.coalesce("least_p", "least")).alias("least"), (F.col("pp").isNotNull() | F.col("nn").isNotNull()).alias("open"))
+        before = at.select(F.col("node").alias("p"), F.col("p").alias("pp"), F.col("least").alias("least_p"), F.col("first").alias("first_p"), F.col("far").alias("far_p"))
+        after = at.select(F.col("node").alias("n"), F.col("n").alias("nn"))
+        at = at.drop("open").join(before, "p", "left").join(after, "n", "left")
+        at = at.select(
+            "node", F.coalesce("pp", "p").alias("p"), F.coalesce("nn", "n").alias("n"), F.least("least", F.coalesce("least_p", "least")).alias("least"), F.coalesce("first_p", "first").alias("first"),
+            (F.col("far") + F.coalesce("far_p", F.lit(0))).alias("far"), (F.col("pp").isNotNull() | F.col("nn").isNotNull()).alias("open"),
+        )
         at = materialize(at, "scc-paths")
         if at.where("open").isEmpty():
             break
     # What still leads to an inner node after so many doublings goes round.
-    drawn = at.where(~F.col("open")).select("node", "p", "n")
+    drawn = at.where(~F.col("open")).select("node", "p", "n", "first", "far")
     rings = at.where("open").select("node", F.col("least").alias("component"))
     names = inner.select("node")
     left = edges.join(names.withColumnRenamed("node", "src"), "src", "left_anti").join(names.withColumnRenamed("node", "dst"), "dst", "left_anti")
@@ -90,8 +95,8 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         for _ in range(TRIMS):
             edges = _trim(edges)
-        edges, paths, rings = _paths(edges)
-        drawn.append(paths)
+        edges, lines, rings = paths(edges)
+        drawn.append(lines)
         add(rings)
         edges = materialize(edges.where("src != dst"), "scc-core")  # a path from a node to itself is a loop
         if edges.isEmpty():
@@ -112,8 +117,8 @@ def components(links: DataFrame) -> DataFrame:
         round_ += 1
     # Inner nodes of paths, the last drawn first: in the class of both ends if that is one.
     known = materialize(every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "scc-known") if found is not None else every.withColumn("component", F.col("node"))
-    for paths in reversed(drawn):
-        ends = paths.join(known.select(F.col("node").alias("p"), F.col("component").alias("a")), "p").join(known.select(F.col("node").alias("n"), F.col("component").alias("b")), "n")
+    for lines in reversed(drawn):
+        ends = lines.join(known.select(F.col("node").alias("p"), F.col("component").alias("a")), "p").join(known.select(F.col("node").alias("n"), F.col("component").alias("b")), "n")
         # The ends are of one class, or one node; a path that leads back to its start is on a cycle with it.
         joins = ends.where("a = b").select("node", F.col("a").alias("to"))
         known = materialize(known.join(joins, "node", "left").select("node", F.coalesce("to", "component").alias("component")), "scc-known")

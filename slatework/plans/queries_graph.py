@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slatework.functions import text as T
-from slatework.operators import extract, graph, strong
+from slatework.operators import extract, graph, reach, strong
 from slatework.plans.registered import Catalogue
 from slatework.session import table
 
@@ -133,6 +133,17 @@ def graph_strong_classes(spark, sf_dir):
     return strong.classes(_calls_between_names(spark, sf_dir))
 
 
+@add(f"""WITH RECURSIVE {_NAMES}, closure AS (SELECT codebase, src, dst FROM links UNION SELECT c.codebase, c.src, l.dst FROM closure c JOIN links l ON c.codebase = l.codebase AND c.dst = l.src),
+asked AS (SELECT DISTINCT codebase, src, (src * 7 + 3) % 400 AS dst FROM links)
+SELECT CAST(replace(codebase, 'Brand#', '') AS BIGINT) * 1000 + src AS src, CAST(replace(codebase, 'Brand#', '') AS BIGINT) * 1000 + dst AS dst, EXISTS (SELECT 1 FROM closure c WHERE c.codebase = asked.codebase AND c.src = asked.src AND c.dst = asked.dst) AS reachable FROM asked""")
+def graph_reach_pairs(spark, sf_dir):
+    """Whether a name leads to another by calls, by labels: one pair for every caller."""
+    links = _calls_between_names(spark, sf_dir)
+    base = F.floor(F.col("src") / 1000) * 1000
+    asked = links.select("src", (base + ((F.col("src") - base) * 7 + 3) % 400).alias("dst"))
+    return reach.Reach.build(links).pairs(asked)
+
+
 @add(f"WITH RECURSIVE {_LINKS}, u AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), reach AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM reach r JOIN u ON r.dst = u.src) SELECT src AS node, least(src, min(dst)) AS component FROM reach GROUP BY src")
 def graph_components(spark, sf_dir):
     return graph.components(_ring(spark, sf_dir))
