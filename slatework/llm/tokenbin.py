@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from slatework.llm.text import arrow_batches, input_bytes
 from slatework.scratch import materialize, scratch_path
 
-#: Words kept with their ids in a worker; about 40 MB when full.
-CACHE = 150_000
+#: Words kept with their ids in a worker; about 110 MB when full.
+CACHE = 400_000
 #: Bytes of input a part, and of tokens that are read at once where files cannot be mapped.
 PART_BYTES, READ_BYTES = 64 << 20, 4 << 20
 #: Most tasks that read parts back.
