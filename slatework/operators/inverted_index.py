@@ -11,7 +11,7 @@ a few hundred numbers per asked term.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slatework.functions.english import ANALYSERS
 from slatework.functions.text import terms
 from slatework.operators import keyword
 
@@ -39,25 +40,38 @@ def _bound(tf: Column, length: Column, mean: float) -> Column:
     return tf * (keyword.K1 + 1) / (tf + keyword.K1 * (1 - keyword.B + keyword.B * length / mean))
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shard, key, term, len, places and one of every document and term, and of every document without a term; batches of (shard, key, terms)."""
-    for b in batches:
-        lists = b.column(2)
-        lengths = np.diff(lists.offsets.to_numpy())
-        held = lists.flatten().dictionary_encode()
-        doc = np.repeat(np.arange(b.num_rows), lengths)
-        code = held.indices.to_numpy().astype(np.int64)
-        at = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
-        order = np.argsort(doc * max(1, len(held.dictionary)) + code, kind="stable")  # places stay ascending
-        doc, code, at = doc[order], code[order], at[order]
-        starts = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
-        places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
-        names = ["shard", "key", "term", "len", "places", "one"]
-        rows = pa.array(doc[starts])
-        size = pa.array(lengths.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), held.dictionary.take(pa.array(code[starts])).cast(pa.string()), size.take(rows), places, pa.array(np.ones(len(starts), np.int64))], names)
-        none = pa.ListArray.from_arrays(pa.array(np.zeros(b.num_rows + 1, np.int32)), pa.array([], pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([TOTALS] * b.num_rows, pa.string()), size, none, pa.array(np.ones(b.num_rows, np.int64))], names)
+def _entries(analyser: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """shard, key, term, len, places and one of every document and term, and of every document without a term; from batches of (shard, key, terms).
+
+    Terms are analysed once per batch, by its dictionary. Places count all terms, lengths those that are indexed.
+    """
+    names = ["shard", "key", "term", "len", "places", "one"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ANALYSERS[analyser]
+        for b in batches:
+            lists = b.column(2)
+            lengths = np.diff(lists.offsets.to_numpy())
+            held = lists.flatten().dictionary_encode()
+            words: dict[str, int] = {}
+            number = np.array([-1 if (w := kept(t)) is None else words.setdefault(w, len(words)) for t in held.dictionary.to_pylist()], np.int64)
+            doc = np.repeat(np.arange(b.num_rows), lengths)
+            code = number[held.indices.to_numpy()] if len(number) else np.zeros(0, np.int64)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+            some = code >= 0
+            doc, code, at = doc[some], code[some], at[some]
+            size = np.bincount(doc, minlength=b.num_rows).astype(np.int32)
+            order = np.argsort(doc * max(1, len(words)) + code, kind="stable")  # places stay ascending
+            doc, code, at = doc[order], code[order], at[order]
+            starts = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+            places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            rows = pa.array(doc[starts])
+            found = pa.array(list(words), pa.string()).take(pa.array(code[starts]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), found, pa.array(size).take(rows), places, pa.array(np.ones(len(starts), np.int64))], names)
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(b.num_rows + 1, np.int32)), pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([TOTALS] * b.num_rows, pa.string()), pa.array(size), none, pa.array(np.ones(b.num_rows, np.int64))], names)
+
+    return run
 
 
 class InvertedIndex:
@@ -68,6 +82,7 @@ class InvertedIndex:
         self.rows = spark.read.parquet(f"{self.path}/blocks")
         found = self.rows.where(F.col("term") == TOTALS).agg(F.count("*"), F.sum("n"), F.sum("max_len")).first()  # one row a shard
         self.shards, self.documents, self.terms = found[0], found[1] or 0, found[2] or 0
+        self.analyser = spark.read.parquet(f"{self.path}/made").first()["analyser"]
 
     @staticmethod
     def exists(spark: SparkSession, path: str) -> bool:
@@ -88,13 +103,13 @@ class InvertedIndex:
         return F.pmod(F.xxhash64(route), F.lit(shards)).cast("int")
 
     @staticmethod
-    def _blocks(docs: DataFrame, shards: int, only: list[int] | None, key: str, text: str, route: str | None) -> DataFrame:
+    def _blocks(docs: DataFrame, shards: int, only: list[int] | None, key: str, text: str, route: str | None, analyser: str) -> DataFrame:
         """The rows of the shards (all, or some): posting blocks and totals. One shuffle, by shard."""
         rows = docs.select(InvertedIndex._shard(F.col(route or key), shards).alias("shard"), F.col(key).alias("key"), terms(F.col(text)).alias("terms"))
         numbers = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
         if only is not None:
             rows, numbers = rows.where(F.col("shard").isin(only)), numbers.where(F.col("shard").isin(only))
-        entries = rows.mapInArrow(_entries, f"shard int, key {rows.schema['key'].dataType.simpleString()}, term string, len int, places array<int>, one long")
+        entries = rows.mapInArrow(_entries(analyser), f"shard int, key {rows.schema['key'].dataType.simpleString()}, term string, len int, places array<int>, one long")
         nobody = numbers.select("shard", F.lit(None).cast(entries.schema["key"].dataType).alias("key"), F.lit(TOTALS).alias("term"), F.lit(0).alias("len"), F.lit(None).cast("array<int>").alias("places"), F.lit(0).cast("long").alias("one"))
         entries = entries.unionByName(nobody).withColumn("tf", F.coalesce(F.size("places"), F.lit(0)))
         entries = entries.repartition(shards if only is None else len(only), "shard")
@@ -117,13 +132,13 @@ class InvertedIndex:
         out.partitionBy("shard").options(**options).parquet(path)
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", route: str | None = None, shards: int | None = None) -> InvertedIndex:
-        """Index all rows. Keys are distinct; null and empty texts count as documents without terms. ``shards`` follows the rows if it is not given, and is fixed from then on."""
+    def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", route: str | None = None, shards: int | None = None, analyser: str = "simple") -> InvertedIndex:
+        """Index all rows, their terms as they are or (``english``) stems without stop words. Keys are distinct; null and empty texts count as documents without terms. ``shards`` follows the rows if it is not given, and is fixed from then on."""
         if shards is None:
             n = docs.count()
             shards = max(1, min(AT_LEAST, -(-n // FEW)), -(-n // MOST))
-        cls._write(cls._blocks(docs, shards, None, key, text, route), f"{path.rstrip('/')}/blocks", "static")
-        docs.sparkSession.range(1).select(F.lit(shards).alias("shards")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/made")
+        cls._write(cls._blocks(docs, shards, None, key, text, route, analyser), f"{path.rstrip('/')}/blocks", "static")
+        docs.sparkSession.range(1).select(F.lit(shards).alias("shards"), F.lit(analyser).alias("analyser")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/made")
         return cls(docs.sparkSession, path)
 
     def refresh(self, docs: DataFrame, touched: DataFrame, key: str = "doc_id", text: str = "text", route: str | None = None) -> InvertedIndex:
@@ -136,13 +151,17 @@ class InvertedIndex:
         found = touched.select(self._shard(F.col(name), self.shards).alias("shard")).distinct()
         only = [r.shard for r in found.collect()]  # at most the number of shards
         if only:
-            self._write(self._blocks(docs, self.shards, only, key, text, route), f"{self.path}/blocks", "dynamic")
+            self._write(self._blocks(docs, self.shards, only, key, text, route, self.analyser), f"{self.path}/blocks", "dynamic")
         return InvertedIndex(self.spark, self.path)
 
     def postings(self) -> DataFrame:
         """term, key, tf, len of every document and term."""
         return self.rows.where(F.col("term") != TOTALS).select("term", F.inline("postings"))
 
+    def asked(self, wanted: list[str]) -> list[str]:
+        """The distinct terms of a query as they are indexed."""
+        return list(dict.fromkeys(w for t in wanted if (w := ANALYSERS[self.analyser](t)) is not None))
+
     def _headers(self, wanted: list[str]) -> dict[str, tuple[int, float, dict[int, int]]]:
         """By term: documents, largest bound, and documents by the step that their block reaches for certain."""
         mean, found = self.mean, self.rows.where(F.col("term").isin(wanted))
@@ -184,8 +203,8 @@ class InvertedIndex:
         return held.groupBy(F.col("key").alias(key)).agg(F.sum(F.col("idf") * _bound(F.col("tf"), F.col("len"), self.mean)).alias("score"))
 
     def top_k(self, wanted: list[str], k: int, key: str = "doc_id", digits: int | None = 4) -> DataFrame:
-        """key, score of the k best documents by BM25 over any of the terms; the same as ``keyword.bm25_top_k`` over all documents."""
-        wanted = list(dict.fromkeys(wanted))
+        """key, score of the k best documents by BM25 over any of the terms; the same as ``keyword.bm25_top_k`` over all documents, by analysed terms."""
+        wanted = self.asked(wanted)
         idf, least = self.bounds(wanted, k) if wanted else ({}, {})
         some = F.lit(False)
         for t in idf:  # a document of a block left out is not among the best, so what it lacks elsewhere does not matter
@@ -193,8 +212,8 @@ class InvertedIndex:
         return keyword.top_k(self._scores(idf, some, key), k, key, digits=digits)
 
     def top_k_all(self, wanted: list[str], k: int, key: str = "doc_id", digits: int | None = 4) -> DataFrame:
-        """key, score of the k best documents with all of the terms by text rank; the same as ``keyword.ts_rank`` over all documents."""
-        wanted = list(dict.fromkeys(wanted))
+        """key, score of the k best documents with all of the terms by text rank; the same as ``keyword.ts_rank`` over all documents, by analysed terms."""
+        wanted = self.asked(wanted)
         held = self.rows.where(F.col("term").isin(wanted)).select("term", F.explode(F.arrays_zip("postings", "places")).alias("e"))
         held = held.select("term", F.col("e.postings.key").alias(key), F.col("e.places").alias("places"))
         found = held.groupBy(key).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"p{i}") for i, t in enumerate(wanted)])

@@ -172,14 +172,14 @@ def rrf_hybrid_topk(spark, sf_dir):
     return fusion.fuse(lists, "doc_id", limit=TOP)
 
 
-_INDEXES: dict[tuple[str, str], InvertedIndex] = {}
+_INDEXES: dict[tuple[str, str, str], InvertedIndex] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
+def stored_index(spark: SparkSession, sf_dir: str, analyser: str = "simple") -> InvertedIndex:
     """The inverted index of all documents, made when a session first asks for it."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    at = (spark.sparkContext.applicationId, sf_dir, analyser)
     if at not in _INDEXES:
-        _INDEXES[at] = InvertedIndex.build(table(spark, sf_dir, "documents"), scratch_path(spark, "inverted-index"))
+        _INDEXES[at] = InvertedIndex.build(table(spark, sf_dir, "documents"), scratch_path(spark, "inverted-index"), analyser=analyser)
     return _INDEXES[at]
 
 
@@ -195,6 +195,13 @@ def index_topk_all_terms(spark, sf_dir):
     return stored_index(spark, sf_dir).top_k_all(["thing", "with"], 20)
 
 
+@add()
+def index_english_statistics(spark, sf_dir):
+    """term, df, cf of the stems of all documents, without stop words."""
+    rows = stored_index(spark, sf_dir, "english").postings()
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+
+
 @add(f"WITH {BM25}, {KEYWORD_LIST}, {VECTOR_LIST} {fused_sql()}")
 def index_hybrid_topk(spark, sf_dir):
     """Hybrid retrieval whose keyword branch reads the stored index."""

@@ -69,8 +69,8 @@ def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run:
     part = lambda name: store.part(name, codebase)
     code = store.write(part("corpus"), schema.with_columns(rows, schema.CORPUS))
     old_index = None if full else engine.index(codebase)
-    if old_index is None:
-        InvertedIndex.build(code, engine.index_path(codebase), "id", "content", "file_path")
+    if old_index is None or old_index.analyser != engine.config.analysis:
+        InvertedIndex.build(code, engine.index_path(codebase), "id", "content", "file_path", analyser=engine.config.analysis)
     else:  # a file's snippets are in one shard, so its shard is what changes
         old_index.refresh(code, status.where("status != 'unchanged'").select(F.col("relative_path").alias("file_path")), "id", "content", "file_path")
     store.write(part("nodes"), graph.nodes(code))

@@ -11,6 +11,7 @@ from slatework.operators import keyword
 from slatework.operators.inverted_index import TOTALS, InvertedIndex
 from slatework.plans import retrieve
 from slatework.plans.api import Engine
+from slatework.plans.config import SearchConfig
 from slatework.sources.embedding import mock_provider
 from slatework.streaming import incremental
 
@@ -119,7 +120,7 @@ def test_engine_keeps_it_up(spark, tmp_path):
     tree.mkdir()
     for i in range(6):
         (tree / f"m{i}.py").write_text(f"def parse_{i}(value):\n    return value + {i}\n\n\ndef render_{i}(page):\n    return parse_{i}(page)\n")
-    engine = Engine(spark, str(tmp_path / "store"), provider=mock_provider(16))
+    engine = Engine(spark, str(tmp_path / "store"), SearchConfig(analysis="simple"), mock_provider(16))
     engine.registry.register(spark.createDataFrame([("demo", "org/demo")], "name string, github_repo string"))
     incremental.build(engine, "demo", str(tree))
 
@@ -140,3 +141,18 @@ def test_engine_keeps_it_up(spark, tmp_path):
     same("return parse_3 page")
     same("value")
     assert engine.index("demo").documents == engine.corpus("demo").count()
+
+
+def test_english(spark, tmp_path):
+    texts = ["The parser parses what is parsed", "parsing of a sentence", "nothing of the kind", "A parse, and the parsers"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = InvertedIndex.build(docs, str(tmp_path / "e"), shards=2, analyser="english")
+    stems = spark.createDataFrame([(0, "parser pars pars"), (1, "pars sentenc"), (2, "noth kind"), (3, "pars parser")], "doc_id long, text string")
+    for asked, same in ((["parsing", "the"], ["pars"]), (["parsers", "sentences"], ["parser", "sentenc"])):
+        assert index.top_k(asked, 9).collect() == keyword.bm25_top_k(stems, same, 9).collect()
+    assert index.top_k(["the", "of"], 3).count() == 0 and (index.documents, index.terms) == (4, 9)
+    # Places count stop words, as those of the whole text do.
+    assert index.rows.where("term = 'pars'").selectExpr("inline(arrays_zip(postings, places))").selectExpr("postings.key", "places").orderBy("key").collect() == [(0, [3, 6]), (1, [1]), (3, [2])]
+    want = index.top_k(["parse"], 9).collect()
+    again = InvertedIndex(spark, str(tmp_path / "e")).refresh(docs, spark.createDataFrame([(1,)], "doc_id long"))
+    assert again.analyser == "english" and again.top_k(["parses"], 9).collect() == want
