@@ -15,9 +15,11 @@ the seed; the weights (a few thousand numbers) are what the executors get.
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,25 @@ from pyspark.sql import functions as F
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see",
         "Licensed under the GNU Affero General Public License, version 3.",
     ),
     "apache": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "Released under the Apache License 2.0.",
+        "Apache License Version 2.0, January 2004",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "Licensed under the Apache License, Version 2.0.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Licensed under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY",
         "Released under the 3-clause BSD License.",
     ),
     "cc-by": (
@@ -56,15 +66,23 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "gpl": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "This work is licensed under the GNU General Public License, version 3.",
     ),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 3.",
     ),
     "mit": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The MIT License (MIT)",
+        "MIT License",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE",
         "Released under the MIT License.",
     ),
     "mpl": (
@@ -82,10 +100,22 @@ OTHERS = (
     "licensed under the {} license", "released under the terms of the {} license version 2", "this software is distributed under the {} public license", "see the {} license for details",
     "you may use, copy and distribute this software only under the terms of the {} license agreement", "this work is licensed under a {} license", "{} grants you a non-exclusive license to use this software",
     "all rights reserved by {}, no part of this work may be reproduced without written permission", "published under the {} licence", "use of this file is subject to the {} license terms",
+    "made available under the terms of the {} public license v 2.0 which accompanies this distribution", "{} license 1.0", "the author waives all rights to {} worldwide to the extent allowed by law",
+    "you are permitted to use, copy and distribute {} for any purpose without charge, provided that this notice appears in all copies",
+    "permission to use and change this {} for any purpose, with or without charge, is hereby granted", "the author of {} has given up all copyright and related rights as far as the law allows",
+    "this is free software, licensed under the terms of the {} license 2.0",
 )
+#: How identifiers of a machine-readable declaration begin, by family; the longest one counts.
+IDENTIFIERS = {
+    "agpl": ("agpl-",), "apache": ("apache-2.0",), "bsd": ("bsd-2-clause", "bsd-3-clause"), "cc-by": ("cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4"), "cc-by-nc": ("cc-by-nc-1", "cc-by-nc-2", "cc-by-nc-3", "cc-by-nc-4"),
+    "cc-by-sa": ("cc-by-sa-",), "gpl": ("gpl-",), "lgpl": ("lgpl-",), "mit": ("mit",), "mpl": ("mpl-",), "unlicense": ("unlicense",),
+}
+_DECLARED = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)", re.I)
 BITS = 18
 #: Words a window has, and how far the next one begins: every run of 24 words is whole in some window.
 WINDOW, STEP = 48, 24
+#: Windows of a text whose outcome is kept.
+MEMO = 20_000
 #: Least calibrated probability of a family, and least share of a template's word pairs found.
 CLAIM, CONFIRM = 0.5, 0.6
 _TO_SPACE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -144,6 +174,29 @@ class Classifier:
         raw = self.weights[some].sum(0) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.platt[:, 0] * raw + self.platt[:, 1], -35, 35)))
 
+    @cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of all templates, sorted, where the templates of each begin and which they are; the pairs that each template needs."""
+        every = [t for some in self.pairs for t in some]
+        of = np.repeat(np.arange(len(every)), [len(t) for t in every])
+        flat = np.concatenate(every)
+        order = np.argsort(flat, kind="stable")
+        pairs, starts = np.unique(flat[order], return_index=True)
+        needs = np.array([CONFIRM * min(len(t), WINDOW // 2) for t in every])
+        return pairs, np.append(starts, len(flat)), of[order], needs
+
+    def possible(self, h: np.ndarray) -> set[int]:
+        """Families one of whose templates has enough of its pairs in a window, wherever they stand."""
+        pairs, starts, of, needs = self.places
+        two = np.unique(h[:-1] * np.uint64(31) + h[1:] * np.uint64(0x10001))
+        at = np.minimum(np.searchsorted(pairs, two), len(pairs) - 1)
+        at = at[pairs[at] == two]
+        n = starts[at + 1] - starts[at]
+        hit = of[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(at) else of[:0]
+        enough = np.bincount(hit, minlength=len(needs)) >= needs
+        cuts = np.cumsum([0, *map(len, self.pairs)])
+        return {f for f in range(len(self.pairs)) if enough[cuts[f] : cuts[f + 1]].any()}
+
     def confirm(self, family: int, h: np.ndarray) -> tuple[float, int, int]:
         """The best share of a template's word pairs in one stretch of a window (long templates may be cut by it), and the stretch."""
         two = h[:-1] * np.uint64(31) + h[1:] * np.uint64(0x10001)
@@ -174,7 +227,7 @@ class Classifier:
             return [], most
         known, odd = float(p[:-1].max()), float(p[-1])
         some = []
-        for f in range(len(self.pairs)):
+        for f in sorted(self.possible(h)):
             share, start, end = self.confirm(f, h)
             if share >= CONFIRM:
                 alone = float(self.probabilities(h[start:end])[f])
@@ -230,8 +283,9 @@ def _examples(rng: random.Random, n: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def train(rows: int = 8000, epochs: int = 6, seed: int = 5, rate: float = 0.3, l1: float = 3e-3) -> Classifier:
-    """Fit on ``rows`` written examples and calibrate on half as many others; the same in every run."""
+@lru_cache(2)
+def train(rows: int = 12000, epochs: int = 6, seed: int = 5, rate: float = 0.3, l1: float = 3e-3) -> Classifier:
+    """Fit on ``rows`` written examples and calibrate on half as many others; the same in every run, and made once a process."""
     rng = random.Random(seed)
     k = len(FAMILIES) + 1
     data = [(_distinct(h), y) for h, y in _examples(rng, rows)]
@@ -291,10 +345,25 @@ def _windows(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         at += STEP
 
 
+def declared(line: str) -> list[str]:
+    """Families, or unknown, of the identifiers in a machine-readable declaration; a line without one has none."""
+    found = _DECLARED.search(line)
+    names = [x.lower() for x in re.findall(r"[A-Za-z0-9][\w.+-]*", found[1])] if found else []
+    skip = set()
+    for i, x in enumerate(names):
+        if x in ("or", "and"):
+            skip.add(i)
+        elif x == "with":  # an exception, which is no licence
+            skip |= {i, i + 1}
+    starts = [(b, f) for f, some in IDENTIFIERS.items() for b in some]
+    return [max(((len(b), f) for b, f in starts if x.startswith(b)), default=(0, "unknown"))[1] for i, x in enumerate(names) if i not in skip]
+
+
 def findings(text: str | None, model: Classifier, score_of: np.ndarray) -> list[tuple[int, str, float, float]]:
     """(line, family or unknown, probability, share of template) of what is claimed, one per line and family.
 
-    The line is that of a notice's first matched word; unknown is what no family is confirmed in.
+    The line is that of a notice's first matched word; unknown is what no family is confirmed in. A machine-readable declaration
+    counts by its identifiers alone, with probability 1. Windows of equal words are judged once a text.
 
     ``score_of``: the largest weight of any family, and the weight of the unknown class, by coordinate, none below 0. A window whose words cannot reach a claim even
     with all their largest weights is passed over at once, which is most of any corpus.
@@ -320,19 +389,27 @@ def findings(text: str | None, model: Classifier, score_of: np.ndarray) -> list[
             for at, h in _windows(h_all[begin:end]):
                 at += begin
                 if (total[:, at + len(h)] - total[:, at] > floor).any():
-                    some, most = model.families(h)
+                    own = h.tobytes()
+                    if own not in seen:
+                        if len(seen) == MEMO:
+                            seen.clear()
+                        seen[own] = model.families(h)
+                    some, most = seen[own]
                     if some or most >= CLAIM:
                         yield at, at + len(h), [(f, at + s, at + e, p, share) for f, s, e, p, share in some], most
 
     spans: list[list] = []  # family, first word, end, probability, share, line
     has = {}  # the words of a family's notices, by family
     covered = np.zeros(len(h_all), bool)  # words of any notice
+    seen: dict[bytes, tuple[list, float]] = {}
+    stated: dict[int, list[str]] = {n: names for n, x in enumerate(lines) if "dentifier" in x.lower() and (names := declared(x))}
     lone: list[tuple[int, int, float]] = []  # windows that neither side settles, of lines and of paragraphs
     wider: list[tuple[int, int, float]] = []
     begin = first = kept = 0
     for number, some in enumerate(words):
         end = begin + len(some)
-        for s, e, found, most in look(begin, end):
+        covered[begin:end] |= number in stated
+        for s, e, found, most in look(begin, end) if number not in stated else ():
             spans += [[*x, number] for x in found]
             for f, x, y, _, _ in found:
                 has.setdefault(f, np.zeros(len(h_all), bool))[x:y] = True
@@ -364,7 +441,10 @@ def findings(text: str | None, model: Classifier, score_of: np.ndarray) -> list[
     out: dict[tuple[int, str], tuple[float, float]] = {}
     for f, _, _, p, share, number in spans:
         key = (number, FAMILIES[f])
-        out[key] = max(out.get(key, (0.0, 0.0)), (p, share))
+        if number not in stated:
+            out[key] = max(out.get(key, (0.0, 0.0)), (p, min(1.0, share)))
+    for number, names in stated.items():
+        out |= {(number, f): (1.0, 1.0) for f in names}
     for s, e, most in lone + wider:  # something like a licence; a paragraph's windows do not repeat its lines'
         if not covered[s:e].any():
             covered[s:e] = True
