@@ -121,6 +121,11 @@ def short_commit(sha: Column) -> Column:
     return F.coalesce(F.substring(sha, 1, 8), F.lit("never"))
 
 
+def iso_time(at: Column) -> Column:
+    """A time as ISO text, to the microsecond."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def first_line(text: Column, width: int) -> Column:
     """The first line, cut."""
     return F.substring(F.substring_index(F.coalesce(text, F.lit("")), "\n", 1), 1, width)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatework import schema
 from slatework.functions import text as T
+from slatework.functions.ids import stable_id
 from slatework.operators import change, graph, symbols
 from slatework.operators.inverted_index import InvertedIndex
 from slatework.operators.vector_store import VectorStore
 from slatework.plans import retrieve as R
 from slatework.plans.config import SearchConfig
 from slatework.plans.registry import Registry
+from slatework.scratch import materialize
 from slatework.sources.embedding import ExpressionProvider, Provider, mock_provider, vector_of
 
 
@@ -46,6 +49,23 @@ class Engine:
         path = self.index_path(codebase)
         return InvertedIndex(self.spark, path) if InvertedIndex.exists(self.spark, path) else None
 
+    def insert(self, codebase: str, rows: DataFrame) -> int:
+        """Append snippets (columns of the corpus; file_path, name and content at least) beside those of the files, without looking for equal ones; how many.
+
+        They are embedded and indexed like others, and stay until their file is built anew.
+        """
+        rows = rows.withColumn("codebase_name", F.lit(codebase))
+        for c, v in (("start_line", F.lit(1)), ("id", stable_id("codebase_name", "file_path", "start_line", "name", "content"))):
+            rows = rows if c in rows.columns else rows.withColumn(c, v)
+        held = materialize(schema.with_columns(self.vectors.embed(rows, self.provider).drop("embed_error"), schema.CORPUS), "inserted")
+        corpus = self.store.append(self.store.part("corpus", codebase), held)
+        index = self.index(codebase)
+        if index is None:
+            InvertedIndex.build(corpus, self.index_path(codebase), "id", "content", "file_path", analyser=self.config.analysis)
+        else:
+            index.refresh(corpus, held.select("file_path"), "id", "content", "file_path")
+        return held.count()
+
     def search_symbols(self, query: str, codebase: str, limit: int = 10) -> DataFrame:
         """Symbols by name or path with a preview; files of the graph if that is the backend, or if nothing is found and fallback is on."""
         if self.config.backend == "tables":

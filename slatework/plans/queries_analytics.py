@@ -101,6 +101,11 @@ def sensitivity_costs(spark, sf_dir):
     return rows.withColumn("annual_cost", F.round("annual_cost", 4))
 
 
+@add("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at FROM events")
+def iso_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.iso_time(F.col("ts")).alias("at"))
+
+
 @add("SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN format('${:,}', CAST(round(o_totalprice) AS BIGINT)) ELSE printf('$%.2f', o_totalprice) END AS label FROM orders")
 def dollar_labels(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.dollars(F.col("o_totalprice")).alias("label"))

@@ -14,6 +14,23 @@ CORPUS = (
     "embedding array<float>"
 )
 
+FILES = "codebase_name string, relative_path string, content_hash string, file_size long, memo string"
+NODES = "id long, label string, codebase string, path string, name string, language string, signature string, docstring string"
+EDGES = "src long, dst long, type string, module string"
+FAILURES = "codebase_name string, relative_path string, error string, rows long"
+
+
+class NotUnique(ValueError):
+    """Rows that should be one by their key are several."""
+
+
+def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, if no two rows have the same keys (nulls alike); else an error that names some of the keys."""
+    several = df.groupBy(*keys).count().where("count > 1").limit(3).collect()
+    if several:
+        raise NotUnique(f"several rows with {', '.join(keys)}: {[tuple(r)[:-1] for r in several]}")
+    return df
+
 
 def with_columns(df: DataFrame, schema: str) -> DataFrame:
     """``df`` in the shape of ``schema``: missing columns are null, others are cast, extra ones dropped: an additive migration."""

@@ -19,8 +19,6 @@ from slatework.plans.api import Engine
 from slatework.scratch import materialize
 from slatework.sources import embedding, files, repos
 
-FILE_COLUMNS = ["codebase_name", "relative_path", "content_hash", "file_size", "memo"]
-
 
 def memo_key(engine: Engine) -> str:
     """What besides the content decides a file's rows: extraction rules and embedding model."""
@@ -53,7 +51,7 @@ def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run:
     now = snapshot(spark, root, codebase, memo_key(engine), exclude)
     known = store.read_parts("files", codebase)
     if known is None or full:
-        known = spark.createDataFrame([], "codebase_name string, relative_path string, content_hash string, file_size long, memo string")
+        known = spark.createDataFrame([], schema.FILES)
     status = materialize(change.diff(now, known, "relative_path", "content_hash", "memo"), "build-status")
     summary = status.groupBy("status").agg(F.count("*").alias("files"))
     old = store.read_parts("corpus", codebase)
@@ -73,10 +71,10 @@ def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run:
         InvertedIndex.build(code, engine.index_path(codebase), "id", "content", "file_path", analyser=engine.config.analysis)
     else:  # a file's snippets are in one shard, so its shard is what changes
         old_index.refresh(code, status.where("status != 'unchanged'").select(F.col("relative_path").alias("file_path")), "id", "content", "file_path")
-    store.write(part("nodes"), graph.nodes(code))
-    store.write(part("edges"), graph.edges(code))
-    store.write(part("failures"), failures.withColumn("codebase_name", F.lit(codebase)))
-    store.write(part("files"), now.select(*FILE_COLUMNS).join(failures, "relative_path", "left_anti"))
+    schema.assert_unique(store.write(part("nodes"), schema.with_columns(graph.nodes(code), schema.NODES)), "id")
+    store.write(part("edges"), schema.with_columns(graph.edges(code), schema.EDGES))
+    store.write(part("failures"), schema.with_columns(failures.withColumn("codebase_name", F.lit(codebase)), schema.FAILURES))
+    store.write(part("files"), schema.with_columns(now.join(failures, "relative_path", "left_anti"), schema.FILES))
     for name in ("corpus", "nodes", "edges", "failures", "files"):
         store.sweep(part(name))
     failed = failures.agg(F.count("*").alias("files")).where("files > 0").select(F.lit("failed").alias("status"), "files")

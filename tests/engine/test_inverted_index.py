@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from slatework import schema
 from slatework.operators import keyword
 from slatework.operators.inverted_index import TOTALS, InvertedIndex
 from slatework.plans import retrieve
@@ -140,7 +141,18 @@ def test_engine_keeps_it_up(spark, tmp_path):
     incremental.build(engine, "demo", str(tree))
     same("return parse_3 page")
     same("value")
-    assert engine.index("demo").documents == engine.corpus("demo").count()
+    before = engine.corpus("demo").count()
+    assert engine.index("demo").documents == before
+    more = spark.createDataFrame([("m1.py", "note", "zebra in the margin"), ("m1.py", "note", "zebra in the margin")], "file_path string, name string, content string")
+    assert engine.insert("demo", more) == 2 and engine.index("demo").documents == engine.corpus("demo").count() == before + 2
+    assert "note" in {r.name for r in engine.retrieve("zebra", "demo", 4).collect()} and engine.corpus("demo").where("name = 'note' AND size(embedding) = 16").count() == 2
+
+
+def test_uniqueness(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a")], "id long, name string")
+    assert schema.assert_unique(df, "id", "name") is df
+    with pytest.raises(schema.NotUnique, match="id"):
+        schema.assert_unique(df, "id")
 
 
 def test_english(spark, tmp_path):
