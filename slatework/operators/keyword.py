@@ -196,8 +196,8 @@ def _score_block(held: DataFrame, asked: pd.DataFrame, k: int, key: str, query_k
 
     words, ids = sorted(set(asked["term"])), asked[query_key].drop_duplicates().tolist()
     at, row = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
-    wants = np.zeros((len(words), len(ids)))
-    wants[[at[w] for w in asked["term"]], [row[q] for q in asked[query_key]]] = 1
+    wants = np.zeros((len(words), len(ids)), bool)
+    wants[[at[w] for w in asked["term"]], [row[q] for q in asked[query_key]]] = True
     key_type = held.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +229,10 @@ def _score_block(held: DataFrame, asked: pd.DataFrame, k: int, key: str, query_k
                 term, tf = (c.column(i).flatten().to_numpy() for i in (2, 3))
                 doc = np.repeat(np.arange(c.num_rows), np.asarray(pa.compute.list_value_length(c.column(2))))
                 length = c.column(1).to_numpy()[doc]
-                weights = np.zeros((c.num_rows, len(words)))
-                weights[doc, term] = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-                total = weights @ wants
+                some, column = np.unique(term, return_inverse=True)  # only the words that these documents have
+                weights = np.zeros((c.num_rows, len(some)))
+                weights[doc, column] = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+                total = weights @ wants[some].astype(np.float64)
                 order = np.argsort(-np.round(total, TIES), axis=0, kind="stable")[:k]
                 at_doc, at_query = order.ravel(), np.tile(np.arange(len(ids)), len(order))
                 hit = total[at_doc, at_query] > 0

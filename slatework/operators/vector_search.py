@@ -114,12 +114,12 @@ class InvertedFile:
     @classmethod
     def build(cls, corpus: DataFrame, path: str, cells: int = 16, most_rows: int = 20_000, rounds: int = 10, column: str = "embedding", seed: int = 7) -> InvertedFile:
         spark = corpus.sparkSession
-        sample = corpus.select(column).orderBy(F.xxhash64(F.col(column), F.lit(seed))).limit(most_rows).toPandas()[column]
-        rows = np.vstack(sample.to_numpy()).astype(np.float64)
+        sample = corpus.where(F.size(column) > 0).select(column).orderBy(F.xxhash64(F.col(column), F.lit(seed))).limit(most_rows).toPandas()[column]
+        rows = np.vstack(sample.to_numpy()).astype(np.float64) if len(sample) else np.zeros((0, 1))
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
         rng = np.random.default_rng(seed)
         centroids = rows[rng.permutation(len(rows))[: min(cells, len(rows))]]
-        for _ in range(rounds):
+        for _ in range(rounds if len(rows) else 0):
             near = (rows @ centroids.T).argmax(1)
             sums = np.array([rows[near == c].sum(0) if (near == c).any() else centroids[c] for c in range(len(centroids))])
             centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300)
@@ -128,13 +128,19 @@ class InvertedFile:
         def cell(v):
             import pandas as pd
 
-            return pd.Series((np.vstack(v.to_numpy()).astype(np.float64) @ centroids.T).argmax(1).astype(np.int32), index=v.index)
+            out = np.full(len(v), -1, np.int32)  # rows without a vector are in no cell
+            good = [i for i, x in enumerate(v) if x is not None and len(x) == centroids.shape[1]] if len(centroids) else []
+            if good:
+                out[good] = (np.vstack([v.iloc[i] for i in good]).astype(np.float64) @ centroids.T).argmax(1)
+            return pd.Series(out, index=v.index)
 
         corpus.withColumn("cell", cell(F.col(column))).write.partitionBy("cell").parquet(path)
         return cls(centroids, path, spark.read.parquet(path))
 
     def probe(self, query: list[float], cells: int) -> list[int]:
         """The cells nearest to a query."""
+        if not len(self.centroids):
+            return []
         q = np.asarray(query, np.float64)
         return np.argsort(-(self.centroids @ q), kind="stable")[:cells].tolist()
 

@@ -73,7 +73,7 @@ class Engine:
             shown = found.select("name", "snippet_type", "file_path", "start_line", "end_line", "match_type", "match_priority", T.preview(F.col("content")).alias("preview"))
             if not self.config.fallback or not shown.isEmpty():
                 return shown
-        return graph.name_search(self.store.read_parts("nodes"), codebase, query, limit)
+        return graph.name_search(self._part("nodes", codebase), codebase, query, limit)
 
     def retrieve(self, query: str, codebase: str, limit: int = 5, alpha: float | None = None, mode: str = "all") -> DataFrame:
         """Hybrid retrieval; the keyword branch reads the asked terms' blocks of the index. ``alpha`` (an extension) weighs the branches, ``mode`` wants all terms or any."""
@@ -85,8 +85,13 @@ class Engine:
 
     def explore(self, name: str, codebase: str, relation: str = "all") -> DataFrame:
         """Callers, callees, methods and imports around a name (an extension)."""
-        nodes = graph.of_codebase(self.store.read_parts("nodes"), codebase)
-        return graph.neighbours(nodes, self.store.read_parts("edges"), name, relation)
+        return graph.neighbours(self._part("nodes", codebase), self._part("edges", codebase), name, relation)
+
+    def _part(self, table: str, codebase: str) -> DataFrame:
+        rows = self.store.read_parts(table, codebase)
+        if rows is None:
+            raise NotFound(f"codebase {codebase!r} has no {table}")
+        return rows
 
     def graph_status(self) -> DataFrame:
         """Whether there is a graph, and its nodes."""

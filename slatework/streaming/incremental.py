@@ -49,10 +49,11 @@ def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run:
     """
     spark, store = engine.spark, engine.store
     now = snapshot(spark, root, codebase, memo_key(engine), exclude)
+    light = materialize(schema.with_columns(now, schema.FILES), "build-files")  # all files are read once, changed ones once more
     known = store.read_parts("files", codebase)
     if known is None or full:
         known = spark.createDataFrame([], schema.FILES)
-    status = materialize(change.diff(now, known, "relative_path", "content_hash", "memo"), "build-status")
+    status = materialize(change.diff(light, known, "relative_path", "content_hash", "memo"), "build-status")
     summary = status.groupBy("status").agg(F.count("*").alias("files"))
     old = store.read_parts("corpus", codebase)
     if dry_run or (old is not None and status.where("status != 'unchanged'").isEmpty()):
@@ -74,7 +75,7 @@ def build(engine: Engine, codebase: str, root: str, full: bool = False, dry_run:
     schema.assert_unique(store.write(part("nodes"), schema.with_columns(graph.nodes(code), schema.NODES)), "id")
     store.write(part("edges"), schema.with_columns(graph.edges(code), schema.EDGES))
     store.write(part("failures"), schema.with_columns(failures.withColumn("codebase_name", F.lit(codebase)), schema.FAILURES))
-    store.write(part("files"), schema.with_columns(now.join(failures, "relative_path", "left_anti"), schema.FILES))
+    store.write(part("files"), light.join(failures, "relative_path", "left_anti").select(light.columns))
     for name in ("corpus", "nodes", "edges", "failures", "files"):
         store.sweep(part(name))
     failed = failures.agg(F.count("*").alias("files")).where("files > 0").select(F.lit("failed").alias("status"), "files")

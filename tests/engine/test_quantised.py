@@ -58,3 +58,12 @@ def test_more_queries_than_a_block(rows, index, monkeypatch):
     got = index.batch_top_k(asked, 1, 24)
     assert sorted((r.query_id, r.vec_id) for r in got.collect()) == [(i, i) for i in range(20)]
     assert got.where(F.col("rank") > 1).count() == 0
+
+
+def test_inverted_file_without_vectors(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [])], "vec_id long, embedding array<float>")
+    index = vector_search.InvertedFile.build(df, str(tmp_path / "ivf"), cells=2)
+    assert index.corpus.count() == 4 and {r.vec_id for r in index.corpus.where("cell = -1").collect()} == {3, 4}
+    assert [r.vec_id for r in index.top_k([1.0, 0.1], 1, 1).collect()] == [1]
+    none = vector_search.InvertedFile.build(df.limit(0), str(tmp_path / "none"))
+    assert none.corpus.count() == 0 and none.top_k([1.0, 0.1], 1, 1).count() == 0
