@@ -134,8 +134,9 @@ class InvertedFile:
                 out[good] = (np.vstack([v.iloc[i] for i in good]).astype(np.float64) @ centroids.T).argmax(1)
             return pd.Series(out, index=v.index)
 
-        corpus.withColumn("cell", cell(F.col(column))).write.partitionBy("cell").parquet(path)
-        return cls(centroids, path, spark.read.parquet(path))
+        filed = corpus.withColumn("cell", cell(F.col(column)))
+        filed.write.partitionBy("cell").parquet(path)
+        return cls(centroids, path, spark.read.schema(filed.schema).parquet(path))
 
     def probe(self, query: list[float], cells: int) -> list[int]:
         """The cells nearest to a query."""
