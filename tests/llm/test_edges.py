@@ -293,5 +293,5 @@ def test_ftrl():
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
-    wanted = {f"op{i}_" for i in range(1, 11)}
+    wanted = {f"op{i}_" for i in range(1, 13)}
     assert {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")} == wanted and "pipeline" in entry.queries()
