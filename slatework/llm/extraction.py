@@ -109,7 +109,7 @@ def features(found: list[Block], known) -> tuple[list[list[int]], list[int]]:
             names += [f"cue:{c.lower()}" for c in dict.fromkeys(_CUES.findall(b.text))]
         if w <= 10 and last not in ".!?" and _BYLINE.search(b.text):
             names.append("byline")
-        if any(c in b.text for c in "|·»›") and w <= 40:
+        if link and any(c in b.text for c in "|·»›") and w <= 40:
             names.append(f"marks/links:{link}")
         if w <= 12 and sum(c.isdigit() for c in b.text) * 4 > len(b.text):
             names.append("digits")
@@ -259,6 +259,8 @@ def training_pages(sample: list[str], per_page: int, least: int = 0, seed: int =
             at = rng.randrange(max(1, len(article) - 24))
             title = " ".join(article[0].split()[: rng.choice((1, 2, 2, 3, 4, 6, 8, 10, 14))])
             some = [title, *article[max(1, at) : at + rng.randint(2, 24)]]
+            if rng.random() < 0.1:  # an article of one short paragraph
+                some = [title, " ".join(article[-1].split()[: rng.randint(2, 9)])]
             found = blocks(layouts.labelled(rng, some, pool))
             labels = [layouts.MARK in b.text for b in found]
             for b in found:
