@@ -48,13 +48,13 @@ def _bucket(n: float, bounds) -> int:
     return len(bounds)
 
 
-def _lineage(e: Element, known) -> tuple[frozenset[int], tuple[str, ...]]:
-    """(features of an element and those above it, its enclosing parts), kept in the elements. ``known`` maps a name to a number or None."""
+def _lineage(e: Element, known, owner: object) -> tuple[frozenset[int], tuple[str, ...]]:
+    """(features of an element and those above it, its enclosing parts), kept in the elements for their owner. ``known`` maps a name to a number or None."""
     chain = []
-    while e is not None and e.held is None:
+    while e is not None and (e.held is None or e.held[0] is not owner):
         chain.append(e)
         e = e.above
-    held = (frozenset(), ()) if e is None else e.held
+    held = (frozenset(), ()) if e is None else e.held[1]
     for x in reversed(chain):
         names = [f"in:{x.tag}"] if x.tag not in _PLAIN else []
         names += [f"name:{w}" for w in x.names[:16]]
@@ -64,12 +64,13 @@ def _lineage(e: Element, known) -> tuple[frozenset[int], tuple[str, ...]]:
             parts = parts if x.tag in parts else (*parts, x.tag)
         new = {i for n in names if (i := known(n)) is not None} - held[0]
         held = (held[0] | new if new else held[0], parts)
-        x.held = held
+        x.held = (owner, held)
     return held
 
 
 def features(found: list[Block], known) -> tuple[list[list[int]], list[int]]:
     """(features of every block, kind of step into every block)."""
+    owner = object()
     words = [b.text.count(" ") + 1 for b in found]
     shares = [b.linked / len(b.text) for b in found]
     plain = [w * (1 - s) for w, s in zip(words, shares)]
@@ -113,7 +114,7 @@ def features(found: list[Block], known) -> tuple[list[list[int]], list[int]]:
             names.append(f"marks/links:{link}")
         if w <= 12 and sum(c.isdigit() for c in b.text) * 4 > len(b.text):
             names.append("digits")
-        above, parts = _lineage(e, known)
+        above, parts = _lineage(e, known, owner)
         around = "/".join(parts)
         names += [f"parts:{around}", f"parts:{around}/{e.tag}", f"parts:{around}/{e.tag}/links:{link}"]
         ids = set(above)
@@ -243,14 +244,16 @@ def silver(page: str) -> tuple[list[Block], list[bool]] | None:
 
 def training_pages(sample: list[str], per_page: int, least: int = 0, seed: int = 0) -> Iterator[tuple[list[Block], list[bool]]]:
     """Labelled pages from a sample: the pages that mark their article, and ``per_page`` layouts with the prose of each, ``least`` or so in all."""
-    articles = []
+    articles, own = [], []
     for page in sample:
         marked = silver(page)
         if marked is not None and any(marked[1]):
-            yield marked
+            own.append(marked)
             articles.append([b.text for b, mine in zip(*marked) if mine])
         else:
             articles.append([b.text for b in blocks(page) if b.text.count(" ") >= 8 and b.linked == 0])
+    for _ in range(1 + max(1, least // (3 * max(1, len(sample))))):  # so often that they are about a third
+        yield from own
     rng = random.Random(seed)
     articles = [a for a in articles if a] or [layouts.stand_in(rng) for _ in range(60)]
     pool = [p for a in articles for p in a[1:]] or articles[0]
@@ -311,10 +314,6 @@ def train(
             features(some, lambda name, names=names: names.setdefault(name, len(names)))
             for x in names:
                 counts[x] = counts.get(x, 0) + 1
-            for b in some:  # features are made again with the numbers that stay
-                e = b.element
-                while e is not None and e.held is not None:
-                    e.held, e = None, e.above
         kept = sorted((x for x, c in counts.items() if c >= 3), key=lambda x: (-counts[x], x))[:most_features]
         number = {x: i for i, x in enumerate(kept)}
         data = [(*features(some, number.get), labels) for some, labels in found]
