@@ -15,8 +15,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatework.functions.english import ANALYSERS
@@ -31,6 +32,10 @@ GRAIN = 256
 TOTALS = ""
 #: Documents of a shard in large and in small corpora, and shards of small ones.
 MOST, FEW, AT_LEAST = 50_000, 250, 16
+#: Bytes of text of a shard in large corpora: a shard is made by one task.
+BYTES = 16 << 20
+#: Words that a task analyses at once.
+WORDS = 1 << 20
 #: Blocks a shard from which on a search looks at the best blocks first.
 MANY = 8
 
@@ -40,40 +45,98 @@ def _bound(tf: Column, length: Column, mean: float) -> Column:
     return tf * (keyword.K1 + 1) / (tf + keyword.K1 * (1 - keyword.B + keyword.B * length / mean))
 
 
-def _entries(analyser: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """shard, key, term, len, places and one of every document and term, and of every document without a term; from batches of (shard, key, terms).
+def _chunks(analyser: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """shard, term, keys, lens, places, n, total: a row for every term of some documents of a shard, and one that counts them; from batches of (shard, key, terms, one).
 
-    Terms are analysed once per batch, by its dictionary. Places count all terms, lengths those that are indexed.
+    Terms are analysed once per slice of WORDS words, by its dictionary. Places count all terms, lengths those that are indexed.
     """
-    names = ["shard", "key", "term", "len", "places", "one"]
+    names = ["shard", "term", "keys", "lens", "places", "n", "total"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = ANALYSERS[analyser]
-        for b in batches:
-            lists = b.column(2)
-            lengths = np.diff(lists.offsets.to_numpy())
-            held = lists.flatten().dictionary_encode()
-            words: dict[str, int] = {}
-            number = np.array([-1 if (w := kept(t)) is None else words.setdefault(w, len(words)) for t in held.dictionary.to_pylist()], np.int64)
-            doc = np.repeat(np.arange(b.num_rows), lengths)
-            code = number[held.indices.to_numpy()] if len(number) else np.zeros(0, np.int64)
-            at = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
-            some = code >= 0
-            doc, code, at = doc[some], code[some], at[some]
-            size = np.bincount(doc, minlength=b.num_rows).astype(np.int32)
-            order = np.argsort(doc * max(1, len(words)) + code, kind="stable")  # places stay ascending
-            doc, code, at = doc[order], code[order], at[order]
-            starts = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
-            places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
-            rows = pa.array(doc[starts])
-            found = pa.array(list(words), pa.string()).take(pa.array(code[starts]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), found, pa.array(size).take(rows), places, pa.array(np.ones(len(starts), np.int64))], names)
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(b.num_rows + 1, np.int32)), pa.array([], pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([TOTALS] * b.num_rows, pa.string()), pa.array(size), none, pa.array(np.ones(b.num_rows, np.int64))], names)
+        for whole in batches:
+            slices = np.cumsum(np.diff(whole.column(2).offsets.to_numpy())) // WORDS
+            cuts = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), whole.num_rows)
+            for b in (whole.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:])):
+                lengths = np.diff(b.column(2).offsets.to_numpy())
+                held = b.column(2).flatten().dictionary_encode()
+                words: dict[str, int] = {}
+                number = np.array([-1 if (w := kept(t)) is None else words.setdefault(w, len(words)) for t in held.dictionary.to_pylist()], np.int64)
+                doc = np.repeat(np.arange(b.num_rows), lengths)
+                code = number[held.indices.to_numpy()] if len(number) else np.zeros(0, np.int64)
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+                some = code >= 0
+                doc, code, at = doc[some], code[some], at[some]
+                size = np.bincount(doc, minlength=b.num_rows).astype(np.int32)
+                shard = b.column(0).to_numpy().astype(np.int64)
+                group = shard[doc] * max(1, len(words)) + code
+                order = np.argsort(group * b.num_rows + doc, kind="stable")  # places stay ascending
+                doc, group, at = doc[order], group[order], at[order]
+                starts = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+                places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
+                doc, group = doc[starts], group[starts]
+                firsts = np.flatnonzero(np.diff(group, prepend=-1))
+                ends, group = pa.array(np.append(firsts, len(doc)).astype(np.int32)), group[firsts]
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (b.column(1).take(pa.array(doc)), pa.array(size[doc]), places)]
+                found, none = pa.array(list(words), pa.string()).take(pa.array(group % max(1, len(words)))), pa.array(np.zeros(len(firsts), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((group // max(1, len(words))).astype(np.int32)), found, *lists, none, none], names)
+                of, row = np.unique(shard, return_inverse=True)
+                sums = [pa.array(np.bincount(row, x, len(of)).astype(np.int64)) for x in (b.column(3).to_numpy(), size)]
+                empty = [pa.array([[]] * len(of), x.type) for x in lists]
+                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array([TOTALS] * len(of), pa.string()), *empty, *sums], names)
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting blocks and totals from rows of ``_chunks`` in order of shard and term. What is kept from batch to batch is one term of one shard."""
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0] if rest is not None and b.num_rows else b if rest is None else rest
+        if b.num_rows:
+            last = np.flatnonzero(_new_terms(b))[-1]
+            if last:
+                yield from _blocks_of(b.slice(0, last))
+            rest = b.slice(last)
+    if rest is not None:
+        yield from _blocks_of(rest)
+
+
+def _new_terms(b: pa.RecordBatch) -> np.ndarray:
+    """Which rows have another shard or term than the one before."""
+    return (np.diff(b.column(0).to_numpy(), prepend=-1) != 0) | (np.diff(b.column(1).dictionary_encode().indices.to_numpy(), prepend=-1) != 0)
+
+
+def _blocks_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The blocks of whole terms: by falling weight, ties by key; within a block by key."""
+    names = ["shard", "term", "block", "n", "max_tf", "min_tf", "max_len", "min_len", "postings", "places"]
+    new = _new_terms(b)
+    term, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    term = np.repeat(term, pa.compute.list_value_length(b.column(2)).to_numpy())
+    keys, lens, places = (b.column(i).flatten() for i in (2, 3, 4))
+    tf, size = pa.compute.list_value_length(places).to_numpy(), lens.to_numpy()
+    rank = pa.compute.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy().astype(np.int64)
+    order = np.lexsort((rank, -(tf / (tf + size)), term))
+    counts = np.bincount(term, minlength=len(first))
+    block = np.empty(len(order), np.int64)
+    block[order] = (np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)) // BLOCK
+    order = np.lexsort((rank, block, term))
+    term, block, tf, size = term[order], block[order], tf[order], size[order]
+    starts = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    ends, at = pa.array(np.append(starts, len(term)).astype(np.int32)), pa.array(order)
+    postings = pa.StructArray.from_arrays([keys.take(at), pa.array(tf.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "tf", "len"])
+    lists = [pa.ListArray.from_arrays(ends, postings), pa.ListArray.from_arrays(ends, places.take(at))]
+    if len(starts):
+        rows = pa.array(first[term[starts]])
+        bounds = [pa.array(f.reduceat(x, starts).astype(kind)) for x, kind in ((tf, np.int32), (size, np.int64)) for f in (np.maximum, np.minimum)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(block[starts].astype(np.int32)), pa.array(np.diff(np.append(starts, len(term)))), *bounds, *lists], names)
+    rows = first[counts == 0]  # no postings: totals
+    if len(rows):
+        n, total = (pa.array(np.add.reduceat(b.column(i).to_numpy(), first)[counts == 0]) for i in (5, 6))
+        none, zero = pa.array(np.zeros(len(rows), np.int32)), pa.array(np.zeros(len(rows), np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), none, n, none, none, total, zero, *[pa.array([[]] * len(rows), x.type) for x in lists]], names)
+
+
 class InvertedIndex:
     """The index below one folder; ``build`` makes it, ``refresh`` keeps it up, the others search."""
 
@@ -104,24 +167,18 @@ class InvertedIndex:
 
     @staticmethod
     def _blocks(docs: DataFrame, shards: int, only: list[int] | None, key: str, text: str, route: str | None, analyser: str) -> DataFrame:
-        """The rows of the shards (all, or some): posting blocks and totals. One shuffle, by shard."""
-        rows = docs.select(InvertedIndex._shard(F.col(route or key), shards).alias("shard"), F.col(key).alias("key"), terms(F.col(text)).alias("terms"))
-        numbers = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+        """The rows of the shards (all, or some): posting blocks and totals. One shuffle, of the texts by shard; a task has one shard, whose terms are sorted once."""
+        rows = docs.select(InvertedIndex._shard(F.col(route or key), shards).alias("shard"), F.col(key).alias("key"), F.col(text).alias("text"), F.lit(1).cast("long").alias("one"))
+        kind = rows.schema["key"].dataType.simpleString()
+        nobody = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("one"))
+        rows = rows.unionByName(nobody)
         if only is not None:
-            rows, numbers = rows.where(F.col("shard").isin(only)), numbers.where(F.col("shard").isin(only))
-        entries = rows.mapInArrow(_entries(analyser), f"shard int, key {rows.schema['key'].dataType.simpleString()}, term string, len int, places array<int>, one long")
-        nobody = numbers.select("shard", F.lit(None).cast(entries.schema["key"].dataType).alias("key"), F.lit(TOTALS).alias("term"), F.lit(0).alias("len"), F.lit(None).cast("array<int>").alias("places"), F.lit(0).cast("long").alias("one"))
-        entries = entries.unionByName(nobody).withColumn("tf", F.coalesce(F.size("places"), F.lit(0)))
-        entries = entries.repartition(shards if only is None else len(only), "shard")
-        place = F.row_number().over(Window.partitionBy("shard", "term").orderBy(F.desc(F.try_divide("tf", F.col("tf") + F.col("len"))), "key"))
-        block = F.when(F.col("term") == TOTALS, 0).otherwise(F.floor((place - 1) / BLOCK)).cast("int")
-        entry = F.when(F.col("term") != TOTALS, F.struct("key", "tf", "len", "places"))
-        longest = F.when(F.col("term") == TOTALS, F.sum("len")).otherwise(F.max("len")).cast("long")
-        blocks = entries.withColumn("block", block).groupBy("shard", "term", "block").agg(
-            F.sum("one").alias("n"), F.max("tf").alias("max_tf"), F.min("tf").alias("min_tf"), longest.alias("max_len"), F.min("len").cast("long").alias("min_len"), F.array_sort(F.collect_list(entry)).alias("e")
-        )
-        postings = F.transform("e", lambda x: F.struct(x["key"].alias("key"), x["tf"].alias("tf"), x["len"].alias("len")))
-        return blocks.select("shard", "term", "block", "n", "max_tf", "min_tf", "max_len", "min_len", postings.alias("postings"), F.transform("e", lambda x: x["places"]).alias("places"))
+            rows = rows.where(F.col("shard").isin(only))
+        task = F.col("shard") if only is None else (F.array_position(F.lit(only), F.col("shard")) - 1).cast("int")
+        rows = rows.repartitionById(shards if only is None else len(only), task)
+        chunks = rows.select("shard", "key", terms(F.col("text")).alias("terms"), "one").mapInArrow(_chunks(analyser), f"shard int, term string, keys array<{kind}>, lens array<int>, places array<array<int>>, n long, total long")
+        made = f"shard int, term string, block int, n long, max_tf int, min_tf int, max_len long, min_len long, postings array<struct<key: {kind}, tf: int, len: int>>, places array<array<int>>"
+        return chunks.sortWithinPartitions("shard", "term").mapInArrow(_cut, made)
 
     @staticmethod
     def _write(rows: DataFrame, path: str, mode: str) -> None:
@@ -133,10 +190,10 @@ class InvertedIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", route: str | None = None, shards: int | None = None, analyser: str = "simple") -> InvertedIndex:
-        """Index all rows, their terms as they are or (``english``) stems without stop words. Keys are distinct; null and empty texts count as documents without terms. ``shards`` follows the rows if it is not given, and is fixed from then on."""
+        """Index all rows, their terms as they are or (``english``) stems without stop words. Keys are distinct; null and empty texts count as documents without terms. ``shards`` follows the rows and their bytes if it is not given, and is fixed from then on."""
         if shards is None:
-            n = docs.count()
-            shards = max(1, min(AT_LEAST, -(-n // FEW)), -(-n // MOST))
+            n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+            shards = max(1, min(AT_LEAST, -(-n // FEW)), -(-n // MOST), -(-size // BYTES))
         cls._write(cls._blocks(docs, shards, None, key, text, route, analyser), f"{path.rstrip('/')}/blocks", "static")
         docs.sparkSession.range(1).select(F.lit(shards).alias("shards"), F.lit(analyser).alias("analyser")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/made")
         return cls(docs.sparkSession, path)

@@ -3,13 +3,14 @@
 import random
 from glob import glob
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from slatework import schema
-from slatework.operators import keyword
-from slatework.operators.inverted_index import TOTALS, InvertedIndex
+from slatework.operators import inverted_index, keyword
+from slatework.operators.inverted_index import BLOCK, TOTALS, InvertedIndex
 from slatework.plans import retrieve
 from slatework.plans.api import Engine
 from slatework.plans.config import SearchConfig
@@ -106,6 +107,54 @@ def test_refresh_rewrites_one_shard(spark, tmp_path):
     assert empty.documents <= 1 and empty.shards == 6
 
 
+def test_blocks_of_several_batches(spark, tmp_path):
+    """Terms whose documents come in many batches, textual keys and a null one: blocks by falling weight, by key within."""
+    rows = [(f"d{i:04d}" if i else None, "common " * (1 + i % 3) + f"w{i % 5} " * (i % 2) + f"own{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        index = InvertedIndex.build(docs, str(tmp_path / "i"), shards=2)
+        held = index.rows.where("term = 'common'").select("shard", "block", "n", "max_tf", "min_tf", "max_len", "min_len", "postings", "places").orderBy("shard", "block").collect()
+        want = keyword.postings(docs).select("term", "doc_id", "tf", "doc_len").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(index.postings().collect(), key=str) == sorted(want, key=str) and (index.documents, index.terms) == (600, sum(len(t.split()) for _, t in rows))
+    for shard in (0, 1):
+        blocks = [r for r in held if r.shard == shard]
+        assert [r.block for r in blocks] == list(range(len(blocks))) and {len(r.postings) for r in blocks[:-1]} == {BLOCK}
+        for r in blocks:
+            tf, size = [x.tf for x in r.postings], [x.len for x in r.postings]
+            assert (r.n, r.max_tf, r.min_tf, r.max_len, r.min_len) == (len(tf), max(tf), min(tf), max(size), min(size))
+            assert [x.key or "" for x in r.postings] == sorted(x.key or "" for x in r.postings) and [len(x) for x in r.places] == tf
+        weight = [[(-x.tf / (x.tf + x.len), x.key or "") for x in r.postings] for r in blocks]
+        assert all(max(a) < min(b) for a, b in zip(weight, weight[1:]))
+
+
+def test_slices_of_a_batch(monkeypatch):
+    """A batch of many words is analysed in slices, with the same blocks."""
+    texts = [["a"] * (i % 4) + [f"w{i % 3}"] * 2 for i in range(40)] + [[]]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 20 + [1] * 21, pa.int32()), pa.array(range(41)), pa.array(texts), pa.array([1] * 41)], ["shard", "key", "terms", "one"])
+    blocks = []
+    for words in (1 << 20, 7):
+        monkeypatch.setattr(inverted_index, "WORDS", words)
+        rows = pa.Table.from_batches(list(inverted_index._chunks("simple")(iter([batch])))).sort_by([("shard", "ascending"), ("term", "ascending")])
+        made = inverted_index._cut(iter(rows.combine_chunks().to_batches(max_chunksize=3)))
+        blocks.append(sorted((r for b in made for r in b.to_pylist()), key=lambda r: (r["shard"], r["term"])))
+    assert blocks[0] == blocks[1] and sum(r["n"] for r in blocks[0] if r["term"] == TOTALS) == 41
+
+
+def test_a_shard_is_bounded_by_its_text(spark, tmp_path, monkeypatch):
+    """Shards follow the bytes of the texts, and each is made by a task of its own."""
+    monkeypatch.setattr(inverted_index, "BYTES", 1000)
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(100)], "doc_id long, text string")
+    index = InvertedIndex.build(docs, str(tmp_path / "i"))
+    assert index.shards == 10
+    made = InvertedIndex._blocks(docs, 10, None, "doc_id", "text", None, "simple")
+    assert made.select("shard", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().where("count > 1").isEmpty()
+    some = InvertedIndex._blocks(docs, 10, [7, 2, 9], "doc_id", "text", None, "simple")
+    assert {(r.shard, r.p) for r in some.select("shard", F.spark_partition_id().alias("p")).distinct().collect()} == {(7, 0), (2, 1), (9, 2)}
+
+
 def test_empty_and_odd_texts(spark, tmp_path):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (4, "Éa éA x_1")], "doc_id long, text string")
     index = InvertedIndex.build(docs, str(tmp_path / "i"))
