@@ -45,6 +45,8 @@ def _ranked(found: DataFrame, group: str, key: str, k: int, digits: int) -> Data
 
 #: Query vectors that are sent to every task at once; more go in blocks.
 QUERY_BLOCK = 4096
+#: Similarities that a task computes at once.
+CELLS = 1 << 20
 
 Queries = DataFrame | list[tuple[int, list[float]]]
 
@@ -63,14 +65,15 @@ def blocks_of(queries: Queries, key: str = "query_id", column: str = "embedding"
 def batch_top_k(corpus: DataFrame, queries: Queries, k: int, key: str = "vec_id", column: str = "embedding", digits: int = 4) -> DataFrame:
     """query_id, key, similarity, rank of the k nearest of a stated query set, against all rows.
 
-    Each Arrow batch is multiplied with a block of queries and cut to k rows a query in the task, so what is
-    shuffled is k rows per query and task, not every pair. ``queries`` is a list, or a DataFrame with query_id and embedding of
+    Slices of rows are multiplied with a block of queries, of which a task keeps the k best rows a query, so what is
+    shuffled is k rows per query and task, not every pair, and memory does not depend on either table. ``queries`` is a list, or a DataFrame with query_id and embedding of
     any size: beyond one block each block's result is written before the next one is read.
     """
     found = None
     for block in blocks_of(queries):
         part = _nearest(corpus, block, k, key, column)
-        part = materialize(part, "block-nearest") if not isinstance(queries, list) and len(block) == QUERY_BLOCK else part
+        # More queries than a block are dealt by hash to blocks of over half its size.
+        part = materialize(part, "block-nearest") if not isinstance(queries, list) and len(block) > QUERY_BLOCK // 2 else part
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = corpus.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("similarity")).limit(0)
@@ -78,29 +81,48 @@ def batch_top_k(corpus: DataFrame, queries: Queries, k: int, key: str = "vec_id"
 
 
 def _nearest(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str, column: str) -> DataFrame:
-    """query_id, key, similarity: the k nearest per query and batch."""
+    """query_id, key, similarity: the k nearest per query and task, from slices of rows with CELLS similarities at most."""
     kind = corpus.schema[key].dataType.simpleString()
     ids = np.array([q[0] for q in queries], np.int64)
     matrix = np.array([q[1] for q in queries], np.float64)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            b = b.take(pa.compute.array_sort_indices(b.column(0)))  # by key, so that stable sorts settle ties
+        size, best, least = max(1, CELLS // len(ids)), None, np.full(len(ids), -np.inf)
+        for b in (b.slice(at, size) for b in batches for at in range(0, b.num_rows, size)):
             rows = np.vstack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
             length = np.linalg.norm(rows, axis=1)
-            sims = np.divide(rows @ matrix.T, length[:, None], out=np.full((len(rows), len(ids)), -np.inf), where=length[:, None] > 0)
-            best = np.argsort(-np.round(sims, TIES), axis=0, kind="stable")[: min(k, len(rows))]
-            at_row, at_query = best.ravel(), np.tile(np.arange(len(ids)), len(best))
-            found = np.isfinite(sims[at_row, at_query])
-            at_row, at_query = at_row[found], at_query[found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at_query]), b.column(0).take(pa.array(at_row)), pa.array(sims[at_row, at_query])], ["query_id", key, "similarity"])
+            sims = np.divide(rows @ matrix, length[:, None], out=np.full((len(rows), len(ids)), -np.inf), where=length[:, None] > 0)
+            sims[~np.isfinite(sims)] = -np.inf
+            shown = np.round(sims, TIES)
+            if len(rows) >= k and np.isneginf(least).any():  # k rows of this slice are as good
+                least = np.maximum(least, np.partition(shown, len(rows) - k, axis=0)[len(rows) - k])
+            at_row, at_query = np.nonzero((shown >= least) & (shown > -np.inf))
+            found = pa.table([pa.array(at_query), b.column(0).take(pa.array(at_row)), pa.array(sims[at_row, at_query])], ["query", key, "similarity"])
+            best = found if best is None else pa.concat_tables([best, found])
+            if best.num_rows > 2 * k * len(ids) + CELLS // 4:
+                best, least = _best(best, k, least)
+        if best is not None:
+            best = _best(best, k, least)[0].combine_chunks()
+            query, keys, similarity = (best.column(i).combine_chunks() for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query.to_numpy()]), keys, similarity], ["query_id", key, "similarity"])
 
     return corpus.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"query_id long, {key} {kind}, similarity double")
 
 
+def _best(found: pa.Table, k: int, least: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """The k best rows of every query, ties by key, and what a row must have to be one of them."""
+    query, shown = found.column(0).to_numpy(), np.round(found.column(2).to_numpy(), TIES)
+    rank = pa.compute.rank(found.column(1), sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+    order = np.lexsort((rank, -shown, query))
+    counts = np.bincount(query, minlength=len(least))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    last = order[place == k - 1]
+    least = least.copy()
+    least[query[last]] = shown[last]
+    return found.take(pa.array(order[place < k])), least
+
+
 class InvertedFile:
     """IVF: rows are filed by their nearest centroid, a query probes the cells nearest to it.
 

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,24 @@ def test_query_sets_in_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(keyword, "QUERY_BLOCK", 7)
     assert {tuple(r) for r in vector_search.batch_top_k(rows, asked, 3).collect()} == whole and len(whole) == 3 * asked.count()
     assert {tuple(r) for r in keyword.batch_bm25(docs, terms, 2).collect()} == scored
+
+
+def test_nearest_keeps_a_bounded_part(spark):
+    """Rows in many batches and slices, with ties, textual keys, zero and undefined vectors: the k best of a whole sort; a task passes on k rows a query."""
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i:04d}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(900)] + [("zero", [0.0] * 4), ("nan", [float("nan")] * 4), ("none", None)]
+    asked = [(q, rng.integers(1, 4, 4).astype(float).tolist()) for q in range(5)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        part = vector_search._nearest(df, asked, 7, "vec_id", "embedding").collect()
+        got = {(r.query_id, r.rank): r.vec_id for r in vector_search.batch_top_k(df, asked, 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(part) == 3 * 7 * len(asked)
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 10)
+    for q, v in asked:
+        want = sorted((-cos(x, v), i) for i, x in rows if x is not None and np.isfinite(x).all() and any(x))[:7]
+        assert [got[q, n + 1] for n in range(7)] == [i for _, i in want]
+    best, least = vector_search._best(pa.table({"query": [0, 0, 1, 0], "k": ["b", "a", "c", "d"], "s": [0.5, 0.5, 0.1, 0.9]}), 2, np.full(2, -np.inf))
+    assert best.to_pydict() == {"query": [0, 0, 1], "k": ["d", "a", "c"], "s": [0.9, 0.5, 0.1]} and least.tolist() == [0.5, -np.inf]
