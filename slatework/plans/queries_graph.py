@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slatework.functions import text as T
 from slatework.operators import extract, graph, reach, strong
 from slatework.plans.registered import Catalogue
+from slatework.scratch import materialize
 from slatework.session import table
 
 CATALOGUE = Catalogue()
@@ -208,5 +209,6 @@ def source_graph(spark, sf_dir):
     """Extraction to graph: edges by type of every supplier's sources."""
     sources = _sources(spark, sf_dir)
     rows = extract.extract(sources).withColumn("codebase_name", F.substring_index("file_path", "/", 1)).withColumn("file_path", F.expr("substring(file_path, instr(file_path, '/') + 1)"))
+    rows = materialize(rows, "snippets")  # nodes and edges read them many times; sources are parsed once
     nodes = graph.nodes(rows).select(F.col("id").alias("src"), F.col("codebase").alias("codebase_name"))
     return graph.edges(rows).join(nodes, "src").groupBy("codebase_name", "type").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slatework.operators import change, extract, graph
 from slatework.plans.api import Engine, NotFound
+from slatework.plans.catalogue import QUERIES
 from slatework.plans.config import SearchConfig
 from slatework.plans.queries_graph import SOURCES as MARKED
 from slatework.sources import embedding, files, repos
@@ -460,3 +461,9 @@ def test_sweep_and_scratch(spark):
 
     kept = scratch.materialize(spark.range(3), "probe")
     assert kept.count() == 3 and scratch.shared_dir(spark) in kept.inputFiles()[0].replace("file:///", "file:///")
+
+
+def test_source_graph_parses_sources_once(spark, sf):
+    """What the graph is made of is a table: no plan of it runs the extractor again."""
+    found = QUERIES["source_graph"](spark, sf)
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
