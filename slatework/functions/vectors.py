@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slatework.functions.text import let
+
 
 def literal(vector: list[float]) -> Column:
     """A query vector as a constant."""
@@ -35,9 +37,9 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def mock_embedding(text: Column, dimension: int = 768) -> Column:
     """From the text's MD5 as a number: component i is bit i minus a half; beyond bit 127 all are -0.5."""
-    digits = F.md5(text.cast("binary"))
-    # Bit i of the number is bit i % 4 of the hex digit at 32 - i // 4.
-    digit = lambda i: F.conv(F.substring(digits, 32 - F.floor(i / 4).cast("int"), F.lit(1)), 16, 10).cast("int")
-    bit = lambda i: F.shiftright(digit(i), i % 4) if isinstance(i, int) else F.floor(digit(i) / F.pow(F.lit(2.0), i % 4)).cast("int") % 2
-    low = F.transform(F.sequence(F.lit(0), F.lit(min(dimension, 128) - 1)), lambda i: (bit(i) - F.lit(0.5)).cast("float"))
+    # Bit i of the number is bit i % 4 of the hex digit at 32 - i // 4. The digits are bound, as a lambda's body is evaluated for every component.
+    digit = lambda digits, i: F.conv(F.substring(digits, 32 - F.floor(i / 4).cast("int"), F.lit(1)), 16, 10).cast("int")
+    bit = lambda digits, i: F.floor(digit(digits, i) / F.pow(F.lit(2.0), i % 4)).cast("int") % 2
+    places = F.sequence(F.lit(0), F.lit(min(dimension, 128) - 1))
+    low = let(F.md5(text.cast("binary")), lambda digits: F.transform(places, lambda i: (bit(digits, i) - F.lit(0.5)).cast("float")))
     return F.concat(low, F.array_repeat(F.lit(-0.5).cast("float"), dimension - 128)) if dimension > 128 else low

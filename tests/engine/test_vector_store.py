@@ -1,8 +1,12 @@
 """Builds embed a text once: only the changed snippet of a file, and equal ones of two codebases together."""
 
+import hashlib
 import os
 from glob import glob
 
+from pyspark.sql import functions as F
+
+from slatework.functions import vectors
 from slatework.plans.api import Engine
 from slatework.streaming import incremental
 
@@ -46,3 +50,13 @@ def test_builds_share_vectors(spark, tmp_path):
     assert [t for t in asked if len(t) < 100] == ["def f41(a):\n    return a - 41"] and len(asked) <= 2
     rows = engine.corpus("one").where("name = 'f41'").collect()
     assert len(rows) == 1 and rows[0].embedding == [float(len(rows[0].content)), 1.0]
+
+
+def test_the_stand_in_hashes_a_text_once(spark):
+    """The text is outside of what is evaluated for every component."""
+    rows = spark.createDataFrame([("a",), (None,), ("",)], "text string")
+    got = [r.v for r in rows.select(vectors.mock_embedding(F.col("text"), 130).alias("v")).collect()]
+    number = int(hashlib.md5(b"a").hexdigest(), 16)
+    assert got[0] == [(number >> i & 1) - 0.5 for i in range(128)] + [-0.5] * 2 and len(got[2]) == 130
+    plan = rows.select(vectors.mock_embedding(F.col("text"), 16).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 1 and plan.index("md5") < plan.index("lambdafunction")
