@@ -215,6 +215,12 @@ class InvertedIndex:
         """term, key, tf, len of every document and term."""
         return self.rows.where(F.col("term") != TOTALS).select("term", F.inline("postings"))
 
+    def statistics(self) -> DataFrame:
+        """term, df and cf of all terms: a block is summed up in its row, so what is shuffled are blocks' sums."""
+        counts = F.aggregate("postings.tf", F.lit(0).cast("long"), lambda s, tf: s + tf)
+        rows = self.rows.where(F.col("term") != TOTALS).select("term", "n", counts.alias("cf"))
+        return rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+
     def asked(self, wanted: list[str]) -> list[str]:
         """The distinct terms of a query as they are indexed."""
         return list(dict.fromkeys(w for t in wanted if (w := ANALYSERS[self.analyser](t)) is not None))

@@ -198,8 +198,7 @@ def index_topk_all_terms(spark, sf_dir):
 @add()
 def index_english_statistics(spark, sf_dir):
     """term, df, cf of the stems of all documents, without stop words."""
-    rows = stored_index(spark, sf_dir, "english").postings()
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+    return stored_index(spark, sf_dir, "english").statistics()
 
 
 @add(f"WITH {BM25}, {KEYWORD_LIST}, {VECTOR_LIST} {fused_sql()}")

@@ -214,6 +214,9 @@ def test_english(spark, tmp_path):
     assert index.top_k(["the", "of"], 3).count() == 0 and (index.documents, index.terms) == (4, 9)
     # Places count stop words, as those of the whole text do.
     assert index.rows.where("term = 'pars'").selectExpr("inline(arrays_zip(postings, places))").selectExpr("postings.key", "places").orderBy("key").collect() == [(0, [3, 6]), (1, [1]), (3, [2])]
+    assert sorted(map(tuple, index.statistics().collect())) == [("kind", 1, 1), ("noth", 1, 1), ("pars", 3, 4), ("parser", 2, 2), ("sentenc", 1, 1)]
+    plan = index.statistics()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # blocks are summed up as rows
     want = index.top_k(["parse"], 9).collect()
     again = InvertedIndex(spark, str(tmp_path / "e")).refresh(docs, spark.createDataFrame([(1,)], "doc_id long"))
     assert again.analyser == "english" and again.top_k(["parses"], 9).collect() == want
